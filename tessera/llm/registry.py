@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, sharding, simhash
+from tessera.llm import exact_dedup, mixing, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op4_sharding": sharding.query,
+    "op6_url_language_models": url_filter.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_temperature_mixing": mixing.query,
 }
