@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, sharding, simhash, tiff, url_filter
+from tessera.llm import bpe, exact_dedup, mixing, sharding, simhash, tiff, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op4_sharding": sharding.query,
     "op6_url_language_models": url_filter.query,
+    "op7_bpe": bpe.query,
     "op8_tiff": tiff.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_temperature_mixing": mixing.query,
