@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, mixing, sharding, simhash, tiff, url_filter
+from tessera.llm import bpe, exact_dedup, mixing, sharding, simhash, tiff, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op6_url_language_models": url_filter.query,
     "op7_bpe": bpe.query,
