@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, mixing, sharding, simhash, tiff, toxicity, url_filter
+from tessera.llm import bpe, exact_dedup, mixing, sharding, simhash, suffix_dedup, tiff, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_url_language_models": url_filter.query,
     "op7_bpe": bpe.query,
     "op8_tiff": tiff.query,
