@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, mixing, sharding, simhash, suffix_dedup, tiff, toxicity, url_filter
+from tessera.llm import bpe, exact_dedup, html_text, mixing, sharding, simhash, suffix_dedup, tiff, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_site_style_tree": html_text.query,
     "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op5_suffix_dedup": suffix_dedup.query,
