@@ -1,4 +1,550 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators over the test tables, and the SQL that says the same to another engine.
+
+Doubles are rounded on both sides, as sums differ in their last digits between engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import synthetic
+from tessera.functions.membership import TERMS, concept_map
+from tessera.functions.rules import Condition, Rule, activations, enumerate_rules, rule_table, rule_text
+from tessera.operators import explain, metrics, prepare, ranking, statistics
+from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM
+from tessera.plans import quotient
+from tessera.sources import datasets
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    return F.round(x, digits)
+
+
+# ---- Feature views: lines with their return flag, orders with their customer, events by value and hour.
+
+LINES, ORDERS, EVENTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["totalprice", "acctbal"], ["value", "hour"]
+
+
+def lines(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*LINES, F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"))
+
+
+def orders(spark, sf_dir: str) -> DataFrame:
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_totalprice").alias("totalprice"), F.col("c_acctbal").alias("acctbal"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y"))
+
+
+def events(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("y"))
+
+
+LINES_SQL = "lines AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS w FROM lineitem)"
+ORDERS_SQL = "ords AS (SELECT o_orderkey, o_totalprice AS totalprice, c_acctbal AS acctbal, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders JOIN customer ON o_custkey = c_custkey)"
+EVENTS_SQL = "evs AS (SELECT event_id, value, CAST(hour(ts) AS DOUBLE) AS hour, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y FROM events)"
+
+
+def anchors_sql(view: str, features) -> str:
+    return "anch AS (SELECT " + ", ".join(f"quantile_cont({f}, {q}) AS {f}_{i}" for f in features for i, q in enumerate(("0.05", "0.5", "0.95"))) + f" FROM {view})"
+
+
+def term_sql(f: str, term: str) -> str:
+    down = lambda a, b: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({f}_{b} - {f}) / ({f}_{b} - {f}_{a})))"
+    up = lambda a, b: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({f} - {f}_{a}) / ({f}_{b} - {f}_{a})))"
+    return {"low": down(0, 1), "medium": f"least({up(0, 1)}, {down(1, 2)})", "high": up(1, 2)}[term]
+
+
+def terms_sql(view: str, features, keep: str) -> str:
+    cells = ", ".join(f"{term_sql(f, t)} AS m_{f}_{t}" for f in features for t in TERMS)
+    return f"mem AS (SELECT {keep}, {cells} FROM {view}, anch)"
+
+
+def conjunction_sql(cells: list[str], how: str) -> str:
+    if len(cells) == 1:
+        return cells[0]
+    if how == "min":
+        return f"least({', '.join(cells)})"
+    if how == "product":
+        return " * ".join(cells)
+    mean = " + ".join(f"exp(-{c} / 0.1)" for c in cells)
+    return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, -0.1 * ln(({mean}) / {len(cells)})))"
+
+
+def rule_sql(rule: Rule, features, how: str = "min") -> str:
+    return conjunction_sql([f"m_{features[c.feature]}_{c.term}" for c in rule.conditions], how)
+
+
+# ---- Partitions and memberships
+
+
+@query(f"WITH {LINES_SQL} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, quantile_cont({f}, 0.05) AS low, quantile_cont({f}, 0.5) AS medium, quantile_cont({f}, 0.95) AS high FROM lines" for f in LINES))
+def partition_anchors(spark, sf_dir):
+    row = lines(spark, sf_dir).agg(*[F.percentile(c, F.array(*map(F.lit, prepare.QUANTILES))).alias(c) for c in LINES])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("low"), F.col(c)[1].alias("medium"), F.col(c)[2].alias("high")) for c in LINES]))
+    return row.select(each.alias("x")).select("x.*")
+
+
+@query(f"WITH {LINES_SQL}, {anchors_sql('lines', LINES)}, {terms_sql('lines', LINES, 'y')} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, " + ", ".join(f"round(avg(m_{f}_{t}), 6) AS mean_{t}" for t in TERMS) + " FROM mem" for f in LINES))
+def membership_profile(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    parts = prepare.anchors(df, LINES)
+    each = [F.struct(F.lit(p.feature).alias("feature"), *[rounded(F.avg(p.term(t))).alias(f"mean_{t}") for t in TERMS]) for p in parts]
+    return df.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query(f"WITH {LINES_SQL}, {anchors_sql('lines', LINES)}, {terms_sql('lines', LINES, 'y')} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(max(abs(m_{f}_low + m_{f}_medium + m_{f}_high - 1)), 9) AS max_gap FROM mem" for f in LINES))
+def ruspini_check(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    each = [F.struct(F.lit(p.feature).alias("feature"), rounded(F.max(F.abs(p.term("low") + p.term("medium") + p.term("high") - 1)), 9).alias("max_gap")) for p in prepare.anchors(df, LINES)]
+    return df.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query(f"WITH {ORDERS_SQL}, {anchors_sql('ords', ORDERS)}, {terms_sql('ords', ORDERS, 'o_orderkey')} " + " UNION ALL ".join(f"SELECT o_orderkey, '{f}' AS feature, '{t}' AS term, round(m_{f}_{t}, 6) AS mu FROM mem" for f in ORDERS for t in TERMS))
+def concept_memberships(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    made = df.select("o_orderkey", concept_map(prepare.anchors(df, ORDERS)).alias("m"))
+    long = made.select("o_orderkey", F.explode("m").alias("feature", "t"))
+    return long.select("o_orderkey", "feature", F.explode("t").alias("term", "mu")).withColumn("mu", rounded(F.col("mu")))
+
+
+# ---- Rules
+
+PAIRS = enumerate_rules(len(LINES), 2)
+
+
+def sums_sql(how: str, weight: str, rules=PAIRS) -> str:
+    """One row a rule with its weighted sums: wp, wn, sp, sn."""
+    each = " UNION ALL ".join(
+        f"SELECT {i} AS enum_idx, '{rule_text(r, LINES)}' AS rule, {r.length} AS length, sum(CASE WHEN y = 1 THEN {weight} ELSE 0 END) AS wp, sum(CASE WHEN y = 0 THEN {weight} ELSE 0 END) AS wn, "
+        f"sum(CASE WHEN y = 1 THEN {weight} * {rule_sql(r, LINES, how)} ELSE 0 END) AS sp, sum(CASE WHEN y = 0 THEN {weight} * {rule_sql(r, LINES, how)} ELSE 0 END) AS sn FROM mem"
+        for i, r in enumerate(rules)
+    )
+    return f"WITH {LINES_SQL}, {anchors_sql('lines', LINES)}, {terms_sql('lines', LINES, 'y, w')}, sums AS ({each}), scored AS (SELECT enum_idx, rule, length, (sp + sn) / (wp + wn) AS coverage, abs(sp / wp - sn / wn) * (sp + sn) / (wp + wn) / length AS score FROM sums) "
+
+
+def _coverage(how: str):
+    def run(spark, sf_dir):
+        df = lines(spark, sf_dir)
+        acts = activations(PAIRS, prepare.anchors(df, LINES), how)
+        each = [F.struct(F.lit(rule_text(r, LINES)).alias("rule"), rounded(F.avg(a)).alias("coverage")) for r, a in zip(PAIRS, acts, strict=True)]
+        return df.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+    run.__name__ = f"rule_coverage_{how}"
+    return query(sums_sql(how, "1.0") + "SELECT rule, round(coverage, 6) AS coverage FROM scored")(run)
+
+
+for _how in ("min", "product", "softmin"):
+    _coverage(_how)
+
+
+@query(sums_sql("min", "1.0") + "SELECT rule, CAST(length AS INTEGER) AS length, round(coverage, 6) AS coverage, round(score, 8) AS score FROM scored WHERE coverage >= 0.02 ORDER BY score DESC, coverage DESC, length, enum_idx LIMIT 24")
+def rule_ranking(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    top = ranking.ranking_table(df, prepare.anchors(df, LINES), ranking.signed(F.col("y"), 1), F.lit(1.0), 2, 24)
+    return top.select("rule", "length", rounded(F.col("coverage")).alias("coverage"), rounded(F.col("score"), 8).alias("score"))
+
+
+@query(sums_sql("min", "1.0") + "SELECT rule, round(coverage, 6) AS coverage, round(score, 8) AS score FROM scored WHERE length = 1 ORDER BY score DESC, coverage DESC, enum_idx")
+def rule_fallback(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    # No rule of two terms covers all rows, so all rules of one term are ranked.
+    rules, score, _ = ranking.generate(df, parts := prepare.anchors(df, LINES), ranking.signed(F.col("y"), 1), F.lit(1.0), least=0.9999)
+    totals, sums = ranking.rule_sums(df, rules, parts, ranking.signed(F.col("y"), 1), F.lit(1.0))
+    coverage, _ = ranking.scores(totals, sums, rules)
+    rows = [(rule_text(r, LINES), float(c), s) for r, c, s in zip(rules, coverage, score, strict=True)]
+    return spark.createDataFrame(rows, "rule string, coverage double, score double").select("rule", rounded(F.col("coverage")).alias("coverage"), rounded(F.col("score"), 8).alias("score"))
+
+
+@query(sums_sql("product", "w") + "SELECT rule, round(coverage, 6) AS coverage, round(score, 8) AS score FROM scored")
+def weighted_rule_score(spark, sf_dir):
+    df = lines(spark, sf_dir).withColumn("w", F.col("l_quantity"))
+    top = ranking.ranking_table(df, prepare.anchors(df, LINES), ranking.signed(F.col("y"), 1), F.col("w"), 2, len(PAIRS), 0.0, "product")
+    return top.select("rule", rounded(F.col("coverage")).alias("coverage"), rounded(F.col("score"), 8).alias("score"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {r.length}, '{rule_text(r, LINES)}')" for i, r in enumerate(PAIRS)) + ") AS t(enum_idx, length, rule)")
+def rule_catalogue(spark, sf_dir):
+    return rule_table(spark, PAIRS, LINES).select("enum_idx", "length", "rule")
+
+
+# ---- Preparation
+
+
+@query(
+    f"WITH {LINES_SQL}, long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v, y FROM lines" for f in LINES) + "), "
+    "g AS (SELECT feature, y, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM long GROUP BY ALL), t AS (SELECT feature, avg(v) AS m, count(*) AS n FROM long GROUP BY ALL) "
+    "SELECT g.feature, round(sum(g.n * (g.m - t.m) ** 2) / (sum(g.ss) / (max(t.n) - 2)), 6) AS f FROM g JOIN t USING (feature) GROUP BY g.feature"
+)
+def anova_screening(spark, sf_dir):
+    rows = [(c, round(f, 6)) for c, f in prepare.anova_f(lines(spark, sf_dir), LINES, "y")]
+    return spark.createDataFrame(rows, "feature string, f double")
+
+
+@query()
+def mutual_info_screening(spark, sf_dir):
+    rows = prepare.mutual_information(lines(spark, sf_dir), LINES, "y")
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in rows], "feature string, mutual_information double")
+
+
+GAPS_SQL = "gaps AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'nan'::DOUBLE ELSE o_totalprice END AS v FROM orders)"
+
+
+@query(f"WITH {GAPS_SQL}, m AS (SELECT median(v) AS mid FROM gaps WHERE NOT isnan(v)) SELECT o_orderkey, round(CASE WHEN v IS NULL OR isnan(v) THEN mid ELSE v END, 6) AS v FROM gaps, m")
+def median_impute(spark, sf_dir):
+    k = F.col("o_orderkey")
+    df = table(spark, sf_dir, "orders").select(k, F.when(k % 7 == 0, None).when(k % 11 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("v"))
+    return prepare.impute_median(df, ["v"]).withColumn("v", rounded(F.col("v")))
+
+
+@query("SELECT o_orderstatus AS label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 9) AS weight FROM orders GROUP BY o_orderstatus")
+def class_weights(spark, sf_dir):
+    found = prepare.class_weights(table(spark, sf_dir, "orders"), "o_orderstatus", "balanced")
+    return spark.createDataFrame([(k, round(v, 9)) for k, v in found.items()], "label string, weight double")
+
+
+TURN_SQL = "row_number() OVER (PARTITION BY y ORDER BY (event_id * 7919 + 104729) % 1000003, event_id)"
+
+
+@query(f"WITH {EVENTS_SQL} SELECT event_id, y, CAST(({TURN_SQL} - 1) % 5 AS INTEGER) AS fold FROM evs")
+def stratified_folds(spark, sf_dir):
+    return prepare.stratified_folds(events(spark, sf_dir).select("event_id", "y"), "y", "event_id", 5)
+
+
+@query(f"WITH {EVENTS_SQL}, r AS (SELECT event_id, y, {TURN_SQL} AS turn, count(*) OVER (PARTITION BY y) AS k, count(*) OVER () AS n FROM evs) SELECT event_id, y FROM r WHERE turn <= least(k, greatest(2, floor(500.0 * k / n)))")
+def stratified_subset(spark, sf_dir):
+    return prepare.stratified_subset(events(spark, sf_dir).select("event_id", "y"), "y", "event_id", 500)
+
+
+@query("SELECT 'tax is ' || c AS text, CASE WHEN try_cast(trim(c) AS DOUBLE) IS NULL THEN -1 ELSE try_cast(trim(c) AS DOUBLE) END AS number FROM (VALUES ('1.5'), (' 2 '), ('?'), ('x')) AS t(c)")
+def numeric_coercion(spark, sf_dir):
+    df = spark.createDataFrame([("1.5",), (" 2 ",), ("?",), ("x",)], "c string")
+    return df.select(F.concat(F.lit("tax is "), "c").alias("text"), F.coalesce(F.nullif(datasets.numeric("c"), F.lit(float("nan"))), F.lit(-1.0)).alias("number"))
+
+
+# ---- Serving with fixed coefficients
+
+RULES = [
+    Rule((Condition(0, "low"),)), Rule((Condition(0, "high"),)), Rule((Condition(1, "medium"),)), Rule((Condition(0, "low"), Condition(1, "high"))),
+    Rule((Condition(0, "high"), Condition(1, "low"))), Rule((Condition(0, "medium"), Condition(1, "medium"))),
+]
+COEF, INTERCEPT, CLASSES = [-0.8, 0.9, 0.35, -1.1, 0.6, 0.0], -0.1, [0, 1]
+SERVED_SQL = (
+    f"WITH {ORDERS_SQL}, {anchors_sql('ords', ORDERS)}, {terms_sql('ords', ORDERS, 'o_orderkey, y')}, "
+    "z AS (SELECT o_orderkey, y, " + ", ".join(f"{rule_sql(r, ORDERS)} AS z{i}" for i, r in enumerate(RULES)) + " FROM mem), "
+    "s AS (SELECT *, -0.1::DOUBLE + " + " + ".join(f"({c}::DOUBLE * z{i})" for i, c in enumerate(COEF) if c) + " AS margin FROM z) "
+)
+LONG_SQL = SERVED_SQL + ", c AS (" + " UNION ALL ".join(f"SELECT o_orderkey, y, margin, {i} AS idx, '{rule_text(r, ORDERS, str(CLASSES[c > 0]))}' AS rule, {c}::DOUBLE * z{i} AS contribution FROM s" for i, (r, c) in enumerate(zip(RULES, COEF, strict=True)) if c) + ") "
+
+
+def served(spark, sf_dir) -> tuple[DataFrame, list[Column]]:
+    df = orders(spark, sf_dir)
+    acts = activations(RULES, prepare.anchors(df, ORDERS))
+    return df.withColumn("margin", explain.margin(acts, COEF, INTERCEPT)), acts
+
+
+@query(SERVED_SQL + "SELECT o_orderkey, round(margin, 6) AS margin, CASE WHEN margin >= 0 THEN 1 ELSE 0 END AS prediction FROM s")
+def decision_predict(spark, sf_dir):
+    df, _ = served(spark, sf_dir)
+    return df.select("o_orderkey", rounded(F.col("margin")).alias("margin"), explain.decision(F.col("margin"), CLASSES).alias("prediction"))
+
+
+@query(
+    SERVED_SQL + ", v AS (SELECT o_orderkey, (2 * y - 1) * margin AS fm, greatest(0.0::DOUBLE, 1 - (2 * y - 1) * margin) AS slack FROM s) SELECT o_orderkey, round(fm, 6) AS functional_margin, round(slack, 6) AS slack, "
+    "round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.5 - slack) / 0.5)), 6) AS cleanly_classified, round(least(greatest(0.0::DOUBLE, least(1.0::DOUBLE, slack)), greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2 - slack))), 6) AS borderline, "
+    "round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, slack - 1)), 6) AS strong_violation FROM v"
+)
+def fuzzy_violations(spark, sf_dir):
+    df, _ = served(spark, sf_dir)
+    v = df.select("o_orderkey", explain.violations(F.col("margin"), explain.checked_sign(F.col("y"), CLASSES)).alias("v")).select("o_orderkey", "v.*")
+    return v.select("o_orderkey", *[rounded(F.col(c)).alias(c) for c in v.columns[1:]])
+
+
+@query(LONG_SQL + "SELECT o_orderkey, CAST(r AS INTEGER) AS place, rule, round(contribution, 6) AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, idx) AS r FROM c) WHERE r <= 2")
+def explain_topn(spark, sf_dir):
+    df, acts = served(spark, sf_dir)
+    out = explain.explain(df, acts, COEF, RULES, ORDERS, INTERCEPT, CLASSES, 2)
+    return out.select("o_orderkey", F.posexplode("top_rules").alias("place", "x")).select("o_orderkey", (F.col("place") + 1).alias("place"), "x.rule", rounded(F.col("x.contribution")).alias("contribution"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{rule_text(r, ORDERS, str(CLASSES[c > 0]))}', {c}::DOUBLE, {r.length})" for c, r in sorted(zip(COEF, RULES, strict=True), key=lambda x: -abs(x[0])) if c) + ") AS t(rule, coefficient, length)")
+def support_rules(spark, sf_dir):
+    return spark.createDataFrame([(x["rule"], x["coefficient"], x["length"]) for x in explain.support_rules(COEF, RULES, ORDERS, CLASSES)], "rule string, coefficient double, length int")
+
+
+@query(SERVED_SQL + "SELECT n AS contributing, o_orderkey FROM (SELECT o_orderkey, n, row_number() OVER (ORDER BY abs(n - m), abs(margin - mm), o_orderkey) AS r FROM (SELECT *, median(n) OVER () AS m, median(margin) OVER () AS mm FROM (SELECT o_orderkey, margin, " + " + ".join(f"(CASE WHEN abs({c}::DOUBLE * z{i}) > 0.01 THEN 1 ELSE 0 END)" for i, c in enumerate(COEF) if c) + " AS n FROM s))) WHERE r = 1")
+def median_complexity_instance(spark, sf_dir):
+    df, acts = served(spark, sf_dir)
+    n = sum((F.when(F.abs(F.lit(c) * a) > 0.01, 1).otherwise(0) for a, c in zip(acts, COEF, strict=True) if c), F.lit(0))
+    rows = df.withColumn("contributing", n)
+    mid = rows.agg(F.median("contributing").alias("m"), F.median("margin").alias("mm"))
+    near = rows.join(F.broadcast(mid)).orderBy(F.abs(F.col("contributing") - F.col("m")), F.abs(F.col("margin") - F.col("mm")), "o_orderkey").limit(1)  # one row is broadcast
+    return near.select("contributing", "o_orderkey")
+
+
+# ---- Metrics
+
+PREDICTED_SQL = SERVED_SQL + ", p AS (SELECT y, CASE WHEN margin >= 0 THEN 1 ELSE 0 END AS p, margin FROM s) "
+
+
+@query(
+    PREDICTED_SQL + ", k AS (SELECT c, sum((y = c)::INT)::DOUBLE AS t, sum((p = c)::INT)::DOUBLE AS q, sum((y = c AND p = c)::INT)::DOUBLE AS h FROM p, (VALUES (0), (1)) AS v(c) GROUP BY c) "
+    "SELECT round(sum(h) / sum(t), 9) AS accuracy, round(avg(h / t), 9) AS balanced_accuracy, round(avg(2 * h / (t + q)), 9) AS f1_macro, round(sum(t * 2 * h / (t + q)) / sum(t), 9) AS f1_weighted, round(avg(CASE WHEN q > 0 THEN h / q ELSE 0 END), 9) AS precision_macro, round(avg(h / t), 9) AS recall_macro FROM k"
+)
+def confusion_metrics(spark, sf_dir):
+    df, _ = served(spark, sf_dir)
+    out = metrics.confusion_metrics(df.withColumn("p", explain.decision(F.col("margin"), CLASSES)), "y", "p")
+    return out.select(*[rounded(F.col(c), 9).alias(c) for c in out.columns])
+
+
+@query(SERVED_SQL + ", r AS (SELECT y, rank() OVER (ORDER BY margin) + (count(*) OVER (PARTITION BY margin) - 1) / 2.0::DOUBLE AS r FROM s) SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y)::DOUBLE * sum(1 - y)), 9) AS roc_auc FROM r")
+def roc_auc(spark, sf_dir):
+    df, _ = served(spark, sf_dir)
+    return metrics.roc_auc(df, F.col("y") == 1, "margin").select(rounded(F.col("roc_auc"), 9).alias("roc_auc"))
+
+
+@query(SERVED_SQL + "SELECT round(avg(abs(margin)), 6) AS mean_abs_margin, round(median(abs(margin)), 6) AS median_abs_margin FROM s")
+def margin_stats(spark, sf_dir):
+    out = metrics.margin_stats(served(spark, sf_dir)[0], "margin")
+    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+
+
+@query(LONG_SQL + ", o AS (SELECT o_orderkey, abs(contribution) AS a, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, idx) AS r, sum(abs(contribution)) OVER (PARTITION BY o_orderkey) AS mass FROM c) SELECT o_orderkey, round(CASE WHEN max(mass) > 0 THEN sum(CASE WHEN r <= 1 THEN a ELSE 0 END) / max(mass) ELSE 0 END, 6) AS top1_share FROM o GROUP BY o_orderkey")
+def top_share(spark, sf_dir):
+    df, acts = served(spark, sf_dir)
+    return df.select("o_orderkey", rounded(metrics.top_share(F.array(*[F.lit(c) * a for a, c in zip(acts, COEF, strict=True) if c]), 1)).alias("top1_share"))
+
+
+@query(
+    LONG_SQL + ", o AS (SELECT o_orderkey, round(sum(abs(contribution)) OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, idx ROWS UNBOUNDED PRECEDING) / nullif(sum(abs(contribution)) OVER (PARTITION BY o_orderkey), 0), 9) AS part FROM c) "
+    "SELECT n AS rules, count(*) AS rows FROM (SELECT o_orderkey, CAST(CASE WHEN count(part) = 0 THEN 0 ELSE count(CASE WHEN part < 0.9 THEN 1 END) + 1 END AS INTEGER) AS n FROM o GROUP BY o_orderkey) GROUP BY n"
+)
+def mass_cover_90(spark, sf_dir):
+    df, acts = served(spark, sf_dir)
+    n = metrics.rules_to_cover(F.array(*[F.lit(c) * a for a, c in zip(acts, COEF, strict=True) if c]))
+    return df.select(n.alias("rules")).groupBy("rules").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    LONG_SQL + "SELECT 5.0::DOUBLE AS n_rules, 3.75::DOUBLE AS coef_l1, (SELECT round(avg(abs(margin)), 6) FROM s) AS mean_abs_margin, (SELECT round(avg(greatest(0.0::DOUBLE, 1 - (2 * y - 1) * margin)), 6) FROM s) AS mean_slack, "
+    "(SELECT round(avg(n), 6) FROM (SELECT count(CASE WHEN abs(contribution) > 1e-8 THEN 1 END) AS n FROM c GROUP BY o_orderkey)) AS mean_contributing_rules, "
+    "(SELECT round(avg(abs(p + m)), 6) FROM (SELECT sum(CASE WHEN contribution > 0 THEN contribution ELSE 0 END) AS p, sum(CASE WHEN contribution < 0 THEN contribution ELSE 0 END) AS m FROM c GROUP BY o_orderkey)) AS contrastive_gap"
+)
+def rule_metrics(spark, sf_dir):
+    df, acts = served(spark, sf_dir)
+    out = metrics.rule_metrics(df, F.array(*acts), COEF, [r.length for r in RULES], INTERCEPT, explain.checked_sign(F.col("y"), CLASSES), 15, 2, 2)
+    return out.select("n_rules", rounded(F.col("coef_l1")).alias("coef_l1"), *[rounded(F.col(c)).alias(c) for c in ("mean_abs_margin", "mean_slack", "mean_contributing_rules", "contrastive_gap")])
+
+
+# ---- Comparison of models: segments as data sets, priorities as models
+
+SCORES_SQL = "scores AS (SELECT c_mktsegment AS dataset, o_orderpriority AS model, round(avg(o_totalprice), 4) AS score, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+
+
+def scores(spark, sf_dir) -> DataFrame:
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("dataset"), F.col("o_orderpriority").alias("model")).agg(F.round(F.avg("o_totalprice"), 4).alias("score"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT model, round(avg(score), 4) AS mean, round(coalesce(stddev_samp(score), 0), 4) AS std, round(median(score), 4) AS median, round(quantile_cont(score, 0.25), 4) AS q25, round(quantile_cont(score, 0.75), 4) AS q75, count(score) AS n FROM scores GROUP BY model")
+def fold_rollup(spark, sf_dir):
+    out = metrics.roll_up(scores(spark, sf_dir).withColumn("metric", F.lit("score")), ["model"], value="score")
+    return out.select("model", *[F.round(c, 4).alias(c) for c in ("mean", "std", "median", "q25", "q75")], "n")
+
+
+@query(f"WITH {SCORES_SQL} SELECT dataset, model, rank() OVER (PARTITION BY dataset ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, score) - 1) / 2.0::DOUBLE AS rank FROM scores")
+def friedman_ranks(spark, sf_dir):
+    return statistics.average_ranks(scores(spark, sf_dir), "dataset", "score").select("dataset", "model", "rank")
+
+
+@query(
+    f"WITH {SCORES_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, score) - 1) / 2.0::DOUBLE AS r FROM scores), "
+    "k AS (SELECT count(DISTINCT model) AS k, count(DISTINCT dataset) AS n FROM scores), s AS (SELECT sum(t * t) AS q FROM (SELECT sum(r) AS t FROM r GROUP BY model)), g AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*) AS c FROM scores GROUP BY dataset, score)) "
+    "SELECT round((12.0::DOUBLE / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS chi2 FROM k, s, g"
+)
+def friedman_statistic(spark, sf_dir):
+    chi, _ = statistics.friedman(scores(spark, sf_dir), "dataset", "model", "score")
+    return spark.createDataFrame([(round(chi, 6),)], "chi2 double")
+
+
+P_SQL = "ps AS (SELECT dataset, model, round(1.0::DOUBLE / (1 + n), 9) AS p FROM scores)"
+
+
+@query(f"WITH {SCORES_SQL}, {P_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY p, model) AS r, count(*) OVER (PARTITION BY dataset) AS m FROM ps) SELECT dataset, model, round(max(least(1.0::DOUBLE, p * (m - r + 1))) OVER (PARTITION BY dataset ORDER BY p, model ROWS UNBOUNDED PRECEDING), 8) AS p_holm FROM o")
+def holm_correction(spark, sf_dir):
+    p = scores(spark, sf_dir).select("dataset", "model", F.round(1.0 / (1 + F.col("n")), 9).alias("p"))
+    return statistics.holm_table(p, "dataset", "p", "model").select("dataset", "model", F.round("p_holm", 8).alias("p_holm"))
+
+
+@query(f"WITH {SCORES_SQL}, d AS (SELECT b.score - a.score AS delta FROM scores a JOIN scores b USING (dataset) WHERE a.model = '1-URGENT' AND b.model = '5-LOW') SELECT count(CASE WHEN delta > 0 THEN 1 END) AS wins, count(CASE WHEN abs(delta) <= 1e-8 THEN 1 END) AS ties, count(CASE WHEN delta < 0 THEN 1 END) AS losses, round(avg(delta), 4) AS mean_delta, round(median(delta), 4) AS median_delta FROM d")
+def wtl_deltas(spark, sf_dir):
+    out = statistics.wins_ties_losses(statistics.paired_deltas(scores(spark, sf_dir), "1-URGENT", "5-LOW", "dataset", "model", "score"))
+    return out.select("wins", "ties", "losses", F.round("mean_delta", 4).alias("mean_delta"), F.round("median_delta", 4).alias("median_delta"))
+
+
+@query(f"WITH {SCORES_SQL}, b AS (SELECT n, max(score) AS score FROM scores GROUP BY n) SELECT n, score FROM (SELECT *, max(score) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b) WHERE before IS NULL OR score > before")
+def pareto_frontier(spark, sf_dir):
+    return metrics.pareto(scores(spark, sf_dir), "n", "score")
+
+
+@query(f"WITH {SCORES_SQL} SELECT dataset, model, score FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, model) AS r FROM scores) WHERE r = 1")
+def best_per_dataset(spark, sf_dir):
+    return metrics.best_per_group(scores(spark, sf_dir), "dataset", "score", "model").select("dataset", "model", "score")
+
+
+@query("WITH s AS (SELECT c_nationkey % 5 AS fold, list(DISTINCT c_mktsegment) AS items FROM customer WHERE c_acctbal > 5000 GROUP BY 1) SELECT round(coalesce(avg(len(list_intersect(a.items, b.items))::DOUBLE / len(list_distinct(list_concat(a.items, b.items)))), 1), 9) AS jaccard FROM s a JOIN s b ON a.fold < b.fold")
+def jaccard_stability(spark, sf_dir):
+    sets = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").groupBy((F.col("c_nationkey") % 5).alias("fold")).agg(F.collect_set("c_mktsegment").alias("items"))
+    return metrics.jaccard_stability(sets, "fold", "items").select(rounded(F.col("jaccard"), 9).alias("jaccard"))
+
+
+@query("WITH c AS (SELECT o_orderpriority AS grp, o_orderstatus AS v, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY ALL) SELECT grp, CAST(count(*) AS BIGINT) AS n_distinct, arg_max(v, (n, -first)) AS mode FROM c GROUP BY grp")
+def param_mode(spark, sf_dir):
+    return metrics.most_common(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "grp"), ["grp"], "o_orderstatus", "o_orderkey").select("grp", "n_distinct", "mode")
+
+
+@query("WITH s AS (SELECT c_mktsegment, c_nationkey % 2 AS half, c_acctbal FROM customer) SELECT c_mktsegment AS dataset, round(avg(CASE WHEN half = 0 THEN c_acctbal END), 4) AS a, round(avg(CASE WHEN half = 1 THEN c_acctbal END), 4) AS b FROM s GROUP BY 1")
+def pivot_models(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dataset"), (F.col("c_nationkey") % 2).alias("half"), "c_acctbal")
+    return df.groupBy("dataset").pivot("half", [0, 1]).agg(F.round(F.avg("c_acctbal"), 4)).toDF("dataset", "a", "b").dropna()
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT k) AS BIGINT) AS different FROM (SELECT l_orderkey AS k FROM lineitem UNION ALL SELECT o_orderkey FROM orders)")
+def union_all_scan(spark, sf_dir):
+    both = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("different"))
+
+
+@query("SELECT round(avg(value), 6) AS mean FROM events")
+def bootstrap_ci(spark, sf_dir):
+    out = statistics.bootstrap_mean(table(spark, sf_dir, "events"), "value", 200)
+    return out.filter("low <= mean AND mean <= high").select(rounded(F.col("mean")).alias("mean"))
+
+
+# ---- Canonical basis
+
+
+def _monomial_sql(m) -> str:
+    return " * ".join(f"m_{LINES[c.feature]}_{c.term}" for c in m) or "1.0::DOUBLE"
+
+
+BASIS = quotient.canonical_basis(len(LINES), 2)
+
+
+@query(f"WITH {LINES_SQL}, {anchors_sql('lines', LINES)}, {terms_sql('lines', LINES, 'y')} " + " UNION ALL ".join(f"SELECT '{quotient.monomial_text(m)}' AS monomial, round(avg({_monomial_sql(m)}), 6) AS mean FROM mem" for m in BASIS.monomials))
+def canonical_features(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    psi = quotient.feature_arrays(BASIS, prepare.anchors(df, LINES))
+    each = [F.struct(F.lit(quotient.monomial_text(m)).alias("monomial"), rounded(F.avg(x)).alias("mean")) for m, x in zip(BASIS.monomials, psi, strict=True)]
+    return df.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query(
+    "WITH o(term, part, sign) AS (VALUES ('low', 'low', 1), ('high', 'high', 1), ('medium', '', 1), ('medium', 'low', -1), ('medium', 'high', -1)) "
+    "SELECT a.term AS term0, b.term AS term1, a.part AS part0, b.part AS part1, CAST(a.sign * b.sign AS INTEGER) AS coefficient FROM o a, o b"
+)
+def canonical_expand(spark, sf_dir):
+    basis = quotient.canonical_basis(2, 2)
+    rows = []
+    for a in TERMS:
+        for b in TERMS:
+            for i, k in quotient.expand_rule(Rule((Condition(0, a), Condition(1, b))), basis).items():
+                part = {c.feature: c.term for c in basis.monomials[i]}
+                rows.append((a, b, part.get(0, ""), part.get(1, ""), k))
+    return spark.createDataFrame(rows, "term0 string, term1 string, part0 string, part1 string, coefficient int")
+
+
+@query("SELECT d, CAST(1 + 2 * d + 4 * d * (d - 1) // 2 AS BIGINT) AS canonical, CAST(1 + 3 * d + 9 * d * (d - 1) // 2 AS BIGINT) AS grammar FROM (SELECT unnest(generate_series(1, 46)) AS d)")
+def basis_dimensions(spark, sf_dir):
+    return spark.createDataFrame([(d, quotient.canonical_dimension(d, 2), quotient.original_grammar_size(d, 2)) for d in range(1, 47)], "d long, canonical long, grammar long")
+
+
+@query()
+def dataset_registry(spark, sf_dir):
+    return datasets.registry(spark).select("slug", "task", "n_rows", "n_features", "n_classes")
+
+
+# ---- Fits: coefficients aren't SQL; tests hold them against optimality and invariance
+
+
+def _coefficients(spark, names, values, intercept) -> DataFrame:
+    return spark.createDataFrame([*((n, float(v)) for n, v in zip(names, values, strict=True)), ("intercept", float(intercept))], "term string, coefficient double")
+
+
+def _fitted(model, df, features) -> DataFrame:
+    model.fit(df, "y", features)
+    names = [quotient.monomial_text(m) for m in model.basis_.monomials[1:]] if hasattr(model, "basis_") else model.feature_names_out()
+    return _coefficients(df.sparkSession, names, model.coef_, model.intercept_)
+
+
+@query()
+def frs_fit(spark, sf_dir):
+    return _fitted(FuzzyRuleSVM(max_rules=24, class_weight="balanced"), orders(spark, sf_dir), ORDERS)
+
+
+@query()
+def frs_column_generation(spark, sf_dir):
+    return _fitted(FuzzyRuleSVM(max_rules=8, rule_generation="column_generation"), orders(spark, sf_dir), ORDERS)
+
+
+@query()
+def membership_svm_fit(spark, sf_dir):
+    return _fitted(MembershipSVM(), events(spark, sf_dir), EVENTS)
+
+
+@query()
+def membership_logit(spark, sf_dir):
+    return _fitted(MembershipLogisticL1(), orders(spark, sf_dir), ORDERS)
+
+
+@query()
+def csrq_fit(spark, sf_dir):
+    return _fitted(CSRQClassifier(), orders(spark, sf_dir), ORDERS)
+
+
+def _atoms() -> list[quotient.Atom]:
+    return [quotient.Atom(Rule((Condition(f, t),))) for f in (0, 1) for t in TERMS]
+
+
+@query()
+def csrq_dictionary_fit(spark, sf_dir):
+    return _fitted(CSRQClassifier(max_rule_length=1, semantic_space="dictionary", rule_dictionary=_atoms()), orders(spark, sf_dir), ORDERS)
+
+
+@query()
+def atomic_fit(spark, sf_dir):
+    return _fitted(QuotientAtomicSVM(_atoms(), max_rule_length=1), orders(spark, sf_dir), ORDERS)
+
+
+@query()
+def one_vs_rest_fit(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").filter("label < 3").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    model = OneVsRest(lambda: FuzzyRuleSVM(max_rule_length=1)).fit(df, "label")
+    return metrics.confusion_metrics(model.predict(df), "label", "prediction")
+
+
+@query()
+def synthetic_regimes(spark, sf_dir):
+    made = [f(spark, 400, 2, 1) for f in (synthetic.additive_main_effects, synthetic.pairwise_fuzzy_interaction, synthetic.xor_interaction, synthetic.sparse_rule_ground_truth)]
+    out = None
+    for m in made:
+        one = m.data.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("positives")).select(F.lit(m.regime).alias("regime"), F.lit(len(m.feature_names)).alias("features"), "n", "positives")
+        out = one if out is None else out.union(one)
+    return out
+
