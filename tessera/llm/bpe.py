@@ -25,6 +25,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-LEXICON_WORDS, CACHED, END = 32_768, 400_000, "</w>"
+LEXICON_WORDS, CACHED, LONGEST, END = 32_768, 400_000, 64, "</w>"
+NO_RANK, TOGETHER = np.int32(1 << 30), 200_000
 #: White space as Unicode defines it.
 _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_PLAIN_SPACE = re.compile("[\t-\r ]+")
+_LATIN_SPACE = re.compile("[\t-\r\x85\xa0]")
+#: The same pattern for letters and numbers of Latin scripts, which Python's own engine finds faster, and what lies outside them.
+_LATIN_L, _LATIN_N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_L}]+|[{_LATIN_N}]|[^ {_LATIN_L}{_LATIN_N}]+")
+_NOT_LATIN = re.compile("[^\x00-\u0233\u2010-\u2027\u2030-\u205e]")
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: Capitals whose lower case Unicode defined after Python's tables, single ones and runs at one distance.
 _NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
@@ -66,10 +72,71 @@ class Vocabulary:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
+        self.numbers = {i: str(i) for i in self.names}
         self._cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._word = regex.compile(pattern)
         self._letters = byte_letters()
+        # For merging many words at once: the first symbols of bytes within and at the end of a word, and merges sorted by pair.
+        self._inner = np.array([self.ids.get(c, -1) for c in self._letters], np.int32)
+        self._last = np.array([self.ids.get(c + END, -1) for c in self._letters], np.int32)
+        merges = [(self.ids[a] << 16 | self.ids[b], r, self.ids[a + b]) for (a, b), r in self.ranks.items()]
+        merges.sort()
+        self._pairs = np.array([m[0] for m in merges], np.uint32)
+        self._rank_of = np.array([m[1] for m in merges], np.int32)
+        self._made = np.zeros(len(merges) + 1, np.int32)
+        self._made[self._rank_of] = [m[2] for m in merges]
+
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a.astype(np.uint32) << np.uint32(16)) | b.astype(np.uint32)
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._rank_of[at], NO_RANK)
+
+    def merge_all(self, words: list[str]) -> list[tuple[int, ...]]:
+        """merge() of each word. Words of one length form a matrix; in each round every row merges its first pair of least rank, so
+        all rows that go on stay of one length. Long and special words are merged on their own."""
+        out: list = [None] * len(words)
+        raw = [w.encode("utf-8") for w in words]
+        by_length: dict[int, list[int]] = {}
+        for i, x in enumerate(raw):
+            if len(x) > LONGEST or words[i] in self.special:
+                out[i] = self.merge(words[i])
+            else:
+                by_length.setdefault(len(x), []).append(i)
+        for n, places in by_length.items():
+            at = np.array(places)
+            text = np.frombuffer(b"".join([raw[i] for i in places]), np.uint8).reshape(-1, n)
+            symbols = self._inner[text]
+            symbols[:, -1] = self._last[text[:, -1]]
+            ranks = self._pair_ranks(symbols[:, :-1], symbols[:, 1:]) if n > 1 else None
+            while len(at):
+                width = symbols.shape[1]
+                if width > 1:
+                    best = ranks.argmin(1)
+                    rows = np.arange(len(at))
+                    least = ranks[rows, best]
+                    over = least == NO_RANK
+                else:
+                    over = np.ones(len(at), bool)
+                if over.any():
+                    for i, ids in zip(at[over].tolist(), symbols[over].tolist(), strict=True):
+                        out[i] = tuple(ids)
+                    on = ~over
+                    at, symbols = at[on], symbols[on]
+                    if not len(at):
+                        break
+                    best, least, ranks, rows = best[on], least[on], ranks[on], np.arange(len(at))
+                after = np.arange(width - 1)[None, :] > best[:, None]
+                symbols = np.where(after, symbols[:, 1:], symbols[:, :-1])
+                symbols[rows, best] = self._made[least]
+                if width == 2:
+                    continue
+                ranks = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
+                left = np.flatnonzero(best > 0)
+                ranks[left, best[left] - 1] = self._pair_ranks(symbols[left, best[left] - 1], symbols[left, best[left]])
+                right = np.flatnonzero(best < width - 2)
+                ranks[right, best[right]] = self._pair_ranks(symbols[right, best[right]], symbols[right, best[right] + 1])
+        return out
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens come as themselves."""
@@ -90,6 +157,8 @@ class Vocabulary:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # A final sigma has no form of its own when letters are lower-cased one by one.
+        if not _NOT_LATIN.search(text):
+            return _LATIN_WORD.findall(_LATIN_SPACE.sub(" ", text).lower())
         text = _SPACE.sub(" ", text).replace("Σ", "σ").lower()
         return self._word.findall(text.translate(_NEW_LOWER) if _NEW.search(text) else text)
 
@@ -230,16 +299,25 @@ class Encoder:
         if len(self.of) + len(new) > CACHED:
             self.of, self.named, new = {}, {}, list(words)
         found = self.lexicon.find([w.encode() for w in new]) if self.lexicon and new else [None] * len(new)
-        name = self.vocabulary.names.__getitem__
+        unseen = [w for w, ids in zip(new, found, strict=True) if ids is None]
+        made = iter(self.vocabulary.merge_all(unseen))
+        name, number = self.vocabulary.names.__getitem__, self.vocabulary.numbers.__getitem__
         for w, ids in zip(new, found, strict=True):
-            ids = self.vocabulary.merge(w) if ids is None else ids
-            self.of[w], self.named[w] = " ".join(map(str, ids)), " ".join(map(name, ids))
-
-    def encode(self, text: str | None) -> tuple[str, str]:
-        """The ids, decimal, joined by blanks, and the decoded text."""
-        words = self.vocabulary.words(text or "")
-        self.learn(set(words))
-        return " ".join(map(self.of.__getitem__, words)), " ".join(map(self.named.__getitem__, words))
+            ids = next(made) if ids is None else ids
+            self.of[w], self.named[w] = " ".join(map(number, ids)), " ".join(map(name, ids))
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
+        """For each text the ids, decimal, joined by blanks, and the decoded text. Texts are taken together, some ``TOGETHER`` words at a time."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            held.append(self.vocabulary.words(text or ""))
+            size += len(held[-1])
+            if size >= TOGETHER or i == len(texts) - 1:
+                self.learn({w for ws in held for w in ws})
+                of, named = self.of.__getitem__, self.named.__getitem__
+                for ws in held:
+                    yield " ".join(map(of, ws)), " ".join(map(named, ws))
+                held, size = [], 0
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -298,7 +376,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches):
         encoder = _encoder(shared.value, name)
         for b in batches:
-            out = [encoder.encode(t.as_py()) for t in b.column(1)]
+            out = list(encoder.encode(b.column(1).to_pylist()))
             columns = [
                 b.column(0), pa.array([i.count(" ") + 1 if i else 0 for i, _ in out], pa.int64()),
                 pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in out], pa.string()),
