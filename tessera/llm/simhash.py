@@ -6,6 +6,12 @@ different fingerprints only, never on the documents that share one. A key that m
 fingerprint is linked to the 33 points at distance 0 or 1 in its other 32 bits. Two of them differ in at most two bits just
 if they meet in such a point, so linking all that meet there to the least one keeps every link without listing pairs.
 
+``deduplicate`` takes a similarity instead of a distance. Texts whose shingle sets have the Jaccard index s lie at an angle with the cosine 2 s / (1 + s)
+and differ in acos(2 s / (1 + s)) / pi of a fingerprint's bits, 15 % at 0.8, which 64 bits can't block. It therefore widens the fingerprint to 2048 bits in
+85 blocks of 24: a pair at 0.9 shares a block with a chance of 0.998, one at 0.85 with 0.96, one at 0.8 with 0.82. Candidates are verified by
+the distance of the wide fingerprints. In a block that more than ``HOT`` fingerprints share, each is compared with the least of the block and of the eight narrower
+groups that the next blocks make of it.
+
 Defined results: a null or empty text has no words and the fingerprint zero, which links like any other; rows that
 repeat are nodes of their own with equal fingerprints; a null id counts as larger than any other; an empty table gives an empty result; other columns are ignored.
 """
@@ -14,6 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations, repeat
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut, table, text_or_empty
+from tessera.llm.common import cut, table, text_or_empty
 from tessera.llm.graph import components
 
-SEED, BITS, HOT = 42, 2, 64
+SEED, BITS, HOT, WIDE = 42, 2, 64, 32
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -96,14 +104,101 @@ def _clustered(df: DataFrame, id_col: str, text_col: str, n: int, hot: int) -> D
     """id, x (the text's hash), f, root (the component's fingerprint) and component_id for each row of df."""
     rows = cut(fingerprinted(df, id_col, text_col, n))
     prints = cut(rows.groupBy("f").agg(F.min("id").alias("least")))
-    roots = components(links(prints.select("f"), hot=hot))
+    return _closed(rows, prints, links(prints.select("f"), hot=hot))
+
+
+def _closed(rows: DataFrame, prints: DataFrame, linked: DataFrame) -> DataFrame:
+    roots = components(linked)
     rooted = prints.join(roots, prints["f"] == roots["node"], "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(least, "root").select("f", "root", "component_id"))
-    drop_cut(prints)
     return rows.join(named, "f", "left")
 
 
+def vertical_counts(x: np.ndarray) -> np.ndarray:
+    """How many of the rows (n, words) of 64-bit numbers have each bit: rows are added in halves, as numbers spread over planes of bits."""
+    planes = [x]
+    while len(planes[0]) > 1:
+        half, rest = divmod(len(planes[0]), 2)
+        out, carry = [], None
+        for p in planes:
+            a, b = p[:half], p[half : 2 * half]
+            s = a ^ b
+            out.append(s if carry is None else s ^ carry)
+            carry = a & b if carry is None else (a & b) | (s & carry)
+        out.append(carry)
+        if rest:
+            none = np.zeros_like(x[:1])
+            out = [np.concatenate([o, planes[i][-1:] if i < len(planes) else none]) for i, o in enumerate(out)]
+        planes = out
+    bits = [np.unpackbits(p[0].astype("<u8").view(np.uint8), bitorder="little").astype(np.int64) << i for i, p in enumerate(planes)]
+    return np.sum(bits, axis=0)
+
+
+def wide_fingerprint(text: bytes, n: int) -> bytes:
+    """2048 bits from the hashes of the shingles, each mixed with as many constants as there are words."""
+    parts = shingles(text.lower().split(), n)
+    if not parts:
+        return bytes(WIDE * 8)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+    total = np.zeros(WIDE * 64, np.int64)
+    for at in range(0, len(h), 8192):
+        x = h[at : at + 8192, None] ^ _MIX
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        total += vertical_counts(x)
+    return np.packbits(2 * total > len(parts), bitorder="little").tobytes()
+
+
+def most_bits(similarity: float) -> int:
+    """The differing bits of wide fingerprints at a similarity, and a standard deviation more."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return round(WIDE * 64 * share + sqrt(WIDE * 64 * share * (1 - share)))
+
+
+def similar_links(prints: DataFrame, most: int, hot: int = HOT) -> DataFrame:
+    """Links u, v of wide fingerprints (f, wide) that share a block and differ in at most ``most`` bits."""
+    blocks = WIDE * 8 // 3
+    parts = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.substring("wide", i * 3 + 1, F.lit(3)))
+    keyed = prints.select("f", F.posexplode(parts).alias("k", "part"))
+    sizes = keyed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(keyed.join(sizes, ["k", "part"]))
+    few = shared.filter(F.col("n") <= hot).drop("n")
+    pairs = few.select("k", "part", F.col("f").alias("v")).join(few.select("k", "part", F.col("f").alias("u")), ["k", "part"]).filter("v < u").select("u", "v")
+    many = shared.filter(F.col("n") > hot).select("k", "part", "f").join(prints, "f")
+    nearby = F.array(F.lit(b""), *[F.concat(F.lit(bytes([j])), F.substring("wide", F.pmod(F.col("k") + j, F.lit(blocks)) * 3 + 1, F.lit(3))) for j in range(1, 9)])
+    narrow = many.select("k", "part", "f", F.explode(nearby).alias("sub"))
+    least = narrow.groupBy("k", "part", "sub").agg(F.min("f").alias("m"), F.max("f").alias("x")).filter("m <> x").drop("x")
+    stars = narrow.join(least, ["k", "part", "sub"]).filter("f <> m").select(F.col("f").alias("u"), F.col("m").alias("v"))
+    pairs = pairs.union(stars).distinct()
+
+    @F.pandas_udf("int")
+    def distance(a, b):
+        import pandas as pd
+
+        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, WIDE) for s in (a, b))
+        return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(np.int32))
+
+    both = pairs.join(prints.select(F.col("f").alias("u"), F.col("wide").alias("a")), "u").join(prints.select(F.col("f").alias("v"), F.col("wide").alias("b")), "v")
+    return both.filter(distance("a", "b") <= most).select("u", "v")
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, hot: int) -> DataFrame:
+    """As _clustered, by similarity of wide fingerprints; f is the fingerprint's hash."""
+
+    def run(batches):
+        for b in batches:
+            wide = [wide_fingerprint(x or b"", n) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(wide, pa.binary())], names=["id", "x", "wide"])
+
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("t"), _text_hash(F.col(text_col)).alias("x"))
+    rows = cut(slim.mapInArrow(run, "id long, x long, wide binary").withColumn("f", F.xxhash64("wide")))
+    prints = cut(rows.groupBy("f").agg(F.min("id").alias("least"), F.first("wide").alias("wide")))
+    return _closed(rows.drop("wide"), prints.select("f", "least"), similar_links(prints.select("f", "wide"), most_bits(similarity), hot))
+
+
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, hot: int = HOT) -> DataFrame:
     """One row per row of df: id, fingerprint (16 hex digits), component_id (the least id of its component)."""
     return _clustered(df, id_col, text_col, n, hot).select(
@@ -111,10 +206,10 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     )
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, hot: int = HOT) -> DataFrame:
-    """df with one row of each component: that of the least id, and of its texts the one of the least hash."""
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+    """df with one row of each component of similar texts: that of the least id, and of its texts the one of the least hash."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "x")
-    marks = cut(_clustered(df, id_col, text_col, n, hot).select("root", "id", "x"))
+    marks = cut(_similar(df, id_col, text_col, n, similarity, hot).select("root", "id", "x"))
     stay = marks.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     here = marks.withColumn("key", F.xxhash64("root"))
     both = here.join(stay.select(F.xxhash64("root").alias("key"), F.col("root").alias("of"), "first"), "key").filter("root = of")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from tessera.llm import graph, simhash
@@ -63,3 +64,27 @@ def test_stage_keeps_one_of_each(spark):
     kept = simhash.deduplicate(df.union(df), n=5)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3] and kept.columns == df.columns
     assert simhash.cluster(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def test_bits_are_counted_by_planes():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 7, 100, 1001):
+        x = rng.integers(0, 1 << 63, (n, 3), dtype=np.uint64)
+        bits = (x[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        assert (simhash.vertical_counts(x) == bits.sum(0).astype(int).ravel()).all()
+
+
+def test_similar_texts_meet_and_others_stay(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts, near = [], []
+    for g in range(30):
+        base = shaken(rng, words, 400).split()
+        copy = base[:]
+        for k in rng.sample(range(400), 3):
+            copy[k] = "other"
+        texts += [" ".join(base), " ".join(copy), shaken(rng, words, 300)]
+        near.append(3 * g + 1)
+    for hot in (64, 1):
+        kept = {r["doc_id"] for r in simhash.deduplicate(documents(spark, texts), n=5, hot=hot).collect()}
+        assert set(range(len(texts))) - kept == set(near)
