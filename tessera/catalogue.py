@@ -143,11 +143,11 @@ def _coverage(how: str):
     def run(spark, sf_dir):
         df = lines(spark, sf_dir)
         acts = activations(PAIRS, prepare.anchors(df, LINES), how)
-        each = [F.struct(F.lit(rule_text(r, LINES)).alias("rule"), rounded(F.avg(a)).alias("coverage")) for r, a in zip(PAIRS, acts, strict=True)]
+        each = [F.struct(F.lit(rule_text(r, LINES)).alias("rule"), rounded(F.avg(a), 9).alias("coverage")) for r, a in zip(PAIRS, acts, strict=True)]
         return df.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
     run.__name__ = f"rule_coverage_{how}"
-    return query(sums_sql(how, "1.0") + "SELECT rule, round(coverage, 6) AS coverage FROM scored")(run)
+    return query(sums_sql(how, "1.0") + "SELECT rule, round(coverage, 9) AS coverage FROM scored")(run)
 
 
 for _how in ("min", "product", "softmin"):
