@@ -293,8 +293,8 @@ def median_complexity_instance(spark, sf_dir):
     df, acts = served(spark, sf_dir)
     n = sum((F.when(F.abs(F.lit(c) * a) > 0.01, 1).otherwise(0) for a, c in zip(acts, COEF, strict=True) if c), F.lit(0))
     rows = df.withColumn("contributing", n)
-    mid = rows.agg(F.median("contributing").alias("m"), F.median("margin").alias("mm"))
-    near = rows.join(F.broadcast(mid)).orderBy(F.abs(F.col("contributing") - F.col("m")), F.abs(F.col("margin") - F.col("mm")), "o_orderkey").limit(1)  # one row is broadcast
+    m, mm = rows.agg(F.median("contributing"), F.median("margin")).first()
+    near = rows.orderBy(F.abs(F.col("contributing") - F.lit(m)), F.abs(F.col("margin") - F.lit(mm)), "o_orderkey").limit(1)
     return near.select("contributing", "o_orderkey")
 
 
