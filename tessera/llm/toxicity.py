@@ -29,7 +29,7 @@ from tessera.llm.common import table
 
 WINDOW, STRIDE, SAMPLE, SAMPLE_CHARS = 16, 8, 2400, 20_000
 LEAST_DOCS, INPUT, HIDDEN, ATTENTION = 4, 12, 8, 8
-FOLDS, HELD_OUT, REJECT, CACHED, LEAST_STEPS, SEED = 4, 2, 0.3, 150_000, 60, 11
+FOLDS, HELD_OUT, REJECT, CACHED, LEAST_STEPS, TOGETHER, SEED = 4, 2, 0.3, 150_000, 60, 2_000_000, 11
 _WORD = re.compile(r"\w{1,40}")
 
 
@@ -286,6 +286,12 @@ class Scorer:
         self.gates = [np.zeros((0, 3 * HIDDEN), np.float32)] * 2
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        """The scores of texts, which are taken some ``TOGETHER`` characters at a time."""
+        size = np.cumsum([len(t or "") for t in texts])
+        cuts = np.r_[0, np.flatnonzero(np.diff(size // TOGETHER)) + 1, len(texts)]
+        return np.concatenate([self._score(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a] or [np.zeros(0)])
+
+    def _score(self, texts: list[str | None]) -> np.ndarray:
         lists = [words(t or "") for t in texts]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         out, fitted = np.zeros(len(texts)), self.fitted
@@ -368,8 +374,8 @@ def scored(docs: DataFrame, fitted: _Fitted, id_col: str = "doc_id", text_col: s
 
 def reject(docs: DataFrame, fitted: _Fitted, text_col: str = "text") -> DataFrame:
     """docs without the rows whose score reaches ``REJECT``."""
-    rows = docs.withColumn("_toxicity", score_column(docs.sparkSession, fitted, F.col(text_col)))
-    return rows.filter(F.col("_toxicity") < REJECT).select(*[docs[c] for c in docs.columns])
+    rows = docs.withColumn("__toxicity", score_column(docs.sparkSession, fitted, F.col(text_col)))
+    return rows.filter(F.col("__toxicity") < REJECT).select(*[docs[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
