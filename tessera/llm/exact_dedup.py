@@ -77,14 +77,14 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose text equals that of a row with a larger id; of equal ids and texts one row stays."""
-    marks = cut(annotate(df, id_col, text_col).filter("group_size > 1").select(F.col(id_col).alias("_i"), F.unhex("text_sha256").alias("_s"), "kept"))
+    marks = cut(annotate(df, id_col, text_col).filter("group_size > 1").select(F.col(id_col).alias("__exact_id"), F.unhex("text_sha256").alias("__exact_sha"), "kept"))
     sha = F.unhex(F.sha2(ascii_lower(text_or_empty(F.col(text_col))), 256))
-    left = df.withColumn("_sha", sha)
-    gone = marks.filter("NOT kept").select("_i", "_s").distinct()
-    left = left.join(gone, left[id_col].eqNullSafe(gone["_i"]) & (left["_sha"] == gone["_s"]), "left_anti")
-    if not marks.filter("kept").groupBy("_i", "_s").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates([id_col, "_sha"])
-    return left.drop("_sha")
+    left = df.withColumn("__text_sha", sha)
+    gone = marks.filter("NOT kept").select("__exact_id", "__exact_sha").distinct()
+    left = left.join(gone, left[id_col].eqNullSafe(gone["__exact_id"]) & (left["__text_sha"] == gone["__exact_sha"]), "left_anti")
+    if not marks.filter("kept").groupBy("__exact_id", "__exact_sha").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col, "__text_sha"])
+    return left.drop("__text_sha")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -127,9 +127,9 @@ def stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits) -> DataFrame:
     """df with each row as often as the mixture visits it; at the budget of its own choice it drops none."""
-    visits = cut(stream(df, id_col, text_col, source_col, **limits).groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s")).agg(F.countDistinct("epoch").cast("int").alias("_times")))
-    x = df.join(visits, df[id_col].eqNullSafe(visits["_i"]) & df[source_col].eqNullSafe(visits["_s"]))
-    again = x.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    visits = cut(stream(df, id_col, text_col, source_col, **limits).groupBy(F.col(id_col).alias("__mix_i"), F.col("source").alias("__mix_s")).agg(F.countDistinct("epoch").cast("int").alias("__mix_times")))
+    x = df.join(visits, df[id_col].eqNullSafe(visits["__mix_i"]) & df[source_col].eqNullSafe(visits["__mix_s"]))
+    again = x.withColumn("__mix_again", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
     return again.select(*[df[c] for c in df.columns])
 
 

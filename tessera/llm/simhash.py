@@ -214,12 +214,12 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     here = marks.withColumn("key", F.xxhash64("root"))
     both = here.join(stay.select(F.xxhash64("root").alias("key"), F.col("root").alias("of"), "first"), "key").filter("root = of")
     kept = both.withColumn("kept", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("x") == F.col("first.x")))
-    gone = kept.filter("NOT kept").select(F.col("id").alias("_i"), F.col("x").alias("_x")).distinct()
-    left = df.withColumn("_text_x", _text_hash(F.col(text_col)))
-    left = left.join(gone, left[id_col].eqNullSafe(gone["_i"]) & (left["_text_x"] == gone["_x"]), "left_anti")
+    gone = kept.filter("NOT kept").select(F.col("id").alias("__near_id"), F.col("x").alias("__near_x")).distinct()
+    left = df.withColumn("__text_x", _text_hash(F.col(text_col)))
+    left = left.join(gone, left[id_col].eqNullSafe(gone["__near_id"]) & (left["__text_x"] == gone["__near_x"]), "left_anti")
     if not kept.filter("kept").groupBy("root").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates([id_col, "_text_x"])
-    return left.drop("_text_x")
+        left = left.dropDuplicates([id_col, "__text_x"])
+    return left.drop("__text_x")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
