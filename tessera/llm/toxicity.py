@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -75,21 +76,21 @@ class Network:
         self.known = known
         self.E = (0.01 * rng.standard_normal((len(known), d))).astype(np.float32)
 
-    def rows(self, word: str) -> tuple[list[int], list[float]]:
-        """The embedding rows of a word and their weights."""
-        parts = grams(word)
-        found = [i for i in map(self.known.get, parts) if i is not None]
-        weights = [1 / len(parts)] * len(found)
-        own = self.known.get("=" + word)
-        return (found, weights) if own is None else ([*found, own], [*weights, 1.0])
-
     def table(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embedding rows, weights and the place of each word's first row, with an end."""
-        each = [self.rows(w) for w in words_]
-        n = np.fromiter((len(r) for r, _ in each), np.int64, len(each))
-        size = int(n.sum())
-        flat = np.fromiter((i for r, _ in each for i in r), np.int64, size)
-        return flat, np.fromiter((x for _, w in each for x in w), np.float32, size), np.r_[0, np.cumsum(n)]
+        """Embedding rows, weights and the place of each word's first row, with an end. A word's own row comes last and weighs 1."""
+        get, flat, ends, shares, own = self.known.get, [], [], [], []
+        for w in words_:
+            parts = grams(w)
+            flat += [i for i in map(get, parts) if i is not None]
+            if (i := get("=" + w)) is not None:
+                own.append(len(flat))
+                flat.append(i)
+            ends.append(len(flat))
+            shares.append(len(parts))
+        places = np.r_[0, np.array(ends, np.int64)]
+        weights = np.repeat(1 / np.array(shares, np.float32), np.diff(places)) if shares else np.zeros(0, np.float32)
+        weights[own] = 1
+        return np.array(flat, np.int64), weights, places
 
     def inputs(self, flat: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(words, INPUT): the weighted sum of each word's rows."""
@@ -278,11 +279,19 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(w[1] - slope * centre)
 
 
+class _Places(dict):
+    """Numbers words in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Scorer:
     """Scores texts; the gates of words that were seen are kept until there are ``CACHED`` of them."""
 
     def __init__(self, fitted: _Fitted):
-        self.fitted, self.known = fitted, {}
+        self.fitted, self.known = fitted, _Places()
         self.gates = [np.zeros((0, 3 * HIDDEN), np.float32)] * 2
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -299,9 +308,9 @@ class Scorer:
             out[lengths > 0] = fitted.share
             return out
         if len(self.known) > CACHED:
-            self.known, self.gates = {}, [g[:0] for g in self.gates]
+            self.known, self.gates = _Places(), [g[:0] for g in self.gates]
         known, old = self.known, len(self.known)
-        ids = np.fromiter((known.setdefault(w, len(known)) for ws in lists for w in ws), np.int64, int(lengths.sum()))
+        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
         if len(known) > old:
             new = list(known)[old:]
             for at in range(0, len(new), 20_000):
