@@ -184,13 +184,22 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> _Fitted:
     calibrates = rng.random(len(y)) < 0.2
     learns = ~calibrates[of]
     listed = list(known)
-    in_docs, in_toxic = Counter(), Counter()
-    for i, f in enumerate(flat):
-        if not calibrates[i]:
+    # What a sketch of 2^22 counts finds in too few texts isn't counted: most n-grams are in one text.
+    sketch, in_docs, in_toxic = np.zeros(1 << 22, np.uint16), Counter(), Counter()
+    for counts in (False, True):
+        for i, f in enumerate(flat):
+            if calibrates[i]:
+                continue
             own = {listed[j] for j in f.tolist()}
-            found = {"=" + w for w in own} | {g for w in own for g in grams(w)}
+            found = {"=" + w for w in own}
+            found.update(chain.from_iterable(map(grams, own)))
+            if not counts:
+                sketch[list({zlib.crc32(g.encode()) & 0x3FFFFF for g in found})] += 1
+                continue
+            found = [g for g in found if sketch[zlib.crc32(g.encode()) & 0x3FFFFF] >= LEAST_DOCS]
             in_docs.update(found)
             in_toxic.update(found if y[i] > 0 else ())
+    del sketch
     net = Network(rng, {g: i for i, g in enumerate(sorted(g for g, n in in_docs.items() if n >= LEAST_DOCS))})
     # The first dimension starts from how much more often toxic texts have the word or n-gram: few labels then suffice.
     toxic, clean = y[~calibrates].sum(), (1 - y[~calibrates]).sum()
@@ -236,7 +245,9 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> _Fitted:
                 net.E[touched] -= 0.1 * grad / np.sqrt(squares[touched])
 
     def logits() -> np.ndarray:
-        gf, gb = net.gates(net.inputs(flat_rows, weights, ends))
+        cuts = [*range(0, len(listed), 20_000), len(listed)]
+        parts = [net.gates(net.inputs(flat_rows[ends[a] : ends[b]], weights[ends[a] : ends[b]], ends[a : b + 1] - ends[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        gf, gb = (np.concatenate(x) for x in zip(*parts, strict=True))
         return np.concatenate([net.forward(gf, gb, part) for part in np.array_split(ids, max(1, len(ids) // 8192))])
 
     def worst(score: np.ndarray, most: int) -> np.ndarray:
