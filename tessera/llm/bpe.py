@@ -29,15 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, drop_cut, table
 
-LEXICON_WORDS, CACHED, LONGEST, END = 32_768, 400_000, 64, "</w>"
-NO_RANK, TOGETHER = np.int32(1 << 30), 200_000
+LEXICON_WORDS, CACHED, LONGEST, END = 32_768, 200_000, 64, "</w>"
+NO_RANK, TOGETHER, PIECE = np.int32(1 << 30), 200_000, 4 << 20
 #: White space as Unicode defines it.
 _SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _LATIN_SPACE = re.compile("[\t-\r\x85\xa0]")
@@ -347,11 +348,26 @@ def word_counts(df: DataFrame, text_col: str, vocabulary_text) -> DataFrame:
     return df.select(F.col(text_col).alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, size: int) -> list[str]:
+    """The words above the least frequency, in eighths of powers of two, that at most ``size`` words reach. A histogram of some 500 bins
+    finds it, so no task and no driver gets more than ``size`` words."""
+    level = F.floor(8 * F.log2("n")).cast("int")
+    bins = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["level"])
+    least, total = None, 0
+    for r in bins:
+        total += r["words"]
+        if total > size:
+            break
+        least = r["level"]
+    return [] if least is None else [r["word"] for r in counts.filter(level >= least).select("word").collect()]
+
+
 def lexicon_file(df: DataFrame, text_col: str, vocabulary: Vocabulary, vocabulary_text, size: int = LEXICON_WORDS) -> str:
-    """Compiles the ``size`` most frequent words of df and hands the file to the executors; returns its name."""
-    counts = word_counts(df, text_col, vocabulary_text)
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    arrays = compile_lexicon({r["word"].encode(): vocabulary.merge(r["word"]) for r in top})
+    """Compiles the most frequent words of df, ``size`` at most, and hands the file to the executors; returns its name."""
+    counts = cut(word_counts(df, text_col, vocabulary_text))
+    top = frequent(counts, size)
+    drop_cut(counts)
+    arrays = compile_lexicon({w.encode(): ids for w, ids in zip(top, vocabulary.merge_all(top), strict=True)})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(), name)
     save(arrays, path)
@@ -365,31 +381,41 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: bool = False) -> DataFrame:
-    """One row per row of df: id, n_tokens, ids_sha256, decoded_sha256; with keep also ids (array) and decoded."""
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some ``PIECE`` bytes of text, so that a worker holds the ids of no more than that."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(size // PIECE)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: bool | tuple[str, ...] = False) -> DataFrame:
+    """One row per row of df: id, n_tokens, ids_sha256, decoded_sha256; with keep also ids (array) and decoded, or those of them that it names."""
     spark = df.sparkSession
+    kept = [n for n in ("ids", "decoded") if keep is True or keep and n in keep]
     with open(path or default_path(), encoding="utf-8") as f:
         text = f.read()
     shared = spark.sparkContext.broadcast(text)  # as large as the vocabulary file
     name = lexicon_file(df, text_col, _vocabulary(text), shared)
 
+    def numbers(lists: list[str]) -> pa.Array:
+        parts = [np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32) for i in lists]
+        ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
     def run(batches):
         encoder = _encoder(shared.value, name)
-        for b in batches:
-            out = list(encoder.encode(b.column(1).to_pylist()))
-            columns = [
-                b.column(0), pa.array([i.count(" ") + 1 if i else 0 for i, _ in out], pa.int64()),
-                pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in out], pa.string()),
-                pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in out], pa.string()),
-            ]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                columns += [pa.array([list(map(int, i.split())) for i, _ in out], pa.list_(pa.int32())), pa.array([d for _, d in out], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in batches:
+            for b in _pieces(batch):
+                ids, decoded = map(list, zip(*encoder.encode(b.column(1).to_pylist()), strict=True))
+                digests = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in column], pa.string()) for column in (ids, decoded)]
+                columns = [b.column(0), pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()), *digests]
+                columns += [numbers(ids) if n == "ids" else pa.array(decoded, pa.string()) for n in kept]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *kept])
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    more = ", ids array<int>, decoded string" if keep else ""
+    more = "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[n] for n in kept)
     return slim.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more).withColumnRenamed("id", id_col)
 
 

@@ -66,3 +66,9 @@ def test_query_equals_the_library(spark, library):
         assert (r["n_tokens"], r["ids"], r["decoded"]) == (len(ids), ids, decoded)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
     assert bpe.encode(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def test_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1000 - i) for i in range(100)] + [(f"r{i}", 1) for i in range(500)], "word string, n long")
+    assert 0 < len(bpe.frequent(counts, 100)) <= 100 and set(bpe.frequent(counts, 100)) <= {f"w{i}" for i in range(100)}
+    assert bpe.frequent(counts.filter("n = 1"), 100) == [] and len(bpe.frequent(counts, 1000)) == 600
