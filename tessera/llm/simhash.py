@@ -9,8 +9,9 @@ if they meet in such a point, so linking all that meet there to the least one ke
 ``deduplicate`` takes a similarity instead of a distance. Texts whose shingle sets have the Jaccard index s lie at an angle with the cosine 2 s / (1 + s)
 and differ in acos(2 s / (1 + s)) / pi of a fingerprint's bits, 15 % at 0.8, which 64 bits can't block. It therefore widens the fingerprint to 2048 bits in
 85 blocks of 24: a pair at 0.9 shares a block with a chance of 0.998, one at 0.85 with 0.96, one at 0.8 with 0.82. Candidates are verified by
-the distance of the wide fingerprints. In a block that more than ``HOT`` fingerprints share, each is compared with the least of the block and of the eight narrower
-groups that the next blocks make of it.
+the distance of the wide fingerprints. A block that more than ``HOT`` fingerprints share is closed in Arrow instead of being joined with itself: from each fingerprint reached, those
+not reached yet are searched, which links all that a chain of close pairs connects and lists a tree's links instead of pairs. A block of more than ``PIECE`` is dealt out in
+pieces, and each pair of pieces is searched in a group of its own, so every pair of a block is still looked at in some group.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like any other; rows that
 repeat are nodes of their own with equal fingerprints; a null id counts as larger than any other; an empty table gives an empty result; other columns are ignored.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, table, text_or_empty
 from tessera.llm.graph import components
 
-SEED, BITS, HOT, WIDE = 42, 2, 64, 32
+SEED, BITS, HOT, WIDE, PIECE = 42, 2, 64, 32, 2048
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -158,21 +159,31 @@ def most_bits(similarity: float) -> int:
     return round(WIDE * 64 * share + sqrt(WIDE * 64 * share * (1 - share)))
 
 
-def similar_links(prints: DataFrame, most: int, hot: int = HOT) -> DataFrame:
-    """Links u, v of wide fingerprints (f, wide) that share a block and differ in at most ``most`` bits."""
+def close_links(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of rows (n, words) that differ in at most ``most`` bits and whose closure is that of all such pairs: a forest, searched from each row reached among those that aren't yet."""
+    out, left = [], np.arange(len(prints))
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            near = np.bitwise_count(prints[left] ^ prints[i]).sum(1, dtype=np.int64) <= most
+            if near.any():
+                found = left[near].tolist()
+                out += [(i, j) for j in found]
+                reached += found
+                left = left[~near]
+    return out
+
+
+def similar_links(prints: DataFrame, most: int, hot: int = HOT, piece: int = PIECE) -> DataFrame:
+    """Links u, v of wide fingerprints (f, wide) that differ in at most ``most`` bits; their closure is that of all such pairs that share a block."""
     blocks = WIDE * 8 // 3
     parts = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.substring("wide", i * 3 + 1, F.lit(3)))
     keyed = prints.select("f", F.posexplode(parts).alias("k", "part"))
     sizes = keyed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(keyed.join(sizes, ["k", "part"]))
     few = shared.filter(F.col("n") <= hot).drop("n")
-    pairs = few.select("k", "part", F.col("f").alias("v")).join(few.select("k", "part", F.col("f").alias("u")), ["k", "part"]).filter("v < u").select("u", "v")
-    many = shared.filter(F.col("n") > hot).select("k", "part", "f").join(prints, "f")
-    nearby = F.array(F.lit(b""), *[F.concat(F.lit(bytes([j])), F.substring("wide", F.pmod(F.col("k") + j, F.lit(blocks)) * 3 + 1, F.lit(3))) for j in range(1, 9)])
-    narrow = many.select("k", "part", "f", F.explode(nearby).alias("sub"))
-    least = narrow.groupBy("k", "part", "sub").agg(F.min("f").alias("m"), F.max("f").alias("x")).filter("m <> x").drop("x")
-    stars = narrow.join(least, ["k", "part", "sub"]).filter("f <> m").select(F.col("f").alias("u"), F.col("m").alias("v"))
-    pairs = pairs.union(stars).distinct()
+    pairs = few.select("k", "part", F.col("f").alias("v")).join(few.select("k", "part", F.col("f").alias("u")), ["k", "part"]).filter("v < u").select("u", "v").distinct()
 
     @F.pandas_udf("int")
     def distance(a, b):
@@ -182,7 +193,20 @@ def similar_links(prints: DataFrame, most: int, hot: int = HOT) -> DataFrame:
         return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(np.int32))
 
     both = pairs.join(prints.select(F.col("f").alias("u"), F.col("wide").alias("a")), "u").join(prints.select(F.col("f").alias("v"), F.col("wide").alias("b")), "v")
-    return both.filter(distance("a", "b") <= most).select("u", "v")
+    near = both.filter(distance("a", "b") <= most).select("u", "v")
+
+    def close(group: pa.Table) -> pa.Table:
+        f = group.column("f").to_numpy()
+        found = close_links(np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE), most)
+        u, v = (f[[x[i] for x in found]] if found else f[:0] for i in (0, 1))
+        return pa.table({"u": pa.array(np.maximum(u, v), pa.int64()), "v": pa.array(np.minimum(u, v), pa.int64())})
+
+    # Each piece of a block meets each other one; a block of one piece is one group.
+    many = shared.filter(F.col("n") > hot).withColumn("of", F.ceil(F.col("n") / piece)).withColumn("own", F.pmod(F.xxhash64("f"), "of"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("of") - 1), lambda j: (F.col("of") == 1) | (j != F.col("own"))))
+    many = many.select("k", "part", "f", "own", other.alias("other")).select("k", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "f")
+    closed = many.join(prints.select("f", "wide"), "f").groupBy("k", "part", "i", "j").applyInArrow(close, "u long, v long")
+    return near.union(closed.distinct())
 
 
 def _similar(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, hot: int) -> DataFrame:

@@ -88,3 +88,45 @@ def test_similar_texts_meet_and_others_stay(spark):
     for hot in (64, 1):
         kept = {r["doc_id"] for r in simhash.deduplicate(documents(spark, texts), n=5, hot=hot).collect()}
         assert set(range(len(texts))) - kept == set(near)
+
+
+def wide_links(wide, most):
+    """All pairs that share a block of 24 bits and differ in at most ``most`` bits."""
+    words, out = wide.view(np.uint64), set()
+    for k in range(85):
+        groups = {}
+        for i, part in enumerate(wide[:, 3 * k : 3 * k + 3]):
+            groups.setdefault(part.tobytes(), []).append(i)
+        for g in groups.values():
+            for n, i in enumerate(g):
+                out |= {(i, g[x]) for x in np.flatnonzero(np.bitwise_count(words[g[:n]] ^ words[i]).sum(1) <= most)}
+    return out
+
+
+def variants(n, share, seed):
+    """n variants of an original of random bits, each bit flipped with the chance ``share``; the original comes last."""
+    rng = np.random.default_rng(seed)
+    original = rng.random(simhash.WIDE * 64) < 0.5
+    return np.packbits(np.vstack([original ^ (rng.random((n, simhash.WIDE * 64)) < share), original]), axis=1, bitorder="little")
+
+
+def wide_roots(spark, wide, most, **options):
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(wide)], "f long, wide binary")
+    return find_roots(len(wide), [(r["u"], r["v"]) for r in simhash.similar_links(df, most, **options).collect()])
+
+
+def test_thousands_of_variants_join_their_original(spark):
+    # At 0.85 to the original, below 0.8 to one another.
+    most, wide = simhash.most_bits(0.8), variants(2500, np.arccos(2 * 0.85 / 1.85) / np.pi, 4)
+    got = wide_roots(spark, wide, most)
+    assert got == find_roots(len(wide), wide_links(wide, most)) and got.count(got[-1]) > 0.93 * len(wide)
+
+
+def test_hot_blocks_link_as_all_pairs_do(spark):
+    # Chains as well: variants at half the distance link to one another, those of the second group to some of the first.
+    most = simhash.most_bits(0.8)
+    wide = np.vstack([variants(150, 0.129, 5), variants(150, 0.09, 6), variants(60, 0.16, 5)])
+    wide = np.unique(wide, axis=0)
+    own = find_roots(len(wide), wide_links(wide, most))
+    for options in ({"hot": 1}, {"hot": 4, "piece": 8}, {"hot": 1, "piece": 3}):
+        assert wide_roots(spark, wide, most, **options) == own
