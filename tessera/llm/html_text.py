@@ -4,9 +4,10 @@ Pages of a host are merged into one tree: a node is a path of block elements wit
 pages hold there (the text of a block, or the order of its child blocks) is counted, and the spread of a feature that k of m pages
 share is log k / log m. A node's importance is 1 less the mean spread of its content, blended with the entropy of its presentation where it has
 child blocks. Branches of low importance are removed from each page, and so are elements that are never article text by
-their name, role or class. Where a page has an article or main element, the text is taken from it.
+their name, role or class. Where a page has an article or main element, the text is taken from it, and importance removes none of it.
 
-Only counts by (host, path, feature) are dealt out, summed within a batch first; a host's list of low paths is what comes back.
+A host's different pages are counted, each once however many rows hold it, so copies don't make a text look like a template.
+Different pages are dealt out, and counts by (host, path, feature), summed within a batch first; a host's list of low paths is what comes back.
 Importance is used on paths of at least ``LEAST_PAGES`` pages, as entropy tells nothing on a few.
 
 Defined results: a null or empty page has an empty text; text outside any block is a block; unclosed and wrongly nested elements end with the
@@ -149,13 +150,13 @@ def features(page: str | None) -> Iterator[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None, low: set[str]) -> str:
-    """The page's text without what is never article text and without branches of low importance."""
+    """The page's text without what is never article text and, outside article and main elements, without branches of low importance."""
     found, _ = parse(page or "")
     if any(b.inside and not b.never for b in found):
         found = [b for b in found if b.inside]
     out = []
     for b in found:
-        if b.never or low and any(b.path == x or b.path.startswith(x + "/") for x in low):
+        if b.never or low and not b.inside and any(b.path == x or b.path.startswith(x + "/") for x in low):
             continue
         if text := b.text():
             out.append(text)
@@ -182,7 +183,7 @@ def low_paths(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
             rows = [(h, p, f, s, n, times[h, p, f, s]) for (h, p, f, s), n in pages.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 6, schema, strict=True)], schema=schema)
 
-    slim = df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("page"))
+    slim = df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("page")).distinct()
     counts = slim.mapInArrow(run, "host string, path string, feature long, shape boolean, pages long, times long")
     counts = counts.groupBy("host", "path", "feature", "shape").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
     # The sum of k log k and of times log k need no m, so one pass over the features gives both means.

@@ -35,3 +35,21 @@ def test_repeated_branches_of_a_host_are_found(spark):
     assert len(rows) == 33 and by[5] == (5, "http://Host.org/5", "text number 5\n\nand 25", 21)
     assert by[101][2] == "kept" and by[100] == (100, None, "", 0)
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_of_pages_keep_their_articles(spark):
+    def page(i):
+        return f"<div class=box>same line here</div><article><h1>Title {i}</h1><p>text number {i}</p></article>"
+
+    rows = [(i, "http://one.org/", page(1)) for i in range(25)] + [(100 + i, "http://five.org/", page(i % 30)) for i in range(150)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: f"Title {n}\n\ntext number {n}" for k, n in [(i, 1) for i in range(25)] + [(100 + i, i % 30) for i in range(150)]}
+
+
+def test_copies_of_pages_count_once_outside_articles(spark):
+    def page(i):
+        return f"<div class=box>same line here</div><div class=body><p>text number {i}</p></div>"
+
+    rows = [(i, "http://one.org/", page(1)) for i in range(25)] + [(100 + i, "http://five.org/", page(i % 30)) for i in range(150)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "same line here\n\ntext number 1" for i in range(25)} | {100 + i: f"text number {i % 30}" for i in range(150)}
