@@ -534,7 +534,9 @@ def atomic_fit(spark, sf_dir):
 
 @query()
 def one_vs_rest_fit(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").filter("label < 3").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    df = table(spark, sf_dir, "embeddings")
+    width = df.agg(F.max(F.size("embedding"))).first()[0]
+    df = df.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
     model = OneVsRest(lambda: FuzzyRuleSVM(max_rule_length=1)).fit(df, "label")
     return metrics.confusion_metrics(model.predict(df), "label", "prediction")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalogue
 from tessera.functions.rules import Condition, Rule
 from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM, verify_artifact
 from tessera.plans import quotient as qt
@@ -112,3 +113,11 @@ def test_distributed_passes_equal_local_ones(spark, monkeypatch):
         trial = [a.coef + 1e-3 * rng.normal(size=5) for _ in range(20)]
         value = lambda g: 0.5 * q * g @ g + lam * np.abs(g).sum() + (np.maximum(0, 1 - y * (z @ g)) ** 2).sum()  # noqa: B023, E731
         assert all(value(t) >= a.objective - 1e-9 for t in trial)
+
+
+def test_one_vs_rest_query_fits_all_labels_and_dimensions(spark, tmp_path):
+    # The first four of eight dimensions are noise; dimension 4 + c is high for class c.
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * 0.3 + 3 * (np.arange(8) == 4 + i % 4) * (np.arange(8) > 3)], i % 4) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalogue.one_vs_rest_fit(spark, str(tmp_path)).first()["accuracy"] > 0.95
