@@ -234,7 +234,8 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
 
 
 def walk(data: bytes | None) -> Iterator[tuple[int | None, int, np.ndarray | None, str | None]]:
-    """(page, compression, samples, error) for each directory in turn."""
+    """(page, compression, samples, error) for each directory in turn; a page that can't be decoded is a row with its number and error, and the walk goes on."""
+    errors = (ValueError, KeyError, IndexError, struct.error, zlib.error)
     try:
         if data is None:
             raise ValueError("no file")
@@ -248,9 +249,14 @@ def walk(data: bytes | None) -> Iterator[tuple[int | None, int, np.ndarray | Non
                 raise ValueError("the directories run in a circle")
             seen.add(at)
             tags, after = _directory(data, at, order)
-            yield page, tags.get(COMPRESSION, [1])[0], _page(data, tags), None
+            x, error = None, None
+            try:
+                x = _page(data, tags)
+            except errors as e:
+                error = f"{type(e).__name__}: {e}"
+            yield page, tags.get(COMPRESSION, [1])[0], x, error
             at, page = after, page + 1
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except errors as e:
         yield None, 0, None, f"{type(e).__name__}: {e}"
 
 

@@ -53,6 +53,16 @@ def test_broken_files(spark):
     assert by == {1: [(0, True)], 2: [(None, False)], 3: [(None, False)], 4: [(0, True), (None, False)], 5: [(None, False)]}
 
 
+@pytest.mark.parametrize(("tag", "value"), [(258, 16), (tiff.COMPRESSION, 7)])
+def test_pages_after_a_bad_one_are_read(tag, value):
+    data = bytearray(tiff.encode([np.full((4, 4), i, np.uint8) for i in range(3)]))
+    at = struct.unpack_from("<I", data, 4)[0]
+    entry = next(at + 2 + 12 * i for i in range(struct.unpack_from("<H", data, at)[0]) if struct.unpack_from("<H", data, at + 2 + 12 * i)[0] == tag)
+    struct.pack_into("<H", data, entry + 8, value)
+    got = list(tiff.walk(bytes(data)))
+    assert [(g[0], g[3] is None) for g in got] == [(0, False), (1, True), (2, True)] and [int(g[2].max()) for g in got[1:]] == [1, 2]
+
+
 def test_texts_come_back(spark):
     texts = edge_texts()
     rows = {r["doc_id"]: r for r in tiff.documents(documents(spark, texts)).collect()}
