@@ -437,6 +437,12 @@ def bootstrap_ci(spark, sf_dir):
     return out.filter("low <= mean AND mean <= high").select(rounded(F.col("mean")).alias("mean"))
 
 
+@query()
+def bootstrap_interval(spark, sf_dir):
+    """mean, low and high by the operator's own number of resamples; draws have no SQL, so a test holds it against the normal interval."""
+    return statistics.bootstrap_mean(table(spark, sf_dir, "events"), "value").select("mean", "low", "high")
+
+
 # ---- Canonical basis
 
 

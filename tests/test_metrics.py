@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalogue
 from tessera.operators import metrics, statistics
 
 
@@ -62,3 +63,11 @@ def test_policy():
     assert statistics.recommend_model(8) == "FuzzyRuleSVM length-2"
     assert statistics.recommend_model(200, 0.1) == "MembershipSVM or EBM"
     assert statistics.recommend_model(8, None, {"FuzzyRuleSVM": 0.8, "x": 0.9}) == "x"
+
+
+def test_bootstrap_query_returns_the_interval(spark, tmp_path):
+    x = np.random.default_rng(2).normal(5, 2, 2000)
+    spark.createDataFrame([(float(v),) for v in x], "value double").write.parquet(str(tmp_path / "events.parquet"))
+    r = catalogue.QUERIES["bootstrap_interval"](spark, str(tmp_path)).first()
+    half = 1.96 * x.std() / len(x) ** 0.5
+    assert abs(r["mean"] - x.mean()) < 1e-9 and abs(r["low"] - x.mean() + half) < 0.15 * half and abs(r["high"] - x.mean() - half) < 0.15 * half
