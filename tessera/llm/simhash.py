@@ -7,11 +7,10 @@ fingerprint is linked to the 33 points at distance 0 or 1 in its other 32 bits.
 if they meet in such a point, so linking all that meet there to the least one keeps every link without listing pairs.
 
 ``deduplicate`` takes a similarity instead of a distance. Texts whose shingle sets have the Jaccard index s lie at an angle with the cosine 2 s / (1 + s)
-and differ in acos(2 s / (1 + s)) / pi of a fingerprint's bits, 15 % at 0.8, which 64 bits can't block. It therefore widens the fingerprint to 2048 bits in
-85 blocks of 24: a pair at 0.9 shares a block with a chance of 0.998, one at 0.85 with 0.96, one at 0.8 with 0.82. Candidates are verified by
-the distance of the wide fingerprints. A block that more than ``HOT`` fingerprints share is closed in Arrow instead of being joined with itself: from each fingerprint reached, those
-not reached yet are searched, which links all that a chain of close pairs connects and lists a tree's links instead of pairs. A block of more than ``PIECE`` is dealt out in
-pieces, and each pair of pieces is searched in a group of its own, so every pair of a block is still looked at in some group.
+and differ in acos(2 s / (1 + s)) / pi of a fingerprint's bits, 15 % at 0.8, which 64 bits can't block. It therefore widens the fingerprint to 2048 bits, and keys are again
+pairs of blocks: 12 bits each up to a million fingerprints, half a bit more for each doubling beyond, so that few unrelated texts meet, and as many keys (167 at 24 bits) as
+bring a pair at the similarity together with a chance of 0.96. Candidates are verified by the distance of the wide fingerprints. Work stays linear in the members of keys:
+see ``similar_roots``.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like any other; rows that
 repeat are nodes of their own with equal fingerprints; a null id counts as larger than any other; an empty table gives an empty result; other columns are ignored.
@@ -21,18 +20,22 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations, repeat
-from math import acos, pi, sqrt
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import cut, table, text_or_empty
+from tessera.llm.common import cut, drop_cut, table, text_or_empty
 from tessera.llm.graph import components
 
 SEED, BITS, HOT, WIDE, PIECE = 42, 2, 64, 32, 2048
+#: The chance that a pair at the similarity shares no key, and the most differing bits of 64 that a candidate may have.
+MISSED, LOOSE = 0.04, 22
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -105,11 +108,10 @@ def _clustered(df: DataFrame, id_col: str, text_col: str, n: int, hot: int) -> D
     """id, x (the text's hash), f, root (the component's fingerprint) and component_id for each row of df."""
     rows = cut(fingerprinted(df, id_col, text_col, n))
     prints = cut(rows.groupBy("f").agg(F.min("id").alias("least")))
-    return _closed(rows, prints, links(prints.select("f"), hot=hot))
+    return _rooted(rows, prints, components(links(prints.select("f"), hot=hot)))
 
 
-def _closed(rows: DataFrame, prints: DataFrame, linked: DataFrame) -> DataFrame:
-    roots = components(linked)
+def _rooted(rows: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = prints.join(roots, prints["f"] == roots["node"], "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(least, "root").select("f", "root", "component_id"))
@@ -153,10 +155,48 @@ def wide_fingerprint(text: bytes, n: int) -> bytes:
     return np.packbits(2 * total > len(parts), bitorder="little").tobytes()
 
 
+def share_of_bits(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two texts of a similarity are expected to differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
 def most_bits(similarity: float) -> int:
-    """The differing bits of wide fingerprints at a similarity, and a standard deviation more."""
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    return round(WIDE * 64 * share + sqrt(WIDE * 64 * share * (1 - share)))
+    """The differing bits of wide fingerprints at a similarity, and one and a half standard deviations more."""
+    share = share_of_bits(similarity)
+    return round(WIDE * 64 * share + 1.5 * sqrt(WIDE * 64 * share * (1 - share)))
+
+
+def layout(n: int, similarity: float) -> tuple[int, list[tuple[int, int]]]:
+    """The bits of a block, and the pairs of blocks that make a key, for n fingerprints. A key has 16 values or more for each fingerprint, and there are
+    as many keys as leave a pair at the similarity a chance of ``MISSED`` to share none."""
+    bits = max(12, ceil((log2(max(n, 2)) + 4) / 2))
+    blocks = WIDE * 64 // bits
+    keys = ceil(log(MISSED) / log(1 - (1 - share_of_bits(similarity)) ** (2 * bits)))
+    if keys > blocks * ((blocks - 1) // 2):
+        raise ValueError(f"{WIDE * 64} bits are too few for {keys} keys of {2 * bits}")
+    return bits, [(j % blocks, (j + (blocks - 1) // 2 - j // blocks) % blocks) for j in range(keys)]
+
+
+def wide_keys(wide: np.ndarray, bits: int, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """(n, keys): the values of each pair of blocks with the pair's number, for fingerprints (n, bytes)."""
+    blocks = WIDE * 64 // bits
+    each = np.unpackbits(wide, axis=1, bitorder="little")[:, : blocks * bits].reshape(len(wide), blocks, bits)
+    value = each @ (1 << np.arange(bits, dtype=np.int64))
+    one, two = (np.array(x) for x in zip(*pairs, strict=True))
+    return (value[:, one] << (bits + 16)) | (value[:, two] << 16) | np.arange(len(pairs))
+
+
+def keyed(prints: DataFrame, bits: int, pairs: list[tuple[int, int]]) -> DataFrame:
+    """key, f, s for each key of each fingerprint; s: its first 64 bits."""
+
+    def run(batches):
+        for b in batches:
+            wide = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, WIDE * 8)
+            keys = wide_keys(wide, bits, pairs)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(pairs), np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide[:, :8].copy().view(np.int64).ravel()), lists], names=["f", "s", "keys"])
+
+    return prints.select("f", "wide").mapInArrow(run, "f long, s long, keys array<long>").select(F.explode("keys").alias("key"), "f", "s")
 
 
 def close_links(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -175,41 +215,79 @@ def close_links(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def similar_links(prints: DataFrame, most: int, hot: int = HOT, piece: int = PIECE) -> DataFrame:
-    """Links u, v of wide fingerprints (f, wide) that differ in at most ``most`` bits; their closure is that of all such pairs that share a block."""
-    blocks = WIDE * 8 // 3
-    parts = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.substring("wide", i * 3 + 1, F.lit(3)))
-    keyed = prints.select("f", F.posexplode(parts).alias("k", "part"))
-    sizes = keyed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(keyed.join(sizes, ["k", "part"]))
-    few = shared.filter(F.col("n") <= hot).drop("n")
-    pairs = few.select("k", "part", F.col("f").alias("v")).join(few.select("k", "part", F.col("f").alias("u")), ["k", "part"]).filter("v < u").select("u", "v").distinct()
-
-    @F.pandas_udf("int")
-    def distance(a, b):
-        import pandas as pd
+@F.pandas_udf(T.IntegerType())
+def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, WIDE) for s in (a, b))
+    return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(np.int32))
 
-        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, WIDE) for s in (a, b))
-        return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(np.int32))
 
+def verified(pairs: DataFrame, prints: DataFrame, most: int) -> DataFrame:
+    """The pairs u, v whose wide fingerprints differ in at most ``most`` bits."""
     both = pairs.join(prints.select(F.col("f").alias("u"), F.col("wide").alias("a")), "u").join(prints.select(F.col("f").alias("v"), F.col("wide").alias("b")), "v")
-    near = both.filter(distance("a", "b") <= most).select("u", "v")
+    return both.filter(distance("a", "b") <= most).select("u", "v")
 
-    def close(group: pa.Table) -> pa.Table:
-        f = group.column("f").to_numpy()
-        found = close_links(np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE), most)
-        u, v = (f[[x[i] for x in found]] if found else f[:0] for i in (0, 1))
-        return pa.table({"u": pa.array(np.maximum(u, v), pa.int64()), "v": pa.array(np.minimum(u, v), pa.int64())})
 
-    # Each piece of a block meets each other one; a block of one piece is one group.
-    many = shared.filter(F.col("n") > hot).withColumn("of", F.ceil(F.col("n") / piece)).withColumn("own", F.pmod(F.xxhash64("f"), "of"))
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs u, v of different components; what isn't in roots is a component of its own."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
+def closed_keys(members: DataFrame, prints: DataFrame, most: int, piece: int) -> DataFrame:
+    """Links whose closure is that of all close pairs that share a key. members: key, f.
+
+    A key's members are searched in Arrow, many small keys in a group; a key of more than ``piece`` is dealt out in pieces, and each pair of pieces is
+    a group of its own, so that no group outgrows a task and every pair is looked at in some group."""
+    members = cut(members)
+    groups = max(1, ceil(members.count() / piece))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    split = members.join(sizes.filter(F.col("n") > piece), "key", "left").withColumn("of", F.coalesce(F.ceil(F.col("n") / piece), F.lit(1))).withColumn("own", F.pmod(F.xxhash64("f"), "of"))
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("of") - 1), lambda j: (F.col("of") == 1) | (j != F.col("own"))))
-    many = many.select("k", "part", "f", "own", other.alias("other")).select("k", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "f")
-    closed = many.join(prints.select("f", "wide"), "f").groupBy("k", "part", "i", "j").applyInArrow(close, "u long, v long")
-    return near.union(closed.distinct())
+    split = split.select("key", "f", "of", "own", other.alias("other"))
+    lump = F.when(F.col("of") == 1, F.pmod(F.xxhash64("key"), F.lit(groups)))
+    dealt = split.select("key", "f", lump.alias("lump"), F.when(F.col("of") > 1, F.col("key")).alias("hot"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
+    def close(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key")
+        key, f = group.column("key").to_numpy(), group.column("f").to_numpy()
+        wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+        cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+        found = [(a + i, a + j) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for i, j in close_links(wide[a:b], most)]
+        u, v = (f[[x[k] for x in found]] if found else f[:0] for k in (0, 1))
+        return pa.table({"u": pa.array(np.maximum(u, v), pa.int64()), "v": pa.array(np.minimum(u, v), pa.int64())})
 
-def _similar(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, hot: int) -> DataFrame:
+    return dealt.join(prints.select("f", "wide"), "f").groupBy("lump", "hot", "i", "j").applyInArrow(close, "u long, v long").distinct()
+
+
+def similar_roots(prints: DataFrame, similarity: float, piece: int = PIECE) -> DataFrame:
+    """node, root: the components of wide fingerprints (f, wide) over all pairs that share a key and differ in at most ``most_bits`` bits.
+
+    Each key is a star first: its members are offered to the least of them, so there are no more candidates than members. One offer of each fingerprint is verified
+    and closed, then the offers between components that are left. What a star's centre misses is searched in the keys whose other members aren't of one component."""
+    most, (bits, pairs) = most_bits(similarity), layout(prints.count(), similarity)
+    each = keyed(prints, bits, pairs)
+    shared = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut(each.join(shared.hint("merge"), "key"))
+    centres = shared.groupBy("key").agg(F.min(F.struct("f", "s")).alias("c"))
+    # The first 64 bits tell chance meetings: 22 differ where 32 are expected of unrelated texts, and at a similarity of 0.8 more than that one time in 50,000.
+    near = F.bit_count(F.col("s").bitwiseXOR(F.col("c.s"))) <= LOOSE
+    offers = cut(shared.join(centres, "key").filter((F.col("f") != F.col("c.f")) & near).select(F.col("f").alias("u"), F.col("c.f").alias("v")).distinct())
+    links = cut(verified(offers.groupBy("u").agg(F.min("v").alias("v")), prints, most))
+    roots = cut(components(links))
+    rest = cut(verified(apart(offers, roots), prints, most))
+    links = links.union(rest)
+    roots = cut(components(links))
+    drop_cut(offers)
+    others = shared.filter("n > 2").join(centres.select("key", F.col("c.f").alias("centre")), "key").filter("f <> centre").select("key", "f")
+    rooted = others.join(roots, others["f"] == roots["node"], "left").select("key", "f", F.coalesce("root", "f").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    more = cut(closed_keys(rooted.join(split, "key").select("key", "f"), prints, most, piece))
+    drop_cut(shared)
+    return roots if more.isEmpty() else components(links.union(more))
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, piece: int) -> DataFrame:
     """As _clustered, by similarity of wide fingerprints; f is the fingerprint's hash."""
 
     def run(batches):
@@ -220,7 +298,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, n: int, similarity: floa
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("t"), _text_hash(F.col(text_col)).alias("x"))
     rows = cut(slim.mapInArrow(run, "id long, x long, wide binary").withColumn("f", F.xxhash64("wide")))
     prints = cut(rows.groupBy("f").agg(F.min("id").alias("least"), F.first("wide").alias("wide")))
-    return _closed(rows.drop("wide"), prints.select("f", "least"), similar_links(prints.select("f", "wide"), most_bits(similarity), hot))
+    return _rooted(rows.drop("wide"), prints.select("f", "least"), similar_roots(prints.select("f", "wide"), similarity, piece))
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, hot: int = HOT) -> DataFrame:
@@ -230,10 +308,10 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     )
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, piece: int = PIECE) -> DataFrame:
     """df with one row of each component of similar texts: that of the least id, and of its texts the one of the least hash."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "x")
-    marks = cut(_similar(df, id_col, text_col, n, similarity, hot).select("root", "id", "x"))
+    marks = cut(_similar(df, id_col, text_col, n, similarity, piece).select("root", "id", "x"))
     stay = marks.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     here = marks.withColumn("key", F.xxhash64("root"))
     both = here.join(stay.select(F.xxhash64("root").alias("key"), F.col("root").alias("of"), "first"), "key").filter("root = of")

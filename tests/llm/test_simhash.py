@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from math import ceil
 
 import numpy as np
 import xxhash
@@ -85,22 +87,15 @@ def test_similar_texts_meet_and_others_stay(spark):
             copy[k] = "other"
         texts += [" ".join(base), " ".join(copy), shaken(rng, words, 300)]
         near.append(3 * g + 1)
-    for hot in (64, 1):
-        kept = {r["doc_id"] for r in simhash.deduplicate(documents(spark, texts), n=5, hot=hot).collect()}
-        assert set(range(len(texts))) - kept == set(near)
-
-
-def wide_links(wide, most):
-    """All pairs that share a block of 24 bits and differ in at most ``most`` bits."""
-    words, out = wide.view(np.uint64), set()
-    for k in range(85):
-        groups = {}
-        for i, part in enumerate(wide[:, 3 * k : 3 * k + 3]):
-            groups.setdefault(part.tobytes(), []).append(i)
-        for g in groups.values():
-            for n, i in enumerate(g):
-                out |= {(i, g[x]) for x in np.flatnonzero(np.bitwise_count(words[g[:n]] ^ words[i]).sum(1) <= most)}
-    return out
+    kept = {r["doc_id"] for r in simhash.deduplicate(documents(spark, texts), n=5).collect()}
+    assert set(range(len(texts))) - kept == set(near)
+
+
+def wide_links(wide, similarity=0.8):
+    """All pairs that share a key and differ in few enough bits."""
+    words, most, (bits, pairs) = wide.view(np.uint64), simhash.most_bits(similarity), simhash.layout(len(wide), similarity)
+    keys = simhash.wide_keys(wide, bits, pairs)
+    return [(i, j) for i in range(len(wide)) for j in np.flatnonzero((np.bitwise_count(words[:i] ^ words[i]).sum(1) <= most) & (keys[:i] == keys[i]).any(1)).tolist()]
 
 
 def variants(n, share, seed):
@@ -110,23 +105,80 @@ def variants(n, share, seed):
     return np.packbits(np.vstack([original ^ (rng.random((n, simhash.WIDE * 64)) < share), original]), axis=1, bitorder="little")
 
 
-def wide_roots(spark, wide, most, **options):
+def wide_roots(spark, wide, **options):
     df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(wide)], "f long, wide binary")
-    return find_roots(len(wide), [(r["u"], r["v"]) for r in simhash.similar_links(df, most, **options).collect()])
+    found = {r["node"]: r["root"] for r in simhash.similar_roots(df, 0.8, **options).collect()}
+    return [found.get(i, i) for i in range(len(wide))]
+
+
+def test_keys_are_pairs_of_blocks():
+    rng = np.random.default_rng(1)
+    wide = rng.integers(0, 256, (20, simhash.WIDE * 8), dtype=np.uint8)
+    for n in (1000, 5_000_000):
+        bits, pairs = simhash.layout(n, 0.8)
+        assert len({frozenset(p) for p in pairs}) == len(pairs) and all(a != b for a, b in pairs)
+        keys, flat = simhash.wide_keys(wide, bits, pairs), np.unpackbits(wide, axis=1, bitorder="little")
+        assert len(np.unique(keys)) == keys.size
+        wide2 = wide.copy()
+        wide2[:, -1] ^= 255  # bits of the last block that a key can hold, or of none
+        changed = {j for j in range(len(pairs)) if (simhash.wide_keys(wide2, bits, pairs)[:, j] != keys[:, j]).any()}
+        last = np.flatnonzero((flat != np.unpackbits(wide2, axis=1, bitorder="little")).any(0)) // bits
+        assert changed == {j for j, p in enumerate(pairs) if set(p) & set(last.tolist())}
 
 
 def test_thousands_of_variants_join_their_original(spark):
     # At 0.85 to the original, below 0.8 to one another.
-    most, wide = simhash.most_bits(0.8), variants(2500, np.arccos(2 * 0.85 / 1.85) / np.pi, 4)
-    got = wide_roots(spark, wide, most)
-    assert got == find_roots(len(wide), wide_links(wide, most)) and got.count(got[-1]) > 0.93 * len(wide)
+    wide = variants(2500, np.arccos(2 * 0.85 / 1.85) / np.pi, 4)
+    got = wide_roots(spark, wide)
+    assert got == find_roots(len(wide), wide_links(wide)) and got.count(got[-1]) > 0.97 * len(wide)
 
 
-def test_hot_blocks_link_as_all_pairs_do(spark):
+def test_hot_keys_link_as_all_pairs_do(spark):
     # Chains as well: variants at half the distance link to one another, those of the second group to some of the first.
-    most = simhash.most_bits(0.8)
     wide = np.vstack([variants(150, 0.129, 5), variants(150, 0.09, 6), variants(60, 0.16, 5)])
     wide = np.unique(wide, axis=0)
-    own = find_roots(len(wide), wide_links(wide, most))
-    for options in ({"hot": 1}, {"hot": 4, "piece": 8}, {"hot": 1, "piece": 3}):
-        assert wide_roots(spark, wide, most, **options) == own
+    own = find_roots(len(wide), wide_links(wide))
+    for options in ({}, {"piece": 40}):
+        assert wide_roots(spark, wide, **options) == own
+
+
+def jaccard_pairs(texts, least):
+    """All pairs at a similarity of five-word shingles, by an inverted list of each text's rarest shingles: equal sets share one of the first n - least n + 1."""
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    count = Counter(x for s in sets for x in s)
+    lists, out = {}, {}
+    for i, s in enumerate(sets):
+        for x in sorted(s, key=lambda x: (count[x], x))[: len(s) - ceil(least * len(s)) + 1]:
+            lists.setdefault(x, []).append(i)
+    for members in lists.values():
+        for k, i in enumerate(members):
+            for j in members[:k]:
+                if (j, i) not in out:
+                    out[j, i] = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    return {p for p, v in out.items() if v >= least}
+
+
+def edited(rng, words, edits):
+    words = words[:]
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = f"e{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_recall_against_all_pairs_of_ten_thousand(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = [shaken(rng, vocabulary, 120) for _ in range(9000)]
+    for _ in range(350):  # edits of one to three words: similarities from 0.77 to 0.92
+        base = shaken(rng, vocabulary, 120).split()
+        texts += [" ".join(base), edited(rng, base, 1), edited(rng, base, 2), edited(rng, base, 3)]
+    hot = shaken(rng, vocabulary, 120).split()
+    texts += [" ".join(hot), *(edited(rng, hot, 2) for _ in range(400))]  # one original's variants, most below 0.8 to one another
+    rng.shuffle(texts)
+    pairs = jaccard_pairs(texts, 0.8)
+    root = {r["id"]: r["root"] for r in simhash._similar(documents(spark, texts), "doc_id", "text", 5, 0.8, simhash.PIECE).select("id", "root").collect()}
+    found = sum(root[i] == root[j] for i, j in pairs)
+    assert len(texts) > 10_000 and len(pairs) > 1500 and found >= 0.97 * len(pairs)
+    alone = set(range(len(texts))) - {x for p in jaccard_pairs(texts, 0.6) for x in p}
+    sizes = Counter(root.values())
+    assert sum(sizes[root[i]] > 1 for i in alone) == 0
