@@ -96,9 +96,7 @@ def rule_sql(rule: Rule, features, how: str = "min") -> str:
 
 @query(f"WITH {LINES_SQL} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, quantile_cont({f}, 0.05) AS low, quantile_cont({f}, 0.5) AS medium, quantile_cont({f}, 0.95) AS high FROM lines" for f in LINES))
 def partition_anchors(spark, sf_dir):
-    row = lines(spark, sf_dir).agg(*[F.percentile(c, F.array(*map(F.lit, prepare.QUANTILES))).alias(c) for c in LINES])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("low"), F.col(c)[1].alias("medium"), F.col(c)[2].alias("high")) for c in LINES]))
-    return row.select(each.alias("x")).select("x.*")
+    return spark.createDataFrame([(p.feature, p.low, p.medium, p.high) for p in prepare.anchors(lines(spark, sf_dir), LINES)], "feature string, low double, medium double, high double")
 
 
 @query(f"WITH {LINES_SQL}, {anchors_sql('lines', LINES)}, {terms_sql('lines', LINES, 'y')} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, " + ", ".join(f"round(avg(m_{f}_{t}), 6) AS mean_{t}" for t in TERMS) + " FROM mem" for f in LINES))
@@ -197,7 +195,19 @@ def anova_screening(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, f double")
 
 
-@query()
+def mutual_info_sql(view: str, features, bins: int = 16) -> str:
+    """Each value's bin is how many different cuts lie below it; the sum runs over bins and labels."""
+    cuts = "cuts AS (" + " UNION ".join(f"SELECT '{f}' AS feature, quantile_cont({f}, {k / bins}) AS cut FROM {view}" for f in features for k in range(1, bins)) + ")"
+    long = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS v, y FROM {view}" for f in features) + ")"
+    return (
+        f"{cuts}, {long}, bins AS (SELECT feature, v, (SELECT count(*) FROM cuts c WHERE c.feature = d.feature AND c.cut < d.v) AS b FROM (SELECT DISTINCT feature, v FROM long) d), "
+        "cells AS (SELECT feature, b, y, count(*)::DOUBLE AS c FROM long JOIN bins USING (feature, v) GROUP BY ALL), "
+        "sums AS (SELECT *, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, b) AS nb, sum(c) OVER (PARTITION BY feature, y) AS ny FROM cells) "
+        "SELECT feature, round(greatest(0.0::DOUBLE, sum(c / n * ln(c * n / (nb * ny)))), 6) AS mutual_information FROM sums GROUP BY feature"
+    )
+
+
+@query(f"WITH {LINES_SQL}, {mutual_info_sql('lines', LINES)}")
 def mutual_info_screening(spark, sf_dir):
     rows = prepare.mutual_information(lines(spark, sf_dir), LINES, "y")
     return spark.createDataFrame([(c, round(v, 6)) for c, v in rows], "feature string, mutual_information double")
@@ -276,11 +286,16 @@ def fuzzy_violations(spark, sf_dir):
     return v.select("o_orderkey", *[rounded(F.col(c)).alias(c) for c in v.columns[1:]])
 
 
-@query(LONG_SQL + "SELECT o_orderkey, CAST(r AS INTEGER) AS place, rule, round(contribution, 6) AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, idx) AS r FROM c) WHERE r <= 2")
+@query(
+    LONG_SQL + ", k AS (SELECT *, 'top' AS kind FROM c UNION ALL SELECT *, 'positive' FROM c WHERE contribution > 0 UNION ALL SELECT *, 'negative' FROM c WHERE contribution < 0) "
+    "SELECT o_orderkey, kind, CAST(r AS INTEGER) AS place, rule, round(contribution, 6) + 0.0::DOUBLE AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey, kind ORDER BY abs(contribution) DESC, idx) AS r FROM k) WHERE r <= 2"
+)
 def explain_topn(spark, sf_dir):
     df, acts = served(spark, sf_dir)
     out = explain.explain(df, acts, COEF, RULES, ORDERS, INTERCEPT, CLASSES, 2)
-    return out.select("o_orderkey", F.posexplode("top_rules").alias("place", "x")).select("o_orderkey", (F.col("place") + 1).alias("place"), "x.rule", rounded(F.col("x.contribution")).alias("contribution"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_rules").alias("rules")) for k in ("top", "positive", "negative")]))
+    each = out.select("o_orderkey", kinds.alias("k")).select("o_orderkey", "k.kind", F.posexplode("k.rules").alias("place", "x"))
+    return each.select("o_orderkey", "kind", (F.col("place") + 1).alias("place"), "x.rule", (rounded(F.col("x.contribution")) + 0.0).alias("contribution"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{rule_text(r, ORDERS, str(CLASSES[c > 0]))}', {c}::DOUBLE, {r.length})" for c, r in sorted(zip(COEF, RULES, strict=True), key=lambda x: -abs(x[0])) if c) + ") AS t(rule, coefficient, length)")
@@ -293,7 +308,8 @@ def median_complexity_instance(spark, sf_dir):
     df, acts = served(spark, sf_dir)
     n = sum((F.when(F.abs(F.lit(c) * a) > 0.01, 1).otherwise(0) for a, c in zip(acts, COEF, strict=True) if c), F.lit(0))
     rows = df.withColumn("contributing", n)
-    m, mm = rows.agg(F.median("contributing"), F.median("margin")).first()
+    found = prepare.exact_quantiles(rows, ["contributing", "margin"], [0.5])
+    m, mm = found["contributing"][0], found["margin"][0]
     near = rows.orderBy(F.abs(F.col("contributing") - F.lit(m)), F.abs(F.col("margin") - F.lit(mm)), "o_orderkey").limit(1)
     return near.select("contributing", "o_orderkey")
 
@@ -322,7 +338,7 @@ def roc_auc(spark, sf_dir):
 @query(SERVED_SQL + "SELECT round(avg(abs(margin)), 6) AS mean_abs_margin, round(median(abs(margin)), 6) AS median_abs_margin FROM s")
 def margin_stats(spark, sf_dir):
     out = metrics.margin_stats(served(spark, sf_dir)[0], "margin")
-    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+    return spark.createDataFrame([tuple(round(v, 6) for v in out.values())], ", ".join(f"{k} double" for k in out))
 
 
 @query(LONG_SQL + ", o AS (SELECT o_orderkey, abs(contribution) AS a, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, idx) AS r, sum(abs(contribution)) OVER (PARTITION BY o_orderkey) AS mass FROM c) SELECT o_orderkey, round(CASE WHEN max(mass) > 0 THEN sum(CASE WHEN r <= 1 THEN a ELSE 0 END) / max(mass) ELSE 0 END, 6) AS top1_share FROM o GROUP BY o_orderkey")
@@ -341,15 +357,61 @@ def mass_cover_90(spark, sf_dir):
     return df.select(n.alias("rules")).groupBy("rules").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(
-    LONG_SQL + "SELECT 5.0::DOUBLE AS n_rules, 3.75::DOUBLE AS coef_l1, (SELECT round(avg(abs(margin)), 6) FROM s) AS mean_abs_margin, (SELECT round(avg(greatest(0.0::DOUBLE, 1 - (2 * y - 1) * margin)), 6) FROM s) AS mean_slack, "
-    "(SELECT round(avg(n), 6) FROM (SELECT count(CASE WHEN abs(contribution) > 1e-8 THEN 1 END) AS n FROM c GROUP BY o_orderkey)) AS mean_contributing_rules, "
-    "(SELECT round(avg(abs(p + m)), 6) FROM (SELECT sum(CASE WHEN contribution > 0 THEN contribution ELSE 0 END) AS p, sum(CASE WHEN contribution < 0 THEN contribution ELSE 0 END) AS m FROM c GROUP BY o_orderkey)) AS contrastive_gap"
+#: Of the six rules three are of one term; five have a coefficient: 0.8, 0.9 and 0.35 of one term, 1.1 and 0.6 of two.
+RULE_METRICS_SQL = LONG_SQL + (
+    ", acts AS (SELECT o_orderkey, " + " + ".join(f"z{i}" for i in range(len(RULES))) + " AS act, " + " + ".join(f"(z{i} > 1e-6)::INT" for i in range(len(RULES))) + " AS fired FROM s), "
+    "d AS (SELECT *, CASE WHEN margin >= 0 THEN contribution ELSE -contribution END AS along, abs(contribution) AS a, row_number() OVER w AS r, sum(abs(contribution)) OVER (PARTITION BY o_orderkey) AS mass, "
+    "round(sum(abs(contribution)) OVER (w ROWS UNBOUNDED PRECEDING) / nullif(sum(abs(contribution)) OVER (PARTITION BY o_orderkey), 0), 9) AS part FROM c WINDOW w AS (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, idx)), "
+    "e AS (SELECT o_orderkey, any_value(margin) AS margin, greatest(0.0::DOUBLE, 1 - (2 * any_value(y) - 1) * any_value(margin)) AS slack, count(CASE WHEN a > 1e-8 THEN 1 END) AS contributing, "
+    "CASE WHEN any_value(mass) > 0 THEN count(CASE WHEN part < 0.9 THEN 1 END) + 1 ELSE 0 END AS to90, CASE WHEN any_value(mass) > 0 THEN sum(CASE WHEN r <= 1 THEN a ELSE 0 END) / any_value(mass) ELSE 0 END AS top1, "
+    "CASE WHEN any_value(mass) > 0 THEN sum(CASE WHEN r <= 5 THEN a ELSE 0 END) / any_value(mass) ELSE 0 END AS top5, sum(greatest(along, 0.0::DOUBLE)) AS supporting, sum(greatest(-along, 0.0::DOUBLE)) AS opposing FROM d GROUP BY o_orderkey) "
+    "SELECT 15.0::DOUBLE AS candidate_rules, 6.0::DOUBLE AS n_rules, 0.4::DOUBLE AS retained_rule_ratio, 2.0::DOUBLE AS screened_features, 1.0::DOUBLE AS screened_feature_ratio, 5.0::DOUBLE AS support_rule_count, "
+    "round(5 / 6.0::DOUBLE, 6) AS support_rule_ratio, 1.5::DOUBLE AS avg_rule_length, 1.4::DOUBLE AS avg_support_rule_length, round((0.8 + 0.9 + 0.35 + 2 * 1.1 + 2 * 0.6)::DOUBLE / 3.75, 6) AS weighted_rule_length, "
+    "3.75::DOUBLE AS coef_l1, round(sqrt(0.8 * 0.8 + 0.9 * 0.9 + 0.35 * 0.35 + 1.1 * 1.1 + 0.6 * 0.6::DOUBLE), 6) AS coef_l2, 5.45::DOUBLE AS length_weighted_complexity, "
+    "(SELECT round(avg(act / 6), 6) FROM acts) AS mean_rule_activation, (SELECT round(avg(fired), 6) FROM acts) AS mean_fired_rules_per_sample, round(avg(contributing), 6) AS mean_contributing_rules_per_sample, "
+    "round(avg(to90), 6) AS mean_rules_for_90pct_contribution, round(avg(top1), 6) AS top1_abs_contribution_share, round(avg(top5), 6) AS top5_abs_contribution_share, "
+    "0.0::DOUBLE AS explanation_fidelity_max_abs_error, 0.0::DOUBLE AS explanation_fidelity_mean_abs_error, round(avg(abs(margin)), 6) AS mean_abs_margin, "
+    "round(avg(supporting), 6) AS mean_supporting_contribution, round(avg(opposing), 6) AS mean_opposing_contribution, round(avg(supporting - opposing), 6) AS mean_contrastive_gap, "
+    "round(avg(CASE WHEN supporting + opposing > 0 THEN supporting / (supporting + opposing) ELSE 0 END), 6) AS mean_contrastive_ratio, round(avg(slack), 6) AS mean_slack, "
+    "round(avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.5 - slack) / 0.5))), 6) AS cleanly_classified_membership, "
+    "round(avg(least(greatest(0.0::DOUBLE, least(1.0::DOUBLE, slack)), greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2 - slack)))), 6) AS borderline_membership, "
+    "round(avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, slack - 1))), 6) AS strong_violation_membership FROM e"
 )
+
+
+@query(RULE_METRICS_SQL)
 def rule_metrics(spark, sf_dir):
     df, acts = served(spark, sf_dir)
-    out = metrics.rule_metrics(df, F.array(*acts), COEF, [r.length for r in RULES], INTERCEPT, explain.checked_sign(F.col("y"), CLASSES), 15, 2, 2)
-    return out.select("n_rules", rounded(F.col("coef_l1")).alias("coef_l1"), *[rounded(F.col(c)).alias(c) for c in ("mean_abs_margin", "mean_slack", "mean_contributing_rules", "contrastive_gap")])
+    out = metrics.rule_metrics(df, F.array(*acts), COEF, [r.length for r in RULES], INTERCEPT, explain.checked_sign(F.col("y"), CLASSES), 15, 2, 2, F.col("margin"))
+    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+
+
+def auc_sql(score: str, status: str) -> str:
+    """The rank-sum AUC of one status against the rest."""
+    return (
+        f"(SELECT (sum(CASE WHEN p THEN r ELSE 0 END) - sum(p::INT) * (sum(p::INT) + 1) / 2.0::DOUBLE) / (sum(p::INT)::DOUBLE * sum((NOT p)::INT)) FROM "
+        f"(SELECT o_orderstatus = '{status}' AS p, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2.0::DOUBLE AS r FROM t))"
+    )
+
+
+@query(SERVED_SQL + ", t AS (SELECT z0, z1, z2, o_orderstatus FROM s JOIN orders USING (o_orderkey)) SELECT round((" + " + ".join(auc_sql(f"z{i}", c) for i, c in enumerate("FOP")) + ") / 3, 9) AS roc_auc")
+def roc_auc_ovr(spark, sf_dir):
+    df, acts = served(spark, sf_dir)
+    status = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    each = df.select("o_orderkey", *[acts[i].alias(f"z{i}") for i in range(3)]).join(status, F.col("o_orderkey") == F.col("k"))
+    return metrics.roc_auc_ovr(each, "o_orderstatus", {c: f"z{i}" for i, c in enumerate("FOP")}).select(rounded(F.col("roc_auc"), 9).alias("roc_auc"))
+
+
+@query(SERVED_SQL + ", g AS (SELECT list_sort([z0, z1, z2], 'DESC') AS x FROM s) SELECT round(avg(x[1] - x[2]), 6) AS mean_margin_gap, round(median(x[1] - x[2]), 6) AS median_margin_gap FROM g")
+def margin_gap(spark, sf_dir):
+    df, acts = served(spark, sf_dir)
+    out = metrics.margin_gap_stats(df.select(F.array(*acts[:3]).alias("s")), F.col("s"))
+    return spark.createDataFrame([tuple(round(v, 6) for v in out.values())], ", ".join(f"{k} double" for k in out))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
+def keep_first(spark, sf_dir):
+    return metrics.keep_first(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 # ---- Comparison of models: segments as data sets, priorities as models
@@ -375,12 +437,14 @@ def friedman_ranks(spark, sf_dir):
 
 @query(
     f"WITH {SCORES_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, score) - 1) / 2.0::DOUBLE AS r FROM scores), "
-    "k AS (SELECT count(DISTINCT model) AS k, count(DISTINCT dataset) AS n FROM scores), s AS (SELECT sum(t * t) AS q FROM (SELECT sum(r) AS t FROM r GROUP BY model)), g AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*) AS c FROM scores GROUP BY dataset, score)) "
-    "SELECT round((12.0::DOUBLE / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS chi2 FROM k, s, g"
+    "k AS (SELECT count(DISTINCT model) AS k, count(DISTINCT dataset) AS n FROM scores), s AS (SELECT sum(t * t) AS q FROM (SELECT sum(r) AS t FROM r GROUP BY model)), g AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*) AS c FROM scores GROUP BY dataset, score)), "
+    "x AS (SELECT (12.0::DOUBLE / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS chi2 FROM k, s, g) "
+    # Five models leave four degrees of freedom, for which the tail has a closed form.
+    "SELECT round(chi2, 6) AS chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p FROM x"
 )
 def friedman_statistic(spark, sf_dir):
-    chi, _ = statistics.friedman(scores(spark, sf_dir), "dataset", "model", "score")
-    return spark.createDataFrame([(round(chi, 6),)], "chi2 double")
+    chi, p = statistics.friedman(scores(spark, sf_dir), "dataset", "model", "score")
+    return spark.createDataFrame([(round(chi, 6), round(p, 6))], "chi2 double, p double")
 
 
 P_SQL = "ps AS (SELECT dataset, model, round(1.0::DOUBLE / (1 + n), 9) AS p FROM scores)"
@@ -408,9 +472,9 @@ def best_per_dataset(spark, sf_dir):
     return metrics.best_per_group(scores(spark, sf_dir), "dataset", "score", "model").select("dataset", "model", "score")
 
 
-@query("WITH s AS (SELECT c_nationkey % 5 AS fold, list(DISTINCT c_mktsegment) AS items FROM customer WHERE c_acctbal > 5000 GROUP BY 1) SELECT round(coalesce(avg(len(list_intersect(a.items, b.items))::DOUBLE / len(list_distinct(list_concat(a.items, b.items)))), 1), 9) AS jaccard FROM s a JOIN s b ON a.fold < b.fold")
+@query("WITH s AS (SELECT c_nationkey % 5 AS fold, list(DISTINCT right(c_name, 3)) AS items FROM customer GROUP BY 1) SELECT round(coalesce(avg(len(list_intersect(a.items, b.items))::DOUBLE / len(list_distinct(list_concat(a.items, b.items)))), 1), 9) AS jaccard FROM s a JOIN s b ON a.fold < b.fold")
 def jaccard_stability(spark, sf_dir):
-    sets = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").groupBy((F.col("c_nationkey") % 5).alias("fold")).agg(F.collect_set("c_mktsegment").alias("items"))
+    sets = table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 5).alias("fold")).agg(F.collect_set(F.right("c_name", F.lit(3))).alias("items"))
     return metrics.jaccard_stability(sets, "fold", "items").select(rounded(F.col("jaccard"), 9).alias("jaccard"))
 
 
@@ -419,7 +483,7 @@ def param_mode(spark, sf_dir):
     return metrics.most_common(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "grp"), ["grp"], "o_orderstatus", "o_orderkey").select("grp", "n_distinct", "mode")
 
 
-@query("WITH s AS (SELECT c_mktsegment, c_nationkey % 2 AS half, c_acctbal FROM customer) SELECT c_mktsegment AS dataset, round(avg(CASE WHEN half = 0 THEN c_acctbal END), 4) AS a, round(avg(CASE WHEN half = 1 THEN c_acctbal END), 4) AS b FROM s GROUP BY 1")
+@query("WITH s AS (SELECT c_mktsegment, c_nationkey % 2 AS half, c_acctbal FROM customer), p AS (SELECT c_mktsegment AS dataset, round(avg(CASE WHEN half = 0 THEN c_acctbal END), 4) AS a, round(avg(CASE WHEN half = 1 THEN c_acctbal END), 4) AS b FROM s GROUP BY 1) SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL")
 def pivot_models(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dataset"), (F.col("c_nationkey") % 2).alias("half"), "c_acctbal")
     return df.groupBy("dataset").pivot("half", [0, 1]).agg(F.round(F.avg("c_acctbal"), 4)).toDF("dataset", "a", "b").dropna()
@@ -431,16 +495,17 @@ def union_all_scan(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("different"))
 
 
-@query("SELECT round(avg(value), 6) AS mean FROM events")
+@query(
+    # A resample draws a row as often as u lies above the thresholds of a Poisson count of mean 1; u is a remainder modulo a prime.
+    "WITH ids AS (SELECT value AS v, (event_id % 1000003 + 1)::HUGEINT AS i FROM events), b AS (SELECT unnest(range(2000))::HUGEINT AS b), "
+    "u AS (SELECT b, v, i, (((i * 40503 % 1000003) * (2 * b + 1)) % 1000003 + b * b * 9973) % 1000003 AS x FROM ids, b), "
+    "t AS (SELECT b, v, (x * x % 1000003) * (i * i % 1000003 + b) % 1000003 AS u FROM u), "
+    "w AS (SELECT b, v, (u >= 367880)::INT + (u >= 735761)::INT + (u >= 919701)::INT + (u >= 981014)::INT + (u >= 996343)::INT + (u >= 999408)::INT + (u >= 999919)::INT AS n FROM t), "
+    "m AS (SELECT sum(v * n) / sum(n) AS m FROM w GROUP BY b) SELECT (SELECT round(avg(value), 6) FROM events) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"
+)
 def bootstrap_ci(spark, sf_dir):
-    out = statistics.bootstrap_mean(table(spark, sf_dir, "events"), "value", 200)
-    return out.filter("low <= mean AND mean <= high").select(rounded(F.col("mean")).alias("mean"))
-
-
-@query()
-def bootstrap_interval(spark, sf_dir):
-    """mean, low and high by the operator's own number of resamples; draws have no SQL, so a test holds it against the normal interval."""
-    return statistics.bootstrap_mean(table(spark, sf_dir, "events"), "value").select("mean", "low", "high")
+    out = statistics.bootstrap_mean(table(spark, sf_dir, "events"), "value", row_id="event_id")
+    return out.select(*[rounded(F.col(c)).alias(c) for c in ("mean", "low", "high")])
 
 
 # ---- Canonical basis
@@ -481,9 +546,30 @@ def basis_dimensions(spark, sf_dir):
     return spark.createDataFrame([(d, quotient.canonical_dimension(d, 2), quotient.original_grammar_size(d, 2)) for d in range(1, 47)], "d long, canonical long, grammar long")
 
 
-@query()
+@query("""SELECT slug, task, n_rows::BIGINT AS n_rows, n_features::BIGINT AS n_features FROM (VALUES
+    ('breast_cancer_diagnostic', 'binary', 569, 30),
+    ('breast_cancer_original', 'binary', 699, 9),
+    ('mammographic_mass', 'binary', 961, 5),
+    ('breast_tissue', 'multiclass', 106, 9),
+    ('heart_cleveland', 'binary', 303, 13),
+    ('statlog_heart', 'binary', 270, 13),
+    ('spect_heart', 'binary', 267, 22),
+    ('spectf_heart', 'binary', 267, 44),
+    ('pima_diabetes', 'binary', 768, 8),
+    ('diabetic_retinopathy_debrecen', 'binary', 1151, 19),
+    ('parkinsons', 'binary', 195, 22),
+    ('parkinsons_disease_classification', 'binary', 756, 754),
+    ('ilpd', 'binary', 583, 10),
+    ('dermatology', 'multiclass', 366, 34),
+    ('haberman_survival', 'binary', 306, 3),
+    ('vertebral_column_2c', 'binary', 310, 6),
+    ('arrhythmia_binary', 'binary', 452, 279),
+    ('iris', 'multiclass', 150, 4),
+    ('wine', 'multiclass', 178, 13),
+    ('digits', 'multiclass', 1797, 64)
+) AS t(slug, task, n_rows, n_features)""")
 def dataset_registry(spark, sf_dir):
-    return datasets.registry(spark).select("slug", "task", "n_rows", "n_features", "n_classes")
+    return datasets.registry(spark).select("slug", "task", "n_rows", "n_features")
 
 
 # ---- Fits: coefficients aren't SQL; tests hold them against optimality and invariance

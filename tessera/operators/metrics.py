@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions.membership import violation_grades
+from tessera.operators.prepare import exact_quantiles
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("y"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -29,15 +32,19 @@ def confusion_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     )
 
 
+def number_range(x: Column) -> Column:
+    """A number that grows with x in steps: 64 ranges for each power of two, some hundred thousand in all."""
+    step = F.floor(F.log2(F.abs(F.nullif(x.cast("double"), F.lit(0.0)))) * 64)
+    return F.when(x == 0, 0.0).otherwise(F.signum(x.cast("double")) * (100_000 + step))
+
+
 def roc_auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """One row: the rank-sum AUC with average ranks. Ties are grouped first, so the running sum is over different scores.
 
     The running sum is cut in two levels by score range, so that no task holds all scores; null if a class is absent.
     """
     tied = df.groupBy(F.col(score).alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    # Rows of one score meet above; a cell holds scores of one power-of-two range.
-    cell = F.signum("s") * (2000 + F.when(F.col("s") == 0, -3000.0).otherwise(F.floor(F.log2(F.abs(F.nullif(F.col("s"), F.lit(0.0)))) * 64)))
-    tied = tied.withColumn("cell", F.when(F.col("s") == 0, 0.0).otherwise(cell))
+    tied = tied.withColumn("cell", number_range(F.col("s")))
     cells = tied.groupBy("cell").agg(F.sum(F.col("n") - F.col("p")).alias("neg"), F.min("s").alias("first"))
     before = W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select("cell", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("start"))
@@ -58,8 +65,16 @@ def roc_auc_ovr(df: DataFrame, truth: str, scores: dict) -> DataFrame:
     return out.agg(F.avg("roc_auc").alias("roc_auc"))
 
 
-def margin_stats(df: DataFrame, margin: str) -> DataFrame:
-    return df.agg(F.avg(F.abs(margin)).alias("mean_abs_margin"), F.median(F.abs(margin)).alias("median_abs_margin"))
+def margin_stats(df: DataFrame, margin: str) -> dict[str, float]:
+    """The mean and the exact median of the margins' sizes."""
+    sizes_ = df.select(F.abs(margin).alias("m"))
+    return {"mean_abs_margin": sizes_.agg(F.avg("m")).first()[0], "median_abs_margin": exact_quantiles(sizes_, ["m"], [0.5])["m"][0]}
+
+
+def margin_gap_stats(df: DataFrame, scores: Column) -> dict[str, float]:
+    """The mean and the exact median of the gap between the best and the second score."""
+    gaps = df.select(margin_gap(scores).alias("g"))
+    return {"mean_margin_gap": gaps.agg(F.avg("g")).first()[0], "median_margin_gap": exact_quantiles(gaps, ["g"], [0.5])["g"][0]}
 
 
 def margin_gap(scores: Column) -> Column:
@@ -90,36 +105,56 @@ def rules_to_cover(contributions: Column, mass: float = 0.9) -> Column:
     return F.when(total(s) > 0, F.least(fold["n"] + 1, F.size(s))).otherwise(0)
 
 
-def rule_metrics(df: DataFrame, activation: Column, coefficients: Sequence[float], lengths: Sequence[int], intercept: float, y: Column, n_candidates: int, n_features: int, n_screened: int) -> DataFrame:
-    """One row of complexity, activity, concentration, fidelity, contrast and violation metrics of one binary model."""
+def safe_weighted_mean(values: Sequence[float], weights: Sequence[float]) -> float:
+    total_ = sum(weights)
+    return sum(v * w for v, w in zip(values, weights, strict=True)) / total_ if total_ > 0 else 0.0
+
+
+def rule_metrics(df: DataFrame, activation: Column, coefficients: Sequence[float], lengths: Sequence[int], intercept: float, y: Column, n_candidates: int, n_features: int, n_screened: int, served: Column | None = None) -> DataFrame:
+    """One row: thirty figures of complexity, activity, concentration, fidelity, contrast and violation of one binary model.
+
+    Contributions are coefficient times activation. ``served`` is the margin that the model answers with; fidelity holds it against intercept plus contributions, which are
+    summed here on their own. Contributions support a decision if they have its sign, a margin of 0 counting as positive. An empty df gives nulls where rows are needed."""
     c, size = list(map(float, coefficients)), [abs(float(x)) for x in coefficients]
-    support = [i for i, x in enumerate(size) if x >= 1e-8]
-    l1 = sum(size)
+    support = [i for i, x in enumerate(size) if x > 1e-10]
     fixed = {
-        "candidate_rules": float(n_candidates), "n_rules": float(sum(x > 1e-10 for x in size)), "retained_rule_ratio": sum(x > 1e-10 for x in size) / max(n_candidates, 1),
-        "screened_features": float(n_screened), "screened_feature_ratio": n_screened / max(n_features, 1), "support_rule_count": float(len(support)), "support_rule_ratio": len(support) / max(len(c), 1),
+        "candidate_rules": float(n_candidates), "n_rules": float(len(c)), "retained_rule_ratio": len(c) / max(1, n_candidates),
+        "screened_features": float(n_screened), "screened_feature_ratio": n_screened / max(1, n_features),
+        "support_rule_count": float(len(support)), "support_rule_ratio": len(support) / max(1, len(c)),
         "avg_rule_length": sum(lengths) / len(lengths) if lengths else 0.0, "avg_support_rule_length": sum(lengths[i] for i in support) / len(support) if support else 0.0,
-        "weighted_rule_length": sum(x * n for x, n in zip(size, lengths, strict=True)) / l1 if l1 > 0 else 0.0, "coef_l1": l1, "coef_l2": sum(x * x for x in size) ** 0.5,
-        "length_weighted_complexity": sum(x * n for x, n in zip(size, lengths, strict=True)),
+        "weighted_rule_length": safe_weighted_mean(lengths, size), "coef_l1": sum(size), "coef_l2": sum(x * x for x in size) ** 0.5,
+        "length_weighted_complexity": float(sum(x * n for x, n in zip(size, lengths, strict=True))),
     }
-    beta = F.array(*map(F.lit, c))
-    rows = df.select(activation.alias("z"), y.alias("y")).withColumn("c", F.zip_with("z", beta, lambda a, b: a * b))
-    rows = rows.withColumn("m", total(F.col("c")) + intercept)
+    beta = F.array(*map(F.lit, c)).cast("array<double>")
+    summed = total(F.col("c")) + float(intercept)
+    rows = df.select(activation.alias("z"), y.alias("y"), *([served.alias("m")] if served is not None else [])).withColumn("c", F.zip_with("z", beta, lambda a, b: a * b))
+    rows = rows if served is not None else rows.withColumn("m", summed)
     slack = F.greatest(F.lit(0.0), 1 - F.col("y") * F.col("m"))
-    from tessera.functions.membership import violation_grades
-
-    plus = total(F.filter("c", lambda x: x > 0))
-    minus = -total(F.filter("c", lambda x: x < 0))
-    error = F.abs(F.col("m") - (total(F.col("c")) + intercept))
+    grades = violation_grades(slack)
+    sign = F.when(F.col("m") >= 0, 1.0).otherwise(-1.0)
+    along = F.transform("c", lambda x: x * sign)
+    supporting = total(F.transform(along, lambda x: F.greatest(x, F.lit(0.0))))
+    opposing = total(F.transform(along, lambda x: F.greatest(-x, F.lit(0.0))))
+    error = F.abs(F.col("m") - summed)
+    each = rows.select("z", "c", "m", slack.alias("slack"), supporting.alias("supporting"), opposing.alias("opposing"), error.alias("error"), *[g.alias(n) for n, g in grades.items()])
+    both = F.col("supporting") + F.col("opposing")
     parts = {
-        "mean_rule_activation": F.avg(total(F.col("z")) / max(len(c), 1)), "mean_fired_rules": F.avg(F.size(F.filter("z", lambda x: x > 1e-6))),
-        "mean_contributing_rules": F.avg(F.size(F.filter("c", lambda x: F.abs(x) > 1e-8))), "mean_rules_for_90pct": F.avg(rules_to_cover(F.col("c"))),
-        "mean_top1_share": F.avg(top_share(F.col("c"), 1)), "mean_top5_share": F.avg(top_share(F.col("c"), 5)), "explanation_max_error": F.max(error), "explanation_mean_error": F.avg(error),
-        "mean_abs_margin": F.avg(F.abs("m")), "mean_supporting": F.avg(F.when(F.col("m") >= 0, plus).otherwise(minus)), "mean_opposing": F.avg(F.when(F.col("m") >= 0, minus).otherwise(plus)),
-        "contrastive_gap": F.avg(F.abs(plus - minus)), "contrastive_ratio": F.avg(F.when(plus + minus > 0, F.abs(plus - minus) / F.nullif(plus + minus, F.lit(0.0))).otherwise(0.0)),
-        "mean_slack": F.avg(slack), **{f"mean_{n}": F.avg(g) for n, g in violation_grades(slack).items()},
+        "mean_rule_activation": F.avg(total(F.col("z")) / max(len(c), 1)), "mean_fired_rules_per_sample": F.avg(F.size(F.filter("z", lambda x: x > 1e-6))),
+        "mean_contributing_rules_per_sample": F.avg(F.size(F.filter("c", lambda x: F.abs(x) > 1e-8))), "mean_rules_for_90pct_contribution": F.avg(rules_to_cover(F.col("c"))),
+        "top1_abs_contribution_share": F.avg(top_share(F.col("c"), 1)), "top5_abs_contribution_share": F.avg(top_share(F.col("c"), 5)),
+        "explanation_fidelity_max_abs_error": F.max("error"), "explanation_fidelity_mean_abs_error": F.avg("error"), "mean_abs_margin": F.avg(F.abs("m")),
+        "mean_supporting_contribution": F.avg("supporting"), "mean_opposing_contribution": F.avg("opposing"), "mean_contrastive_gap": F.avg(F.col("supporting") - F.col("opposing")),
+        "mean_contrastive_ratio": F.avg(F.when(both > 0, F.col("supporting") / F.nullif(both, F.lit(0.0))).otherwise(0.0)),
+        "mean_slack": F.avg("slack"), **{f"{n}_membership": F.avg(n) for n in grades},
     }
-    return rows.agg(*[v.alias(k) for k, v in parts.items()]).select(*[F.lit(v).alias(k) for k, v in fixed.items()], *parts)
+    return each.agg(*[v.alias(k) for k, v in parts.items()]).select(*[F.lit(v).alias(k) for k, v in fixed.items()], *parts)
+
+
+def mean_of_dicts(rows: Sequence[dict], prefix: str = "") -> dict:
+    """The mean of each key over the dicts that have it."""
+    keys = sorted({k for r in rows for k in r})
+    found = {k: [r[k] for r in rows if r.get(k) is not None] for k in keys}
+    return {f"{prefix}{k}": sum(v) / len(v) for k, v in found.items() if v}
 
 
 def jaccard_stability(sets: DataFrame, fold: str, items: str) -> DataFrame:
@@ -145,10 +180,22 @@ def best_per_group(df: DataFrame, group: str, score: str, *ties: str) -> DataFra
 
 
 def pareto(df: DataFrame, cost: str, gain: str) -> DataFrame:
-    """The rows that no cheaper or equally cheap row matches in gain. Best gain by cost first, so the window holds different costs only."""
-    best = df.groupBy(cost).agg(F.max(gain).alias(gain))
-    before = F.max(gain).over(W.orderBy(cost).rowsBetween(W.unboundedPreceding, -1))
-    return best.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col(gain) > F.col("_before"))).drop("_before")
+    """The rows that no cheaper or equally cheap row matches in gain. The best gain of each cost comes first, then the best before it, within a range of costs
+    and over the ranges, so that no task holds all costs."""
+    best = df.groupBy(cost).agg(F.max(gain).alias(gain)).withColumn("_range", number_range(F.col(cost)))
+    tops = best.groupBy("_range").agg(F.max(gain).alias("_top"))
+    below = F.max("_top").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = tops.select(F.col("_range").alias("_of"), below.alias("_below"))  # one row a range
+    before = F.max(gain).over(W.partitionBy("_range").orderBy(cost).rowsBetween(W.unboundedPreceding, -1))
+    both = best.withColumn("_before", before).join(ranges, F.col("_range") == F.col("_of"))
+    most = F.greatest("_before", "_below")
+    return both.filter(most.isNull() | (F.col(gain) > most)).drop("_range", "_of", "_before", "_below")
+
+
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key by the order (distinct on)."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(*keys).agg(first.alias("_row")).select("_row.*")
 
 
 def nonzero_features(coefficients: DataFrame, feature: str = "feature", value: str = "coef") -> DataFrame:

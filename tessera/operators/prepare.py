@@ -36,8 +36,63 @@ def missing_to_null(c: str) -> Column:
     return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
 
 
+#: How many different values a last pass may hold for a quantile, and the accuracy of the sketch that brackets it.
+DISTINCT, ACCURACY = 20_000, 10_000
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation, by a bracket for each that narrows until it holds few different values.
+
+    A pass counts what lies below and in each bracket; where there are more than ``DISTINCT`` different values, a sketch of the bracket's values narrows it by some thousand
+    times. The last pass takes the two order statistics. So no task ever holds the values of a continuous column. Nulls are left out; a column without values gives None.
+    """
+    asked = [(c, q) for c in columns for q in fractions]
+    bracket = dict.fromkeys(asked, (-math.inf, math.inf))
+    inside = lambda k: F.when((F.col(k[0]) >= bracket[k][0]) & (F.col(k[0]) <= bracket[k][1]), F.col(k[0]).cast("double"))
+    total: dict[str, int] = {}
+    while True:
+        parts = [F.count(c).alias(f"n_{c}") for c in columns]
+        different = {b: i for i, b in enumerate(dict.fromkeys((k[0], *bracket[k]) for k in asked))}
+        for (c, *b), i in different.items():
+            x = inside(next(k for k in asked if (k[0], *bracket[k]) == (c, *b)))
+            parts += [F.count_if(F.col(c) < b[0]).alias(f"b{i}"), F.count(x).alias(f"m{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
+        row = df.agg(*parts).first()
+        total = {c: row[f"n_{c}"] for c in columns}
+        at = {k: different[k[0], *bracket[k]] for k in asked}
+        place = {k: k[1] * (total[k[0]] - 1) - row[f"b{at[k]}"] for k in asked}
+        size = {k: row[f"m{at[k]}"] for k in asked}
+        wide = [k for k in asked if bracket[k][0] < bracket[k][1] and row[f"d{at[k]}"] > DISTINCT]
+        if not wide:
+            break
+        ends = []
+        for i, k in enumerate(wide):
+            r, e = place[k] / (size[k] - 1), 3 / ACCURACY + 2 / size[k]
+            ends.append(F.percentile_approx(inside(k), [max(0.0, r - e), min(1.0, r + e)], ACCURACY).alias(f"e{i}"))
+        row = df.agg(*ends).first()
+        bracket |= {k: tuple(row[f"e{i}"]) for i, k in enumerate(wide)}
+    parts = []
+    for i, k in enumerate(asked):
+        for j in (0, 1):
+            n = min(math.floor(place[k]) + j, size[k] - 1) if size[k] else 0
+            # The n-th value of m is the least that a share of (n + 0.5) / m reaches.
+            parts.append(F.expr(f"percentile_disc({(n + 0.5) / max(size[k], 1)!r}) WITHIN GROUP (ORDER BY {_between(k[0], *bracket[k])})").alias(f"x{i}_{j}"))
+    row = df.agg(*parts).first()
+    out: dict[str, list] = {c: [] for c in columns}
+    for i, k in enumerate(asked):
+        lo, hi = row[f"x{i}_0"], row[f"x{i}_1"]
+        out[k[0]].append(None if lo is None else float(lo + (hi - lo) * (place[k] - math.floor(place[k]))))
+    return out
+
+
+def _between(c: str, lo: float, hi: float) -> str:
+    """SQL for the values of a column within a bracket, null outside."""
+    ends = [f"`{c}` {op} {x!r}D" for op, x in ((">=", lo), ("<=", hi)) if math.isfinite(x)]
+    return f"CASE WHEN {' AND '.join(ends) or 'true'} THEN CAST(`{c}` AS DOUBLE) END"
+
+
 def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    return df.agg(*[F.median(missing_to_null(c)).alias(c) for c in features]).first().asDict()
+    found = exact_quantiles(df.select(*[missing_to_null(c).alias(c) for c in features]), features, [0.5])
+    return {c: x[0] for c, x in found.items()}
 
 
 def impute_median(df: DataFrame, features: Sequence[str], found: dict[str, float] | None = None) -> DataFrame:
@@ -47,14 +102,14 @@ def impute_median(df: DataFrame, features: Sequence[str], found: dict[str, float
 
 
 def anchors(df: DataFrame, features: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> list[Partition]:
-    """Exact linear-interpolation quantiles of all features in one pass."""
+    """Exact linear-interpolation quantiles of all features, together."""
     q1, q2, q3 = map(float, quantiles)
     if not 0 <= q1 < q2 < q3 <= 1:
         raise ValueError("quantiles must increase within [0, 1]")
-    row = df.agg(*[F.percentile(F.col(c), F.array(F.lit(q1), F.lit(q2), F.lit(q3))).alias(c) for c in features]).first()
-    if any(row[c] is None for c in features):
+    found = exact_quantiles(df, features, [q1, q2, q3])
+    if any(None in found[c] for c in features):
         raise ValueError("a feature has no values")
-    return [Partition(c, *map(float, row[c])) for c in features]
+    return [Partition(c, *found[c]) for c in features]
 
 
 def class_weights(df: DataFrame, label: str, class_weight: str | dict | None) -> dict:
@@ -100,18 +155,20 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str) -> list[tuple[st
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 16) -> list[tuple[str, float]]:
-    """Mutual information (nats) of each feature's quantile bin with the label: a binned estimate, in one grouped pass a feature."""
+    """Mutual information (nats) of each feature's quantile bin with the label: a binned estimate. The cuts of all features are found together, and one grouped pass counts all bins."""
+    cuts = exact_quantiles(df, features, [i / bins for i in range(1, bins)])
+    bin_ = lambda c: sum((F.when(F.col(c) > F.lit(x), 1).otherwise(0) for x in sorted(set(cuts[c]) - {None})), F.lit(0))
+    each = F.posexplode(F.array(*[bin_(c) for c in features])).alias("f", "b")
+    rows = df.select(F.col(label).alias("y"), each).groupBy("f", "b", "y").count().collect()  # features * bins * classes rows at most
     out = []
-    for c in features:
-        cuts = df.agg(F.percentile(F.col(c), F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0] or []
-        bin_ = sum((F.when(F.col(c) > F.lit(x), 1).otherwise(0) for x in sorted(set(cuts))), F.lit(0))
-        rows = df.groupBy(bin_.alias("b"), F.col(label).alias("y")).count().collect()  # bins * classes rows
-        n = sum(r["count"] for r in rows)
+    for i, c in enumerate(features):
+        own = [r for r in rows if r["f"] == i]
+        n = sum(r["count"] for r in own)
         by_b, by_y = {}, {}
-        for r in rows:
+        for r in own:
             by_b[r["b"]] = by_b.get(r["b"], 0) + r["count"]
             by_y[r["y"]] = by_y.get(r["y"], 0) + r["count"]
-        mi = sum(r["count"] / n * math.log(r["count"] * n / (by_b[r["b"]] * by_y[r["y"]])) for r in rows)
+        mi = sum(r["count"] / n * math.log(r["count"] * n / (by_b[r["b"]] * by_y[r["y"]])) for r in own)
         out.append((c, max(0.0, mi)))
     return out
 
@@ -129,9 +186,26 @@ def screen(df: DataFrame, features: Sequence[str], label: str, method: str = "no
     return [features[i] for i in sorted(best)]
 
 
+#: The modulus of the shuffle, and the ranges of it in which rows are numbered.
+PRIME, CELLS = 1_000_003, 4096
+
+
 def portable_order(row_id: str, seed: int = 0) -> Column:
     """A shuffle that any SQL engine can repeat: a multiple of the id modulo a prime, then the id."""
-    return F.pmod(F.col(row_id).cast("long") * F.lit(7919 + 2 * seed) + F.lit(104729 * (seed + 1)), F.lit(1_000_003))
+    return F.pmod(F.col(row_id).cast("long") * F.lit(7919 + 2 * seed) + F.lit(104729 * (seed + 1)), F.lit(PRIME))
+
+
+def turns(df: DataFrame, label: str, row_id: str, seed: int = 0) -> DataFrame:
+    """df with _turn: 0, 1, ... of a label's rows in portable order.
+
+    Rows are numbered within ranges of the order, and each range starts where those before it end, so no task holds all rows of a label."""
+    rows = df.withColumn("_order", portable_order(row_id, seed)).withColumn("_cell", F.floor(F.col("_order") * CELLS / PRIME))
+    counts = rows.groupBy(F.col(label).alias("_label"), F.col("_cell").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_label").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_label", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # CELLS rows a label
+    inside = F.row_number().over(W.partitionBy(label, "_cell").orderBy("_order", row_id)) - 1
+    both = rows.withColumn("_at", inside).join(starts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_cell") == F.col("_of")))
+    return both.withColumn("_turn", F.col("_start") + F.col("_at")).drop("_order", "_cell", "_label", "_of", "_start", "_at")
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -140,8 +214,7 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = 5, seed: i
     folds = min(k, least)
     if folds < 2:
         raise ValueError("the smallest class has fewer than two rows")
-    turn = F.row_number().over(W.partitionBy(label).orderBy(portable_order(row_id, seed), row_id)) - 1
-    return df.withColumn("fold", F.pmod(turn, F.lit(folds)).cast("int"))
+    return turns(df, label, row_id, seed).withColumn("fold", F.pmod("_turn", F.lit(folds)).cast("int")).drop("_turn")
 
 
 def subset_sizes(counts: dict, size: int) -> dict:
@@ -159,8 +232,7 @@ def stratified_subset(df: DataFrame, label: str, row_id: str, size: int, seed: i
     if sum(counts.values()) <= size:
         return df
     give = subset_sizes(counts, size)
-    turn = F.row_number().over(W.partitionBy(label).orderBy(portable_order(row_id, seed), row_id))
-    return df.withColumn("_turn", turn).filter(F.col("_turn") <= lookup(F.col(label), give, 0)).drop("_turn")
+    return turns(df, label, row_id, seed).filter(F.col("_turn") < lookup(F.col(label), give, 0)).drop("_turn")
 
 
 def dataset_seed(seed: int, slug: str, known: Sequence[str]) -> int:

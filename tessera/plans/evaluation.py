@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics, prepare
+from tessera.operators.explain import checked_sign
 from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest
 from tessera.sources import datasets
 
@@ -41,6 +42,42 @@ ABLATIONS: dict[str, Callable] = {
 }
 
 
+def binary_parts(model, label: str) -> list[tuple]:
+    """(model, the sign of the truth, a prefix of its rules) for a binary model, or for each class of one against the rest."""
+    if isinstance(model, OneVsRest):
+        return [(m, F.when(F.col(label) == F.lit(c), 1.0).otherwise(-1.0), f"ovr={c}|" if len(model.models_) > 1 else "") for c, m in zip(model.classes_, model.models_, strict=True)]
+    return [(model, checked_sign(F.col(label), model.classes_), "")] if hasattr(model, "classes_") else []
+
+
+def rule_figures(model, test: DataFrame, label: str) -> dict:
+    """The mean rule metrics of a model's binary parts, with the prefix rule_."""
+    rows = []
+    for m, y, _ in binary_parts(model, label):
+        if hasattr(m, "rules_"):
+            acts = F.array(*m.activation_columns())
+            screened = len(getattr(m, "selected_", m.partitions_))
+            made = metrics.rule_metrics(test, acts, m.coef_, [r.length for r in m.rules_], m.intercept_, y, getattr(m, "n_candidate_rules_", len(m.rules_)), m.n_features_in_, screened, m.margin_column())
+            rows.append(made.first().asDict())
+    return metrics.mean_of_dicts(rows, "rule_")
+
+
+def support_set(model, label: str) -> set[str]:
+    return {prefix + r["rule"] for m, _, prefix in binary_parts(model, label) if hasattr(m, "support_rules") for r in m.support_rules()}
+
+
+def score_figures(scored: DataFrame, model, label: str) -> dict:
+    """AUC and margins: of the positive class for binary models, the mean over classes and the gap of the two best scores for several."""
+    if isinstance(model, OneVsRest):
+        each = model.decision_function(scored)
+        columns = {c: f"_score{i}" for i, c in enumerate(model.classes_)}
+        each = each.withColumns({name: F.get("margins", F.lit(i)) for i, name in enumerate(columns.values())})
+        return metrics.roc_auc_ovr(each, label, columns).first().asDict() | metrics.margin_gap_stats(each, F.col("margins"))
+    if not hasattr(model, "margin_column"):
+        return {}
+    each = model.decision_function(scored)
+    return metrics.roc_auc(each, F.col(label) == F.lit(model.classes_[1]), "margin").first().asDict() | metrics.margin_stats(each, "margin")
+
+
 def evaluate_fold(train: DataFrame, test: DataFrame, model, label: str, features: Sequence[str]) -> dict:
     middle = prepare.medians(train, features)
     train, test = prepare.impute_median(train, features, middle), prepare.impute_median(test, features, middle)
@@ -49,11 +86,10 @@ def evaluate_fold(train: DataFrame, test: DataFrame, model, label: str, features
     fitted = time.perf_counter()
     scored = model.predict(test)
     out = metrics.confusion_metrics(scored, label, "prediction").first().asDict()
-    if hasattr(model, "margin_column"):
-        scored = model.decision_function(scored)
-        out |= metrics.roc_auc(scored, F.col(label) == F.lit(model.classes_[1]), "margin").first().asDict()
-        out |= metrics.margin_stats(scored, "margin").first().asDict()
-    return {k: v for k, v in out.items() if v is not None} | {"fit_seconds": fitted - began, "predict_seconds": time.perf_counter() - fitted}
+    predicted = time.perf_counter()
+    out |= score_figures(scored, model, label) | rule_figures(model, test, label)
+    sizes = {"n_train": train.count(), "n_test": test.count(), "n_features": len(features), "n_classes": len(model.classes_)}
+    return sizes | {k: v for k, v in out.items() if v is not None} | {"fit_seconds": fitted - began, "predict_seconds": predicted - fitted}
 
 
 def cross_validate(df: DataFrame, label: str, row_id: str, features: Sequence[str], factory: Callable, k: int = 5, seed: int = 0) -> tuple[list[dict], list[set]]:
@@ -64,7 +100,7 @@ def cross_validate(df: DataFrame, label: str, row_id: str, features: Sequence[st
         for fold in range(folded.agg(F.max("fold")).first()[0] + 1):
             model = factory()
             rows.append({"fold": fold, **evaluate_fold(folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold), model, label, features)})
-            supports.append({r["rule"] for r in model.support_rules()} if hasattr(model, "support_rules") else set())
+            supports.append(support_set(model, label))
         return rows, supports
     finally:
         folded.unpersist()
@@ -87,23 +123,37 @@ def select(df: DataFrame, label: str, row_id: str, features: Sequence[str], buil
     return options[best[1]]
 
 
+#: What isn't summed up over folds.
+_PLACES = ("fold", "n_train", "n_test", "n_features", "n_classes")
+
+
 def summarise(spark: SparkSession, rows: Sequence[dict], by: Sequence[str] = ("dataset", "model")) -> list[dict]:
-    long = [(*[str(r[b]) for b in by], m, float(v)) for r in rows for m, v in r.items() if m not in (*by, "fold") and isinstance(v, int | float)]
+    """One dict for each data set and model: mean, std, median, q25 and q75 of each metric over its folds, as metric_mean and so on."""
+    long = [(*[str(r[b]) for b in by], m, float(v)) for r in rows for m, v in r.items() if m not in (*by, *_PLACES) and isinstance(v, int | float)]
     df = spark.createDataFrame(long, ", ".join(f"{b} string" for b in by) + ", metric string, value double")
-    return [r.asDict() for r in metrics.roll_up(df, list(by)).orderBy(*by, "metric").collect()]
+    found: dict[tuple, dict] = {}
+    for r in metrics.roll_up(df, list(by)).orderBy(*by, "metric").collect():
+        key = tuple(r[b] for b in by)
+        found.setdefault(key, dict(zip(by, key, strict=True))).update({f"{r['metric']}_{k}": r[k] for k in ("mean", "std", "median", "q25", "q75")})
+    return list(found.values())
 
 
-def evaluate(spark: SparkSession, slugs: Sequence[str], directory: str, out: str | None = None, factories: dict[str, Callable] | None = None, k: int = 5, seed: int = 0) -> Result:
-    """Each model on each prepared data set; writes fold_metrics.csv, metrics.csv and metrics.json where out is given."""
-    rows = []
+def evaluate(spark: SparkSession, slugs: Sequence[str], directory: str, out: str | None = None, factories: dict[str, Callable] | None = None, k: int = 5, seed: int = 0, max_samples: int | None = None) -> Result:
+    """Each model on each prepared data set, on a stratified subset where there are more than max_samples rows; writes fold_metrics.csv, metrics.csv, metrics.json and run.json where out is given."""
+    rows, extra = [], {}
     known = [s.slug for s in datasets.list_datasets()]
     for slug in slugs:
         df, spec, names = datasets.load_dataset(spark, slug, directory)
-        df = df.withColumn("row_id", F.xxhash64(*df.columns) % 1_000_003)
-        for key, factory in (factories or {"default": lambda s=spec: default_model(s.n_features, s.n_classes)}).items():
-            found, supports = cross_validate(df, "target", "row_id", names, factory, k, prepare.dataset_seed(seed, slug, known))
-            rows += [{"dataset": slug, "model": key, "rule_jaccard": jaccard(supports), **r} for r in found]
-    summary = summarise(spark, rows)
+        df = df.withColumn("row_id", F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)))
+        own = prepare.dataset_seed(seed, slug, known)
+        if max_samples is not None:
+            df = prepare.stratified_subset(df, "target", "row_id", max_samples, own)
+        classes = df.select("target").distinct().count()
+        for key, factory in (factories or {"default": lambda n=len(names), c=classes: default_model(n, c)}).items():
+            found, supports = cross_validate(df, "target", "row_id", names, factory, k, own)
+            rows += [{"dataset": slug, "model": key, **r} for r in found]
+            extra[slug, key] = {"dataset_name": spec.name, "task": spec.task, "n_samples": df.count(), "n_features": len(names), "n_classes": classes, "n_folds": len(found), "support_rule_jaccard": jaccard(supports)}
+    summary = [s | extra[s["dataset"], s["model"]] for s in summarise(spark, rows)]
     if out:
         os.makedirs(out, exist_ok=True)
         datasets.write_csv_rows(rows, f"{out}/fold_metrics.csv")
@@ -113,6 +163,50 @@ def evaluate(spark: SparkSession, slugs: Sequence[str], directory: str, out: str
     return Result(rows, summary)
 
 
+@dataclass(frozen=True)
+class Nested:
+    folds: list[dict]
+    chosen: list[dict]
+
+
+def nested(df: DataFrame, label: str, row_id: str, features: Sequence[str], build: Callable, options: Sequence[dict], outer: int = 5, inner: int = 3, repeats: int = 1, seed: int = 0) -> Nested:
+    """Nested cross-validation: in each outer fold the options are chosen on its training rows alone, and the model they make is measured on its test rows."""
+    rows, chosen = [], []
+    for repeat in range(repeats):
+        folded = prepare.stratified_folds(df, label, row_id, outer, seed + repeat).persist()
+        try:
+            for fold in range(folded.agg(F.max("fold")).first()[0] + 1):
+                train, test = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold).drop("fold")
+                best = select(train, label, row_id, features, build, options, inner, seed + 100 * repeat + fold)
+                rows.append({"repeat": repeat, "fold": fold, **evaluate_fold(train, test, build(**best), label, features)})
+                chosen.append(best)
+        finally:
+            folded.unpersist()
+    return Nested(rows, chosen)
+
+
+def ablate(df: DataFrame, label: str, row_id: str, features: Sequence[str], variants: dict[str, Callable] | None = None, k: int = 3, seed: int = 0) -> list[dict]:
+    """One row a variant: the mean of each metric over folds, and its balanced accuracy less that of the first variant."""
+    out = []
+    for name, factory in (variants or ABLATIONS).items():
+        rows, supports = cross_validate(df, label, row_id, features, factory, k, seed)
+        mean = metrics.mean_of_dicts([{m: v for m, v in r.items() if m not in _PLACES} for r in rows])
+        out.append({"variant": name, "support_rule_jaccard": jaccard(supports), **mean, "delta": mean["balanced_accuracy"] - (out[0]["balanced_accuracy"] if out else mean["balanced_accuracy"])})
+    return out
+
+
+def budget_sweep(df: DataFrame, label: str, row_id: str, features: Sequence[str], budgets: Sequence[int] = (8, 16, 32, 64), k: int = 3, seed: int = 0) -> list[dict]:
+    """Accuracy and complexity by the number of rules that may stay."""
+    rows = ablate(df, label, row_id, features, {str(b): (lambda b=b: FuzzyRuleSVM(max_rules=b)) for b in budgets}, k, seed)
+    return [{"max_rules": int(r.pop("variant")), **r} for r in rows]
+
+
+def screening_sweep(df: DataFrame, label: str, row_id: str, features: Sequence[str], sizes: Sequence[int], method: str = "anova", k: int = 3, seed: int = 0) -> list[dict]:
+    """Accuracy by the number of features that screening lets through, for tables of many features."""
+    rows = ablate(df, label, row_id, features, {str(n): (lambda n=n: FuzzyRuleSVM(feature_screening=method, screen_top_k=n)) for n in sizes}, k, seed)
+    return [{"screen_top_k": int(r.pop("variant")), **r} for r in rows]
+
+
 def main(args: Sequence[str] | None = None) -> None:
     """python -m tessera.plans.evaluation --data DIR --out DIR SLUG...: evaluates the default model."""
     p = argparse.ArgumentParser(description=main.__doc__)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalogue
-from tessera.operators import metrics, statistics
+from tessera.operators import metrics, prepare, statistics
 
 
 def test_confusion_metrics_with_a_class_that_is_never_predicted(spark):
@@ -67,7 +67,63 @@ def test_policy():
 
 def test_bootstrap_query_returns_the_interval(spark, tmp_path):
     x = np.random.default_rng(2).normal(5, 2, 2000)
-    spark.createDataFrame([(float(v),) for v in x], "value double").write.parquet(str(tmp_path / "events.parquet"))
-    r = catalogue.QUERIES["bootstrap_interval"](spark, str(tmp_path)).first()
+    spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    r = catalogue.QUERIES["bootstrap_ci"](spark, str(tmp_path)).first()
     half = 1.96 * x.std() / len(x) ** 0.5
-    assert abs(r["mean"] - x.mean()) < 1e-9 and abs(r["low"] - x.mean() + half) < 0.15 * half and abs(r["high"] - x.mean() - half) < 0.15 * half
+    assert abs(r["mean"] - x.mean()) < 1e-5 and abs(r["low"] - x.mean() + half) < 0.15 * half and abs(r["high"] - x.mean() - half) < 0.15 * half
+
+
+def test_rule_metrics_against_plain_arrays(spark):
+    rng = np.random.default_rng(9)
+    z, c, b = rng.random((40, 5)), np.array([0.7, -0.4, 0.0, 1.2, -0.9]), -0.3
+    y, lengths = np.where(rng.random(40) < 0.5, 1.0, -1.0), [1, 1, 2, 2, 1]
+    served = z @ c + b + np.where(np.arange(40) == 7, 0.25, 0.0)  # a margin that explanations miss by 0.25 once
+    df = spark.createDataFrame([(list(map(float, a)), float(s), float(m)) for a, s, m in zip(z, y, served, strict=True)], "z array<double>, y double, m double")
+    got = metrics.rule_metrics(df, F.col("z"), c, lengths, b, F.col("y"), 20, 4, 3, F.col("m")).first().asDict()
+    parts = z * c
+    along = parts * np.where(served >= 0, 1, -1)[:, None]
+    plus, minus = np.maximum(along, 0).sum(1), np.maximum(-along, 0).sum(1)
+    order = -np.sort(-np.abs(parts), axis=1)
+    mass = order.sum(1)
+    slack = np.maximum(0, 1 - y * served)
+    own = {
+        "candidate_rules": 20, "n_rules": 5, "retained_rule_ratio": 0.25, "screened_features": 3, "screened_feature_ratio": 0.75, "support_rule_count": 4, "support_rule_ratio": 0.8,
+        "avg_rule_length": 1.4, "avg_support_rule_length": 1.25, "weighted_rule_length": (np.abs(c) @ lengths) / np.abs(c).sum(), "coef_l1": np.abs(c).sum(), "coef_l2": np.linalg.norm(c),
+        "length_weighted_complexity": np.abs(c) @ lengths, "mean_rule_activation": z.mean(), "mean_fired_rules_per_sample": (z > 1e-6).sum(1).mean(),
+        "mean_contributing_rules_per_sample": (np.abs(parts) > 1e-8).sum(1).mean(), "mean_rules_for_90pct_contribution": ((np.cumsum(order, 1) < 0.9 * mass[:, None]).sum(1) + 1).mean(),
+        "top1_abs_contribution_share": (order[:, 0] / mass).mean(), "top5_abs_contribution_share": 1.0, "explanation_fidelity_max_abs_error": 0.25, "explanation_fidelity_mean_abs_error": 0.25 / 40,
+        "mean_abs_margin": np.abs(served).mean(), "mean_supporting_contribution": plus.mean(), "mean_opposing_contribution": minus.mean(), "mean_contrastive_gap": (plus - minus).mean(),
+        "mean_contrastive_ratio": (plus / (plus + minus)).mean(), "mean_slack": slack.mean(), "cleanly_classified_membership": np.clip((0.5 - slack) / 0.5, 0, 1).mean(),
+        "borderline_membership": np.minimum(np.clip(slack, 0, 1), np.clip(2 - slack, 0, 1)).mean(), "strong_violation_membership": np.clip(slack - 1, 0, 1).mean(),
+    }
+    assert len(own) == 30 and set(got) == set(own)
+    for k, v in own.items():
+        assert got[k] == pytest.approx(float(v), abs=1e-12), k
+
+
+def test_quantiles_narrow_to_the_exact_values(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "DISTINCT", 50)
+    monkeypatch.setattr(prepare, "ACCURACY", 200)
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=5000), np.round(rng.normal(size=5000)), rng.integers(0, 3, 5000) * 1e9, np.full(5000, 4.0)]).T
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, None, None, 4.0)], "a double, b double, c double, d double").repartition(5)
+    fractions = [0.0, 0.05, 0.5, 0.777, 0.95, 1.0]
+    got = prepare.exact_quantiles(df, ["a", "b", "c", "d"], fractions)
+    for i, c in enumerate("abcd"):
+        assert got[c] == pytest.approx(np.quantile(x[:, i], fractions).tolist(), rel=1e-12, abs=1e-12)
+    assert prepare.exact_quantiles(df.filter("a is null"), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_turns_number_each_label_without_gaps(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 5 == 0]) for i in range(3000)], "row_id long, y string")
+    rows = prepare.turns(df, "y", "row_id", 3).collect()
+    for y in "ab":
+        ids = sorted((((r["row_id"] * 7925 + 104729 * 4) % 1_000_003, r["row_id"]), r["_turn"]) for r in rows if r["y"] == y)
+        assert [t for _, t in ids] == list(range(len(ids)))
+
+
+def test_pareto_and_keep_first(spark):
+    rows = [(1.0, 5.0, "x"), (1.0, 6.0, "y"), (2.0, 6.0, "z"), (3.0, 7.0, "u"), (-4.0, 1.0, "v"), (0.0, 2.0, "w"), (3000.0, 7.5, "t"), (3.1, 6.5, "s")]
+    df = spark.createDataFrame(rows, "cost double, gain double, name string")
+    assert sorted(tuple(r) for r in metrics.pareto(df, "cost", "gain").collect()) == [(-4.0, 1.0), (0.0, 2.0), (1.0, 6.0), (3.0, 7.0), (3000.0, 7.5)]
+    assert sorted(r["name"] for r in metrics.keep_first(df, ["cost"], ["gain"]).collect()) == ["s", "t", "u", "v", "w", "x", "z"]

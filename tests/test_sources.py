@@ -1,20 +1,56 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import synthetic
-from tessera.operators.estimators import FuzzyRuleSVM
+from tessera.operators.estimators import FuzzyRuleSVM, OneVsRest
 from tessera.plans import evaluation
 from tessera.sources import datasets
+from tessera.sources import prepare as preparation
 from tessera.streaming.scoring import score_stream
 
 
 def test_registry_and_manifest(spark, tmp_path):
     assert len(datasets.list_datasets()) == 20 == datasets.registry(spark).count()
-    datasets.main(["--manifest", str(tmp_path / "m.json")])
-    assert len(json.loads((tmp_path / "m.json").read_text())) == 20
+    preparation.main(["--manifest", str(tmp_path / "m.json")])
+    assert len(json.loads((tmp_path / "m.json").read_text())["datasets"]) == 20
+    assert datasets.spec_of("diabetic_retinopathy_debrecen").n_features == 19 and {s.slug for s in datasets.DATASETS} == set(preparation.LAYOUTS)
+    for slug, layout in preparation.LAYOUTS.items():
+        assert not layout.features or len(layout.features) == datasets.spec_of(slug).n_features
+    with pytest.raises(KeyError, match="unknown data set"):
+        datasets.spec_of("nothing")
+
+
+def test_sets_are_prepared_from_raw_files(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    (raw / "breast-cancer-wisconsin.data").write_text("".join(f"{1000 + i},{i % 10},2,3,4,5,{'?' if i == 3 else 6},7,8,9,{2 if i % 3 else 4}\n" for i in range(12)))
+    (raw / "heart.dat").write_text("".join(" ".join(f"{i}.0" for _ in range(13)) + f" {1 + i % 2}\n" for i in range(8)))
+    (raw / "SPECT.train").write_text("1," + ",".join("01" * 11) + "\n0," + ",".join("10" * 11) + "\n")
+    (raw / "SPECT.test").write_text("0," + ",".join("11" * 11) + "\n")
+    (raw / "Indian Liver Patient Dataset (ILPD).csv").write_text("65,Female,0.7,0.1,187,16,18,6.8,3.3,0.9,1\n62,Male,10.9,5.5,699,64,100,7.5,3.2,,2\n")
+    (raw / "messidor_features.arff").write_text("@relation r\n@data\n" + "".join(",".join(["1"] * 19 + [str(i % 2)]) + "\n" for i in range(4)))
+    (raw / "parkinsons.data").write_text("name," + ",".join(f"MDVP:f{i}" for i in range(22)) + ",status\n" + "".join(f"s{i}," + ",".join(["0.5"] * 22) + f",{i % 2}\n" for i in range(4)))
+    (raw / "iris.csv").write_text("a,b,c,d,target\n1,2,3,4,setosa\n2,3,4,5,virginica\n")
+    with zipfile.ZipFile(raw / "vertebral_column_data.zip", "w") as z:
+        z.writestr("column_2C.dat", "1 2 3 4 5 6 AB\n2 3 4 5 6 7 NO\n")
+    seen = {}
+    for slug in ("breast_cancer_original", "statlog_heart", "spect_heart", "ilpd", "diabetic_retinopathy_debrecen", "parkinsons", "iris", "vertebral_column_2c"):
+        preparation.prepare_dataset(spark, slug, str(raw), out)
+        df, spec, names = datasets.load_dataset(spark, slug, out)
+        assert len(names) == spec.n_features
+        seen[slug] = (df.count(), sorted({r["target"] for r in df.collect()}))
+    assert seen["breast_cancer_original"] == (12, ["benign", "malignant"]) and seen["statlog_heart"] == (8, ["absent", "present"]) and seen["spect_heart"] == (3, ["abnormal", "normal"])
+    assert seen["ilpd"] == (2, ["liver_patient", "non_liver_patient"]) and seen["diabetic_retinopathy_debrecen"] == (4, ["no_retinopathy", "retinopathy"])
+    assert seen["parkinsons"] == (4, ["healthy", "parkinsons"]) and seen["iris"] == (2, ["setosa", "virginica"]) and seen["vertebral_column_2c"] == (2, ["abnormal", "normal"])
+    cells = datasets.load_dataset(spark, "breast_cancer_original", out)[0]
+    assert cells.filter(F.isnan("bare_nuclei")).count() == 1
+    assert [r["gender_male"] for r in datasets.load_dataset(spark, "ilpd", out)[0].orderBy("age").collect()] == [1.0, 0.0]
+    with pytest.raises(ValueError, match="features"):
+        datasets.validate(cells, "target", ["mitoses"], datasets.spec_of("breast_cancer_original"))
 
 
 def test_readers(spark, tmp_path):
@@ -33,13 +69,37 @@ def test_readers(spark, tmp_path):
 
 def test_prepare_load_evaluate(spark, tmp_path):
     made = synthetic.additive_main_effects(spark, 90, 0, 3)
-    spec = datasets.DatasetSpec("tiny", "Tiny", "binary", 90, 3, 2)
+    spec = datasets.DatasetSpec("tiny", "Tiny", "local", 90, 3, "binary", "0 vs 1")
     datasets.save_prepared(made.data, str(tmp_path), spec, "y", made.feature_names)
     with pytest.raises(FileNotFoundError):
+        datasets.load_dataset(spark, "wine", str(tmp_path))
+    with pytest.raises(KeyError):
         datasets.load_dataset(spark, "absent", str(tmp_path))
     result = evaluation.evaluate(spark, ["tiny"], str(tmp_path), str(tmp_path / "out"), {"one": lambda: FuzzyRuleSVM(max_rule_length=1, max_rules=6)}, k=2)
     assert len(result.folds) == 2 and all(r["accuracy"] > 0.6 for r in result.folds)
-    assert (tmp_path / "out" / "metrics.csv").read_text().startswith("dataset,")
+    assert (tmp_path / "out" / "metrics.csv").exists() and (tmp_path / "out" / "fold_metrics.csv").exists()
+
+
+def test_harness_reports_rule_metrics(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal((-1.0, -1.0), 0.2, (18, 2)), rng.normal((1.0, 1.0), 0.2, (18, 2))])
+    df = spark.createDataFrame([(float(a), float(b), "negative" if i < 18 else "positive") for i, (a, b) in enumerate(x)], "a double, b double, y string")
+    datasets.save_prepared(df, str(tmp_path), datasets.DatasetSpec("synthetic", "Synthetic", "test", 36, 2, "binary", "negative vs positive", "test"), "y", ["a", "b"])
+    one = evaluation.evaluate(spark, ["synthetic"], str(tmp_path), str(tmp_path / "out"), {"frs": lambda: FuzzyRuleSVM(C=10.0, penalty="l2", max_rule_length=1, max_rules=6)}, k=3).summary[0]
+    assert one["accuracy_mean"] > 0.9 and one["rule_support_rule_count_mean"] > 0 and one["n_folds"] == 3 and 0 <= one["support_rule_jaccard"] <= 1
+    assert one["rule_explanation_fidelity_max_abs_error_mean"] < 1e-10 and one["rule_mean_contrastive_gap_mean"] > 0 and "roc_auc_mean" in one
+
+
+def test_harness_of_several_classes_and_nested_choice(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *(float(v) for v in rng.normal((2.0 * (i % 3), -1.0 * (i % 3)), 0.3)), "abc"[i % 3]) for i in range(45)]
+    df = spark.createDataFrame(rows, "row_id long, p double, q double, y string")
+    build = lambda **o: OneVsRest(lambda: FuzzyRuleSVM(max_rule_length=1, max_rules=6, **o))
+    got = evaluation.nested(df, "y", "row_id", ["p", "q"], build, [{"C": 1.0}, {"C": 1e-6}], outer=3, inner=2)
+    assert all(o == {"C": 1.0} for o in got.chosen) and len(got.folds) == 3
+    assert all(r["accuracy"] > 0.8 and 0.9 < r["roc_auc"] <= 1 and r["mean_margin_gap"] > 0 and r["rule_n_rules"] == 6 for r in got.folds)
+    table = evaluation.ablate(df.filter("y <> 'c'"), "y", "row_id", ["p", "q"], {"full": lambda: FuzzyRuleSVM(), "one": lambda: FuzzyRuleSVM(max_rule_length=1)}, k=2)
+    assert [r["variant"] for r in table] == ["full", "one"] and table[0]["delta"] == 0
 
 
 def test_generators(spark):
