@@ -6,8 +6,7 @@ bytes and looks for identifiers that two different chunks share. Where none do,
 XXH64; those of a shared hash are numbered by their bytes. Documents are then compared by their ordered identifier lists, 8 bytes
 for some 550 characters, and long texts aren't moved again.
 
-Defined results: a null text counts as empty; empty texts are equal to each other; rows that tie on the largest id are all
-marked as kept by ``annotate`` and one of them stays in ``deduplicate``; an empty table gives an empty result; other columns are ignored and
+Defined results: a null text counts as empty; empty texts are equal to each other; of rows that tie on the largest id one stays; an empty table gives an empty result; other columns are ignored and
 keep their names. A null id is smaller than any other.
 """
 
@@ -49,7 +48,7 @@ def numbered(rows: DataFrame, bad: DataFrame, hashed) -> DataFrame:
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed=F.xxhash64) -> DataFrame:
-    """One row per row of df: id, keep_id, group_size, kept, text_sha256, and the length of its recipe."""
+    """One row per row of df: id, keep_id, group_size, kept, text_sha256."""
     rows = df.select(F.col(id_col).alias("_id"), ascii_lower(text_or_empty(F.col(text_col))).alias("_norm"))
     chunk = rows.select(F.explode(chunks(F.col("_norm"))).alias("chunk"))
     bad = clashes(chunk.select(hashed(F.col("chunk")).alias("h"), "chunk"))
@@ -60,29 +59,30 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
         named = rows.withColumn("_row", F.struct("_id", F.sha2("_norm", 256)))
         listed = numbered(named.dropDuplicates(["_row"]), bad, hashed).select("_row", "_recipe")
         listed = named.join(listed, "_row")
-    listed = cut(listed.select("_id", "_recipe", F.sha2("_norm", 256).alias("_sha")))
+    # Written once, so a row's number stays what it is; it tells rows of one id and text apart.
+    listed = cut(listed.select("_id", "_recipe", F.sha2("_norm", 256).alias("_sha"), F.monotonically_increasing_id().alias("_at")))
     drop_cut(bad)
-    groups = listed.groupBy("_recipe").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    groups = listed.groupBy("_recipe").agg(F.max(F.struct("_id", "_at")).alias("_keep"), F.count(F.lit(1)).alias("_size"))
     # A key of their own makes Spark deal out both sides for the join, so that it can split what a hot group fills.
     key = F.xxhash64("_recipe", F.lit(1)).alias("_key")
     alone = groups.filter("_size > 1").select(key, F.col("_recipe").alias("_of"), "_keep", "_size")
     here = listed.select("*", key)
     both = here.join(alone, (here["_key"] == alone["_key"]) & (here["_recipe"] == alone["_of"]), "left")
-    keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
+    keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep._id"))
     return both.select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_sha").alias("text_sha256"), F.size("_recipe").alias("n_chunks"),
+        (F.col("_size").isNull() | (F.col("_at") == F.col("_keep._at"))).alias("kept"), F.col("_sha").alias("text_sha256"),
     )
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose text equals that of a row with a larger id; of equal ids and texts one row stays."""
-    marks = cut(annotate(df, id_col, text_col).filter("group_size > 1").select(F.col(id_col).alias("__exact_id"), F.unhex("text_sha256").alias("__exact_sha"), "kept"))
+    marks = cut(annotate(df, id_col, text_col).filter("group_size > 1").select(F.col(id_col).alias("__exact_id"), F.unhex("text_sha256").alias("__exact_sha"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("stays")))
     sha = F.unhex(F.sha2(ascii_lower(text_or_empty(F.col(text_col))), 256))
     left = df.withColumn("__text_sha", sha)
-    gone = marks.filter("NOT kept").select("__exact_id", "__exact_sha").distinct()
+    gone = marks.filter("NOT stays").select("__exact_id", "__exact_sha").distinct()
     left = left.join(gone, left[id_col].eqNullSafe(gone["__exact_id"]) & (left["__text_sha"] == gone["__exact_sha"]), "left_anti")
-    if not marks.filter("kept").groupBy("__exact_id", "__exact_sha").count().filter("count > 1").isEmpty():
+    if not marks.filter("stays").groupBy("__exact_id", "__exact_sha").count().filter("count > 1").isEmpty():
         left = left.dropDuplicates([id_col, "__text_sha"])
     return left.drop("__text_sha")
 

@@ -20,7 +20,7 @@ def brute(rows):
 def test_equal_texts_meet(spark):
     texts = edge_texts()
     df = documents(spark, texts).withColumn("kept", F.lit("mine")).withColumn("_key", F.lit(1))
-    got = sorted(tuple(r)[:5] for r in exact_dedup.annotate(df).collect())
+    got = sorted(tuple(r) for r in exact_dedup.annotate(df).collect())
     assert got == brute(list(enumerate(texts)))
 
 
@@ -34,7 +34,7 @@ def test_chunks_hold_the_whole_text(spark):
 def test_shared_hashes_are_told_apart(spark):
     texts = ["abc", "abd", "abc", "xyz " * 600, "xyy " * 600, "xyz " * 600]
     bad = lambda c: F.length(c).cast("long")
-    got = sorted(tuple(r)[:5] for r in exact_dedup.annotate(documents(spark, texts), hashed=bad).collect())
+    got = sorted(tuple(r) for r in exact_dedup.annotate(documents(spark, texts), hashed=bad).collect())
     assert got == brute(list(enumerate(texts)))
 
 
@@ -49,3 +49,11 @@ def test_one_of_each_stays(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert exact_dedup.annotate(empty).count() == 0 == exact_dedup.deduplicate(empty).count()
+
+
+def test_of_tied_rows_one_stays(spark):
+    df = documents(spark, ["a", "A", "b"])
+    got = exact_dedup.annotate(df.union(df).union(df.filter("doc_id = 1"))).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(0, 1, 5)] * 2 + [(1, 1, 5)] * 3 + [(2, 2, 2)] * 2
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == [1, 2]
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(df.union(df)).collect()) == [1, 2]
