@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -87,6 +88,8 @@ class Vocabulary:
         self._rank_of = np.array([m[1] for m in merges], np.int32)
         self._made = np.zeros(len(merges) + 1, np.int32)
         self._made[self._rank_of] = [m[2] for m in merges]
+        # The same as plain Python values, for one word at a time.
+        self._rank_of_pair, self._made_list = {int(m[0]): m[1] for m in merges}, self._made.tolist()
 
     def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a.astype(np.uint32) << np.uint32(16)) | b.astype(np.uint32)
@@ -164,7 +167,37 @@ class Vocabulary:
         return self._word.findall(text.translate(_NEW_LOWER) if _NEW.search(text) else text)
 
     def merge(self, word: str) -> tuple[int, ...]:
-        """The ids of one word: the pair of least rank is merged until none is left; of equal pairs the first comes first."""
+        """The ids of one word: the pair of least rank is merged until none is left; of equal pairs the first comes first.
+
+        Symbols are a linked list and pairs wait in a heap, so a word of n bytes takes n log n steps."""
+        if word in self.special:
+            return (self.special[word],)
+        raw = np.frombuffer(word.encode("utf-8"), np.uint8)
+        first = self._inner[raw]
+        first[-1] = self._last[raw[-1]]
+        ranks = self._pair_ranks(first[:-1], first[1:])
+        heap = [(int(ranks[i]), i) for i in np.flatnonzero(ranks < NO_RANK).tolist()]
+        heapq.heapify(heap)
+        symbols, after, before = first.tolist(), list(range(1, len(first) + 1)), list(range(-1, len(first) - 1))
+        rank_of, made, end = self._rank_of_pair, self._made_list, len(first)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if symbols[i] is not None else end
+            # A pair that one of its symbols has left since it was pushed has another rank, or none.
+            if j >= end or rank_of.get(symbols[i] << 16 | symbols[j]) != rank:
+                continue
+            symbols[i], symbols[j] = made[rank], None
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (r := rank_of.get(symbols[i] << 16 | symbols[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank_of.get(symbols[h] << 16 | symbols[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        return tuple(s for s in symbols if s is not None)
+
+    def merge_plainly(self, word: str) -> tuple[int, ...]:
+        """merge() by its definition, for tests."""
         if word in self.special:
             return (self.special[word],)
         parts = [self._letters[b] for b in word.encode("utf-8")]

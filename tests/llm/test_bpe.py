@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -72,3 +73,17 @@ def test_frequent_words_are_bounded(spark):
     counts = spark.createDataFrame([(f"w{i}", 1000 - i) for i in range(100)] + [(f"r{i}", 1) for i in range(500)], "word string, n long")
     assert 0 < len(bpe.frequent(counts, 100)) <= 100 and set(bpe.frequent(counts, 100)) <= {f"w{i}" for i in range(100)}
     assert bpe.frequent(counts.filter("n = 1"), 100) == [] and len(bpe.frequent(counts, 1000)) == 600
+
+
+def test_long_words_take_n_log_n_steps(library, vocabulary):
+    rng = random.Random(6)
+    for letters, n in (("ab", 300), ("aab", 700), ("abcdefghijklmnopqrstuvwxyz", 2000), ("éü日本", 500)):
+        word = "".join(rng.choice(letters) for _ in range(n))
+        assert vocabulary.merge(word) == vocabulary.merge_plainly(word) == tuple(library.encode(word, add_special_tokens=False).ids)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.process_time()
+    ids = vocabulary.merge(word)
+    assert time.process_time() - began < 60 and "".join(vocabulary.names[i] for i in ids) == word + bpe.END
+    assert ids[:1000] == tuple(library.encode(word, add_special_tokens=False).ids)[:1000]
+    with pytest.raises(ValueError, match="isn't one of BPE"):
+        bpe.Vocabulary('{"model": {"type": "Unigram"}, "decoder": null}')
