@@ -4,7 +4,7 @@ Reads II and MM files with 8-bit samples: compression none (1), LZW (5), deflate
 horizontal (2); chunky or planar samples. ``encode`` writes the same forms.
 
 Defined results: a null or broken file gives one row with page null and the reason in ``error``; a directory that was visited before or lies outside
-ends the walk with such a row after the pages before it; bytes missing at the end of a page are an error, surplus ones are
+ends the walk with such a row after the pages before it; sizes of 0, or larger than the file's strips can fill, are errors; bytes missing at the end of a page are an error, surplus ones are
 ignored; repeated rows give repeated pages; an empty table gives an empty result; other columns are ignored. Work is by row: memory is bounded by one file.
 """
 
@@ -212,10 +212,17 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
         raise ValueError("samples aren't of 8 bits")
     if predictor not in (1, 2):
         raise ValueError(f"predictor {predictor} isn't known")
+    if min(w, h, s) < 1:
+        raise ValueError("width, height or samples are 0")
     tiled, planes = TILES in tags, s if one(PLANAR, 1) == 2 else 1
     tw, th = (one(TILE_W), one(TILE_H)) if tiled else (w, min(one(ROWS, h), h) or 1)
     places, sizes = (tags[TILES], tags[TILE_SIZES]) if tiled else (tags[STRIPS], tags[STRIP_SIZES])
-    deep, out, k = s // planes, np.zeros((h, w, s), np.uint8), 0
+    if min(tw, th) < 1:
+        raise ValueError("strips or tiles are empty")
+    if len(places) != len(sizes) or len(places) < planes * -(-h // th) * -(-w // tw):
+        raise ValueError("strips or tiles are missing")
+    deep, pieces, k = s // planes, [], 0
+    # All pieces are read before the page is laid out, so a header can't ask for more memory than its file holds bytes for.
     for plane in range(planes):
         for y in range(0, h, th):
             for x in range(0, w, tw):
@@ -227,15 +234,18 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
                 piece = np.frombuffer(raw, np.uint8, size).reshape(high, tw, deep)
                 if predictor == 2:
                     piece = np.cumsum(piece, axis=1, dtype=np.uint8)
-                into = out[y : y + high, x : x + tw, plane * deep : (plane + 1) * deep]
-                into[:] = piece[: into.shape[0], : into.shape[1]]
+                pieces.append((y, x, plane, piece))
                 k += 1
+    out = np.zeros((h, w, s), np.uint8)
+    for y, x, plane, piece in pieces:
+        into = out[y : y + piece.shape[0], x : x + tw, plane * deep : (plane + 1) * deep]
+        into[:] = piece[: into.shape[0], : into.shape[1]]
     return out
 
 
 def walk(data: bytes | None) -> Iterator[tuple[int | None, int, np.ndarray | None, str | None]]:
     """(page, compression, samples, error) for each directory in turn; a page that can't be decoded is a row with its number and error, and the walk goes on."""
-    errors = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+    errors = (ValueError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error)
     try:
         if data is None:
             raise ValueError("no file")

@@ -74,3 +74,31 @@ def test_texts_come_back(spark):
         assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["media_sha256"] == hashlib.sha256(tiff.stored(payload)).hexdigest()
     assert rows[7]["feature"] == rows[8]["feature"]
     assert tiff.documents(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def patched(**values):
+    """A file of three pages, two of them good; the first one's tags have other values."""
+    data = bytearray(tiff.encode([np.full((4, 4), i, np.uint8) for i in range(3)]))
+    at = struct.unpack_from("<I", data, 4)[0]
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        tag, kind, n = struct.unpack_from("<HHI", data, at + 2 + 12 * i)
+        if (name := f"t{tag}") in values:
+            struct.pack_into("<H" if kind == 3 else "<I", data, at + 10 + 12 * i, values[name])
+    return bytes(data)
+
+
+@pytest.mark.parametrize("values", [{"t277": 0, "t284": 2}, {"t256": 1_000_000, "t257": 1_000_000}, {"t256": 0}, {"t257": 0}, {"t278": 0}, {"t256": 0xFFFFFFFF, "t257": 0xFFFFFFFF, "t278": 0xFFFFFFFF}, {"t277": 60_000}, {"t279": 0}, {"t273": 0xFFFFFFF0}])
+def test_hostile_headers_are_rows_with_a_reason(values):
+    got = list(tiff.walk(patched(**values)))
+    assert [g[0] for g in got] == [0, 1, 2] and [int(g[2].max()) for g in got[1:]] == [1, 2]
+    assert got[0][3] or values == {"t278": 0}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.integers(0, 255)), max_size=8))
+def test_changed_bytes_never_raise(changes):
+    data = bytearray(tiff.encode([np.zeros((4, 4), np.uint8), np.ones((3, 2, 3), np.uint8)], tile=(16, 16)))
+    for at, value in changes:
+        data[at % len(data)] = value
+    for _, _, x, error in tiff.walk(bytes(data)):
+        assert (x is None) == bool(error)
