@@ -4,7 +4,7 @@ A word's input is the sum of an embedding of the word and the mean of embeddings
 four), so that unseen forms of a stem are read by their letters. Words and n-grams in fewer than ``LEAST_DOCS`` training texts have none. Every text is scored in all windows of ``WINDOW`` words that start
 each ``STRIDE`` words, which overlap by half; the largest window decides, and is calibrated to a probability.
 
-Training is bounded: at most ``SAMPLE`` labelled rows of at most ``SAMPLE_CHARS`` characters, a third of them toxic if there are so many, chosen by hash of the id. Labels hold for
+Training is bounded: at most ``SAMPLE`` labelled rows, a longer text by ``SLICES`` slices that lie evenly over the whole of it and have ``SAMPLE_CHARS`` characters together; a third of them toxic if there are so many, chosen by hash of the id. Labels hold for
 documents, so windows are chosen in rounds: first any of a document, then those that the network itself finds worst.
 
 Defined results: a null or empty text, or one without words, scores 0; texts under a window are repeated to fill it; repeated
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-WINDOW, STRIDE, SAMPLE, SAMPLE_CHARS = 16, 8, 2400, 20_000
+WINDOW, STRIDE, SAMPLE, SAMPLE_CHARS, SLICES = 16, 8, 2400, 20_000, 20
 LEAST_DOCS, INPUT, HIDDEN, ATTENTION = 4, 12, 8, 8
 FOLDS, HELD_OUT, REJECT, CACHED, LEAST_STEPS, TOGETHER, SEED = 4, 2, 0.3, 150_000, 60, 2_000_000, 11
 _WORD = re.compile(r"\w{1,40}")
@@ -365,15 +365,22 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
+def sliced(text: Column) -> Column:
+    """A text, or the slices of a long one."""
+    n, size = F.length(text), SAMPLE_CHARS // SLICES
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda j: F.substring(text, F.floor(1 + j * (n - size) / (SLICES - 1)).cast("int"), F.lit(size)))
+    return F.when(n > SAMPLE_CHARS, F.concat_ws(" ", pieces)).otherwise(text)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> _Fitted:
     """Fits on a bounded sample of the labelled rows that aren't held out."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
-    short = docs.filter(F.length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    short = docs.select(F.col(id_col).alias("_id"), sliced(F.col(text_col)).alias("_t"))
     order = F.xxhash64(F.lit(SEED), "_i")
     chosen = None
     for y in (1, 0):
-        # More ids than rows are wanted, for ids without a text that is short enough; at most 2 * sample rows, so they may be broadcast.
+        # More ids than rows are wanted, for ids without a document; at most 2 * sample rows, so they may be broadcast.
         some = known.filter(F.col("_y") == y).orderBy(order, "_i").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     rows = short.join(F.broadcast(chosen), short["_id"] == chosen["_i"]).select("_i", "_t", "_y", order.alias("_o"))

@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import toxicity
 from tests.llm.helpers import DOC_SCHEMA, documents, edge_texts, shaken
 
@@ -76,3 +78,13 @@ def test_query_columns(spark):
     assert kept.count() == len(texts) and kept.columns == df.columns
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert toxicity.scored(empty, toxicity.train(empty, labels)).count() == 0
+
+
+def test_long_texts_give_slices_of_their_whole_length(spark):
+    size = toxicity.SAMPLE_CHARS // toxicity.SLICES
+    long = "".join(f"{i:09d} " for i in range(30_000))
+    df = spark.createDataFrame([("short text",), (None,), (long,), ("x" * toxicity.SAMPLE_CHARS,)], "t string")
+    got = [r[0] for r in df.select(toxicity.sliced(F.col("t"))).collect()]
+    assert got[:2] == ["short text", None] and got[3] == "x" * toxicity.SAMPLE_CHARS
+    pieces = [got[2][k * (size + 1) : k * (size + 1) + size] for k in range(toxicity.SLICES)]
+    assert pieces[0] == long[:size] and pieces[-1] == long[-size:] and all(p in long for p in pieces) and len(got[2]) == toxicity.SLICES * (size + 1) - 1
