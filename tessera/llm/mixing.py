@@ -90,15 +90,27 @@ def schedule(rows: DataFrame, repeats: float | None = REPEATS, entropy: float |
     whole_epochs = F.when(F.col("all") > 0, F.floor(F.col("budget") / F.col("all") + 1e-9)).otherwise(1).cast("int")
     times = sizes.withColumn("full", whole_epochs)
     epochs = times.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full"))))
-    order = F.xxhash64(F.lit(seed), "epoch", "source", "block")
-    w = W.partitionBy("source", "epoch").orderBy(order, "block")
-    run = epochs.withColumn("before", F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    run = preceded(epochs.withColumn("order", F.xxhash64(F.lit(seed), "epoch", "source", "block")))
     rest = F.col("budget") - F.col("full") * F.col("all")
     visited = run.filter((F.col("epoch") < F.col("full")) | ((F.col("all") > 0) & (F.col("before") + F.col("size") / 2 <= rest) & (rest > 1e-6 * F.col("all"))))
     place = F.when(F.col("budget") > 0, (F.col("epoch") * F.col("all") + F.col("before")) / F.col("budget")).otherwise(0.0)
     return weights, visited.select("source", "block", "epoch", place.alias("place"))
 
 
+def preceded(epochs: DataFrame) -> DataFrame:
+    """epochs (source, epoch, block, order, size) with before: the sizes of the blocks that precede in an epoch of a source.
+
+    Blocks are summed up within ranges of the order (the upper 10 of its 64 bits), and each range starts where those before it end, so no task holds all blocks of a source."""
+    cells = epochs.withColumn("cell", F.shiftright("order", 54).cast("int"))
+    sums = cells.groupBy("source", "epoch", "cell").agg(F.sum("size").alias("total"))
+    earlier = W.partitionBy("source", "epoch").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # 1024 ranges at most
+    starts = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("cell").alias("c"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start"))
+    inside = W.partitionBy("source", "epoch", "cell").orderBy("order", "block").rowsBetween(W.unboundedPreceding, -1)
+    own = cells.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    both = own.join(starts.hint("merge"), own["source"].eqNullSafe(starts["s"]) & (own["epoch"] == starts["e"]) & (own["cell"] == starts["c"]))
+    return both.withColumn("before", F.col("start") + F.col("own")).drop("cell", "s", "e", "c", "start", "own", "order")
+
+
 def blocked(rows: DataFrame, weights: DataFrame, seed: int = SEED) -> DataFrame:
     """rows with their block, among the blocks of their source."""
     # xxhash64 of the source makes a key of its own, so that Spark deals out both sides and can split a hot source.
@@ -121,14 +133,15 @@ def stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     placed = blocked(rows, weights)
     there = visits.select(F.xxhash64("source", "block").alias("_key"), F.col("source").alias("_of"), F.col("block").alias("_b"), "weight", "epoch", "place")
     here = placed.withColumn("_key", F.xxhash64("source", "block"))
-    both = here.join(there, (here["_key"] == there["_key"]) & here["source"].eqNullSafe(there["_of"]) & (here["block"] == there["_b"]))
+    both = here.join(there.hint("merge"), (here["_key"] == there["_key"]) & here["source"].eqNullSafe(there["_of"]) & (here["block"] == there["_b"]))
     return both.select(F.col("id").alias(id_col), "source", F.col("tokens").alias("n_tokens"), "weight", "epoch", "block", "place")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits) -> DataFrame:
     """df with each row as often as the mixture visits it; at the budget of its own choice it drops none."""
     visits = cut(stream(df, id_col, text_col, source_col, **limits).groupBy(F.col(id_col).alias("__mix_i"), F.col("source").alias("__mix_s")).agg(F.countDistinct("epoch").cast("int").alias("__mix_times")))
-    x = df.join(visits, df[id_col].eqNullSafe(visits["__mix_i"]) & df[source_col].eqNullSafe(visits["__mix_s"]))
+    # Blocks and visits grow with the table, so neither is broadcast at any size.
+    x = df.join(visits.hint("merge"), df[id_col].eqNullSafe(visits["__mix_i"]) & df[source_col].eqNullSafe(visits["__mix_s"]))
     again = x.withColumn("__mix_again", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
     return again.select(*[df[c] for c in df.columns])
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -64,3 +65,17 @@ def test_mix_repeats_rows(spark):
     assert 0 < budget.count() < 159
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert mixing.stream(empty).count() == 0 == mixing.mix(empty).count()
+
+
+def test_places_are_running_sums_within_a_source_and_epoch(spark):
+    rng = random.Random(2)
+    rows = [("ab"[i % 3 == 0], e, i, rng.randrange(-(1 << 63), 1 << 63), rng.randint(0, 9)) for e in (0, 1) for i in range(500)] + [(None, 0, 1, 5, 3)]
+    df = spark.createDataFrame(rows, "source string, epoch int, block long, order long, size long")
+    got = {(r["source"], r["epoch"], r["block"]): r["before"] for r in mixing.preceded(df).collect()}
+    own = {}
+    for s in ("a", "b", None):
+        for e in (0, 1):
+            total = 0
+            for x in sorted((x for x in rows if x[0] == s and x[1] == e), key=lambda x: (x[3], x[2])):
+                own[s, e, x[2]], total = total, total + x[4]
+    assert got == own
