@@ -1,19 +1,19 @@
-"""Exact substring deduplication with a difference cover, one suffix bucket at a time.
+"""Exact substring deduplication by difference-cover blockwise suffix sorting: one suffix bucket at a time, long ties by cover-sample ranks.
 
-Wanted are all positions whose next ``DEPTH`` bytes start earlier too; only their first DEPTH bytes need an order. Texts are packed into blocks
-of disjoint id ranges, once. Then:
+Wanted are all positions whose next ``DEPTH`` bytes start earlier too, so suffixes are ordered to that depth. Texts are packed into blocks of disjoint id ranges, once. Then:
 
-1. Cover sample. Positions of a document with offset mod V in a difference cover D are its sample (|D| / V = 14 %). Any two positions have
-   a shift below V that takes both into the sample, so two equal strings of DEPTH bytes hold equal strings of DEPTH - V + 1 bytes at sample
-   positions. The sample strings are ranked, bucket by bucket, as repeated or single. A position without a repeated sample string in its
-   next V - 1 bytes can't tie with any other to DEPTH bytes: that settles most positions without moving their text.
-2. Suffix buckets. Each position that is left belongs to the bucket of the least hashed 16-gram in its DEPTH bytes, as equal
-   strings have equal ones; neighbours mostly share it, so a run of positions moves as one substring. Those that repeat in their own block
-   are settled there. A bucket is sorted in one task: by 64-bit names of the DEPTH bytes, and ties are compared byte by byte with the first of their
-   group (a group with different strings is split by its bytes). The first in id order stays.
-3. Blocks mark what the repeated positions cover.
+1. Cover sample. Positions of a document with offset mod V in a difference cover D are its sample (|D| / V = 19 %). Any two positions have a shift k below V that takes
+   both into the sample. Sample strings of ``SAMPLE`` = DEPTH - V + 1 bytes are ranked bucket by bucket over all blocks as single or repeated. A position without a
+   repeated one in its next V - 1 bytes can't tie with any other: that settles most positions without moving their text.
+2. Suffix buckets. Equal suffixes must meet, and neighbours should travel as one substring: a position's bucket is that of the least hashed 16-gram in its DEPTH bytes. One bucket
+   is sorted at a time (``sorted_later``): by the first ``HEAD`` bytes, then ties against the first of their group. What is left of two tied suffixes is the bytes that the
+   sample strings at their common shift k cover, [k, k + SAMPLE), and the last V - 1: equal ranks of the two sample strings and equal ends settle the tie without
+   reading between them. Suffixes that differ from the first of their group go on to the group's next, and after ``ROUNDS`` of that to deeper bytes, so a hot prefix costs n log n.
+   The first in id order stays.
+3. Blocks mark what the repeated positions cover. Positions that repeat within their own block are found where the block is and are never moved.
 
-A task holds one block or one bucket. Buckets grow in number with the bytes; a string is in a bucket once for each block that has it.
+A task holds one block or one bucket. Buckets grow in number with the bytes; a string is in a bucket once for each block that has it. Ranks come from 64-bit names, so what they
+call equal is compared by its bytes before it counts.
 
 Defined results: a null text counts as empty; a text under DEPTH bytes keeps all; of rows with one id the text of the smaller SHA-256 counts as
 earlier; rows equal in id and text are in some order; a null id comes before all others; an empty table gives an empty result; other columns are ignored.
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, drop_cut, table, text_or_empty
 
-DEPTH, V, GRAM = 100, 57, 16
-#: A perfect difference set modulo 57 (every residue is a difference of two of them).
-COVER = (1, 6, 7, 9, 19, 38, 42, 49)
+DEPTH, V, GRAM, HEAD, ROUNDS = 100, 31, 16, 32, 3
+#: A perfect difference set modulo 31 (every residue is a difference of two of them).
+COVER = (1, 5, 11, 24, 25, 27)
 SAMPLE = DEPTH - V + 1
 BLOCK_BYTES, BUCKET_SAMPLES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 1_000_000, 4 << 20, 64
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -115,30 +115,77 @@ def sample_keys(names: Names, places: np.ndarray, buckets: int) -> np.ndarray:
     return ((((h >> _U(32)) * _U(buckets)) >> _U(32)) << _U(32)) | (h & _U(0xFFFFFFFF))
 
 
-def later(data: np.ndarray, at: np.ndarray, names: Names | None = None) -> np.ndarray:
-    """Which of the positions at, in order, have DEPTH bytes that an earlier one of them has too."""
+@lru_cache(1)
+def shifts() -> tuple[np.ndarray, np.ndarray]:
+    """Which residues are sampled, and for two residues the least shift that takes both into the sample."""
+    sampled_ = np.zeros(V, bool)
+    sampled_[list(COVER)] = True
+    table_ = np.full((V, V), V, np.int64)
+    for k in range(V - 1, -1, -1):
+        on = sampled_[(np.arange(V) + k) % V]
+        table_[np.ix_(on, on)] = k
+    return sampled_, table_
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as numbers that order as the bytes do."""
+    out = np.zeros(max(0, len(data) - 7), np.uint64)
+    for j in range(8):
+        out = (out << _U(8)) | data[j : len(data) - 7 + j]
+    return out
+
+
+def cover_ranks(data: np.ndarray, at: np.ndarray, phase: np.ndarray, names: Names) -> np.ndarray:
+    """The rank of the sample string at each sampled position that a suffix's tie can ask for; -1 elsewhere."""
+    sampled_, _ = shifts()
+    wanted = np.zeros(len(data), bool)
+    for k in range(V):
+        hit = at[sampled_[(phase + k) % V]] + k
+        wanted[hit] = True
+    places = np.flatnonzero(wanted)
+    out = np.full(len(data), -1, np.int32)
+    out[places] = np.unique(names(places, SAMPLE), return_inverse=True)[1]
+    return out
+
+
+def sorted_later(data: np.ndarray, at: np.ndarray, phase: np.ndarray, names: Names | None = None) -> np.ndarray:
+    """Which of the positions at, in order, have DEPTH bytes that an earlier one of them has too. phase: their offsets in their documents modulo V."""
     flags = np.zeros(len(at), bool)
     if len(at) < 2:
         return flags
-    h = (names or Names(data))(at, DEPTH)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    new = np.r_[True, h[1:] != h[:-1]]
-    if new.all():
+    words = words_at(data)
+    head = [words[at + j] for j in range(0, HEAD, 8)]
+    order = np.lexsort(head[::-1])
+    tied = np.zeros(len(at) - 1, bool)
+    np.logical_and.reduce([h[order[1:]] == h[order[:-1]] for h in head], out=tied)
+    group = np.cumsum(np.r_[True, ~tied])
+    size = np.bincount(group)
+    rest = size[group] > 1
+    order, group = order[rest], group[rest]
+    if not len(order):
         return flags
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    ties = np.flatnonzero(~new)
-    view = np.lib.stride_tricks.sliding_window_view(data, DEPTH)
-    for part in np.array_split(ties, max(1, len(ties) // 100_000)):
-        same = (view[at[order[part]]] == view[at[order[first[part]]]]).all(1)
-        flags[order[part[same]]] = True
-        for k in np.unique(first[part[~same]]).tolist():  # one name for different strings: by their bytes
-            group = np.sort(order[np.flatnonzero(first == k)])
-            seen = set()
-            for i in group.tolist():
-                text = view[at[i]].tobytes()
-                flags[i] = text in seen
-                seen.add(text)
+    _, shift = shifts()
+    ranks = cover_ranks(data, at[order], phase[order], names or Names(data))
+    ends = [*range(DEPTH - V + 1, DEPTH - 7, 8), DEPTH - 8]
+    for _ in range(ROUNDS):
+        start = np.r_[True, group[1:] != group[:-1]]
+        first = order[np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
+        a, b = at[order], at[first]
+        k = shift[phase[order], phase[first]]
+        same = (ranks[a + k] == ranks[b + k]) & ~start
+        for e in ends:
+            same &= words[a + e] == words[b + e]
+        for j in range(HEAD, DEPTH - V + 1, 8):  # ranks are of names: the bytes decide
+            same &= words[a + j] == words[b + j]
+        flags[order[same]] = True
+        other = ~same & ~start
+        order, group = order[other], group[other]
+        if not len(order):
+            return flags
+    deeper = [words[at[order] + j] for j in (*range(HEAD, DEPTH - 7, 8), DEPTH - 8)]
+    again = np.lexsort([*deeper[::-1], group])
+    equal = np.logical_and.reduce([d[again[1:]] == d[again[:-1]] for d in (group, *deeper)])
+    flags[order[again[1:][equal]]] = True
     return flags
 
 
@@ -242,31 +289,48 @@ def ranked(samples: DataFrame) -> DataFrame:
     return samples.groupBy("bucket").applyInPandas(run, "block long, bucket long, repeated binary")
 
 
+def phases(lengths: np.ndarray, total: int) -> np.ndarray:
+    """The offset of each position in its document modulo V."""
+    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return ((np.arange(total) - starts) % V).astype(np.int8)
+
+
+def own_repeats(data: np.ndarray, lengths: np.ndarray, repeated: Elsewhere, names: Names, phase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block's positions that can tie, and which of them repeat an earlier one of the block. repeated tells which sample keys other blocks have."""
+    places = sample_places(lengths)
+    keys, inverse, counts = np.unique(sample_keys(names, places, repeated.buckets), return_inverse=True, return_counts=True)
+    hits = np.zeros(len(data) + 1, np.int32)
+    hits[places[(repeated(keys) | (counts > 1))[inverse]] + 1] = 1
+    hits = np.cumsum(hits)
+    left = np.flatnonzero(window_mask(lengths, len(data))[: len(data) - DEPTH + 1])
+    left = left[hits[left + V] > hits[left]]
+    return left, sorted_later(data, left, phase[left], names)
+
+
+class Elsewhere:
+    """Which sample keys of a block other blocks have too, from the bits of its buckets; none where they aren't given."""
+
+    def __init__(self, rows, buckets: int):
+        self.rows, self.buckets = rows or (), buckets
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        of, bits = (keys >> _U(32)).astype(np.int64), np.zeros(len(keys), bool)
+        for r in self.rows:
+            a, b = np.searchsorted(of, [r["bucket"], r["bucket"] + 1])
+            bits[a:b] = np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=b - a)
+        return bits
+
+
 def suffixes(packed: DataFrame, ranks: DataFrame, buckets: int, suffix_buckets: int) -> DataFrame:
-    """bucket, block, starts, counts, text: the runs of positions that are left, by suffix bucket. Rows with a
-    negative bucket and no text hold positions that repeat within their block."""
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
+    """bucket, block, starts, counts, phases, text: the runs of positions that other blocks may repeat, by suffix bucket."""
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("phases", pa.binary()), ("text", pa.binary())])
 
     def block(row: dict) -> Iterator[tuple]:
         data, lengths = _open(row)
         if len(data) < DEPTH:
             return
-        names, places = Names(data), sample_places(lengths)
-        keys, inverse, counts = np.unique(sample_keys(names, places, buckets), return_inverse=True, return_counts=True)
-        of = (keys >> _U(32)).astype(np.int64)
-        bits = np.zeros(len(keys), bool)
-        for r in row["ranks"] or ():
-            a, b = np.searchsorted(of, [r["bucket"], r["bucket"] + 1])
-            bits[a:b] = np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=b - a)
-        hits = np.zeros(len(data) + 1, np.int32)
-        hits[places[(bits | (counts > 1))[inverse]] + 1] = 1
-        hits = np.cumsum(hits)
-        left = np.flatnonzero(window_mask(lengths, len(data))[: len(data) - DEPTH + 1])
-        left = left[hits[left + V] > hits[left]]
-        again = later(data, left, names)
-        starts, sizes = runs(left[again])
-        if len(starts):
-            yield -1 - (row["block"] % (1 << 20)), row["block"], starts.tobytes(), sizes.tobytes(), None
+        names, phase = Names(data), phases(lengths, len(data))
+        left, again = own_repeats(data, lengths, Elsewhere(row["ranks"], buckets), names, phase)
         left = left[~again]
         if not len(left):
             return
@@ -282,16 +346,20 @@ def suffixes(packed: DataFrame, ranks: DataFrame, buckets: int, suffix_buckets:
         pack = zstandard.ZstdCompressor(1)
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             text = data[spread(starts[a:b], sizes[a:b] + DEPTH - 1)].tobytes()
-            yield int(bucket[a]), row["block"], starts[a:b].astype(np.int32).tobytes(), sizes[a:b].astype(np.int32).tobytes(), pack.compress(text)
+            yield int(bucket[a]), row["block"], starts[a:b].astype(np.int32).tobytes(), sizes[a:b].astype(np.int32).tobytes(), phase[starts[a:b]].tobytes(), pack.compress(text)
 
     def run(batches):
         for row in _rows(batches):
             parts = list(block(row))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*parts, strict=True)) or [()] * 5, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*parts, strict=True)) or [()] * 6, schema, strict=True)], schema=schema)
+
+    both = _with_ranks(packed, ranks).select("block", "n_bytes", "lengths", "data", "ranks")
+    return both.mapInArrow(run, "bucket long, block long, starts binary, counts binary, phases binary, text binary")
+
 
+def _with_ranks(packed: DataFrame, ranks: DataFrame) -> DataFrame:
     lists = ranks.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "repeated")).alias("ranks"))
-    both = packed.join(lists, packed["block"] == lists["of"], "left").select("block", "n_bytes", "lengths", "data", "ranks")
-    return both.mapInArrow(run, "bucket long, block long, starts binary, counts binary, text binary")
+    return packed.join(lists, packed["block"] == lists["of"], "left")
 
 
 def sorted_buckets(parts: DataFrame) -> DataFrame:
@@ -299,10 +367,9 @@ def sorted_buckets(parts: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block", kind="stable")
-        out = pdf[pdf["text"].isna()][["block", "starts", "counts"]]
-        pdf = pdf[~pdf["text"].isna()]
+        none = pdf[["block", "starts", "counts"]].iloc[:0]
         if len(pdf) < 2:
-            return out
+            return none
         inflate = zstandard.ZstdDecompressor()
         starts = [np.frombuffer(x, np.int32) for x in pdf["starts"]]
         counts = [np.frombuffer(x, np.int32) for x in pdf["counts"]]
@@ -310,7 +377,8 @@ def sorted_buckets(parts: DataFrame) -> DataFrame:
         data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(counts).astype(np.int64)
         ends = np.cumsum(sizes + DEPTH - 1)
         at = spread(ends - (sizes + DEPTH - 1), sizes)
-        flags = later(data, at)
+        of_run = np.concatenate([np.frombuffer(x, np.int8) for x in pdf["phases"]]).astype(np.int64)
+        flags = sorted_later(data, at, spread(of_run, sizes) % V)
         rows, i = [], 0
         for number, s, c in zip(pdf["block"], starts, counts, strict=True):
             n = int(c.sum())
@@ -319,7 +387,7 @@ def sorted_buckets(parts: DataFrame) -> DataFrame:
             if len(mine):
                 a, b = runs(mine)
                 rows.append((number, a.tobytes(), b.tobytes()))
-        return pd.concat([out, pd.DataFrame(rows, columns=["block", "starts", "counts"])]) if rows else out
+        return pd.DataFrame(rows, columns=["block", "starts", "counts"]) if rows else none
 
     return parts.groupBy("bucket").applyInPandas(run, "block long, starts binary, counts binary")
 
@@ -331,8 +399,12 @@ def removed(packed: DataFrame, marks: DataFrame, keep: bool) -> DataFrame:
     def block(row: dict) -> list[tuple]:
         data, lengths = _open(row)
         change = np.zeros(len(data) + 1, np.int32)
-        for m in row["marks"] or ():
-            s, c = np.frombuffer(m["starts"], np.int32), np.frombuffer(m["counts"], np.int32)
+        found = [(np.frombuffer(m["starts"], np.int32), np.frombuffer(m["counts"], np.int32)) for m in row["marks"] or ()]
+        if len(data) >= DEPTH:
+            # What repeats within the block ties by the block's own sample alone.
+            left, again = own_repeats(data, lengths, Elsewhere(None, 1), Names(data), phases(lengths, len(data)))
+            found.append(runs(left[again]))
+        for s, c in found:
             np.add.at(change, s, 1)
             np.add.at(change, s + c + (DEPTH - 1), -1)
         gone = np.cumsum(change[:-1]) > 0

@@ -47,11 +47,42 @@ def test_removed_bytes_are_those_of_all_windows(spark, monkeypatch):
     assert got == brute(texts)
 
 
+def flags_of(docs, names=None):
+    data = np.frombuffer(b"".join(docs), np.uint8)
+    lengths = np.array([len(d) for d in docs])
+    at = np.flatnonzero(suffix_dedup.window_mask(lengths, len(data))[: len(data) - 99])
+    seen, own = set(), []
+    for i in at.tolist():
+        text = data[i : i + 100].tobytes()
+        own.append(text in seen)
+        seen.add(text)
+    got = suffix_dedup.sorted_later(data, at, suffix_dedup.phases(lengths, len(data))[at], names)
+    return got.tolist(), own
+
+
 def test_equal_names_of_different_strings_are_told_apart():
-    data = np.frombuffer((b"x" * 100 + b"y" * 100 + b"x" * 100), np.uint8)
     same = lambda at, n: np.zeros(len(at), np.uint64)
-    at = np.array([0, 100, 200])
-    assert suffix_dedup.later(data, at, same).tolist() == [False, False, True]
+    docs = [b"x" * 130, b"x" * 32 + b"y" * 98, b"x" * 64 + b"y" * 66, b"x" * 130]
+    got, own = flags_of(docs, same)
+    assert got == own
+
+
+def test_ties_beyond_the_head_are_resolved_as_by_all_bytes():
+    rng = random.Random(7)
+    head, end = b"h" * 40, bytes(rng.randrange(256) for _ in range(40))
+    middles = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(9)]
+    docs = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) + head + rng.choice(middles) + end for _ in range(150)]
+    docs += [head * 3 + m for m in middles] + [b"a" * 400, b"ab" * 200, b""]
+    got, own = flags_of(docs)
+    assert got == own and 0 < sum(own) < len(own)
+
+
+def test_shifts_take_both_into_the_sample():
+    sampled, shift = suffix_dedup.shifts()
+    for i in range(suffix_dedup.V):
+        for j in range(suffix_dedup.V):
+            k = shift[i, j]
+            assert k < suffix_dedup.V and sampled[(i + k) % suffix_dedup.V] and sampled[(j + k) % suffix_dedup.V]
 
 
 def test_kept_bytes_and_empty_table(spark):
