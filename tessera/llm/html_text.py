@@ -1,18 +1,22 @@
 """Main text of web pages by site style trees.
 
-Pages of a host are merged into one tree: a node is a path of block elements with their first class. For a path, what its
-pages hold there (the text of a block, or the order of its child blocks) is counted, and the spread of a feature that k of m pages
-share is log k / log m. A node's importance is 1 less the mean spread of its content, blended with the entropy of its presentation where it has
-child blocks. Branches of low importance are removed from each page, and so are elements that are never article text by
-their name, role or class. Where a page has an article or main element, the text is taken from it, and importance removes none of it.
+Pages of a host are merged into one tree: a node is a path of containers (sections, divisions and the like) with their first class, down to ``DEEP`` levels; what lies
+deeper belongs to the container at that level. Over the pages that hold a container are counted
 
-A host's different pages are counted, each once however many rows hold it, so copies don't make a text look like a template.
-Different pages are dealt out, and counts by (host, path, feature), summed within a batch first; a host's list of low paths is what comes back.
-Importance is used on paths of at least ``LEAST_PAGES`` pages, as entropy tells nothing on a few.
+* content: in how many pages each of its texts occurs. The spread of a text on k of m pages is log k / log m; content importance is 1 less the mean spread,
+* presentation: which sequences of child blocks it has. Presentation importance is the entropy of their distribution over log m,
+* its share of a page's words, counted full from ``FULL`` on.
+
+The importance of a container is the mean of the three. Few pages tell little, so a host's figures are blended with those of the same path over all hosts (as if
+``BACKED`` pages more had been seen), and these with what a container's kind leads to expect (as ``PRIOR`` pages). Names of elements, classes and roles only shift the result by
+``SHIFT``; an article or main element holds its parts more firmly. Branches below ``LOW`` are removed from each page, the rest is its text.
+
+Three things are no question of importance and never text: what isn't shown (scripts, styles, hidden elements), forms, and readers' comments, which entropy can't tell from an article.
+
+A host's different pages are counted, each once however many rows hold it, so copies don't make a text look like a template. Counts are summed within a batch, then by (host, path, feature).
 
 Defined results: a null or empty page has an empty text; text outside any block is a block; unclosed and wrongly nested elements end with the
-block that holds them; a page without an article or main element keeps all that isn't removed; repeated rows give equal rows; a null
-url is a host of its own; an empty table gives an empty result; other columns are ignored.
+block that holds them; a tag without an end is text; repeated rows give equal rows; a null url is a host of its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,143 +26,223 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, cut, table, text_or_empty
 
-LEAST_PAGES, LOW, BLEND = 20, 0.7, 0.3
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+DEEP, FULL, BACKED, PRIOR, LOW, HELD, SHIFT = 12, 0.3, 10.0, 3.0, 0.5, 0.2, 0.15
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>\"'<]*)|[!?])")
+_STOP = re.compile("[\"'>]")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_BLOCK = {
-    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+#: Elements that are judged, and other blocks, which stay or go with the container that holds them.
+CONTAINERS = {"article", "aside", "center", "dialog", "div", "footer", "header", "main", "menu", "nav", "section"}
+_BLOCK = CONTAINERS | {
+    "address", "blockquote", "body", "button", "caption", "dd", "details", "dir", "dl", "dt", "fieldset", "figcaption", "figure", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "head", "hgroup", "html", "li", "ol", "p", "pre", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: What an opening block ends, if it is open in the same container.
+#: What an opening block ends, if it is open in the same list or table.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_HOLDS = {"article", "aside", "body", "div", "dl", "footer", "form", "header", "html", "main", "nav", "ol", "section", "table", "ul"}
-_NEVER = {"nav", "footer", "aside", "form", "header", "head", "menu", "dialog", "button", "fieldset"}
-_HINT = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice\w*|popup|modal|newsletter|subscribe|sidebar|side-bar|comments?|respond|disqus|share|social|related|breadcrumbs?|nav|navbar|navigation|menu|footer|header|masthead|widget|login|search)(?:$|[-_ ])", re.I)
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "alert", "dialog"}
+_HOLDS = {"article", "aside", "body", "dl", "footer", "form", "header", "html", "main", "nav", "ol", "section", "table", "ul"}
+_NEVER = {"form", "head", "button", "fieldset"}
 MAIN = {"article", "main"}
 
 
+@dataclass(frozen=True)
+class Names:
+    """What names suggest: elements, roles and words of class names. They shift an importance; only ``comments`` decide."""
+
+    elements: frozenset = frozenset({"nav", "footer", "aside", "header", "menu", "dialog"})
+    roles: frozenset = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "menu", "alert", "dialog"})
+    classes: frozenset = frozenset("ad ads advert advertisement banner sponsor sponsored promo cookie cookies consent notice popup modal newsletter subscribe sidebar social related breadcrumb breadcrumbs nav navbar navigation menu footer masthead widget login".split())
+    comments: frozenset = frozenset({"comment", "comments", "comment-list", "respond", "disqus", "disqus_thread"})
+
+
+NAMES = Names()
+
+
+@dataclass
+class Node:
+    """A container of a page: its path, the containers around it, whether an article or main element is around it, and whether its kind or names speak for or against it."""
+
+    path: int
+    above: tuple[int, ...]
+    inside: bool
+    kind: int  # 1 article or main, -1 named as something else, 0 neither
+    children: list[str] = field(default_factory=list)
+
+
 class Block:
-    """A block of text: its path, whether it is in an article or main element, and whether an element around it is never article text."""
+    """A block of text: the node that holds it, and whether it is never text."""
 
-    __slots__ = ("path", "inside", "never", "parts")
+    __slots__ = ("node", "never", "parts")
 
-    def __init__(self, path: str, inside: bool, never: bool):
-        self.path, self.inside, self.never, self.parts = path, inside, never, []
+    def __init__(self, node: Node, never: bool):
+        self.node, self.never, self.parts = node, never, []
 
     def text(self) -> str:
         return _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's name in the tree, and whether its class, id or role says that it isn't article text."""
-    first, never = "", False
-    if attributes and "=" in attributes or "hidden" in attributes:
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, tag, attributes) in page order: tag is empty for text, and has a leading / for an end. Each character is looked at a bounded number of times."""
+    at, text_from, dead, failed = 0, 0, False, set()
+    while not dead and (m := _OPEN.search(page, at)):
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = page.find("-->", at)
+            end = len(page) if end < 0 else end + 3
+            attributes = ""
+        elif m[3]:
+            end, seen = at, []
+            # Quotes hide a >; where they lead past the end of the page they don't count. Places that did so once are remembered.
+            while True:
+                stop = _STOP.search(page, end)
+                if stop and stop[0] == ">":
+                    end = stop.end()
+                    break
+                close = page.find(stop[0], stop.end()) if stop else -1
+                if close < 0 or close + 1 in failed:
+                    failed.update(seen)
+                    end = page.find(">", at) + 1
+                    break
+                end = close + 1
+                seen.append(end)
+            attributes = page[at : end - 1]
+        else:
+            end, attributes = page.find(">", at) + 1, ""
+        if end <= 0:
+            dead = True
+            break
+        if start > text_from:
+            yield page[text_from:start], "", ""
+        tag = (m[3] or "").lower()
+        at = end
+        if tag in _RAW and not m[2]:
+            close = _RAW_END[tag].search(page, at)
+            at = page.find(">", close.end()) + 1 or len(page) if close else len(page)
+        elif tag:
+            yield "", (m[2] or "") + tag, attributes
+        text_from = at
+    if text_from < len(page):
+        yield page[text_from:], "", ""
+
+
+def described(tag: str, attributes: str, names: Names) -> tuple[str, bool, bool]:
+    """A container's name in the tree, whether names speak against it, and whether it is never text."""
+    name, against, never = tag, tag in names.elements, tag in _NEVER
+    if attributes:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
-            never |= key == "hidden" and value in ("", "hidden") or key == "role" and value.lower() in _ROLES or key in ("class", "id") and bool(_HINT.search(value))
             if key == "class" and value.split():
-                first = "." + re.sub(r"\d+", "0", value.split()[0])[:40]
-    return tag + first, never
-
-
-def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
-    """The blocks of a page in order, and the child blocks of each path."""
+                words = [w.lower() for w in value.split()]
+                name = f"{tag}.{re.sub(r'[0-9]+', '0', words[0])[:40]}"
+                against |= bool(names.classes.intersection(words))
+                never |= bool(names.comments.intersection(words))
+            elif key == "id":
+                never |= value.lower() in names.comments
+            elif key == "role":
+                against |= value.lower() in names.roles
+                never |= value.lower() == "form"
+            elif key == "hidden":
+                never |= value.lower() in ("", "hidden")
+    return name, against, never
+
+
+def parse(page: str, names: Names = NAMES) -> tuple[list[Block], list[Node]]:
+    """The blocks of a page in order, and its containers."""
+    root = Node(0, (), False, 0)
     found: list[Block] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, inside, never
+    nodes: list[Node] = []
+    stack: list[tuple[str, Node, bool]] = [("", root, False)]  # tag, the container it is or lies in, never
+    count: Counter = Counter()
     block: Block | None = None
 
-    def put(text: str) -> None:
-        nonlocal block
-        if text:
-            if block is None:
-                _, path, inside, never = stack[-1]
-                block = Block(path, inside, never)
-                found.append(block)
-            block.parts.append(text)
-
     def close(k: int) -> None:
         nonlocal block
+        for tag, *_ in stack[k:]:
+            count[tag] -= 1
         del stack[k:]
         block = None
 
-    at, low = 0, None
-    while m := _TOKEN.search(page, at):
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag in _BLOCK:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if k:
-                    close(k)
+    for text, tag, attributes in tokens(page):
+        if not tag or tag == "br":
+            if block is None and text:
+                block = Block(stack[-1][1], stack[-1][2])
+                found.append(block)
+            if block is not None:
+                block.parts.append(text or " ")
             continue
-        if tag in _RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
+        if tag[0] == "/":
+            if count[tag[1:]]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag[1:]))
             continue
-        if tag == "br":
-            put(" ")
-        elif tag == "hr":
+        if tag == "hr":
             block = None
         if tag not in _BLOCK or tag in _VOID:
             continue
-        if tag not in ("html", "head", "body"):
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in _HOLDS), 0)
-            if stack[k][0] == "p":
-                close(k)
-        if tag in _ENDS:
+        if stack[-1][0] == "p":  # a paragraph holds no block
+            close(len(stack) - 1)
+        if tag in _ENDS and any(count[t] for t in _ENDS[tag]):
             k = len(stack) - 1
-            while k and stack[k][0] not in _ENDS[tag] and stack[k][0] not in _HOLDS - {"div"}:
+            while k and stack[k][0] not in _ENDS[tag] and stack[k][0] not in _HOLDS:
                 k -= 1
             if stack[k][0] in _ENDS[tag]:
                 close(k)
-        name, hint = _named(tag, m[3])
-        _, path, inside, never = stack[-1]
-        # A header in an article may hold its title; one outside is the page's.
-        never |= hint and tag not in ("html", "body", "article", "main") or tag in _NEVER and not (tag == "header" and inside)
-        children.setdefault(path, []).append(name)
-        stack.append((tag, f"{path}/{name}", inside or tag in MAIN, never))
+        _, node, never = stack[-1]
+        name, against, hides = described(tag, attributes, names)
+        node.children.append(name)
+        if tag in CONTAINERS and len(node.above) < DEEP:
+            # A header in an article may hold its title; one outside is the page's.
+            kind = 1 if tag in MAIN else -1 if against and not (tag == "header" and node.inside) else 0
+            inside = node.inside or node.kind == 1
+            node = Node(xxhash.xxh64_intdigest(name, node.path) >> 1, (*node.above, node.path) if node.path else (), inside, kind)
+            nodes.append(node)
+        stack.append((tag, node, never or hides))
+        count[tag] += 1
         block = None
-    put(page[at:])
-    return found, children
-
-
-def features(page: str | None) -> Iterator[tuple[str, int, bool]]:
-    """(path, feature, whether of presentation) of a page's tree; child blocks of one name in a row count as one."""
-    found, children = parse(page or "")
-    for b in found:
-        if text := b.text():
-            yield b.path, zlib.crc32(text.encode()), False
-    for path, names in children.items():
-        short = [n for i, n in enumerate(names) if not i or n != names[i - 1]]
-        yield path, zlib.crc32(" ".join(short).encode()), True
-
-
-def main_text(page: str | None, low: set[str]) -> str:
-    """The page's text without what is never article text and, outside article and main elements, without branches of low importance."""
-    found, _ = parse(page or "")
-    if any(b.inside and not b.never for b in found):
-        found = [b for b in found if b.inside]
+    return found, nodes
+
+
+#: Kinds of counts: the pages that have a path (with sums of shares and of what its kind leads to expect), its texts, its sequences of children.
+PAGE, TEXT, SHAPE = 0, 1, 2
+
+
+def features(page: str | None, names: Names = NAMES) -> Iterator[tuple[int, int, int, float, float, int]]:
+    """(path, what, feature, share, expected, flags) of a page's tree, flags: 1 inside an article, 2 named as something else. Child blocks of one name in a row count as one."""
+    blocks, nodes = parse(page or "", names)
+    words: Counter = Counter()
+    total = 0
+    for b in blocks:
+        if not b.never and (text := b.text()):
+            n = text.count(" ") + 1
+            total += n
+            mark = zlib.crc32(text.encode())
+            for path in (*b.node.above, b.node.path):
+                if path:
+                    words[path] += n
+                    yield path, TEXT, mark, 0.0, 0.0, 0
+    for node in {n.path: n for n in nodes}.values():
+        share = words[node.path] / total if total else 0.0
+        yield node.path, PAGE, 0, share, {1: 1.0, -1: 0.1, 0: 0.6}[node.kind], node.inside + 2 * (node.kind == -1) + 4 * (node.kind == 1)
+    for node in nodes:
+        short = [n for i, n in enumerate(node.children) if not i or n != node.children[i - 1]]
+        yield node.path, SHAPE, zlib.crc32(" ".join(short).encode()), 0.0, 0.0, 0
+
+
+def main_text(page: str | None, low: set[int], names: Names = NAMES) -> str:
+    """The page's text without branches of low importance."""
     out = []
-    for b in found:
-        if b.never or low and not b.inside and any(b.path == x or b.path.startswith(x + "/") for x in low):
-            continue
-        if text := b.text():
+    for b in parse(page or "", names)[0]:
+        if not b.never and b.node.path not in low and not low.intersection(b.node.above) and (text := b.text()):
             out.append(text)
     return "\n\n".join(out)
 
@@ -167,52 +251,79 @@ def host_of(url):
     return ascii_lower(F.regexp_extract(text_or_empty(url), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def low_paths(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """host, low: the paths of low importance of each host that has any."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("feature", pa.int64()), ("shape", pa.bool_()), ("pages", pa.int64()), ("times", pa.int64())])
+def counted(df: DataFrame, url_col: str, html_col: str, names: Names = NAMES) -> DataFrame:
+    """host, path, what, feature, pages, times, share, expected, flags over the different pages of each host."""
+    kinds = [("host", pa.string()), ("path", pa.int64()), ("what", pa.int8()), ("feature", pa.int64()), ("pages", pa.int64()), ("times", pa.int64()), ("share", pa.float64()), ("expected", pa.float64()), ("flags", pa.int64())]
+    schema = pa.schema(kinds)
 
     def run(batches):
         for b in batches:
-            pages, times = Counter(), Counter()
+            pages, times, sums = Counter(), Counter(), {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = Counter((host, *f) for f in features(page.as_py()))
-                paths = {(host, path) for _, path, _, _ in own}
-                times.update(own)
+                own: Counter = Counter()
+                for path, what, feature, share, expected, flags in features(page.as_py(), names):
+                    key = (host, path, what, feature)
+                    own[key] += 1
+                    if what == PAGE:
+                        s, e, f = sums.get(key, (0.0, 0.0, 0))
+                        sums[key] = (s + share, e + expected, f | flags)
                 pages.update(own.keys())
-                pages.update((*p, None, False) for p in paths)  # how many pages have the path
-            rows = [(h, p, f, s, n, times[h, p, f, s]) for (h, p, f, s), n in pages.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 6, schema, strict=True)], schema=schema)
+                times.update(own)
+            rows = [(*k, n, times[k], *sums.get(k, (0.0, 0.0, 0))) for k, n in pages.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema, strict=True)], schema=schema)
 
     slim = df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("page")).distinct()
-    counts = slim.mapInArrow(run, "host string, path string, feature long, shape boolean, pages long, times long")
-    counts = counts.groupBy("host", "path", "feature", "shape").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"))
-    # The sum of k log k and of times log k need no m, so one pass over the features gives both means.
-    log, content, shape = F.log("pages"), F.col("feature").isNotNull() & ~F.col("shape"), F.col("feature").isNotNull() & F.col("shape")
-    nodes = counts.groupBy("host", "path").agg(
-        F.max(F.when(F.col("feature").isNull(), F.col("pages"))).alias("m"),
-        F.sum(F.when(content, F.col("times") * log)).alias("spread"), F.sum(F.when(content, F.col("times"))).alias("times"),
-        F.sum(F.when(shape, F.col("pages") * log)).alias("same"), F.sum(F.when(shape, F.col("pages"))).alias("shaped"),
+    counts = slim.mapInArrow(run, "host string, path long, what byte, feature long, pages long, times long, share double, expected double, flags long")
+    return counts.groupBy("host", "path", "what", "feature").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "share", "expected")], F.bit_or("flags").alias("flags"))
+
+
+def tree(counts: DataFrame, *by: str) -> DataFrame:
+    """by, path: m (pages), tree (the importance by entropies and share), expected, flags.
+
+    Sums of k log k and of times log k need no m, so one pass over the features gives both entropies."""
+    log, is_ = F.log("pages"), lambda what: F.col("what") == what
+    sums = counts.groupBy(*by, "path").agg(
+        F.sum(F.when(is_(PAGE), F.col("pages"))).alias("m"), F.sum("share").alias("share"), F.sum("expected").alias("expected"), F.bit_or("flags").alias("flags"),
+        F.sum(F.when(is_(TEXT), F.col("times") * log)).alias("spread"), F.sum(F.when(is_(TEXT), F.col("times"))).alias("times"),
+        F.sum(F.when(is_(SHAPE), F.col("pages") * log)).alias("same"), F.sum(F.when(is_(SHAPE), F.col("pages"))).alias("shaped"),
     )
     of_m = F.log("m")
-    own = 1 - F.col("spread") / F.col("times") / of_m
-    kinds = 1 - F.col("same") / F.col("shaped") / of_m
-    nodes = nodes.filter(F.col("m") >= LEAST_PAGES).withColumn("importance", F.when(F.col("times").isNull(), F.lit(1.0)).when(F.col("shaped").isNull(), own).otherwise((1 - BLEND) * own + BLEND * kinds))
-    low = nodes.filter(F.col("importance") < LOW).select("host", "path")
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    content = F.when((F.col("m") > 1) & (F.col("times") > 0), 1 - F.col("spread") / F.col("times") / of_m).otherwise(1.0)
+    shaped = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), F.log("shaped") - F.col("same") / F.col("shaped")) / of_m).otherwise(0.5)
+    share = F.least(F.lit(1.0), F.col("share") / F.col("m") / FULL)
+    return sums.select(*by, "path", "m", ((content + F.least(F.lit(1.0), shaped) + share) / 3).alias("tree"), (F.col("expected") / F.col("m")).alias("expected"), "flags")
+
+
+def importance(own_m: Column, own: Column, all_m: Column, over_all: Column, expected: Column, flags: Column) -> Column:
+    """How far a container's importance lies above what it needs to stay."""
+    blended = F.when(own_m > 1, (own_m * own + BACKED * over_all) / (own_m + BACKED)).otherwise(over_all)
+    smooth = (all_m * blended + PRIOR * expected) / (all_m + PRIOR)
+    shift = F.when(flags.bitwiseAND(F.lit(4)) > 0, SHIFT).when(flags.bitwiseAND(F.lit(2)) > 0, -SHIFT).otherwise(0.0)
+    return smooth + shift - F.when(flags.bitwiseAND(F.lit(1)) > 0, LOW - HELD).otherwise(LOW)
+
+
+def low_paths(df: DataFrame, url_col: str, html_col: str, names: Names = NAMES) -> DataFrame:
+    """host, low: the paths of low importance of each host that has any."""
+    counts = cut(counted(df, url_col, html_col, names))
+    by_host = tree(counts, "host")
+    merged = counts.groupBy("path", "what", "feature").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "share", "expected")], F.bit_or("flags").alias("flags"))
+    over_all = tree(merged).select(F.col("path").alias("of"), F.col("m").alias("all_m"), F.col("tree").alias("over_all"))
+    both = by_host.join(over_all, F.col("path") == F.col("of"))
+    above = importance(F.col("m"), F.col("tree"), F.col("all_m"), F.col("over_all"), F.col("expected"), F.col("flags"))
+    return both.filter(above < 0).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: Names = NAMES) -> DataFrame:
     """One row per row of df: id, url, text, n_chars."""
-    low = cut(low_paths(df, url_col, html_col))
-    key = F.xxhash64("host")
-    pages = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("host"))
-    pages = pages.withColumn("_key", key).drop("host").join(low.select(key.alias("_of"), "low"), F.col("_key") == F.col("_of"), "left")
+    low = cut(low_paths(df, url_col, html_col, names))
+    pages = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
+    pages = pages.join(low.select(F.col("host").alias("_of"), "low"), F.col("_host") == F.col("_of"), "left")
 
     @F.pandas_udf("string")
     def text(page, low):
         import pandas as pd
 
-        return pd.Series([main_text(p, set(x) if x is not None else set()) for p, x in zip(page, low, strict=True)], dtype=object)
+        return pd.Series([main_text(p, set(x) if x is not None else set(), names) for p, x in zip(page, low, strict=True)], dtype=object)
 
     out = pages.select(F.col("_id").alias(id_col), F.col("_url").alias("url"), text("_html", "low").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
