@@ -15,6 +15,7 @@ from tessera.functions.membership import AND_OPERATORS, TERMS, concept_map, memb
 from tessera.functions.rules import Condition, Rule, activation_array, activations, rule_text
 from tessera.operators import explain as ex
 from tessera.operators import prepare, ranking
+from tessera.plans import artifact
 from tessera.plans import quotient as qt
 from tessera.plans.solver import solve
 
@@ -37,7 +38,7 @@ class _Binary:
         prepare.require_clean(df, names)
         if weight and (df.agg(F.min(weight)).first()[0] or 0) < 0:
             raise ValueError("sample weights mustn't be negative")
-        self.classes_, self.n_features_in_ = classes, len(names)
+        self.classes_, self.n_features_in_, self.feature_names_in_ = classes, len(names), names
         return names
 
     def _weights(self, df: DataFrame) -> tuple[Column, Column]:
@@ -292,7 +293,7 @@ class CSRQClassifier(_Binary):
             self.solution_ = solve(data(z), to_c.shape[1], self.C, 0.0, 1.0, self.tol, self.max_iter)
             c = to_c @ self.solution_.coef
         self.c_, self.coef_, self.intercept_ = c, c[1:], float(c[0])
-        self.contract_sha256_ = qt.contract_hash(self.partitions_, self.basis_)
+        self.contract_sha256_ = qt.contract_hash(self.partitions_, self.basis_, [names.index(p.feature) for p in self.partitions_], {"degree": self.degree_penalty, "intercept": self.intercept_penalty})
         return self
 
     def transform(self, df: DataFrame, to: str = "activations") -> DataFrame:
@@ -320,31 +321,42 @@ class CSRQClassifier(_Binary):
             return {"status": status, "gamma": gamma, "atoms": names, "map": m}
         raise ValueError("method must be canonical, rref or minimum_l2")
 
+    def certificate(self, atoms: Sequence[qt.Atom]) -> dict:
+        """What the dictionary's exact weights of this function are, with all that a check of them needs, and a hash."""
+        cert = self.decode("rref", atoms)["certificate"]
+        out = {
+            "status": cert.status, "exact_zero_residual": cert.status == "CERTIFIED", "map_sha256": cert.map_sha256, "target_sha256": cert.target_sha256, "basis_sha256": self.basis_.sha256, "semantic_contract_sha256": self.contract_sha256_,
+            "atom_rules": [{"conditions": [{"feature": c.feature, "term": c.term} for c in a.rule.conditions]} for a in atoms],
+            "atom_scales": qt.fractions_to_text([Fraction(a.scale) for a in atoms]), "atom_costs": qt.fractions_to_text([Fraction(a.cost) for a in atoms]),
+            "c_exact": qt.fractions_to_text([Fraction(float(x)) for x in self.c_]), "gamma_exact": qt.fractions_to_text(cert.gamma or ()), "witness": qt.fractions_to_text(cert.witness or ()),
+        }
+        return out | {"sha256": artifact.digest(out)}
+
     def export_artifact(self, validation: DataFrame | None = None) -> str:
-        """JSON of anchors, exact coefficients, hashes, the fit's report, and an audit of canonical against decoded margins."""
-        exact = [Fraction(float(x)) for x in self.c_]
+        """JSON of anchors, exact coefficients, hashes and the fit's report; with a dictionary also its exact weights, and the greatest difference that they make on the validation rows.
+
+        ``tessera.plans.artifact`` checks it from the file alone."""
+        names = [p.feature for p in self.partitions_]
         out = {
-            "anchors": [asdict(p) for p in self.partitions_], "classes": [str(c) for c in self.classes_], "basis_sha256": self.basis_.sha256, "contract_sha256": self.contract_sha256_,
-            "coefficients": qt.fractions_to_text(exact), "optimization": {"objective": self.solution_.objective, "kkt": self.solution_.kkt, "passes": self.solution_.passes, "converged": bool(self.solution_.converged)},
+            "version": artifact.VERSION, "semantic_space": self.semantic_space, "anchors": [asdict(p) for p in self.partitions_], "classes": [str(c) for c in self.classes_], "n_features_total": self.n_features_in_,
+            "selected_feature_indices": [self.feature_names_in_.index(n) for n in names], "dropped_feature_indices": self.dropped_features_, "max_degree": self.max_rule_length,
+            "monomials": [[[c.feature, c.term] for c in m] for m in self.basis_.monomials], "basis_sha256": self.basis_.sha256, "contract_sha256": self.contract_sha256_,
+            "coefficients": qt.fractions_to_text([Fraction(float(x)) for x in self.c_]),
+            "optimization": {"objective": self.solution_.objective, "kkt": self.solution_.kkt, "passes": self.solution_.passes, "converged": bool(self.solution_.converged)},
         }
         if self.rule_dictionary:
-            cert = self.decode("rref")["certificate"]
-            out["equality_certificate"] = {"status": cert.status, "gamma_exact": qt.fractions_to_text(cert.gamma or ()), "witness": qt.fractions_to_text(cert.witness or ()), "map_sha256": cert.map_sha256, "target_sha256": cert.target_sha256}
+            out["equality_certificate"] = self.certificate(self.rule_dictionary)
         if validation is not None:
-            direct = self.margin_column()
-            decoded = ex.margin(qt.feature_arrays(self.basis_, self.partitions_), [float(x) for x in exact])
-            row = validation.agg(F.max(F.abs(direct - decoded)), F.count_if(F.abs(direct) < 1e-3), F.count(F.lit(1))).first()
-            out["floating_point_audit"] = {"max_abs_difference": row[0], "near_zero": row[1], "rows": row[2]}
-        out["sha256"] = qt.stable_hash(out)
-        return json.dumps(out, sort_keys=True)
-
-
-def verify_artifact(text: str) -> bool:
-    """Recomputes an artifact's own hash; a changed artifact raises."""
-    data = json.loads(text)
-    claimed = data.pop("sha256")
-    _check(qt.stable_hash(data) == claimed, "the artifact's hash doesn't match its content")
-    return True
+            direct, decoded = self.margin_column(), None
+            if out.get("equality_certificate", {}).get("status") == "CERTIFIED":
+                gamma = [float(Fraction(x)) for x in out["equality_certificate"]["gamma_exact"]]
+                acts = activations([a.rule for a in self.rule_dictionary], self.partitions_, "product")
+                decoded = ex.margin(acts, [g * a.scale for g, a in zip(gamma[1:], self.rule_dictionary, strict=True)], gamma[0])
+            gap = F.abs(direct - decoded) if decoded is not None else F.lit(None).cast("double")
+            other = (ex.decision(direct, [0, 1]) != ex.decision(decoded, [0, 1])) if decoded is not None else F.lit(False)
+            row = validation.agg(F.max(gap), F.count_if(other), F.count_if(F.abs(direct) < 1e-3), F.count(F.lit(1))).first()
+            out["floating_point_audit"] = {"max_abs_difference": row[0], "prediction_disagreements": row[1], "near_zero": row[2], "rows": row[3]}
+        return json.dumps(out | {"sha256": artifact.digest(out)}, sort_keys=True)
 
 
 @dataclass

@@ -243,9 +243,9 @@ def decode_minimum_l2(m: SemanticMap, c: Sequence[float]) -> tuple[str, np.ndarr
     return ("OK", gamma) if residual <= 1e-8 * (1 + np.linalg.norm(c)) else ("UNREPRESENTABLE", gamma)
 
 
-def contract_hash(partitions: Sequence[Partition], basis: Basis) -> str:
-    """A hash of what a coefficient vector means: anchors, features and basis."""
-    return stable_hash({"basis": basis.sha256, "anchors": [[p.feature, *(list((x).as_integer_ratio()) for x in (p.low, p.medium, p.high))] for p in partitions]})
+def contract_hash(partitions: Sequence[Partition], basis: Basis, selected: Sequence[int], penalties: dict[str, float]) -> str:
+    """A hash of what a coefficient vector means: anchors, features and their places, penalties and basis."""
+    return stable_hash({"selected": list(selected), "penalties": {k: list(float(v).as_integer_ratio()) for k, v in penalties.items()}, "basis": basis.sha256, "anchors": [[p.feature, *(list((x).as_integer_ratio()) for x in (p.low, p.medium, p.high))] for p in partitions]})
 
 
 def fractions_to_text(values: Sequence[Fraction]) -> list[str]:

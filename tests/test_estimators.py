@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera import catalogue
 from tessera.functions.rules import Condition, Rule
-from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM, verify_artifact
+from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM
+from tessera.plans import artifact
 from tessera.plans import quotient as qt
 from tessera.plans import solver
 
@@ -71,18 +72,32 @@ def test_dictionaries_of_one_span_give_one_function(blobs):
         assert np.abs(c - complete).max() < 1e-6
 
 
-def test_decoding_and_artifacts(blobs):
+def test_decoding_and_artifacts(blobs, tmp_path):
     m = CSRQClassifier(max_rule_length=1, semantic_space="dictionary", rule_dictionary=atoms("low", "medium", "high")).fit(blobs, exclude=["row_id"])
     exact = m.decode("rref")
     assert exact["status"] == "CERTIFIED" and qt.verify(exact["certificate"], exact["map"], list(map(float, m.c_)))
     assert m.decode("minimum_l2")["status"] == "OK" and "1" in m.decode()["coefficients"]
     assert m.decode("rref", atoms("low"))["status"] == "REJECTED"
     text = m.export_artifact(blobs)
-    assert verify_artifact(text)
-    changed = json.loads(text)
-    changed["classes"] = ["a", "b"]
-    with pytest.raises(ValueError, match="hash"):
-        verify_artifact(json.dumps(changed))
+    assert artifact.verify_artifact(text)
+    found = json.loads(text)
+    assert found["floating_point_audit"]["prediction_disagreements"] == 0 and 0 <= found["floating_point_audit"]["max_abs_difference"] < 1e-9
+    assert found["selected_feature_indices"] == [0, 1] and found["equality_certificate"]["atom_costs"] == ["1/1"] * 6
+    for key, value in (("classes", ["a", "b"]), ("version", "0")):
+        with pytest.raises(ValueError, match="hash"):
+            artifact.verify_artifact(json.dumps(found | {key: value}))
+    # A forger who renews the hashes is told by the residual.
+    forged = json.loads(text)
+    cert = forged["equality_certificate"]
+    cert["gamma_exact"][1] = "1/3"
+    cert["sha256"] = artifact.digest({k: v for k, v in cert.items() if k != "sha256"})
+    forged["sha256"] = artifact.digest({k: v for k, v in forged.items() if k != "sha256"})
+    with pytest.raises(ValueError, match="residual isn't 0"):
+        artifact.verify_artifact(json.dumps(forged))
+    (tmp_path / "model.json").write_text(text)
+    assert artifact.main([str(tmp_path / "model.json")]) == 0
+    complete = json.loads(CSRQClassifier(max_rule_length=1).fit(blobs, exclude=["row_id"]).export_artifact())
+    assert "equality_certificate" not in complete and all(good for _, good, _ in artifact.checks(complete))
 
 
 def test_tied_anchors(spark):
