@@ -462,6 +462,48 @@ def wtl_deltas(spark, sf_dir):
     return out.select("wins", "ties", "losses", F.round("mean_delta", 4).alias("mean_delta"), F.round("median_delta", 4).alias("median_delta"))
 
 
+FOLDS_SQL = "folds AS (SELECT c_mktsegment AS dataset, c_nationkey % 3 AS fold, o_orderpriority AS model, avg(o_totalprice) AS score FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+
+
+def fold_scores(spark, sf_dir) -> DataFrame:
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("dataset"), (F.col("c_nationkey") % 3).alias("fold"), F.col("o_orderpriority").alias("model")).agg(F.avg("o_totalprice").alias("score"))
+
+
+@query(f"WITH {FOLDS_SQL} SELECT dataset, fold, round(b.score - a.score, 4) AS delta FROM folds a JOIN folds b USING (dataset, fold) WHERE a.model = '1-URGENT' AND b.model = '5-LOW'")
+def fold_deltas(spark, sf_dir):
+    out = statistics.paired_deltas(fold_scores(spark, sf_dir), "1-URGENT", "5-LOW", ["dataset", "fold"], "model", "score")
+    return out.withColumn("delta", F.round("delta", 4))
+
+
+@query(f"WITH {SCORES_SQL}, {FOLDS_SQL}, m AS (SELECT dataset, model, median(score) AS median, count(score) AS folds FROM folds WHERE dataset <> 'BUILDING' GROUP BY ALL) SELECT dataset, model, score, round(median, 4) AS median, folds FROM scores LEFT JOIN m USING (dataset, model)")
+def summary_with_medians(spark, sf_dir):
+    folds = fold_scores(spark, sf_dir).filter("dataset <> 'BUILDING'")
+    return statistics.with_medians(scores(spark, sf_dir).drop("n"), folds, ["dataset", "model"], "score").withColumn("median", F.round("median", 4))
+
+
+@query(f"WITH {FOLDS_SQL}, s AS (SELECT model, coalesce(stddev_samp(score), 0) AS std, count(*) AS n FROM folds WHERE dataset IN ('AUTOMOBILE', 'MACHINERY') GROUP BY model) SELECT model, round(std / sqrt(n), 4) AS standard_error FROM s")
+def standard_errors(spark, sf_dir):
+    some = fold_scores(spark, sf_dir).filter(F.col("dataset").isin("AUTOMOBILE", "MACHINERY")).withColumn("metric", F.lit("score"))
+    return metrics.roll_up(some, ["model"], value="score").select("model", F.round(F.col("std") / F.sqrt("n"), 4).alias("standard_error"))
+
+
+TERM_COEF = {"low": -0.6, "medium": 0.25, "high": 0.9}
+
+
+@query(
+    f"WITH {ORDERS_SQL}, {anchors_sql('ords', ORDERS)}, {terms_sql('ords', ORDERS, 'o_orderkey')}, c AS (" + " UNION ALL ".join(f"SELECT o_orderkey, {3 * i + j} AS idx, '{f} {t}' AS membership, {c}::DOUBLE * m_{f}_{t} AS contribution FROM mem" for i, f in enumerate(ORDERS) for j, (t, c) in enumerate(TERM_COEF.items()))
+    + ") SELECT o_orderkey, membership, round(contribution, 6) + 0.0::DOUBLE AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, idx) AS r FROM c WHERE abs(contribution) > 1e-8) WHERE r <= 3"
+)
+def membership_explain(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    singles = [Rule((Condition(f, t),)) for f in range(len(ORDERS)) for t in TERMS]
+    names = [f"{ORDERS[r.conditions[0].feature]} {r.conditions[0].term}" for r in singles]
+    items = explain.contributions(activations(singles, prepare.anchors(df, ORDERS)), [TERM_COEF[r.conditions[0].term] for r in singles], names)
+    each = df.select("o_orderkey", F.explode(explain.strongest(items, 3, 1e-8)).alias("x"))
+    return each.select("o_orderkey", F.col("x.rule").alias("membership"), (rounded(F.col("x.contribution")) + 0.0).alias("contribution"))
+
+
 @query(f"WITH {SCORES_SQL}, b AS (SELECT n, max(score) AS score FROM scores GROUP BY n) SELECT n, score FROM (SELECT *, max(score) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b) WHERE before IS NULL OR score > before")
 def pareto_frontier(spark, sf_dir):
     return metrics.pareto(scores(spark, sf_dir), "n", "score")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics, prepare
+from tessera.operators.comparators import KINDS, Comparator
 from tessera.operators.explain import checked_sign
 from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest
 from tessera.sources import datasets
@@ -30,6 +31,10 @@ def default_model(n_features: int, n_classes: int = 2):
     return model() if n_classes == 2 else OneVsRest(model)
 
 
+#: Models on raw features, by name.
+COMPARATORS: dict[str, Callable] = {kind: (lambda kind=kind: Comparator(kind)) for kind in KINDS}
+
+
 def grid(**options: Sequence) -> list[dict]:
     return [dict(zip(options, values, strict=True)) for values in product(*options.values())]
 
@@ -46,7 +51,7 @@ def binary_parts(model, label: str) -> list[tuple]:
     """(model, the sign of the truth, a prefix of its rules) for a binary model, or for each class of one against the rest."""
     if isinstance(model, OneVsRest):
         return [(m, F.when(F.col(label) == F.lit(c), 1.0).otherwise(-1.0), f"ovr={c}|" if len(model.models_) > 1 else "") for c, m in zip(model.classes_, model.models_, strict=True)]
-    return [(model, checked_sign(F.col(label), model.classes_), "")] if hasattr(model, "classes_") else []
+    return [(model, checked_sign(F.col(label), model.classes_), "")] if len(model.classes_) == 2 else []
 
 
 def rule_figures(model, test: DataFrame, label: str) -> dict:
@@ -67,13 +72,11 @@ def support_set(model, label: str) -> set[str]:
 
 def score_figures(scored: DataFrame, model, label: str) -> dict:
     """AUC and margins: of the positive class for binary models, the mean over classes and the gap of the two best scores for several."""
-    if isinstance(model, OneVsRest):
-        each = model.decision_function(scored)
+    if len(model.classes_) > 2:
+        each = model.decision_function(scored, "margins")
         columns = {c: f"_score{i}" for i, c in enumerate(model.classes_)}
         each = each.withColumns({name: F.get("margins", F.lit(i)) for i, name in enumerate(columns.values())})
         return metrics.roc_auc_ovr(each, label, columns).first().asDict() | metrics.margin_gap_stats(each, F.col("margins"))
-    if not hasattr(model, "margin_column"):
-        return {}
     each = model.decision_function(scored)
     return metrics.roc_auc(each, F.col(label) == F.lit(model.classes_[1]), "margin").first().asDict() | metrics.margin_stats(each, "margin")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import synthetic
+from tessera.operators import comparators
 from tessera.operators.estimators import FuzzyRuleSVM, OneVsRest
 from tessera.plans import evaluation
 from tessera.sources import datasets
@@ -118,3 +119,19 @@ def test_streams_are_scored(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").count() == 60
+
+
+def test_comparators_fit_and_score(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, *(float(v) for v in rng.normal((2.0 * (i % 3), -1.0 * (i % 3)), 0.3)), "abc"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, p double, q double, y string").coalesce(1).cache()
+    two = df.filter("y <> 'c'").withColumn("prediction", F.lit("x"))
+    small = {"n_trees": 3, "max_depth": 2, "max_iter": 10}
+    for kind in comparators.KINDS:
+        got = comparators.Comparator(kind, **small).fit(two, "y", ["p", "q"]).predict(two)
+        assert got.columns == two.columns and got.filter("y = prediction").count() > 36, kind
+    for kind in ("logistic_l2", "linear_svm"):
+        model = comparators.Comparator(kind, **small).fit(df, "y", ["p", "q"])
+        assert evaluation.score_figures(model.predict(df), model, "y")["roc_auc"] > 0.8
+    with pytest.raises(ValueError, match="kind"):
+        comparators.Comparator("rbf").fit(df, "y", ["p", "q"])
