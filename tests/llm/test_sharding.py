@@ -41,3 +41,22 @@ def test_repeated_and_no_rows(spark):
     df = documents(spark, ["a", "b"])
     assert sorted(r["slot"] for r in sharding.shard(df.union(df), shards=1).collect()) == [0, 1, 2, 3]
     assert sharding.shard(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def plainly_differenced(sizes, k):
+    """The method by its definition: lists of partial partitions, the two of the largest spread are combined in opposite order."""
+    left = [(i, [(s, [i])] + [(0, [])] * (k - 1)) for i, s in enumerate(sizes)]
+    while len(left) > 1:
+        left.sort(key=lambda x: (-(x[1][0][0] - x[1][-1][0]), x[0]))
+        (i, a), (_, b) = left[:2]
+        both = sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)), key=lambda t: -t[0])
+        left[:2] = [(i, both)]
+    part = {j: p for p, (_, members) in enumerate(left[0][1]) for j in members}
+    return [part[j] for j in range(len(sizes))]
+
+
+def test_differencing_is_that_of_its_definition():
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes, k = [rng.choice([1, 1, 2, 3, rng.randint(1, 1000)]) for _ in range(rng.randint(1, 30))], rng.randint(1, 6)
+        assert sharding.differenced(sizes, k) == plainly_differenced(sizes, k)

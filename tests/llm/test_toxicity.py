@@ -88,3 +88,40 @@ def test_long_texts_give_slices_of_their_whole_length(spark):
     assert got[:2] == ["short text", None] and got[3] == "x" * toxicity.SAMPLE_CHARS
     pieces = [got[2][k * (size + 1) : k * (size + 1) + size] for k in range(toxicity.SLICES)]
     assert pieces[0] == long[:size] and pieces[-1] == long[-size:] and all(p in long for p in pieces) and len(got[2]) == toxicity.SLICES * (size + 1) - 1
+
+
+def plain_logit(net, vectors):
+    """One window's logit by the gates' definitions, a word and a number at a time."""
+    p, h = net.p, toxicity.HIDDEN
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((len(vectors), 2 * h))
+    for name, order, at in (("f", range(len(vectors)), 0), ("b", reversed(range(len(vectors))), h)):
+        s, w, g, u = np.zeros(h), p["W" + name].astype(float), p["g" + name].astype(float), p["U" + name].astype(float)
+        for i in order:
+            x = vectors[i] @ w + g
+            z, r = squash(x[:h] + s @ u[:, :h]), squash(x[h : 2 * h] + s @ u[:, h : 2 * h])
+            n = np.tanh(x[2 * h :] + r * (s @ u[:, 2 * h :]))
+            s = (1 - z) * n + z * s
+            states[i, at : at + h] = s
+    e = np.array([np.tanh(s @ p["A"] + p["c"]) @ p["v"] for s in states])
+    return float((np.exp(e) / np.exp(e).sum()) @ states @ p["o"] + p["b"][0])
+
+
+def test_scores_are_those_of_plain_windows():
+    texts, y = corpus(120)
+    fitted = toxicity.fit(texts, y)
+    net = fitted.network
+
+    def vector(word):
+        parts = toxicity.grams(word)
+        out = sum((net.E[net.known[g]] / len(parts) for g in parts if g in net.known), np.zeros(toxicity.INPUT))
+        return out + (net.E[net.known["=" + word]] if "=" + word in net.known else 0)
+
+    new = corpus(25, 3)[0] + ["scum " * 3, "one", "Scum! " * 40, "x" * 500]
+    got = toxicity.Scorer(fitted).score(new)
+    for text, score in zip(new, got, strict=True):
+        ws = toxicity.words(text)
+        ws = ws if len(ws) >= toxicity.WINDOW else [ws[i % len(ws)] for i in range(toxicity.WINDOW)]
+        starts = sorted({*range(0, len(ws) - toxicity.WINDOW, toxicity.STRIDE), len(ws) - toxicity.WINDOW})
+        top = max(plain_logit(net, [vector(w) for w in ws[s : s + toxicity.WINDOW]]) for s in starts)
+        assert score == pytest.approx(1 / (1 + np.exp(-(fitted.slope * top + fitted.shift))), abs=1e-4)
