@@ -11,7 +11,7 @@ from tessera.operators.estimators import FuzzyRuleSVM, OneVsRest
 from tessera.plans import evaluation
 from tessera.sources import datasets
 from tessera.sources import prepare as preparation
-from tessera.streaming.scoring import score_stream
+from tessera.streaming.scoring import score_stream, windowed_decisions
 
 
 def test_registry_and_manifest(spark, tmp_path):
@@ -135,3 +135,15 @@ def test_comparators_fit_and_score(spark):
         assert evaluation.score_figures(model.predict(df), model, "y")["roc_auc"] > 0.8
     with pytest.raises(ValueError, match="kind"):
         comparators.Comparator("rbf").fit(df, "y", ["p", "q"])
+
+
+def test_decisions_are_counted_by_window(spark, tmp_path):
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", p, float(h)) for h in (0, 1) for m, p in ((0, 1), (10, 0), (59, 1))]
+    df = spark.createDataFrame(rows, "at string, prediction int, margin double").withColumn("at", F.col("at").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = windowed_decisions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "at")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["window"]["start"].hour, r["prediction"], r["n"], r["mean_margin"]) for r in spark.table("windows").collect())
+    assert got == [(0, 0, 1, 0.0), (0, 1, 2, 0.0), (1, 0, 1, 1.0), (1, 1, 2, 1.0)]
