@@ -22,7 +22,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -36,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut, table
+from tessera.llm.common import cut, drop_cut, put, table
 
 LEXICON_WORDS, CACHED, LONGEST, END = 32_768, 200_000, 64, "</w>"
 NO_RANK, TOGETHER, PIECE = np.int32(1 << 30), 200_000, 4 << 20
@@ -265,15 +264,14 @@ def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> dict[str, np.ndarr
     return {k: np.asarray(v, np.int64 if k == "keys" else np.int32) for k, v in arrays.items()}
 
 
-def save(arrays: dict[str, np.ndarray], path: str) -> None:
+def file_bytes(arrays: dict[str, np.ndarray]) -> bytes:
     """One file: a line of JSON with the arrays' names, types and lengths, then the arrays, each at a multiple of 8."""
     head = json.dumps([[k, str(v.dtype), len(v)] for k, v in arrays.items()]).encode()
-    head += b" " * (-(len(head) + 1) % 8) + b"\n"
-    with open(path, "wb") as f:
-        f.write(head)
-        for v in arrays.values():
-            data = v.tobytes()
-            f.write(data + b"\0" * (-len(data) % 8))
+    parts = [head + b" " * (-(len(head) + 1) % 8) + b"\n"]
+    for v in arrays.values():
+        data = v.tobytes()
+        parts.append(data + b"\0" * (-len(data) % 8))
+    return b"".join(parts)
 
 
 class Lexicon:
@@ -402,9 +400,7 @@ def lexicon_file(df: DataFrame, text_col: str, vocabulary: Vocabulary, vocabular
     drop_cut(counts)
     arrays = compile_lexicon({w.encode(): ids for w, ids in zip(top, vocabulary.merge_all(top), strict=True)})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    save(arrays, path)
-    df.sparkSession.sparkContext.addFile(path)
+    df.sparkSession.sparkContext.addFile(put(df.sparkSession, name, file_bytes(arrays)))
     return name
 
 

@@ -37,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file to the shared folder, through Hadoop's file system, and returns its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path.toString()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a table that cut() wrote and nothing reads any more."""
     spark = df.sparkSession
