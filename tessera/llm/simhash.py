@@ -36,6 +36,8 @@ from tessera.llm.graph import components
 SEED, BITS, HOT, WIDE, PIECE = 42, 2, 64, 32, 2048
 #: The chance that a pair at the similarity shares no key, and the most differing bits of 64 that a candidate may have.
 MISSED, LOOSE = 0.04, 22
+#: How many keys' stars are closed before the others.
+FIRST = 16
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -227,11 +229,20 @@ def verified(pairs: DataFrame, prints: DataFrame, most: int) -> DataFrame:
     return both.filter(distance("a", "b") <= most).select("u", "v")
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs u, v of different components; what isn't in roots is a component of its own."""
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    return both.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members with root, that of their component; what isn't in roots is a component of its own."""
+    both = members.join(roots, members["f"] == roots["node"], "left")
+    return both.select(*members.columns, F.coalesce("root", "f").alias("root"))
+
+
+def offered(members: DataFrame) -> DataFrame:
+    """Candidates u, v: each member of a key (key, f, s, root) with the key's least one, where they are of different components.
+
+    The first 64 bits tell chance meetings: over 22 of them differ where 32 are expected of unrelated texts, and at a similarity of 0.8 so many do one time in 50,000."""
+    centres = members.groupBy("key").agg(F.min(F.struct("f", "s", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "c")
+    near = F.bit_count(F.col("s").bitwiseXOR(F.col("c.s"))) <= LOOSE
+    both = members.join(centres, "key").filter((F.col("f") != F.col("c.f")) & (F.col("root") != F.col("c.root")) & near)
+    return both.select(F.col("f").alias("u"), F.col("c.f").alias("v")).distinct()
 
 
 def closed_keys(members: DataFrame, prints: DataFrame, most: int, piece: int) -> DataFrame:
@@ -263,27 +274,25 @@ def closed_keys(members: DataFrame, prints: DataFrame, most: int, piece: int) ->
 def similar_roots(prints: DataFrame, similarity: float, piece: int = PIECE) -> DataFrame:
     """node, root: the components of wide fingerprints (f, wide) over all pairs that share a key and differ in at most ``most_bits`` bits.
 
-    Each key is a star first: its members are offered to the least of them, so there are no more candidates than members. One offer of each fingerprint is verified
-    and closed, then the offers between components that are left. What a star's centre misses is searched in the keys whose other members aren't of one component."""
+    Each key is a star first: its members are offered to the least of them, so there are no more candidates than members. The stars of the first few keys are verified and closed, which
+    makes one component of most of a hot group; of the others only offers between components count. What a star's centre misses is searched in the keys whose other members aren't of one component."""
     most, (bits, pairs) = most_bits(similarity), layout(prints.count(), similarity)
     each = keyed(prints, bits, pairs)
     shared = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = cut(each.join(shared.hint("merge"), "key"))
-    centres = shared.groupBy("key").agg(F.min(F.struct("f", "s")).alias("c"))
-    # The first 64 bits tell chance meetings: 22 differ where 32 are expected of unrelated texts, and at a similarity of 0.8 more than that one time in 50,000.
-    near = F.bit_count(F.col("s").bitwiseXOR(F.col("c.s"))) <= LOOSE
-    offers = cut(shared.join(centres, "key").filter((F.col("f") != F.col("c.f")) & near).select(F.col("f").alias("u"), F.col("c.f").alias("v")).distinct())
-    links = cut(verified(offers.groupBy("u").agg(F.min("v").alias("v")), prints, most))
+    first = shared.filter(F.col("key").bitwiseAND(F.lit(0xFFFF)) < FIRST).withColumn("root", F.col("f"))
+    links = cut(verified(offered(first), prints, most))
     roots = cut(components(links))
-    rest = cut(verified(apart(offers, roots), prints, most))
+    rest = cut(verified(offered(rooted(shared, roots)), prints, most))
     links = links.union(rest)
     roots = cut(components(links))
-    drop_cut(offers)
-    others = shared.filter("n > 2").join(centres.select("key", F.col("c.f").alias("centre")), "key").filter("f <> centre").select("key", "f")
-    rooted = others.join(roots, others["f"] == roots["node"], "left").select("key", "f", F.coalesce("root", "f").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    more = cut(closed_keys(rooted.join(split, "key").select("key", "f"), prints, most, piece))
+    members = cut(rooted(shared.filter("n > 2").select("key", "f"), roots))
     drop_cut(shared)
+    open_ = members.groupBy("key").agg(F.min("f").alias("centre"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "centre")
+    others = members.join(open_, "key").filter("f <> centre").select("key", "f", "root")
+    several = others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    more = cut(closed_keys(others.join(several, "key").select("key", "f"), prints, most, piece))
+    drop_cut(members)
     return roots if more.isEmpty() else components(links.union(more))
 
 
