@@ -7,7 +7,7 @@ Wanted are all positions whose next ``DEPTH`` bytes start earlier too, so suffix
    repeated one in its next V - 1 bytes can't tie with any other: that settles most positions without moving their text.
 2. Suffix buckets. Equal suffixes must meet, and neighbours should travel as one substring: a position's bucket is that of the least hashed 16-gram in its DEPTH bytes. One bucket
    is sorted at a time (``sorted_later``): by the first ``HEAD`` bytes, then ties against the first of their group. What is left of two tied suffixes is the bytes that the
-   sample strings at their common shift k cover, [k, k + SAMPLE), and the last V - 1: equal ranks of the two sample strings and equal ends settle the tie without
+   sample strings at their common shift k cover, [k, k + SAMPLE), and the edges before and after: different ranks of the two sample strings settle the tie without
    reading between them. Suffixes that differ from the first of their group go on to the group's next, and after ``ROUNDS`` of that to deeper bytes, so a hot prefix costs n log n.
    The first in id order stays.
 3. Blocks mark what the repeated positions cover. Positions that repeat within their own block are found where the block is and are never moved.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, drop_cut, table, text_or_empty
 
-DEPTH, V, GRAM, HEAD, ROUNDS = 100, 31, 16, 32, 3
+DEPTH, V, GRAM, HEAD, ROUNDS = 100, 31, 16, 16, 3
 #: A perfect difference set modulo 31 (every residue is a difference of two of them).
 COVER = (1, 5, 11, 24, 25, 27)
 SAMPLE = DEPTH - V + 1
@@ -135,21 +135,20 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover_ranks(data: np.ndarray, at: np.ndarray, phase: np.ndarray, names: Names) -> np.ndarray:
-    """The rank of the sample string at each sampled position that a suffix's tie can ask for; -1 elsewhere."""
+def cover_ranks(at: np.ndarray, phase: np.ndarray, names: Names) -> np.ndarray:
+    """The rank of the sample string at each sampled position that a tie of the suffixes at can ask for; -1 elsewhere."""
     sampled_, _ = shifts()
-    wanted = np.zeros(len(data), bool)
-    for k in range(V):
-        hit = at[sampled_[(phase + k) % V]] + k
-        wanted[hit] = True
-    places = np.flatnonzero(wanted)
-    out = np.full(len(data), -1, np.int32)
+    marks = np.zeros(len(phase) + V, np.int32)
+    marks[at + V] = 1
+    near = np.cumsum(marks)
+    places = np.flatnonzero((near[V:] > near[:-V]) & sampled_[phase])  # of the V positions up to here one is asked for
+    out = np.full(len(phase), -1, np.int32)
     out[places] = np.unique(names(places, SAMPLE), return_inverse=True)[1]
     return out
 
 
 def sorted_later(data: np.ndarray, at: np.ndarray, phase: np.ndarray, names: Names | None = None) -> np.ndarray:
-    """Which of the positions at, in order, have DEPTH bytes that an earlier one of them has too. phase: their offsets in their documents modulo V."""
+    """Which of the positions at, in order, have DEPTH bytes that an earlier one of them has too. phase: the offset of each byte in its document modulo V."""
     flags = np.zeros(len(at), bool)
     if len(at) < 2:
         return flags
@@ -165,24 +164,24 @@ def sorted_later(data: np.ndarray, at: np.ndarray, phase: np.ndarray, names: Nam
     if not len(order):
         return flags
     _, shift = shifts()
-    ranks = cover_ranks(data, at[order], phase[order], names or Names(data))
-    ends = [*range(DEPTH - V + 1, DEPTH - 7, 8), DEPTH - 8]
+    ranks = cover_ranks(at[order], phase, names or Names(data))
+    # Bytes of a tie that no sample string covers at every shift, and those that one does: ranks are of names, so the bytes decide.
+    compared = [*range(HEAD, DEPTH - 7, 8), DEPTH - 8]
     for _ in range(ROUNDS):
         start = np.r_[True, group[1:] != group[:-1]]
         first = order[np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
         a, b = at[order], at[first]
-        k = shift[phase[order], phase[first]]
-        same = (ranks[a + k] == ranks[b + k]) & ~start
-        for e in ends:
-            same &= words[a + e] == words[b + e]
-        for j in range(HEAD, DEPTH - V + 1, 8):  # ranks are of names: the bytes decide
-            same &= words[a + j] == words[b + j]
+        k = shift[phase[a], phase[b]]
+        same = np.flatnonzero((ranks[a + k] == ranks[b + k]) & ~start)
+        for j in compared:
+            same = same[words[a[same] + j] == words[b[same] + j]]
         flags[order[same]] = True
-        other = ~same & ~start
+        other = ~start
+        other[same] = False
         order, group = order[other], group[other]
         if not len(order):
             return flags
-    deeper = [words[at[order] + j] for j in (*range(HEAD, DEPTH - 7, 8), DEPTH - 8)]
+    deeper = [words[at[order] + j] for j in compared]
     again = np.lexsort([*deeper[::-1], group])
     equal = np.logical_and.reduce([d[again[1:]] == d[again[:-1]] for d in (group, *deeper)])
     flags[order[again[1:][equal]]] = True
@@ -272,7 +271,7 @@ def sampled(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.select("block", "n_bytes", "lengths", "data").mapInArrow(run, "bucket long, block long, keys binary")
 
 
-def ranked(samples: DataFrame) -> DataFrame:
+def ranked(samples: DataFrame, parts: int) -> DataFrame:
     """block, bucket, repeated: a bit for each key of the block's bucket, set if another block has it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +285,7 @@ def ranked(samples: DataFrame) -> DataFrame:
         bits = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])]
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "repeated": bits})
 
-    return samples.groupBy("bucket").applyInPandas(run, "block long, bucket long, repeated binary")
+    return samples.repartition(parts, "bucket").groupBy("bucket").applyInPandas(run, "block long, bucket long, repeated binary")
 
 
 def phases(lengths: np.ndarray, total: int) -> np.ndarray:
@@ -304,7 +303,7 @@ def own_repeats(data: np.ndarray, lengths: np.ndarray, repeated: Elsewhere, name
     hits = np.cumsum(hits)
     left = np.flatnonzero(window_mask(lengths, len(data))[: len(data) - DEPTH + 1])
     left = left[hits[left + V] > hits[left]]
-    return left, sorted_later(data, left, phase[left], names)
+    return left, sorted_later(data, left, phase, names)
 
 
 class Elsewhere:
@@ -321,7 +320,7 @@ class Elsewhere:
         return bits
 
 
-def suffixes(packed: DataFrame, ranks: DataFrame, buckets: int, suffix_buckets: int) -> DataFrame:
+def suffixes(packed: DataFrame, ranks: DataFrame, buckets: int, suffix_buckets: int, tasks: int) -> DataFrame:
     """bucket, block, starts, counts, phases, text: the runs of positions that other blocks may repeat, by suffix bucket."""
     schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("phases", pa.binary()), ("text", pa.binary())])
 
@@ -353,16 +352,18 @@ def suffixes(packed: DataFrame, ranks: DataFrame, buckets: int, suffix_buckets:
             parts = list(block(row))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*parts, strict=True)) or [()] * 6, schema, strict=True)], schema=schema)
 
-    both = _with_ranks(packed, ranks).select("block", "n_bytes", "lengths", "data", "ranks")
+    both = _with(packed, ranks, "ranks", tasks, "bucket", "repeated").select("block", "n_bytes", "lengths", "data", "ranks")
     return both.mapInArrow(run, "bucket long, block long, starts binary, counts binary, phases binary, text binary")
 
 
-def _with_ranks(packed: DataFrame, ranks: DataFrame) -> DataFrame:
-    lists = ranks.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "repeated")).alias("ranks"))
-    return packed.join(lists, packed["block"] == lists["of"], "left")
+def _with(packed: DataFrame, rows: DataFrame, name: str, tasks: int, *columns: str) -> DataFrame:
+    """The blocks, each with the list of its rows; both sides are dealt out by block, in as many parts as the bytes ask for."""
+    lists = rows.select(F.col("block").alias("of"), *columns).repartition(tasks, "of").groupBy("of").agg(F.collect_list(F.struct(*columns)).alias(name))
+    here = packed.repartition(tasks, "block")
+    return here.join(lists.hint("merge"), here["block"] == lists["of"], "left")
 
 
-def sorted_buckets(parts: DataFrame) -> DataFrame:
+def sorted_buckets(parts: DataFrame, tasks: int) -> DataFrame:
     """block, starts, counts: runs of the positions of each block whose DEPTH bytes start earlier."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -378,7 +379,7 @@ def sorted_buckets(parts: DataFrame) -> DataFrame:
         ends = np.cumsum(sizes + DEPTH - 1)
         at = spread(ends - (sizes + DEPTH - 1), sizes)
         of_run = np.concatenate([np.frombuffer(x, np.int8) for x in pdf["phases"]]).astype(np.int64)
-        flags = sorted_later(data, at, spread(of_run, sizes) % V)
+        flags = sorted_later(data, at, (spread(of_run, sizes + DEPTH - 1) % V).astype(np.int8))
         rows, i = [], 0
         for number, s, c in zip(pdf["block"], starts, counts, strict=True):
             n = int(c.sum())
@@ -389,10 +390,10 @@ def sorted_buckets(parts: DataFrame) -> DataFrame:
                 rows.append((number, a.tobytes(), b.tobytes()))
         return pd.DataFrame(rows, columns=["block", "starts", "counts"]) if rows else none
 
-    return parts.groupBy("bucket").applyInPandas(run, "block long, starts binary, counts binary")
+    return parts.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(run, "block long, starts binary, counts binary")
 
 
-def removed(packed: DataFrame, marks: DataFrame, keep: bool) -> DataFrame:
+def removed(packed: DataFrame, marks: DataFrame, keep: bool, tasks: int) -> DataFrame:
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.binary())] * keep)
 
@@ -421,8 +422,7 @@ def removed(packed: DataFrame, marks: DataFrame, keep: bool) -> DataFrame:
         for row in _rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block(row), strict=True), schema, strict=True)], schema=schema)
 
-    lists = marks.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("starts", "counts")).alias("marks"))
-    both = packed.join(lists, packed["block"] == lists["of"], "left").select("block", "n_bytes", "ids", "lengths", "data", "marks")
+    both = _with(packed, marks, "marks", tasks, "starts", "counts").select("block", "n_bytes", "ids", "lengths", "data", "marks")
     return both.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
 
 
@@ -439,12 +439,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     _release(spark)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, ceil(total * len(COVER) / V / BUCKET_SAMPLES))
-    ranks = cut(ranked(sampled(packed, buckets)))
+    # Tasks in proportion to the bytes, each for some 16 MB of them.
+    tasks = ceil(total / (4 * BUCKET_BYTES)) + 1
+    ranks = cut(ranked(sampled(packed, buckets), tasks))
     _release(spark)
-    marks = cut(sorted_buckets(suffixes(packed, ranks, buckets, max(LEAST_BUCKETS, ceil(total / BUCKET_BYTES)))))
+    marks = cut(sorted_buckets(suffixes(packed, ranks, buckets, max(LEAST_BUCKETS, ceil(total / BUCKET_BYTES)), tasks), tasks))
     drop_cut(ranks)
     _release(spark)
-    return removed(packed, marks, keep).withColumnRenamed("id", id_col)
+    return removed(packed, marks, keep, tasks).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def flags_of(docs, names=None):
         text = data[i : i + 100].tobytes()
         own.append(text in seen)
         seen.add(text)
-    got = suffix_dedup.sorted_later(data, at, suffix_dedup.phases(lengths, len(data))[at], names)
+    got = suffix_dedup.sorted_later(data, at, suffix_dedup.phases(lengths, len(data)), names)
     return got.tolist(), own
 
 
