@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, html_text, mixing, sharding, simhash, suffix_dedup, tiff, toxicity, url_filter
+from tessera.llm import bpe, exact_dedup, html_text, merkle, mixing, resampling, sharding, simhash, suffix_dedup, tiff, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_tiff": tiff.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_temperature_mixing": mixing.query,
+    "op11_importance_resampling": resampling.query,
+    "op12_merkle_manifest": merkle.query,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op11_importance_resampling": resampling.SQL, "op12_merkle_manifest": merkle.SQL}
