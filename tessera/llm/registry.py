@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, html_text, merkle, mixing, resampling, sharding, simhash, suffix_dedup, tiff, toxicity, url_filter
+from tessera.llm import bpe, exact_dedup, html_text, jaccard, merkle, mixing, resampling, sharding, simhash, suffix_dedup, tiff, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_temperature_mixing": mixing.query,
     "op11_importance_resampling": resampling.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_ngram_jaccard_join": jaccard.query,
 }
 
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op11_importance_resampling": resampling.SQL, "op12_merkle_manifest": merkle.SQL}
