@@ -239,16 +239,31 @@ def near_links(sets: DataFrame, percent: int, piece: int = PIECE) -> DataFrame:
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """digest, gid: the sets (digest, n, tokens, first, root, gid) that meet a group of another component, from the smaller root's side."""
-    each = cut(sets.select("digest", "n", "root", "gid", F.explode(first_tokens("tokens", "first")).alias("token")))
-    held = each.groupBy("token", "root").agg(F.lit(1).alias("one"))
+    """digest, gid: the sets (digest, n, tokens, first, root, gid) that meet a group of another component, from the smaller root's side.
+
+    A set and a member meet in the first token that both hold, so their overlap is at most what either has from there on (rest), and must be percent (n + m) / (100 + percent) of their sizes."""
+    each = sets.select("digest", "n", "root", "gid", F.octet_length("tokens").alias("bytes"), F.posexplode(first_tokens("tokens", "first")).alias("at", "token"))
+    each = cut(each.select("digest", "n", "root", "gid", "token", (F.col("bytes") / 8 - F.col("at")).cast("int").alias("rest")))
+    bounds = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest")]
+
+    def may(a: dict, b: dict):
+        """Whether sets of sizes from lo to hi and of so much rest may be at the similarity."""
+        return (
+            (a["hi"] * 100 >= b["lo"] * percent) & (b["hi"] * 100 >= a["lo"] * percent)
+            & (F.least(a["rest"], b["rest"]) * (100 + percent) >= (a["lo"] + b["lo"]) * percent)
+        )
+
+    held = cut(each.groupBy("token", "root").agg(*bounds))
     open_ = held.groupBy("token").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token")
-    held = cut(held.join(open_, "token").select("token", "root"))
-    pairs = held.select("token", F.col("root").alias("a")).join(held.select("token", F.col("root").alias("b")), "token").filter("a < b")
-    rows = each.groupBy("token", "root", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("root", "b")
-    asking = each.select("token", F.col("root").alias("a"), "digest", "n")
-    met = pairs.join(rows, ["token", "b"]).select("token", "a", "gid", "lo", "hi").join(asking, ["token", "a"])
-    return met.filter((F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100)).select("digest", "gid").distinct()
+    held = held.join(open_, "token")
+    a, b = ({c: F.col(f"{side}_{c}") for c in ("root", "lo", "hi", "rest")} for side in "ab")
+    one, two = (held.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("root", "lo", "hi", "rest"))) for side in "ab")
+    pairs = one.join(two, "token").filter((a["root"] < b["root"]) & may(a, b)).select("token", "a_root", "b_root")
+    rows = each.groupBy("token", F.col("root").alias("b_root"), "gid").agg(*bounds)
+    asking = each.select("token", F.col("root").alias("a_root"), "digest", "n", F.col("rest").alias("own_rest"))
+    met = pairs.join(rows, ["token", "b_root"]).join(asking, ["token", "a_root"])
+    own = {"lo": F.col("n"), "hi": F.col("n"), "rest": F.col("own_rest")}
+    return met.filter(may(own, {c: F.col(c) for c in ("lo", "hi", "rest")})).select("digest", "gid").distinct()
 
 
 def opened_links(sets: DataFrame, met: DataFrame, percent: int, meet: int = MEET) -> DataFrame:
