@@ -12,6 +12,7 @@ from tessera.functions import synthetic
 from tessera.functions.membership import TERMS, concept_map
 from tessera.functions.rules import Condition, Rule, activations, enumerate_rules, rule_table, rule_text
 from tessera.operators import explain, metrics, prepare, ranking, statistics
+from tessera.operators.association import FuzzyAssociationClassifier
 from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM
 from tessera.plans import quotient
 from tessera.sources import datasets
@@ -675,6 +676,46 @@ def one_vs_rest_fit(spark, sf_dir):
     return metrics.confusion_metrics(model.predict(df), "label", "prediction")
 
 
+# ---- Fuzzy association rules
+
+
+def _association_sql(depth_one: list[tuple[str, int]]) -> str:
+    """All single labels and pairs with their class, support and confidence; a pair's labels must be frequent for the class and not sure themselves."""
+    cell = lambda f, t: f"d_{f}_{t}"
+    degree = ", ".join(f"greatest(0.0::DOUBLE, 1 - abs(({f} - {f}_lo)::DOUBLE / (({f}_hi - {f}_lo)::DOUBLE / 4) - {t})) AS {cell(f, t)}" for f, t in depth_one)
+    pairs = [(a, b) for i, a in enumerate(depth_one) for b in depth_one[i + 1 :] if a[0] != b[0]]
+    sums = lambda x: f"sum(CASE WHEN y = 0 THEN {x} ELSE 0 END) AS s0, sum(CASE WHEN y = 1 THEN {x} ELSE 0 END) AS s1 FROM deg"
+    name = lambda f, t: f"'{f} {t + 1}'"
+    ones = " UNION ALL ".join(f"SELECT {name(*a)} AS a, {sums(cell(*a))}" for a in depth_one)
+    twos = " UNION ALL ".join(f"SELECT {name(*a)} AS a, {name(*b)} AS b, {sums(cell(*a) + ' * ' + cell(*b))}" for a, b in pairs)
+    long = lambda t, keep: f"SELECT {keep}, k AS label, CASE WHEN k = 0 THEN s0 ELSE s1 END AS s, s0 + s1 AS total FROM {t}, (VALUES (0), (1)) AS v(k)"
+    bounds = ", ".join(f"min({f}) AS {f}_lo, max({f}) AS {f}_hi" for f in LINES)
+    out = "round(s / n, 9) AS support, round(s / total, 9) AS confidence"
+    return (
+        f"WITH {LINES_SQL}, b AS (SELECT {bounds} FROM lines), deg AS MATERIALIZED (SELECT y, {degree} FROM lines, b), n AS (SELECT y AS label, count(*) AS n_c, sum(count(*)) OVER () AS n FROM lines GROUP BY y), "
+        f"ones AS ({ones}), twos AS ({twos}), one AS (SELECT * FROM ({long('ones', 'a')}) JOIN n USING (label) WHERE s >= 0.05::DOUBLE * n_c), "
+        f"two AS (SELECT * FROM ({long('twos', 'a, b')}) JOIN n USING (label) WHERE s >= 0.05::DOUBLE * n_c), sure AS (SELECT a, label FROM one WHERE s / total <= 0.8) "
+        f"SELECT a AS antecedent, label::INTEGER AS label, {out} FROM one UNION ALL SELECT a || ' & ' || b, label::INTEGER, {out} FROM two JOIN sure x USING (a, label) JOIN sure z ON z.a = two.b AND z.label = two.label"
+    )
+
+
+def _association_table(spark, model, rules) -> DataFrame:
+    rows = [(" & ".join(f"{model.features_[f]} {t + 1}" for f, t in r.items), int(r.label), round(r.support, 9), round(r.confidence, 9)) for r in rules]
+    return spark.createDataFrame(rows, "antecedent string, label int, support double, confidence double")
+
+
+@query(_association_sql([(f, t) for f in LINES for t in range(5)]))
+def association_rules(spark, sf_dir):
+    model, df = FuzzyAssociationClassifier(), lines(spark, sf_dir)
+    return _association_table(spark, model, model.search(model._rows(df, "y", LINES)))
+
+
+@query()
+def association_fit(spark, sf_dir):
+    model = FuzzyAssociationClassifier(population=20, evaluations=60).fit(orders(spark, sf_dir), "y", ORDERS)
+    return _association_table(spark, model, model.rules_)
+
+
 @query()
 def synthetic_regimes(spark, sf_dir):
     made = [f(spark, 400, 2, 1) for f in (synthetic.additive_main_effects, synthetic.pairwise_fuzzy_interaction, synthetic.xor_interaction, synthetic.sparse_rule_ground_truth)]

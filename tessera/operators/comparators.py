@@ -20,7 +20,7 @@ from tessera.operators import prepare
 
 LINEAR = {"linear_svm", "logistic_l2", "logistic_l1", "logistic_elasticnet"}
 KINDS = (*sorted(LINEAR), "random_forest", "gradient_boosting")
-_INPUT, _INDEX, _WEIGHT = "__features", "__label", "__weight"
+_INPUT, _INDEX, _WEIGHT, _PREDICTION, _MARGINS = "__features", "__label", "__weight", "__prediction", "__margins"
 
 
 @dataclass
@@ -64,12 +64,12 @@ class Comparator:
         s = F.col(weight).cast("double") if weight else F.lit(1.0)
         index = F.array_position(F.array(*map(F.lit, self.classes_)), F.col(label)) - 1
         data = df.select(*self.features_, index.cast("double").alias(_INDEX), (s * prepare.lookup(F.col(label), of_class)).alias(_WEIGHT))
-        model = self._model(data.agg(F.sum(_WEIGHT)).first()[0] or 0.0)
+        # The names are set before the fit, as models of one class against the rest keep what they were fitted with.
+        model = self._model(data.agg(F.sum(_WEIGHT)).first()[0] or 0.0).setPredictionCol(_PREDICTION).setRawPredictionCol(_MARGINS)
         if len(self.classes_) > 2 and self.kind in ("linear_svm", "gradient_boosting"):
-            model = OneVsRest(classifier=model, featuresCol=_INPUT, labelCol=_INDEX, weightCol=_WEIGHT)
+            model = OneVsRest(classifier=model, featuresCol=_INPUT, labelCol=_INDEX, weightCol=_WEIGHT, predictionCol=_PREDICTION, rawPredictionCol=_MARGINS)
         steps = [VectorAssembler(inputCols=self.features_, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol=_INPUT, withMean=True), model]
         self.model_ = Pipeline(stages=steps).fit(data)
-        self.model_.stages[-1].setPredictionCol("__prediction").setRawPredictionCol("__margins")
         return self
 
     def _scored(self, df: DataFrame) -> DataFrame:
@@ -78,9 +78,9 @@ class Comparator:
 
     def predict(self, df: DataFrame, to: str = "prediction") -> DataFrame:
         classes = F.array(*map(F.lit, self.classes_))
-        return self._scored(df).select(*[c for c in df.columns if c != to], F.get(classes, F.col("__prediction").cast("int")).alias(to))
+        return self._scored(df).select(*[c for c in df.columns if c != to], F.get(classes, F.col(_PREDICTION).cast("int")).alias(to))
 
     def decision_function(self, df: DataFrame, to: str = "margin") -> DataFrame:
         """The score of the second of two classes, or an array with one for each of several."""
-        scores = vector_to_array("__margins")
+        scores = vector_to_array(_MARGINS)
         return self._scored(df).select(*[c for c in df.columns if c != to], (F.get(scores, F.lit(1)) if len(self.classes_) == 2 else scores).alias(to))

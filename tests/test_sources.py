@@ -130,9 +130,10 @@ def test_comparators_fit_and_score(spark):
     for kind in comparators.KINDS:
         got = comparators.Comparator(kind, **small).fit(two, "y", ["p", "q"]).predict(two)
         assert got.columns == two.columns and got.filter("y = prediction").count() > 36, kind
-    for kind in ("logistic_l2", "linear_svm"):
+    for kind in ("logistic_l2", "linear_svm", "gradient_boosting", "random_forest"):
         model = comparators.Comparator(kind, **small).fit(df, "y", ["p", "q"])
         assert evaluation.score_figures(model.predict(df), model, "y")["roc_auc"] > 0.8
+        assert model.decision_function(df).filter(F.size("margin") == 3).count() == 60, kind
     with pytest.raises(ValueError, match="kind"):
         comparators.Comparator("rbf").fit(df, "y", ["p", "q"])
 
