@@ -1,5 +1,5 @@
-import math
 import random
+import math
 import re
 import time
 import zlib
@@ -116,8 +116,13 @@ def brute_importance(pages, names):
             under = [t for b, t in shown if path == b.node.path or path in b.node.above]
             own = [n for n in nodes if n.path == path]
             shapes = [tuple(c for i, c in enumerate(n.children) if not i or c != n.children[i - 1]) for n in own]
-            kind = own[-1].kind
-            each.setdefault(path, []).append((host, under, shapes, sum(len(t.split(" ")) for t in under) / total if total else 0.0, kind, own[-1].inside))
+            share = sum(len(t.split(" ")) for t in under) / total if total else 0.0
+            kind = 0 if own[-1].kind == -1 and share > 0.5 else own[-1].kind
+            bare = not set(own[-1].children) - {"p", "label", "legend"}
+            half = [n for n in nodes if n.kind == 1 and 2 * sum(len(t.split(" ")) for b, t in shown if n.path == b.node.path or n.path in b.node.above) >= total > 0]
+            beside = bool(half) and not own[-1].inside and not own[-1].headed and not any(path in (*n.above, n.path) for n in half)
+            shapes = ["" if not set(x) - {"p", "label", "legend"} else x for x in shapes]
+            each.setdefault(path, []).append((host, under, shapes, share, kind, own[-1].inside, {1: 1.0, 0: 0.5 if bare else 0.6, -1: 0.1}[kind], beside))
 
     def figure(seen):
         m = len(seen)
@@ -129,7 +134,10 @@ def brute_importance(pages, names):
                 pages_of[x] = pages_of.get(x, 0) + 1
         n = sum(pages_of.values())
         shape = min(1.0, -sum(k / n * math.log(k / n) for k in pages_of.values()) / math.log(m)) if m > 1 else 0.5
-        return m, ((1 - sum(spread) / len(spread) if spread else 1.0) + shape + min(1.0, sum(s[3] for s in seen) / m / html_text.FULL)) / 3
+        content, share = 1 - sum(spread) / len(spread) if spread else 1.0, sum(s[3] for s in seen) / m
+        parts = [content, min(1.0, share / html_text.FULL)] + ([shape] if set(pages_of) != {""} else [])
+        mean = sum(parts) / len(parts)
+        return m, max(mean, html_text.LOW + 2 * html_text.SHIFT) if share > 0.5 and content >= 0.2 else mean
 
     out = {}
     for path, seen in each.items():
@@ -138,10 +146,11 @@ def brute_importance(pages, names):
             mine = [s for s in seen if s[0] == host]
             m, own = figure(mine)
             tree = (m * own + html_text.BACKED * over_all) / (m + html_text.BACKED) if m > 1 else over_all
-            expected = sum({1: 1.0, 0: 0.6, -1: 0.1}[s[4]] for s in mine) / m
+            expected = sum(s[6] for s in mine) / m
             value = (all_m * tree + html_text.PRIOR * expected) / (all_m + html_text.PRIOR)
             kinds = {s[4] for s in mine}
             value += html_text.SHIFT if 1 in kinds else -html_text.SHIFT if -1 in kinds else 0
+            value -= html_text.SHIFT if any(s[7] for s in mine) else 0
             out[host, path] = value - (html_text.HELD if any(s[5] for s in mine) else html_text.LOW)
     return out
 
@@ -169,3 +178,86 @@ def test_rows_of_any_kind(spark):
     assert len(got) == 6 and (0, None, "", 0) in got and (None, "no host", "x", 1) in got and (4, "http://one.org/b", "", 0) in got
     assert got.count(next(r for r in got if r[0] == 1)) == 2 and max(r[3] for r in got) == 299_999
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+WORDS = [f"word{i}" for i in range(4000)]
+
+
+def words(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def of_hosts(spark, page, n=60):
+    """The texts of n pages of one host; page: of a random generator, returns html and the wanted text."""
+    rng = random.Random(5)
+    made = [page(rng) for _ in range(n)]
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    return [r["text"] for r in html_text.extract(df).orderBy("page_id").collect()], [w for _, w in made]
+
+
+MENU = '<div class="menu"><ul><li><a href="/">Home</a></li><li>News</li><li>About us</li></ul></div>'
+FOOT = "<footer><p>All rights reserved by the owner</p></footer>"
+
+
+def test_pages_inside_a_form_keep_their_article(spark):
+    def page(rng):
+        a, b = words(rng, 80), words(rng, 60)
+        return f'<body><form id="aspnetForm"><input type="hidden" value="x">{MENU}<label>Search</label><input type="text"><button>Go</button><div class="content"><h1>{a[:20].strip()}</h1><p>{a}</p><fieldset><p>{b}</p></fieldset></div>{FOOT}</form></body>', f"{a[:20].strip()}\n\n{a}\n\n{b}"
+
+    got, want = of_hosts(spark, page)
+    assert got == want
+
+
+def test_a_lead_in_a_container_of_its_own_stays(spark):
+    for tag in ("", "<p>"):
+
+        def page(rng, tag=tag):
+            lead, body = words(rng, 14), [words(rng, 90), words(rng, 90)]
+            return f'<body>{MENU}<div class="page"><div class="lead">{tag}{lead}</div><div class="body"><p>{body[0]}</p><p>{body[1]}</p></div></div>{FOOT}</body>', "\n\n".join([lead, *body])
+
+        got, want = of_hosts(spark, page)
+        assert got == want
+
+
+@pytest.mark.parametrize("opens", ['<ol class="commentlist">', '<div class="user-comments">', '<section id="comments-section">', '<div class="comment-wrapper">', '<div id="disqus_thread">'])
+def test_readers_comments_go_by_stems(spark, opens):
+    end = f"</{opens[1:].split()[0]}>"
+
+    def page(rng):
+        text = words(rng, 120)
+        said = "".join(f"<li><b>{words(rng, 1)}</b> <time>today</time> {words(rng, 30)}</li>" for _ in range(3))
+        return f"<body>{MENU}<article><p>{text}</p></article>{opens}{said}{end}{FOOT}</body>", text
+
+    got, want = of_hosts(spark, page)
+    assert got == want
+
+
+def test_an_opinion_piece_isnt_a_readers_comment(spark):
+    def page(rng):
+        text = words(rng, 120)
+        return f'<body>{MENU}<article class="comment"><h1>{text[:15].strip()}</h1><p>{text}</p><article class="comment-body"><p>{words(rng, 20)}</p></article></article>{FOOT}</body>', f"{text[:15].strip()}\n\n{text}"
+
+    got, want = of_hosts(spark, page)
+    assert got == want
+
+
+def test_a_rotating_advert_beside_an_article_goes(spark):
+    def page(rng):
+        text = words(rng, 150)
+        return f'<body>{MENU}<div class="rot">{words(rng, 9)}</div><article><h1>{text[:12].strip()}</h1><p>{text}</p></article>{FOOT}</body>', f"{text[:12].strip()}\n\n{text}"
+
+    got, want = of_hosts(spark, page)
+    assert got == want
+
+
+def test_one_page_alone(spark):
+    essay = words(random.Random(2), 200)
+    pages = [
+        (f'<body><div class="social"><p>{essay}</p></div></body>', essay),
+        *((f'<body><div class="{c}">We value this</div><div class="text"><p>{essay}</p></div></body>', essay) for c in ("cookie-banner", "ad-slot", "gdpr")),
+        (f'<body><div style="display: none">secret</div><div aria-hidden="true">secret</div><div><p>{essay}</p></div></body>', essay),
+        (f'<body><form><p>Subscribe now</p><input type="email"><button>Go</button></form><div><p>{essay}</p></div></body>', essay),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    for i, (_, want) in enumerate(pages):
+        assert html_text.extract(df.filter(f"page_id = {i}")).first()["text"] == want, i
