@@ -14,6 +14,7 @@ from tessera.functions.rules import Condition, Rule, activations, enumerate_rule
 from tessera.operators import explain, metrics, prepare, ranking, statistics
 from tessera.operators.association import FuzzyAssociationClassifier
 from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM
+from tessera.operators.unordered import UnorderedFuzzyRules, best_test
 from tessera.plans import quotient
 from tessera.sources import datasets
 
@@ -669,9 +670,7 @@ def atomic_fit(spark, sf_dir):
 
 @query()
 def one_vs_rest_fit(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings")
-    width = df.agg(F.max(F.size("embedding"))).first()[0]
-    df = df.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
+    df = embedded(spark, sf_dir)
     model = OneVsRest(lambda: FuzzyRuleSVM(max_rule_length=1)).fit(df, "label")
     return metrics.confusion_metrics(model.predict(df), "label", "prediction")
 
@@ -716,6 +715,47 @@ def association_fit(spark, sf_dir):
     return _association_table(spark, model, model.rules_)
 
 
+# ---- Unordered fuzzy rules
+
+STEPS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(
+    "WITH v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS v, l_returnflag AS y FROM lineitem" for f in STEPS) + "), "
+    "h AS (SELECT feature, v, k, count(CASE WHEN y = k THEN 1 END) AS p, count(*) AS t FROM v, (SELECT DISTINCT l_returnflag AS k FROM lineitem) GROUP BY feature, v, k), "
+    "c AS (SELECT *, sum(p) OVER w AS pb, sum(t) OVER w AS tb, sum(p) OVER (PARTITION BY feature, k) AS pa, sum(t) OVER (PARTITION BY feature, k) AS ta FROM h WINDOW w AS (PARTITION BY feature, k ORDER BY v)), "
+    "x AS (SELECT feature, k, v, true AS at_most, pb AS p, tb AS t, pa, ta FROM c UNION ALL SELECT feature, k, v, false, pa - pb + p, ta - tb + t, pa, ta FROM c), "
+    "g AS (SELECT *, CASE WHEN t < ta THEN round(p * (log2((p + 1) / (t + 1)::DOUBLE) - log2((pa + 1) / (ta + 1)::DOUBLE)), 9) ELSE 0 END AS gain FROM x) "
+    "SELECT k AS label, feature, at_most, v AS cut, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY feature, k ORDER BY gain DESC, at_most DESC, v) AS r FROM g) WHERE r = 1 AND gain > 0"
+)
+def condition_gains(spark, sf_dir):
+    """The best condition of each feature for each class, from one histogram."""
+    model, df = UnorderedFuzzyRules(), table(spark, sf_dir, "lineitem")
+    rows = model._rows(df, "l_returnflag", STEPS)
+    model.cuts_ = model._cuts(df)
+    hist = model.histogram(rows)
+    out = []
+    for k, c in enumerate(model.classes_):
+        for f, name in enumerate(STEPS):
+            gain, test, _ = best_test(hist[k][f : f + 1], model.cuts_[f : f + 1])
+            if test:
+                out.append((c, name, test[1], float(model.cuts_[f][test[2]]), round(gain, 6)))
+    return spark.createDataFrame(out, "label string, feature string, at_most boolean, cut double, gain double")
+
+
+def embedded(spark, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings")
+    width = df.agg(F.max(F.size("embedding"))).first()[0]
+    return df.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
+
+
+@query()
+def unordered_fit(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", *STEPS)
+    model = UnorderedFuzzyRules().fit(df, "l_returnflag")
+    return metrics.confusion_metrics(model.predict(df), "l_returnflag", "prediction")
+
+
 @query()
 def synthetic_regimes(spark, sf_dir):
     made = [f(spark, 400, 2, 1) for f in (synthetic.additive_main_effects, synthetic.pairwise_fuzzy_interaction, synthetic.xor_interaction, synthetic.sparse_rule_ground_truth)]
