@@ -17,7 +17,10 @@ from tessera.operators import explain as ex
 from tessera.operators import prepare, ranking
 from tessera.plans import artifact
 from tessera.plans import quotient as qt
-from tessera.plans.solver import solve
+from tessera.plans.solver import hinge_duals, solve
+
+#: Pairs that are added at once, and how many times as many are priced by their own activations.
+BATCH, SHORTLIST = 20, 20
 
 
 def _check(ok: bool, what: str) -> None:
@@ -149,31 +152,71 @@ class FuzzyRuleSVM(_Binary):
         return rules, n
 
     def _priced(self, df, s, sc):
-        """Rules of one term, then batches of pairs whose reduced cost under the fit's own hinge weights is positive."""
+        """Rules of one term, then batches of pairs that the duals of the L1 hinge programme over the rules so far price above 1.
+
+        All pairs are priced by one product Gram; of the dearest ``SHORTLIST`` times as many as may be added, the activations are then priced in one pass, and pairs below the least coverage are refused for good."""
         d, sign = len(self.partitions_), self._sign()
         singles = [Rule((Condition(f, t),)) for f in range(d) for t in TERMS]
         coverage, _ = ranking.scores(*ranking.rule_sums(df, singles, self.partitions_, sign, s, self.and_operator, self.softmin_temperature), singles)
         rules = [r for r, c in zip(singles, coverage, strict=True) if c >= self.min_rule_coverage] or singles
         most = self.max_rules if self.max_rules is not None else 9 * d * (d - 1) // 2
-        added, refused, seen = 0, set(), len(singles)
+        added, done = 0, set()
+        mean = df.agg(F.avg(sc)).first()[0] or 1.0
         while self.max_rule_length > 1 and added < most:
-            w = self._fit_rules(df, rules, sc)
-            margin = ex.margin(activations(rules, self.partitions_, self.and_operator, self.softmin_temperature), w[:-1], w[-1])
-            alpha = 2 * self.C * sc * F.greatest(F.lit(0.0), 1 - sign * margin)
-            cells = [m for key, m in sorted(memberships(self.partitions_).items(), key=lambda x: (x[0][0], TERMS.index(x[0][1])))]
-            gram = _gram(df.select(F.array(*cells).alias("m"), (alpha * sign).alias("a")), 3 * d)
-            price = 1 + self.rule_length_penalty
-            pairs = [(abs(gram[i, j]) / price, i, j) for i in range(3 * d) for j in range(i + 1, 3 * d) if i // 3 != j // 3 and (i, j) not in refused]
-            batch = [(v, i, j) for v, i, j in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])) if v > 1 + self.tol][: min(20, most - added)]
-            if not batch:
+            fresh = self._price(df, rules, sign, s, self.C * sc / mean, min(BATCH, most - added), done)
+            if not fresh:
                 break
-            fresh = [Rule((Condition(i // 3, TERMS[i % 3]), Condition(j // 3, TERMS[j % 3]))) for _, i, j in batch]
-            refused.update((i, j) for _, i, j in batch)
-            seen += len(fresh)
-            coverage, _ = ranking.scores(*ranking.rule_sums(df, fresh, self.partitions_, sign, s, self.and_operator, self.softmin_temperature), fresh)
-            fresh = [r for r, c in zip(fresh, coverage, strict=True) if c >= self.min_rule_coverage]
             rules, added = rules + fresh, added + len(fresh)
-        return rules, seen
+        return rules, len(rules)
+
+    def _price(self, df: DataFrame, rules: Sequence[Rule], sign: Column, s: Column, upper: Column, top: int, done: set) -> list[Rule]:
+        """Up to ``top`` pairs, dearest first; done: pairs that were added or refused, to which these are added."""
+        d = len(self.partitions_)
+        z = F.array(*activations(rules, self.partitions_, self.and_operator, self.softmin_temperature), F.lit(1.0))
+        self.dual_ = dual = hinge_duals(df.select(z.alias("z"), sign.alias("y"), upper.alias("s")), len(rules) + 1)
+        margin = ex.margin(activations(rules, self.partitions_, self.and_operator, self.softmin_temperature), dual.coef[:-1], dual.coef[-1])
+        w = upper * dual.of_row(1 - sign * margin) * sign
+        cells = [m for key, m in sorted(memberships(self.partitions_).items(), key=lambda x: (x[0][0], TERMS.index(x[0][1])))]
+        gram = np.abs(_gram(df.select(F.array(*cells).alias("m"), w.alias("a")), 3 * d))
+        pairs = sorted((-gram[i, j], i, j) for i in range(3 * d) for j in range(i + 1, 3 * d) if i // 3 != j // 3)
+        short = [(i, j) for v, i, j in pairs[: SHORTLIST * top] if -v > 1 + self.tol and (i, j) not in done]
+        if not short:
+            return []
+        made = [Rule((Condition(i // 3, TERMS[i % 3]), Condition(j // 3, TERMS[j % 3]))) for i, j in short]
+        prices, covered = _priced_sums(df, activation_array(made, self.partitions_, self.and_operator, self.softmin_temperature), w, s, len(made))
+        found = []
+        for k, pair in enumerate(short):
+            if abs(prices[k]) <= 1 + self.tol:
+                continue
+            if covered[k] < self.min_rule_coverage:
+                done.add(pair)
+                continue
+            found.append((-abs(prices[k]), k))
+            if len(found) >= 4 * top:
+                break
+        best = [k for _, k in sorted(found)[:top]]
+        done.update(short[k] for k in best)
+        return [made[k] for k in best]
+
+
+def _priced_sums(df: DataFrame, acts: Column, w: Column, s: Column, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """sum w a and the s-weighted mean of each of k activations a, in one pass."""
+
+    def run(batches):
+        import pandas as pd
+
+        total = np.zeros(2 * k + 1)
+        for b in batches:
+            if len(b):
+                a, weight = np.stack(b["a"].to_numpy()), b["s"].to_numpy()
+                total += np.r_[b["w"].to_numpy() @ a, weight @ a, weight.sum()]
+        yield pd.DataFrame({"i": np.arange(2 * k + 1), "v": total})
+
+    out = np.zeros(2 * k + 1)
+    rows = df.select(acts.alias("a"), w.alias("w"), s.cast("double").alias("s"))
+    for i, v in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[i] = v
+    return out[:k], out[k : 2 * k] / max(out[-1], 1e-300)
 
 
 def _gram(df: DataFrame, k: int) -> np.ndarray:

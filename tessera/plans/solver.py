@@ -1,4 +1,4 @@
-"""Weighted squared-hinge fits with L1 and quadratic penalties, by proximal Newton steps over distributed passes.
+"""Weighted squared-hinge fits with L1 and quadratic penalties, and duals of the L1 hinge programme, by proximal Newton steps over distributed passes.
 
 Minimises 1/2 g'Qg + sum lam |g| + C sum s max(0, 1 - y z'g)^2. Rows stay where they are: a pass sums the loss at some trial points, and the gradient and the
 active rows' Gram matrix at the first, within each partition, and only these sums (K x K) reach the driver. Data of at most ``LOCAL_CELLS`` numbers
@@ -41,26 +41,38 @@ def _sums(z: np.ndarray, y: np.ndarray, s: np.ndarray, points: np.ndarray) -> np
     return np.concatenate([losses, grad, gram.ravel()]).reshape(1, len(points) + k + k * k)[0]
 
 
-def data_pass(df: DataFrame, k: int) -> tuple[Callable[[np.ndarray], np.ndarray], Callable[[], None]]:
-    """A function from trial points to summed losses, gradient and Gram, and one that frees the data. df: z, y, s."""
+def _hinge_sums(z: np.ndarray, y: np.ndarray, s: np.ndarray, points: np.ndarray, mu: float) -> np.ndarray:
+    """As _sums, of the hinge with its corner rounded off over a width of mu; then the sum of the duals at the first point."""
+    k = z.shape[1]
+    slack = np.maximum(0.0, 1 - y[:, None] * (z @ points.T))
+    losses = s @ np.where(slack < mu, slack * slack / (2 * mu), slack - mu / 2)
+    grad = -(s * y * np.minimum(slack[:, 0] / mu, 1.0)) @ z
+    bent = (slack[:, 0] > 0) & (slack[:, 0] < mu)
+    zb = z[bent]
+    gram = (zb * (s[bent] / mu)[:, None]).T @ zb
+    return np.concatenate([losses, grad, gram.ravel(), [s @ np.minimum(slack[:, 0] / mu, 1.0)]])
+
+
+def data_pass(df: DataFrame, k: int, sums: Callable[..., np.ndarray] = _sums, more_sums: int = 0) -> tuple[Callable[..., np.ndarray], Callable[[], None]]:
+    """A function from trial points (and what else the sums take) to summed losses, gradient and Gram, and one that frees the data. df: z, y, s."""
     rows = df.select("z", F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"))
     if rows.count() * max(k, 1) <= LOCAL_CELLS:
         data = rows.toPandas()
         z = np.stack(data["z"].to_numpy()) if len(data) else np.zeros((0, k))
         y, s = data["y"].to_numpy(), data["s"].to_numpy()
-        return (lambda points: _sums(z, y, s, points)), (lambda: None)
+        return (lambda points, *more: sums(z, y, s, points, *more)), (lambda: None)
     kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def run(points: np.ndarray) -> np.ndarray:
+    def run(points: np.ndarray, *more) -> np.ndarray:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(points) + k + k * k)
+            total = np.zeros(len(points) + k + k * k + more_sums)
             for b in batches:
                 if len(b):
-                    total += _sums(np.stack(b["z"].to_numpy()), b["y"].to_numpy(), b["s"].to_numpy(), points)
+                    total += sums(np.stack(b["z"].to_numpy()), b["y"].to_numpy(), b["s"].to_numpy(), points, *more)
             yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
         found = kept.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(len(points) + k + k * k)
+        out = np.zeros(len(points) + k + k * k + more_sums)
         for r in found:
             out[r["i"]] = r["v"]
         return out
@@ -95,12 +107,43 @@ def kkt_residual(gamma: np.ndarray, grad: np.ndarray, lam: np.ndarray) -> float:
     return float(np.where(gamma == 0, at_zero, off).max()) if len(gamma) else 0.0
 
 
+def _newton(seen: Callable, gamma: np.ndarray, lam: np.ndarray, tol: float, max_iter: int, patient: bool = False) -> tuple[np.ndarray, float, float, float]:
+    """Steps from gamma until the KKT residual is tol of that at the start, or no step goes down (patient: nor a shorter one): gamma, objective, residual, residual at the start."""
+    value, grad, h = seen(gamma[None])
+    start = max(kkt_residual(gamma, grad, lam), 1e-12)
+    residual, value, damping = start, value[0], 1e-10
+    for _ in range(max_iter):
+        if residual <= tol * max(1.0, start):
+            break
+        ridge = damping * max(1.0, np.trace(h) / max(len(gamma), 1))
+        damped = h + ridge * np.eye(len(gamma))
+        d = np.linalg.solve(damped, -grad) if not lam.any() else _coordinate_descent(damped, grad, gamma, lam)
+        down = grad @ d + np.abs(gamma + d) @ lam - np.abs(gamma) @ lam
+        values, new_grad, new_h = seen(gamma + np.outer(STEPS, d))
+        good = [i for i, t in enumerate(STEPS) if values[i] <= value + 1e-4 * t * down + 1e-14 * abs(value)]
+        if not good:
+            # The quadratic holds too far: shorter steps, until none is left.
+            if not patient or damping > 1e4:
+                break
+            damping *= 100
+            continue
+        damping = max(1e-10, damping / 10)
+        i = good[0]
+        gamma = gamma + STEPS[i] * d
+        if i:
+            values, new_grad, new_h = seen(gamma[None])
+            i = 0
+        value, grad, h = values[i], new_grad, new_h
+        residual = kkt_residual(gamma, grad, lam)
+    return gamma, float(value), residual, start
+
+
 def solve(df: DataFrame, k: int, c: float = 1.0, lam: float | Sequence[float] = 0.0, q: np.ndarray | float = 0.0, tol: float = 1e-6, max_iter: int = 100) -> Solution:
     """df: z (array of k numbers), y (-1 or 1), s (weight)."""
     lam = np.broadcast_to(np.asarray(lam, float), k).copy()
     q = np.eye(k) * q if np.isscalar(q) else np.asarray(q, float)
     run, free = data_pass(df, k)
-    gamma, passes = np.zeros(k), 0
+    passes = 0
 
     def seen(points: np.ndarray):
         nonlocal passes
@@ -110,27 +153,57 @@ def solve(df: DataFrame, k: int, c: float = 1.0, lam: float | Sequence[float] =
         return value, c * out[p : p + k] + q @ points[0], c * out[p + k :].reshape(k, k) + q
 
     try:
-        value, grad, h = seen(gamma[None])
-        start = max(kkt_residual(gamma, grad, lam), 1e-12)
-        residual, value = start, value[0]
-        for _ in range(max_iter):
-            if residual <= tol * max(1.0, start):
-                break
-            ridge = 1e-10 * max(1.0, np.trace(h) / max(k, 1))
-            damped = h + ridge * np.eye(k)
-            d = np.linalg.solve(damped, -grad) if not lam.any() else _coordinate_descent(damped, grad, gamma, lam)
-            down = grad @ d + np.abs(gamma + d) @ lam - np.abs(gamma) @ lam
-            values, new_grad, new_h = seen(gamma + np.outer(STEPS, d))
-            good = [i for i, t in enumerate(STEPS) if values[i] <= value + 1e-4 * t * down + 1e-14 * abs(value)]
-            if not good:
+        gamma, value, residual, start = _newton(seen, np.zeros(k), lam, tol, max_iter)
+    finally:
+        free()
+    return Solution(gamma, value, residual, passes, residual <= 10 * tol * max(1.0, start))
+
+
+@dataclass
+class HingeDual:
+    """A solution of min sum |g| (but for the last) + sum s max(0, 1 - y z'g) with the width that its duals are read off at."""
+
+    coef: np.ndarray
+    mu: float
+    primal: float
+    dual: float
+    infeasible: float  # how far |z' (a y)| exceeds 1, or |sum a y| exceeds 0
+    passes: int
+
+    @property
+    def gap(self) -> float:
+        return (self.primal - self.dual) / max(1.0, abs(self.primal))
+
+    def of_row(self, slack):
+        """The dual of a row with a slack max(0, 1 - y z'g), as a share of its weight; slack: a Column."""
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), slack / self.mu))
+
+
+def hinge_duals(df: DataFrame, k: int, mu: float = 1e-6, max_iter: int = 60) -> HingeDual:
+    """df: z (array of k numbers, the last the constant 1, which isn't penalised), y (-1 or 1), s (weight).
+
+    The hinge's corner is rounded off over a width that falls tenfold from 4 to mu, each fit starting from the last. A row's dual at the optimum is its weight times slack / width, at most 1, so it
+    stays with the row as an expression of its margin, and at every width the duals are those of a nearby programme: their sum is at most mu / 2 times the sum of weights below the optimum."""
+    lam = np.r_[np.ones(k - 1), 0.0]
+    run, free = data_pass(df, k, _hinge_sums, 1)
+    passes, gamma, width = 0, np.zeros(k), 4.0
+
+    def seen(points: np.ndarray):
+        nonlocal passes
+        passes += 1
+        out, p = run(points, width), len(points)
+        return out[:p] + np.abs(points) @ lam, out[p : p + k], out[p + k : -1].reshape(k, k)
+
+    try:
+        while True:
+            gamma, *_ = _newton(seen, gamma, lam, 1e-9 if width <= mu * 1.5 else 1e-3, max_iter, patient=True)
+            if width <= mu * 1.5:
                 break
-            i = good[0]
-            gamma = gamma + STEPS[i] * d
-            if i:
-                values, new_grad, new_h = seen(gamma[None])
-                i = 0
-            value, grad, h = values[i], new_grad, new_h
-            residual = kkt_residual(gamma, grad, lam)
+            width = max(width / 10, mu)
+        out = run(gamma[None], width)
+        primal = run(gamma[None], 1e-12)[0] + np.abs(gamma) @ lam
+        grad, total = out[1 : 1 + k], out[-1]
+        infeasible = max(float(np.max(np.abs(grad[:-1]), initial=0.0)) - 1.0, abs(float(grad[-1])), 0.0)
     finally:
         free()
-    return Solution(gamma, float(value), residual, passes, residual <= 10 * tol * max(1.0, start))
+    return HingeDual(gamma, width, float(primal), float(total), infeasible, passes)
