@@ -127,3 +127,18 @@ def test_pareto_and_keep_first(spark):
     df = spark.createDataFrame(rows, "cost double, gain double, name string")
     assert sorted(tuple(r) for r in metrics.pareto(df, "cost", "gain").collect()) == [(-4.0, 1.0), (0.0, 2.0), (1.0, 6.0), (3.0, 7.0), (3000.0, 7.5)]
     assert sorted(r["name"] for r in metrics.keep_first(df, ["cost"], ["gain"]).collect()) == ["s", "t", "u", "v", "w", "x", "z"]
+
+
+def test_critical_differences_of_any_number_of_models():
+    for k, q in statistics.NEMENYI_Q.items():
+        assert statistics.range_quantile(k) == pytest.approx(q, abs=1.1e-3)
+    q = statistics.range_quantile(30)
+    # By plain sums on another grid: the chance of a larger range is 0.05 there.
+    z = np.linspace(-10, 10, 20001)
+    below = np.vectorize(lambda v: math.erfc(-v / math.sqrt(2)) / 2)
+    tail = 1 - 30 * np.sum(np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (below(z) - below(z - q * math.sqrt(2))) ** 29) * (z[1] - z[0])
+    assert tail == pytest.approx(0.05, abs=1e-7)
+    assert q * math.sqrt(2) == pytest.approx(5.30, abs=0.01) and statistics.range_quantile(20) * math.sqrt(2) == pytest.approx(5.01, abs=0.01)
+    assert statistics.nemenyi_cd(30, 12) == pytest.approx(q * math.sqrt(30 * 31 / 72)) and statistics.nemenyi_cd(5, 9, 0.1) < statistics.nemenyi_cd(5, 9)
+    with pytest.raises(ValueError, match="two models"):
+        statistics.nemenyi_cd(1, 4)
