@@ -4,7 +4,7 @@ A word's input is the sum of an embedding of the word and the mean of embeddings
 four), so that unseen forms of a stem are read by their letters. Words and n-grams in fewer than ``LEAST_DOCS`` training texts have none. Every text is scored in all windows of ``WINDOW`` words that start
 each ``STRIDE`` words, which overlap by half; the largest window decides, and is calibrated to a probability.
 
-Training is bounded: at most ``SAMPLE`` labelled rows, a longer text by ``SLICES`` slices that lie evenly over the whole of it and have ``SAMPLE_CHARS`` characters together; a third of them toxic if there are so many, chosen by hash of the id. Labels hold for
+Training is bounded: at most ``SAMPLE`` labelled rows, a text of more than ``DRAWN`` windows by so many of them, drawn from all of it by a hash of the text; a third of them toxic if there are so many, chosen by hash of the id. Labels hold for
 documents, so windows are chosen in rounds: first any of a document, then those that the network itself finds worst.
 
 Defined results: a null or empty text, or one without words, scores 0; texts under a window are repeated to fill it; repeated
@@ -25,10 +25,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.llm.common import table
 
-WINDOW, STRIDE, SAMPLE, SAMPLE_CHARS, SLICES = 16, 8, 2400, 20_000, 20
+WINDOW, STRIDE, SAMPLE, DRAWN = 16, 8, 2400, 200
 LEAST_DOCS, INPUT, HIDDEN, ATTENTION = 4, 12, 8, 8
 FOLDS, HELD_OUT, REJECT, CACHED, LEAST_STEPS, TOGETHER, SEED = 4, 2, 0.3, 150_000, 60, 2_000_000, 11
 _WORD = re.compile(r"\w{1,40}")
@@ -167,20 +168,33 @@ class _Fitted:
         self.network, self.slope, self.shift, self.share = network, slope, shift, share
 
 
-def fit(texts: list[str], labels: list[int], seed: int = SEED) -> _Fitted:
-    """The classifier from labelled texts; a fifth of them only calibrates it."""
+def pieces(text: str | None) -> list[str]:
+    """A text's words as one piece, or, of a text with more than ``DRAWN`` windows, so many of its own windows: any of them may be drawn, and which ones depends on the text alone."""
+    found = words(text or "")
+    at = starts(len(found))
+    if len(at) <= DRAWN:
+        return [" ".join(found)]
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    return [" ".join(found[s : s + WINDOW]) for s in np.sort(rng.choice(at, DRAWN, replace=False)).tolist()]
+
+
+def fit(texts: list[str | list[str]], labels: list[int], seed: int = SEED) -> _Fitted:
+    """The classifier from labelled texts, each whole or as pieces; no window reaches over two pieces. A fifth of the texts only calibrates it."""
     share = float(np.mean(labels)) if labels else 0.0
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return _Fitted(None, 1.0, 0.0, share)
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
-    flat = [np.array([known.setdefault(w, len(known)) for w in words(t)], np.int64) for t in texts]
-    lengths = np.array([len(f) for f in flat])
+    parts = [[t] if isinstance(t, str) else t for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    each = [np.array([known.setdefault(w, len(known)) for w in words(t)], np.int64) for t in chain.from_iterable(parts)]
+    lengths = np.array([len(e) for e in each])
     if not lengths.any():
         return _Fitted(None, 1.0, 0.0, share)
     places, of = window_rows(lengths)
-    ids = np.concatenate(flat)[places]
+    of, ids = owner[of], np.concatenate(each)[places]
+    flat = np.split(np.concatenate(each), np.cumsum(np.bincount(owner, lengths, len(texts)).astype(np.int64))[:-1])
     calibrates = rng.random(len(y)) < 0.2
     learns = ~calibrates[of]
     listed = list(known)
@@ -365,31 +379,30 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def sliced(text: Column) -> Column:
-    """A text, or the slices of a long one."""
-    n, size = F.length(text), SAMPLE_CHARS // SLICES
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda j: F.substring(text, F.floor(1 + j * (n - size) / (SLICES - 1)).cast("int"), F.lit(size)))
-    return F.when(n > SAMPLE_CHARS, F.concat_ws(" ", pieces)).otherwise(text)
+@F.pandas_udf(ArrayType(StringType()))
+def drawn(text: pd.Series) -> pd.Series:
+    """pieces() of each text."""
+    return text.map(pieces, na_action=None)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> _Fitted:
     """Fits on a bounded sample of the labelled rows that aren't held out."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
-    short = docs.select(F.col(id_col).alias("_id"), sliced(F.col(text_col)).alias("_t"))
+    short = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     order = F.xxhash64(F.lit(SEED), "_i")
     chosen = None
     for y in (1, 0):
         # More ids than rows are wanted, for ids without a document; at most 2 * sample rows, so they may be broadcast.
         some = known.filter(F.col("_y") == y).orderBy(order, "_i").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
-    rows = short.join(F.broadcast(chosen), short["_id"] == chosen["_i"]).select("_i", "_t", "_y", order.alias("_o"))
+    rows = short.join(F.broadcast(chosen), short["_id"] == chosen["_i"]).select("_i", drawn("_t").alias("_w"), "_y", order.alias("_o"))
     half = None
     for y, most in ((1, sample // 3), (0, sample - sample // 3)):
-        some = rows.filter(F.col("_y") == y).orderBy("_o", "_i", "_t").limit(most)
+        some = rows.filter(F.col("_y") == y).orderBy("_o", "_i", "_w").limit(most)
         half = some if half is None else half.union(some)
     found = half.collect()  # sample rows at most
-    return fit([r["_t"] for r in found], [r["_y"] for r in found])
+    return fit([r["_w"] for r in found], [r["_y"] for r in found])
 
 
 def scored(docs: DataFrame, fitted: _Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,8 +4,6 @@ import zlib
 import numpy as np
 import pytest
 
-from pyspark.sql import functions as F
-
 from tessera.llm import toxicity
 from tests.llm.helpers import DOC_SCHEMA, documents, edge_texts, shaken
 
@@ -80,14 +78,34 @@ def test_query_columns(spark):
     assert toxicity.scored(empty, toxicity.train(empty, labels)).count() == 0
 
 
-def test_long_texts_give_slices_of_their_whole_length(spark):
-    size = toxicity.SAMPLE_CHARS // toxicity.SLICES
-    long = "".join(f"{i:09d} " for i in range(30_000))
-    df = spark.createDataFrame([("short text",), (None,), (long,), ("x" * toxicity.SAMPLE_CHARS,)], "t string")
-    got = [r[0] for r in df.select(toxicity.sliced(F.col("t"))).collect()]
-    assert got[:2] == ["short text", None] and got[3] == "x" * toxicity.SAMPLE_CHARS
-    pieces = [got[2][k * (size + 1) : k * (size + 1) + size] for k in range(toxicity.SLICES)]
-    assert pieces[0] == long[:size] and pieces[-1] == long[-size:] and all(p in long for p in pieces) and len(got[2]) == toxicity.SLICES * (size + 1) - 1
+def test_long_texts_give_windows_of_their_own_from_all_of_them(spark):
+    ws = [f"w{i}" for i in range(30_000)]
+    own = {" ".join(ws[s : s + toxicity.WINDOW]) for s in toxicity.starts(len(ws)).tolist()}
+    df = spark.createDataFrame([(0, "Short text"), (1, None), (2, " ".join(ws)), (3, "- " * 50_000)], "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", toxicity.drawn("t")).collect()}
+    assert got[0] == ["short text"] and got[1] == got[3] == [""]
+    assert len(set(got[2])) == toxicity.DRAWN and set(got[2]) <= own
+    # Over texts that differ in one word, each tenth of the text is drawn from about as often.
+    places = [int(p.split()[0][1:]) for j in range(20) for p in toxicity.pieces(" ".join([*ws, f"end{j}"]))]
+    shares = np.histogram(places, 10, (0, len(ws)))[0] / len(places)
+    assert abs(shares - 0.1).max() < 0.025
+
+
+def test_a_toxic_passage_anywhere_in_a_long_text_is_learnt():
+    texts, y = corpus(200)
+    rng = random.Random(4)
+    calm = [t for t, v in zip(texts, y, strict=True) if not v]
+    long, truth = [], []
+    for i in range(40):
+        body = " ".join(rng.choice(calm) for _ in range(60)).split()
+        if i % 2:
+            for at in range(0, len(body), 12):
+                body[at] = "scum"
+        long.append(toxicity.pieces(" ".join(body)))
+        truth.append(i % 2)
+    assert all(len(p) == toxicity.DRAWN for p in long)
+    scores = toxicity.Scorer(toxicity.fit(long + calm, truth + [0] * len(calm))).score(["scum " + calm[0], calm[1]])
+    assert scores[0] > 0.3 > scores[1]
 
 
 def plain_logit(net, vectors):
