@@ -51,6 +51,17 @@ _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+
 _NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEW = re.compile("[" + "".join(map(chr, _NEW_LOWER)) + "]")
+#: Letters and numbers that Unicode assigned after the library's tables, which takes them for neither; a newer regex module knows them.
+_LATER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+]
+_LATER_LETTER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER) + "]")
 
 
 def byte_letters() -> list[str]:
@@ -163,7 +174,11 @@ class Vocabulary:
         if not _NOT_LATIN.search(text):
             return _LATIN_WORD.findall(_LATIN_SPACE.sub(" ", text).lower())
         text = _SPACE.sub(" ", text).replace("Σ", "σ").lower()
-        return self._word.findall(text.translate(_NEW_LOWER) if _NEW.search(text) else text)
+        text = text.translate(_NEW_LOWER) if _NEW.search(text) else text
+        if not _LATER_LETTER.search(text):
+            return self._word.findall(text)
+        # A character that no tables know stands in for the later letters while the words are found.
+        return [text[m.start() : m.end()] for m in self._word.finditer(_LATER_LETTER.sub("\uffff", text))]
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of one word: the pair of least rank is merged until none is left; of equal pairs the first comes first.

@@ -87,3 +87,13 @@ def test_long_words_take_n_log_n_steps(library, vocabulary):
     assert ids[:1000] == tuple(library.encode(word, add_special_tokens=False).ids)[:1000]
     with pytest.raises(ValueError, match="isn't one of BPE"):
         bpe.Vocabulary('{"model": {"type": "Unigram"}, "decoder": null}')
+
+
+def test_letters_of_any_unicode_version_give_the_library_s_ids(library, vocabulary):
+    later = [c for a, b in bpe._LATER for c in range(a, b + 1)]
+    near = [c for a, b in bpe._LATER for c in (a - 1, b + 1)]
+    texts = [f"aB{chr(c)}Cd {chr(c)}{chr(c)}" for c in [*later, *near, *range(0x80, 0x2000)]]
+    words = [vocabulary.words(t) for t in texts]
+    merged = iter(vocabulary.merge_all([w for ws in words for w in ws]))
+    for t, ws, e in zip(texts, words, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [i for _ in ws for i in next(merged)] == e.ids, ascii(t)
