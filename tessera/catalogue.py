@@ -14,6 +14,7 @@ from tessera.functions.rules import Condition, Rule, activations, enumerate_rule
 from tessera.operators import explain, metrics, prepare, ranking, statistics
 from tessera.operators.association import FuzzyAssociationClassifier
 from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM
+from tessera.operators.neighbours import knn_mutual_information
 from tessera.operators.unordered import UnorderedFuzzyRules, best_test
 from tessera.plans import quotient
 from tessera.sources import datasets
@@ -215,6 +216,29 @@ def mutual_info_screening(spark, sf_dir):
     return spark.createDataFrame([(c, round(v, 6)) for c, v in rows], "feature string, mutual_information double")
 
 
+CUSTOMERS = ["c_acctbal", "c_nationkey"]
+
+
+def knn_mutual_info_sql(k: int = 3) -> str:
+    """All pairs of customers, by the definition."""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, c_mktsegment AS y, {c}::DOUBLE AS x, c_custkey AS id FROM customer WHERE {c} IS NOT NULL AND c_mktsegment IS NOT NULL" for c in CUSTOMERS)
+    return (
+        f"WITH v AS ({rows}), sizes AS (SELECT feature, y, count(*) AS size FROM v GROUP BY feature, y HAVING count(*) > 1), p AS (SELECT v.*, size, least({k}, size - 1) AS k FROM v JOIN sizes USING (feature, y)), "
+        "psi AS (SELECT n, -0.5772156649015329::DOUBLE + sum(CASE WHEN n > 1 THEN 1 / (n - 1)::DOUBLE ELSE 0 END) OVER (ORDER BY n) AS psi FROM range(1, (SELECT count(*) + 1 FROM customer)) t(n)), "
+        "others AS (SELECT a.feature, a.id, a.x, a.k, a.size, list_sort(list(abs(a.x - b.x))) AS d FROM p a JOIN p b ON a.feature = b.feature AND a.y = b.y AND a.id <> b.id GROUP BY a.feature, a.id, a.x, a.k, a.size), "
+        "near AS (SELECT feature, id, x, k, size, d[k] AS r FROM others), "
+        "within AS (SELECT a.feature, a.id, a.k, a.size, count(*) AS m FROM near a JOIN p b ON a.feature = b.feature AND (abs(a.x - b.x) < a.r OR a.x = b.x) GROUP BY a.feature, a.id, a.k, a.size), "
+        "sums AS (SELECT feature, count(*) AS n, avg(pk.psi) - avg(ps.psi) - avg(pm.psi) AS rest FROM within JOIN psi pk ON pk.n = k JOIN psi ps ON ps.n = size JOIN psi pm ON pm.n = m GROUP BY feature) "
+        "SELECT feature, round(greatest(0.0::DOUBLE, psi.psi + rest), 6) AS mutual_information FROM sums JOIN psi USING (n)"
+    )
+
+
+@query(knn_mutual_info_sql())
+def mutual_info_neighbours(spark, sf_dir):
+    rows = knn_mutual_information(table(spark, sf_dir, "customer"), CUSTOMERS, "c_mktsegment")
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in rows], "feature string, mutual_information double")
+
+
 GAPS_SQL = "gaps AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'nan'::DOUBLE ELSE o_totalprice END AS v FROM orders)"
 
 
