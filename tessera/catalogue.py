@@ -5,6 +5,8 @@ Doubles are rounded on both sides, as sums differ in their last digits between e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tessera.functions.membership import TERMS, concept_map
 from tessera.functions.rules import Condition, Rule, activations, enumerate_rules, rule_table, rule_text
 from tessera.operators import explain, metrics, prepare, ranking, statistics
 from tessera.operators.association import FuzzyAssociationClassifier
+from tessera.operators.boosting import ExplainableBoosting
 from tessera.operators.estimators import CSRQClassifier, FuzzyRuleSVM, MembershipLogisticL1, MembershipSVM, OneVsRest, QuotientAtomicSVM
 from tessera.operators.neighbours import knn_mutual_information
 from tessera.operators.unordered import UnorderedFuzzyRules, best_test
@@ -780,6 +783,38 @@ def unordered_fit(spark, sf_dir):
     return metrics.confusion_metrics(model.predict(df), "l_returnflag", "prediction")
 
 
+# ---- Explainable boosting
+
+
+def _gradients_sql(view: str, features, bins: int) -> str:
+    """Sums of gradient and curvature in each bin where every row still has the log-odds of the table."""
+    cuts = " UNION ".join(f"SELECT '{f}' AS feature, quantile_cont({f}, {k / bins}) AS cut FROM {view}" for f in features for k in range(1, bins))
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS v, y FROM {view}" for f in features)
+    return (
+        f"cuts AS ({cuts}), long AS ({long}), bins AS (SELECT feature, v, (SELECT count(*) FROM cuts c WHERE c.feature = d.feature AND c.cut < d.v) AS b FROM (SELECT DISTINCT feature, v FROM long) d), "
+        f"p AS (SELECT avg(y::DOUBLE) AS p FROM {view}), cells AS (SELECT feature, b, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS ones FROM long JOIN bins USING (feature, v) GROUP BY ALL) "
+        "SELECT feature, b::INTEGER AS bin, round(ones - n * p, 6) + 0.0::DOUBLE AS gradient, round(n * p * (1 - p), 6) AS curvature, n AS weight FROM cells, p"
+    )
+
+
+@query(f"WITH {LINES_SQL}, {_gradients_sql('lines', LINES, 16)}")
+def boosting_gradients(spark, sf_dir):
+    """What the first pass of boosting sums."""
+    model = ExplainableBoosting()
+    rows = model.prepare_rows(lines(spark, sf_dir), "y", LINES)
+    s0, s1 = rows.agg(F.sum("s0"), F.sum("s1")).first()
+    model.start_ = math.log(s1 / s0)
+    _, sums = model.sums(rows, [], [], [], range(len(LINES)))
+    out = [(f, k, round(float(g), 6) + 0.0, round(float(h), 6), float(w)) for f, x in zip(LINES, sums, strict=True) for k, (g, h, w) in enumerate(x.T) if w]
+    return spark.createDataFrame(out, "feature string, bin int, gradient double, curvature double, weight double")
+
+
+@query()
+def boosting_fit(spark, sf_dir):
+    model = ExplainableBoosting(interactions=1, rounds=20, pair_rounds=10).fit(orders(spark, sf_dir), "y", ORDERS)
+    return spark.createDataFrame([(t, k, round(v, 6) + 0.0) for t, k, v in model.shape_table()], "term string, bin int, value double")
+
+
 @query()
 def synthetic_regimes(spark, sf_dir):
     made = [f(spark, 400, 2, 1) for f in (synthetic.additive_main_effects, synthetic.pairwise_fuzzy_interaction, synthetic.xor_interaction, synthetic.sparse_rule_ground_truth)]
