@@ -793,19 +793,19 @@ def _gradients_sql(view: str, features, bins: int) -> str:
     return (
         f"cuts AS ({cuts}), long AS ({long}), bins AS (SELECT feature, v, (SELECT count(*) FROM cuts c WHERE c.feature = d.feature AND c.cut < d.v) AS b FROM (SELECT DISTINCT feature, v FROM long) d), "
         f"p AS (SELECT avg(y::DOUBLE) AS p FROM {view}), cells AS (SELECT feature, b, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS ones FROM long JOIN bins USING (feature, v) GROUP BY ALL) "
-        "SELECT feature, b::INTEGER AS bin, round(ones - n * p, 6) + 0.0::DOUBLE AS gradient, round(n * p * (1 - p), 6) AS curvature, n AS weight FROM cells, p"
+        "SELECT feature, b::INTEGER AS bin, round(ones - n * p + 1e-8::DOUBLE, 5) + 0.0::DOUBLE AS gradient, round(n * p * (1 - p) + 1e-8::DOUBLE, 5) AS curvature, n AS weight FROM cells, p"
     )
 
 
 @query(f"WITH {LINES_SQL}, {_gradients_sql('lines', LINES, 16)}")
 def boosting_gradients(spark, sf_dir):
-    """What the first pass of boosting sums."""
+    """What the first pass of boosting sums. Curvatures are fractions that may end in a 5 where they are rounded, so both sides add a little first."""
     model = ExplainableBoosting()
     rows = model.prepare_rows(lines(spark, sf_dir), "y", LINES)
     s0, s1 = rows.agg(F.sum("s0"), F.sum("s1")).first()
     model.start_ = math.log(s1 / s0)
     _, sums = model.sums(rows, [], [], [], range(len(LINES)))
-    out = [(f, k, round(float(g), 6) + 0.0, round(float(h), 6), float(w)) for f, x in zip(LINES, sums, strict=True) for k, (g, h, w) in enumerate(x.T) if w]
+    out = [(f, k, round(float(g) + 1e-8, 5) + 0.0, round(float(h) + 1e-8, 5), float(w)) for f, x in zip(LINES, sums, strict=True) for k, (g, h, w) in enumerate(x.T) if w]
     return spark.createDataFrame(out, "feature string, bin int, gradient double, curvature double, weight double")
 
 
