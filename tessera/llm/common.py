@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: the lineage ends in files that outlive executors.
+def cut(df: DataFrame, **options) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: the lineage ends in files that outlive executors. options: the writer's.
 
     The files stay until the folder's owner clears it; they are named by application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, over a sparse matrix of documents by hashed features.
 
 Texts become rows of a count matrix: a feature (a run of 1 to n words) falls into one of ``buckets`` columns by CRC-32. The matrix is written
-once, as CSR blocks of about a thousand documents (row starts, columns, counts), and all that follows reads the blocks: the column sums of the source and of
+once, as CSR blocks of a thousand documents at most (row starts, columns, counts), fewer where texts are long, and all that follows reads the blocks one at a time: the column sums of the source and of
 the target give the two smoothed distributions, the logarithm of their ratio is a bucket's gain, and the product of the matrix with the gains, divided by a document's features,
 is its weight. Gumbel noise from a digest of the id turns weights into scores, of which the highest are drawn: sampling without
 replacement in proportion to exp(weight), repeatable on any cluster.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from math import floor, log
 from zlib import crc32
 
@@ -29,7 +30,9 @@ from pyspark.sql import Window as W
 
 from tessera.llm.common import cut, drop_cut, table
 
-N, BUCKETS, SEED, LEAST_WORDS, PERCENT, BLOCK = 1, 10_000, 2024, 20, 10, 1024
+N, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
+#: The most documents of a block, the cells that close one, and the most blocks in a file: a reader decodes a file's rows together.
+BLOCK, CELLS, FILE = 1024, 1 << 18, 16
 #: Bytes of UTF-8, A-Z lower-cased: digits, letters and all beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CSR = "id array<long>, words array<long>, features array<long>, start array<int>, bucket array<int>, times array<int>"
@@ -44,34 +47,44 @@ def features(text: bytes, n: int = N) -> tuple[int, list[bytes]]:
     return len(words), runs
 
 
-def csr_block(ids: pa.Array, texts: list[bytes], n: int, buckets: int) -> pa.RecordBatch:
+def csr_block(ids: pa.Array, words: list[int], total: list[int], cols: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
     """One row: the documents' part of the matrix, as row starts, columns (ascending within a row) and counts."""
-    words, total, start, cols, counts = [], [], [0], [], []
-    for text in texts:
-        w, runs = features(text, n)
-        col, times = np.unique(np.fromiter(map(crc32, runs), np.int64, len(runs)) % buckets, return_counts=True)
-        words.append(w)
-        total.append(len(runs))
-        start.append(start[-1] + len(col))
-        cols.append(col)
-        counts.append(times)
-    flat = (np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32) for x in (cols, counts))
-    values = [ids.cast(pa.int64()), pa.array(words, pa.int64()), pa.array(total, pa.int64()), pa.array(start, pa.int32()), *map(pa.array, flat)]
+    start = np.r_[0, np.cumsum([len(x) for x in cols])]
+    values = [ids.cast(pa.int64()), pa.array(words, pa.int64()), pa.array(total, pa.int64()), pa.array(start, pa.int32()), *(pa.array(np.concatenate(x)) for x in (cols, counts))]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
     return pa.RecordBatch.from_arrays(lists, names=["id", "words", "features", "start", "bucket", "times"])
 
 
+def csr_blocks(ids: pa.Array, texts: pa.Array, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of a batch of documents, each closed at ``BLOCK`` documents or ``CELLS`` cells."""
+    at, cells, held = 0, 0, ([], [], [], [])
+    for k, text in enumerate(texts):
+        words, runs = features(text.as_py() or b"", n)
+        col, times = np.unique(np.fromiter(map(crc32, runs), np.int64, len(runs)) % buckets, return_counts=True)
+        for to, x in zip(held, (words, len(runs), col.astype(np.int32), times.astype(np.int32)), strict=True):
+            to.append(x)
+        cells += len(col)
+        if k + 1 == len(texts) or k + 1 - at == BLOCK or cells >= CELLS:
+            yield csr_block(ids.slice(at, k + 1 - at), *held)
+            at, cells, held = k + 1, 0, ([], [], [], [])
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The arrays of each row of list columns, which aren't copied."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield [x[k].values for x in b.columns]
+
+
 def count_matrix(df: DataFrame, id_col: str, text_col: str, n: int = N, buckets: int = BUCKETS) -> DataFrame:
     """The matrix of df's rows in CSR blocks, written to the shared folder."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                yield csr_block(part.column(0), [x or b"" for x in part.column(1).to_pylist()], n, buckets)
+            yield from csr_blocks(b.column(0), b.column(1), n, buckets)
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("t"))
-    return cut(slim.mapInArrow(run, CSR))
+    return cut(slim.mapInArrow(run, CSR), maxRecordsPerFile=FILE)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -79,9 +92,8 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(buckets, np.int64)
-        for b in batches:
-            cols, times = (b.column(i).flatten().to_numpy() for i in (0, 1))
-            np.add.at(total, cols, times)
+        for cols, times in rows_of(batches):
+            np.add.at(total, cols.to_numpy(), times.to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "s"])
 
@@ -107,14 +119,12 @@ def scored(matrix: DataFrame, gains: np.ndarray, seed: int = SEED) -> DataFrame:
     """id, n_words, n_features, weight and score of each document: the matrix times the gains, row by row of the blocks."""
 
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                start, times = np.array(row["start"]), np.array(row["times"], np.int64)
-                running = np.r_[0, np.cumsum(gains[np.array(row["bucket"], np.int64)] * times)]
-                count = np.array(row["features"], np.int64)
-                weight = np.where(count > 0, (running[start[1:]] - running[start[:-1]]) // np.maximum(count, 1), 0)
-                score = weight + np.fromiter((gumbel(i, seed) for i in row["id"]), np.int64, len(count))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row["id"], row["words"], count, weight, score)], names=["id", "n_words", "n_features", "weight", "score"])
+        for ids, words, features_, start, bucket, times in rows_of(batches):
+            at, count = start.to_numpy(), features_.to_numpy()
+            running = np.r_[0, np.cumsum(gains[bucket.to_numpy()] * times.to_numpy())]
+            weight = np.where(count > 0, (running[at[1:]] - running[at[:-1]]) // np.maximum(count, 1), 0)
+            score = weight + np.fromiter((gumbel(i, seed) for i in ids.to_pylist()), np.int64, len(count))
+            yield pa.RecordBatch.from_arrays([ids, words, features_, pa.array(weight), pa.array(score)], names=["id", "n_words", "n_features", "weight", "score"])
 
     return matrix.mapInArrow(run, "id long, n_words long, n_features long, weight long, score long")
 

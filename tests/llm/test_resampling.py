@@ -1,9 +1,12 @@
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import floor, log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import resampling
@@ -70,3 +73,27 @@ def test_blocks_hold_the_counts(spark):
             a, b = r["start"][k : k + 2]
             flat[i] = dict(zip(r["bucket"][a:b], r["times"][a:b], strict=True))
     assert flat == {0: dict(counted("a b a", 1, 50)[1]), 1: {}, 2: dict(counted("c", 1, 50)[1])}
+
+
+def test_blocks_stay_small(spark, monkeypatch):
+    # A block of a thousand long documents, and a task's blocks as Python lists, outgrew an executor.
+    monkeypatch.setattr(resampling, "CELLS", 100)
+    texts = [" ".join(f"w{k * j}" for j in range(40)) for k in range(60)] + [None] * 3
+    blocks = [b for b in resampling.csr_blocks(pa.array(range(63), pa.int64()), pa.array([t and t.encode() for t in texts]), 1, 10_000)]
+    assert len(blocks) > 15 and all(len(b.column("bucket")[0]) < 140 for b in blocks)
+    assert [i for b in blocks for i in b.column("id")[0].as_py()] == list(range(63))
+
+
+def test_scoring_holds_one_block():
+    # 30 blocks in one batch of 60 MB: their numbers as Python objects were 396 MB.
+    got = {}
+    matrix = type("Matrix", (), {"mapInArrow": lambda self, run, schema: got.setdefault("run", run)})()
+    resampling.scored(matrix, np.arange(10_000))
+    cells, rows = 1 << 18, 1024
+    flat = [np.arange(rows), np.full(rows, cells // rows), np.full(rows, cells // rows), np.arange(0, cells + 1, cells // rows, dtype=np.int32), np.arange(cells, dtype=np.int32) % 10_000, np.ones(cells, np.int32)]
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(31) * len(x), pa.int32()), pa.array(np.tile(x, 30))) for x in flat], names=["id", "words", "features", "start", "bucket", "times"])
+    tracemalloc.start()
+    out = [b for b in got["run"]([batch])]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 30 * rows and most < 50e6
