@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,19 +201,22 @@ def keyed(prints: DataFrame, bits: int, pairs: list[tuple[int, int]]) -> DataFra
     return prints.select("f", "wide").mapInArrow(run, "f long, s long, keys array<long>").select(F.explode("keys").alias("key"), "f", "s")
 
 
-def close_links(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Pairs of rows (n, words) that differ in at most ``most`` bits and whose closure is that of all such pairs: a forest, searched from each row reached among those that aren't yet."""
+def close_links(prints: np.ndarray, roots: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of components that close the rows (n, words) over all pairs that differ in at most ``most`` bits: a forest over the components, roots, that
+    the rows have already. It is searched from each row reached among those of other components, so rows of one component aren't compared."""
     out, left = [], np.arange(len(prints))
     while len(left):
-        reached, left = [left[0]], left[1:]
+        mine = roots[left] == roots[left[0]]
+        reached, left = left[mine].tolist(), left[~mine]
         while reached and len(left):
             i = reached.pop()
             near = np.bitwise_count(prints[left] ^ prints[i]).sum(1, dtype=np.int64) <= most
             if near.any():
-                found = left[near].tolist()
-                out += [(i, j) for j in found]
-                reached += found
-                left = left[~near]
+                found = np.unique(roots[left[near]])
+                out += [(int(roots[i]), r) for r in found.tolist()]
+                mine = np.isin(roots[left], found)
+                reached += left[mine].tolist()
+                left = left[~mine]
     return out
 
 
@@ -224,48 +227,71 @@ def distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, prints: DataFrame, most: int) -> DataFrame:
-    """The pairs u, v whose wide fingerprints differ in at most ``most`` bits."""
+    """The pairs u, v (with what else they have) whose wide fingerprints differ in at most ``most`` bits."""
     both = pairs.join(prints.select(F.col("f").alias("u"), F.col("wide").alias("a")), "u").join(prints.select(F.col("f").alias("v"), F.col("wide").alias("b")), "v")
-    return both.filter(distance("a", "b") <= most).select("u", "v")
+    return both.filter(distance("a", "b") <= most).drop("a", "b")
 
 
-def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members with root, that of their component; what isn't in roots is a component of its own."""
-    both = members.join(roots, members["f"] == roots["node"], "left")
-    return both.select(*members.columns, F.coalesce("root", "f").alias("root"))
+def rooted(members: DataFrame, roots: DataFrame, of: str = "f") -> DataFrame:
+    """The members with root, that of their column ``of``; what isn't in roots is a component of its own."""
+    both = members.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(of) == F.col("_node"), "left")
+    return both.withColumn("root", F.coalesce("_root", of)).drop("_node", "_root")
+
+
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """node, root of roots after more (node, root) has closed links between its components."""
+    return rooted(roots, more, "root").select("node", "root").union(more.join(roots, "node", "left_anti").select("node", "root"))
+
+
+def opened(members: DataFrame) -> DataFrame:
+    """The members (key, f, s, root) of the keys that have several components, with c, the key's centre: the least member of the component of the least root.
+
+    A large component's root is the least of many, so the centre is mostly of the key's largest one, and few members are outside it."""
+    key = Window.partitionBy("key")
+    both = members.withColumn("c", F.min(F.struct("root", "f", "s")).over(key)).withColumn("_hi", F.max("root").over(key))
+    return both.filter("c.root <> _hi").drop("_hi")
 
 
 def offered(members: DataFrame) -> DataFrame:
-    """Candidates u, v: each member of a key (key, f, s, root) with the key's least one, where they are of different components.
+    """Candidates u, v: each of the opened members with its key's centre, where they are of different components, ru and rv.
 
     The first 64 bits tell chance meetings: over 22 of them differ where 32 are expected of unrelated texts, and at a similarity of 0.8 so many do one time in 50,000."""
-    centres = members.groupBy("key").agg(F.min(F.struct("f", "s", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "c")
     near = F.bit_count(F.col("s").bitwiseXOR(F.col("c.s"))) <= LOOSE
-    both = members.join(centres, "key").filter((F.col("f") != F.col("c.f")) & (F.col("root") != F.col("c.root")) & near)
-    return both.select(F.col("f").alias("u"), F.col("c.f").alias("v")).distinct()
+    both = members.filter((F.col("root") != F.col("c.root")) & near)
+    return both.select(F.col("f").alias("u"), F.col("c.f").alias("v"), F.col("root").alias("ru"), F.col("c.root").alias("rv")).distinct()
+
+
+def between(links: DataFrame) -> DataFrame:
+    """The links as those of their components."""
+    return links.select(F.col("ru").alias("u"), F.col("rv").alias("v"))
 
 
 def closed_keys(members: DataFrame, prints: DataFrame, most: int, piece: int) -> DataFrame:
-    """Links whose closure is that of all close pairs that share a key. members: key, f.
+    """Links between components whose closure is that of all close pairs that share a key. members: key, f, root.
 
     A key's members are searched in Arrow, many small keys in a group; a key of more than ``piece`` is dealt out in pieces, and each pair of pieces is
-    a group of its own, so that no group outgrows a task and every pair is looked at in some group."""
+    a group of its own, so that no group outgrows a task and every pair is looked at in some group. A group gives a forest: what its earlier keys have linked is one component to the later ones."""
     members = cut(members)
     groups = max(1, ceil(members.count() / piece))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     split = members.join(sizes.filter(F.col("n") > piece), "key", "left").withColumn("of", F.coalesce(F.ceil(F.col("n") / piece), F.lit(1))).withColumn("own", F.pmod(F.xxhash64("f"), "of"))
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("of") - 1), lambda j: (F.col("of") == 1) | (j != F.col("own"))))
-    split = split.select("key", "f", "of", "own", other.alias("other"))
+    split = split.select("key", "f", "root", "of", "own", other.alias("other"))
     lump = F.when(F.col("of") == 1, F.pmod(F.xxhash64("key"), F.lit(groups)))
-    dealt = split.select("key", "f", lump.alias("lump"), F.when(F.col("of") > 1, F.col("key")).alias("hot"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = split.select("key", "f", "root", lump.alias("lump"), F.when(F.col("of") > 1, F.col("key")).alias("hot"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def close(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
-        key, f = group.column("key").to_numpy(), group.column("f").to_numpy()
+        key, root = group.column("key").to_numpy(), group.column("root").to_numpy()
         wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
         cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
-        found = [(a + i, a + j) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for i, j in close_links(wide[a:b], most)]
-        u, v = (f[[x[k] for x in found]] if found else f[:0] for k in (0, 1))
+        names, at = np.unique(root, return_inverse=True)
+        of, links = np.arange(len(names)), []  # of: the component of each root, as far as the group has closed it
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for i, j in close_links(wide[a:b], of[at[a:b]], most):
+                links.append((names[i], names[j]))
+                of[of == of[j]] = of[i]
+        u, v = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"u": pa.array(np.maximum(u, v), pa.int64()), "v": pa.array(np.minimum(u, v), pa.int64())})
 
     return dealt.join(prints.select("f", "wide"), "f").groupBy("lump", "hot", "i", "j").applyInArrow(close, "u long, v long").distinct()
@@ -274,26 +300,24 @@ def closed_keys(members: DataFrame, prints: DataFrame, most: int, piece: int) ->
 def similar_roots(prints: DataFrame, similarity: float, piece: int = PIECE) -> DataFrame:
     """node, root: the components of wide fingerprints (f, wide) over all pairs that share a key and differ in at most ``most_bits`` bits.
 
-    Each key is a star first: its members are offered to the least of them, so there are no more candidates than members. The stars of the first few keys are verified and closed, which
-    makes one component of most of a hot group; of the others only offers between components count. What a star's centre misses is searched in the keys whose other members aren't of one component."""
+    Each key is a star first: its members are offered to one of them, so there are no more candidates than members. The stars of the first few keys are verified and closed, which
+    makes one component of most of a hot group; of the others only offers between components count, and from there on components are linked, not texts. What a star's centre misses is searched
+    in the keys whose other members aren't of one component, again between components only."""
     most, (bits, pairs) = most_bits(similarity), layout(prints.count(), similarity)
     each = keyed(prints, bits, pairs)
-    shared = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    shared = cut(each.join(shared.hint("merge"), "key"))
+    key = Window.partitionBy("key")  # its rows are spilled, so a hot key needn't fit in memory
+    shared = cut(each.withColumn("n", F.count(F.lit(1)).over(key)).filter("n > 1"))
     first = shared.filter(F.col("key").bitwiseAND(F.lit(0xFFFF)) < FIRST).withColumn("root", F.col("f"))
-    links = cut(verified(offered(first), prints, most))
-    roots = cut(components(links))
-    rest = cut(verified(offered(rooted(shared, roots)), prints, most))
-    links = links.union(rest)
-    roots = cut(components(links))
-    members = cut(rooted(shared.filter("n > 2").select("key", "f"), roots))
+    roots = cut(components(between(verified(offered(opened(first)), prints, most))))
+    members = cut(opened(rooted(shared, roots)))
     drop_cut(shared)
-    open_ = members.groupBy("key").agg(F.min("f").alias("centre"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "centre")
-    others = members.join(open_, "key").filter("f <> centre").select("key", "f", "root")
-    several = others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    more = cut(closed_keys(others.join(several, "key").select("key", "f"), prints, most, piece))
+    more = cut(components(between(verified(offered(members), prints, most))))
+    roots = cut(joined(roots, more))
+    others = rooted(members.filter("n > 2 AND f <> c.f").select("key", "f", "root"), more, "root")
+    several = others.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter("lo <> hi").select("key", "f", "root")
+    links = cut(closed_keys(several, prints, most, piece))
     drop_cut(members)
-    return roots if more.isEmpty() else components(links.union(more))
+    return roots if links.isEmpty() else joined(roots, components(links))
 
 
 def _similar(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, piece: int) -> DataFrame:
