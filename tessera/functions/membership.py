@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ def memberships(partitions: Sequence[Partition]) -> dict[tuple[int, str], Column
     return {(i, t): p.term(t) for i, p in enumerate(partitions) for t in TERMS}
 
 
+def degrees(x: np.ndarray, partitions: Sequence[Partition]) -> np.ndarray:
+    """(rows, 3 features): the degrees of ``memberships``, feature by feature and in the order of the terms, for raw values (rows, features) within a task."""
+    low, medium, high = (np.array([getattr(p, t) for p in partitions]) for t in TERMS)
+    out = np.empty((len(x), len(partitions), 3))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        down = lambda a, b: np.where(b <= a, x <= a, np.fmax(0.0, np.fmin(1.0, (b - x) / (b - a))))
+        up = lambda a, b: np.where(b <= a, x >= b, np.fmax(0.0, np.fmin(1.0, (x - a) / (b - a))))
+        out[:, :, 0], out[:, :, 1], out[:, :, 2] = down(low, medium), np.minimum(up(low, medium), down(medium, high)), up(medium, high)
+    return out.reshape(len(x), -1)
+
+
 def membership_name(i: int, term: str) -> str:
     return f"f{i}__{term}"
 

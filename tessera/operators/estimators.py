@@ -8,16 +8,18 @@ from dataclasses import asdict, dataclass
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.membership import AND_OPERATORS, TERMS, concept_map, memberships
+from tessera.functions.membership import AND_OPERATORS, TERMS, concept_map, degrees, memberships
 from tessera.functions.rules import Condition, Rule, activation_array, activations, rule_text
 from tessera.operators import explain as ex
 from tessera.operators import prepare, ranking
 from tessera.plans import artifact
 from tessera.plans import quotient as qt
-from tessera.plans.solver import hinge_duals, solve
+from tessera.plans.solver import hinge_duals, solve, solve_classes
 
 #: Pairs that are added at once, and how many times as many are priced by their own activations.
 BATCH, SHORTLIST = 20, 20
@@ -135,6 +137,10 @@ class FuzzyRuleSVM(_Binary):
         self.n_active_rules_ = int(np.sum(np.abs(self.coef_) > 1e-12))
         return self
 
+    def _shares(self, names: Sequence[str]) -> bool:
+        """Whether nothing but the fit itself depends on the label: rules of one term over all features."""
+        return self.max_rule_length == 1 and self.rule_generation == "enumeration" and (self.feature_screening == "none" or self.screen_top_k is None or self.screen_top_k >= len(names))
+
     def _scale(self, rules: Sequence[Rule]) -> np.ndarray:
         return np.array([1 + self.rule_length_penalty * (r.length - 1) for r in rules] + [1.0])
 
@@ -444,7 +450,9 @@ class QuotientAtomicSVM(_Binary):
 
 
 class OneVsRest:
-    """A binary model for each class; the largest margin wins, the first class among equals."""
+    """A binary model for each class; the largest margin wins, the first class among equals.
+
+    Models of rules of one term over all features share what doesn't depend on the class: anchors, the pass of the scores and those of the fits."""
 
     def __init__(self, factory):
         self.factory = factory
@@ -452,13 +460,90 @@ class OneVsRest:
     def fit(self, df: DataFrame, label: str = "y", features=None, weight=None, exclude=()) -> OneVsRest:
         names = prepare.feature_names(df, features, label, [*exclude, *([weight] if weight else [])])
         self.classes_ = sorted(r[0] for r in df.select(label).distinct().collect())
-        self.models_ = [self.factory().fit(df.withColumn("_is", (F.col(label) == F.lit(c)).cast("int")), "_is", names, weight) for c in self.classes_]
+        models = [self.factory() for _ in self.classes_]
+        self.shared_ = len(models) > 1 and all(type(m) is FuzzyRuleSVM and m == models[0] and m._shares(names) for m in models)
+        if self.shared_:
+            self.models_ = self._fit_together(models, df, label, names, weight)
+        else:
+            self.models_ = [m.fit(df.withColumn("_is", (F.col(label) == F.lit(c)).cast("int")), "_is", names, weight) for c, m in zip(self.classes_, models, strict=True)]
         return self
 
+    def _fit_together(self, models: list, df: DataFrame, label: str, names: list[str], weight) -> list:
+        first, k = models[0], len(models)
+        first._validate()
+        prepare.require_clean(df, names)
+        if weight and (df.agg(F.min(weight)).first()[0] or 0) < 0:
+            raise ValueError("sample weights mustn't be negative")
+        parts = prepare.anchors(df, names, first.quantiles)
+        of = F.lit(None).cast("int")
+        for i, c in enumerate(self.classes_):
+            of = F.when(F.col(label) == F.lit(c), i).otherwise(of)
+        data = df.select(F.array(*[F.col(n).cast("double") for n in names]).alias("x"), of.alias("of"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("s"))
+        count, totals, sums = _class_activations(data, parts, k)
+        rules = [Rule((Condition(f, t),)) for f in range(len(names)) for t in TERMS]
+        columns, weights = [], []
+        for i, m in enumerate(models):
+            m.label, m.weight, m.classes_, m.n_features_in_, m.feature_names_in_, m.selected_, m.partitions_ = "_is", weight, [0, 1], len(names), names, names, parts
+            two = np.array([totals.sum() - totals[i], totals[i]])
+            coverage, score = ranking.scores(two, np.stack([sums.sum(0) - sums[i], sums[i]]), rules)
+            chosen, m.n_candidate_rules_ = ranking.ranked(rules, coverage, score, m.max_rules, m.min_rule_coverage)
+            if not chosen:
+                chosen, m.n_candidate_rules_ = ranking.ranked(rules, coverage, score, m.max_rules, -1.0)
+            m.rules_, m.rule_scores_ = [rules[j] for j in chosen], [float(score[j]) for j in chosen]
+            columns.append([*chosen, len(rules)])
+            of_class = prepare.class_weights_of({0: int(count.sum() - count[i]), 1: int(count[i])}, m.class_weight)
+            weights.append((of_class[0], of_class[1]))
+        lam, q = (1.0, 0.0) if first.penalty == "l1" else (0.0, 1.0)
+        widen = lambda x: np.hstack([degrees(x, parts), np.ones((len(x), 1))])
+        for m, found in zip(models, solve_classes(data, len(names), widen, columns, weights, first.C, lam, q, first.tol, first.max_iter), strict=True):
+            m.solution_, m.coef_, m.intercept_ = found, found.coef[:-1], found.coef[-1]
+            m.n_active_rules_ = int(np.sum(np.abs(m.coef_) > 1e-12))
+        return models
+
+    def _margins(self, df: DataFrame) -> Column:
+        """The margins of all classes: one product in Arrow batches where the models share their terms, which as columns would be as many expressions as classes times terms."""
+        if not self.shared_:
+            return F.array(*[m.margin_column() for m in self.models_])
+        parts = self.models_[0].partitions_
+        names = prepare.feature_names(df, [p.feature for p in parts])
+        coef = np.zeros((3 * len(parts), len(self.models_)))
+        for i, m in enumerate(self.models_):
+            for r, v in zip(m.rules_, m.coef_, strict=True):
+                coef[3 * r.conditions[0].feature + TERMS.index(r.conditions[0].term), i] = v
+        intercept = np.array([m.intercept_ for m in self.models_])
+
+        @F.pandas_udf("array<double>")
+        def margins(x: pd.Series) -> pd.Series:
+            out = [degrees(np.stack(x.iloc[at : at + 4096].to_numpy()).astype(float), parts) @ coef + intercept for at in range(0, len(x), 4096)]
+            return pd.Series([row for part in out for row in part])
+
+        return margins(F.array(*[F.col(n).cast("double") for n in names]))
+
     def decision_function(self, df: DataFrame, to: str = "margins") -> DataFrame:
-        return df.withColumn(to, F.array(*[m.margin_column() for m in self.models_]))
+        return df.withColumn(to, self._margins(df))
 
     def predict(self, df: DataFrame, to: str = "prediction") -> DataFrame:
-        m = F.array(*[x.margin_column() for x in self.models_])
-        classes = F.array(*map(F.lit, self.classes_))
-        return df.withColumn(to, F.element_at(classes, F.array_position(m, F.array_max(m)).cast("int")))
+        m, classes = F.col("__margins"), F.array(*map(F.lit, self.classes_))
+        with_margins = df.withColumn("__margins", self._margins(df))
+        return with_margins.withColumn(to, F.element_at(classes, F.array_position(m, F.array_max(m)).cast("int"))).drop("__margins")
+
+
+def _class_activations(data: DataFrame, partitions, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, weight and the weighted sums of all degrees, of each class; data: x, of, s."""
+    width = 3 * len(partitions) + 2
+
+    def run(batches):
+        total = np.zeros((classes, width))
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(partitions))
+            of, s = b.column("of").to_numpy(), b.column("s").to_numpy()
+            for at in range(0, len(x), 4096):
+                w, c = s[at : at + 4096], of[at : at + 4096]
+                z = np.hstack([degrees(x[at : at + 4096], partitions) * w[:, None], w[:, None], np.ones((len(w), 1))])
+                total += (np.arange(classes)[:, None] == c).astype(float) @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["of", "v"])
+
+    flat = data.mapInArrow(run, "of int, v array<double>").select("of", F.posexplode("v").alias("i", "v")).groupBy("of", "i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros((classes, width))
+    out[flat.column("of").to_numpy(), flat.column("i").to_numpy()] = flat.column("v").to_numpy()
+    return out[:, -1], out[:, -2], out[:, :-2]

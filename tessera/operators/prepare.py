@@ -113,8 +113,12 @@ def anchors(df: DataFrame, features: Sequence[str], quantiles: Sequence[float] =
 
 
 def class_weights(df: DataFrame, label: str, class_weight: str | dict | None) -> dict:
+    """As class_weights_of, by the label's counts."""
+    return class_weights_of({r[0]: r[1] for r in df.groupBy(label).count().collect()}, class_weight)
+
+
+def class_weights_of(counts: dict, class_weight: str | dict | None) -> dict:
     """balanced: n / (k n_c); a dict keeps 1 for classes that it lacks."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if class_weight is None:
         return dict.fromkeys(counts, 1.0)
     if isinstance(class_weight, dict):

@@ -12,11 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOCAL_CELLS = 4_000_000
+#: How many sums travel in one row.
+CHUNK = 4096
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3)
 
 
@@ -82,14 +85,14 @@ def data_pass(df: DataFrame, k: int, sums: Callable[..., np.ndarray] = _sums, mo
 
 def _coordinate_descent(h: np.ndarray, g: np.ndarray, x: np.ndarray, lam: np.ndarray, sweeps: int = 500, tol: float = 1e-12) -> np.ndarray:
     """The step d that minimises g'd + 1/2 d'Hd + sum lam |x + d|."""
-    d, hd = np.zeros_like(x), np.zeros_like(x)
+    d, hd = [0.0] * len(x), np.zeros_like(x)
+    each = list(zip(range(len(x)), np.diag(h).tolist(), g.tolist(), x.tolist(), lam.tolist(), strict=True))
     for _ in range(sweeps):
         most = 0.0
-        for j in range(len(x)):
-            a, b = h[j, j], g[j] + hd[j]
-            c = x[j] + d[j]
-            new = c - b / a
-            new = np.sign(new) * max(abs(new) - lam[j] / a, 0.0)
+        for j, a, gj, xj, lj in each:
+            c = xj + d[j]
+            new, edge = c - (gj + hd.item(j)) / a, lj / a
+            new = new - edge if new > edge else new + edge if new < -edge else 0.0
             move = new - c
             if move:
                 d[j] += move
@@ -97,7 +100,7 @@ def _coordinate_descent(h: np.ndarray, g: np.ndarray, x: np.ndarray, lam: np.nda
                 most = max(most, abs(move) * a**0.5)
         if most < tol:
             break
-    return d
+    return np.array(d)
 
 
 def kkt_residual(gamma: np.ndarray, grad: np.ndarray, lam: np.ndarray) -> float:
@@ -107,9 +110,22 @@ def kkt_residual(gamma: np.ndarray, grad: np.ndarray, lam: np.ndarray) -> float:
     return float(np.where(gamma == 0, at_zero, off).max()) if len(gamma) else 0.0
 
 
-def _newton(seen: Callable, gamma: np.ndarray, lam: np.ndarray, tol: float, max_iter: int, patient: bool = False) -> tuple[np.ndarray, float, float, float]:
-    """Steps from gamma until the KKT residual is tol of that at the start, or no step goes down (patient: nor a shorter one): gamma, objective, residual, residual at the start."""
-    value, grad, h = seen(gamma[None])
+def _newton(seen: Callable, *how, **options) -> tuple[np.ndarray, float, float, float]:
+    """``_steps`` with what ``seen`` finds at its points."""
+    steps = _steps(*how, **options)
+    try:
+        points = next(steps)
+        while True:
+            points = steps.send(seen(points))
+    except StopIteration as end:
+        return end.value
+
+
+def _steps(gamma: np.ndarray, lam: np.ndarray, tol: float, max_iter: int, patient: bool = False):
+    """Steps from gamma until the KKT residual is tol of that at the start, or no step goes down (patient: nor a shorter one): gamma, objective, residual, residual at the start.
+
+    A generator: it yields the points of a pass and is sent their values, and gradient and Hessian at the first."""
+    value, grad, h = yield gamma[None]
     start = max(kkt_residual(gamma, grad, lam), 1e-12)
     residual, value, damping = start, value[0], 1e-10
     for _ in range(max_iter):
@@ -119,7 +135,7 @@ def _newton(seen: Callable, gamma: np.ndarray, lam: np.ndarray, tol: float, max_
         damped = h + ridge * np.eye(len(gamma))
         d = np.linalg.solve(damped, -grad) if not lam.any() else _coordinate_descent(damped, grad, gamma, lam)
         down = grad @ d + np.abs(gamma + d) @ lam - np.abs(gamma) @ lam
-        values, new_grad, new_h = seen(gamma + np.outer(STEPS, d))
+        values, new_grad, new_h = yield gamma + np.outer(STEPS, d)
         good = [i for i, t in enumerate(STEPS) if values[i] <= value + 1e-4 * t * down + 1e-14 * abs(value)]
         if not good:
             # The quadratic holds too far: shorter steps, until none is left.
@@ -131,7 +147,7 @@ def _newton(seen: Callable, gamma: np.ndarray, lam: np.ndarray, tol: float, max_
         i = good[0]
         gamma = gamma + STEPS[i] * d
         if i:
-            values, new_grad, new_h = seen(gamma[None])
+            values, new_grad, new_h = yield gamma[None]
             i = 0
         value, grad, h = values[i], new_grad, new_h
         residual = kkt_residual(gamma, grad, lam)
@@ -159,6 +175,104 @@ def solve(df: DataFrame, k: int, c: float = 1.0, lam: float | Sequence[float] =
     return Solution(gamma, value, residual, passes, residual <= 10 * tol * max(1.0, start))
 
 
+def _class_sums(z: np.ndarray, of: np.ndarray, s: np.ndarray, asked: Sequence[tuple], upper: tuple) -> list[np.ndarray]:
+    """For each asked (class, points, weights of the rest and of the class) what ``_sums`` gives, the class against the rest; of the Gram its upper triangle.
+
+    Most rows are active, so their Gram is that of all rows, which the classes share, less that of the others."""
+    slack_of = z @ np.concatenate([points for _, points, *_ in asked]).T
+    whole = (z * s[:, None]).T @ z
+    out, at = [], 0
+    for c, points, wn, wp in asked:
+        mine = of == c
+        y, w = np.where(mine, 1.0, -1.0), s * np.where(mine, wp, wn)
+        slack = np.maximum(0.0, 1 - y[:, None] * slack_of[:, at : at + len(points)])
+        at += len(points)
+        on = slack[:, 0] > 0
+        part = lambda rows, by: (z[rows] * by[rows, None]).T @ z[rows]
+        if 2 * on.sum() < len(on):
+            gram = part(on, w)
+        else:
+            gram = wn * (whole - part(~on, s))
+            if wp != wn:
+                gram += (wp - wn) * part(on & mine, s)
+        out.append(np.concatenate([w @ (slack * slack), -2 * (w * y * slack[:, 0]) @ z, 2 * gram[upper]]))
+    return out
+
+
+def solve_classes(df: DataFrame, d: int, widen: Callable[[np.ndarray], np.ndarray], columns: Sequence[Sequence[int]], weights: Sequence[tuple[float, float]], c: float = 1.0, lam: float = 0.0, q: float = 0.0, tol: float = 1e-6, max_iter: int = 100) -> list[Solution]:
+    """A fit of each class against the rest, as ``solve`` for each, but all classes move in the same passes.
+
+    df: x (array of d numbers), of (the row's class, an int), s (weight). widen makes the k terms of rows from x within a task, so that no row is kept with its terms; columns: the terms of each class; weights: those of the
+    rest and of the class, by class."""
+    k = widen(np.zeros((1, d))).shape[1]
+    upper = np.triu_indices(k)
+    rows = df.select("x", F.col("of").cast("int").alias("of"), F.col("s").cast("double").alias("s"))
+    numbers = lambda b: (b.column("x").combine_chunks() if hasattr(b, "to_batches") else b.column("x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    taken = lambda b, asked: _class_sums(widen(numbers(b)), b.column("of").to_numpy(), b.column("s").to_numpy(), asked, upper)
+    kept = None
+    if rows.count() * k <= LOCAL_CELLS:
+        data = rows.toArrow()
+        run = lambda asked: taken(data, asked)
+    else:
+        kept = rows.persist(StorageLevel.DISK_ONLY)
+
+        def run(asked):
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = None
+                for b in batches:
+                    if b.num_rows:
+                        sums = _whole_batch(b)
+                        total = sums if total is None else [x + y for x, y in zip(total, sums, strict=True)]
+                for i, v in enumerate(total or []):
+                    for at in range(0, len(v), CHUNK):
+                        x = pa.array(v[at : at + CHUNK])
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)], names=["i", "at", "v"])
+
+            def _whole_batch(b: pa.RecordBatch) -> list[np.ndarray]:
+                sums = None
+                for at in range(0, b.num_rows, 4096):  # the terms of so many rows at once
+                    found = taken(b.slice(at, 4096), asked)
+                    sums = found if sums is None else [x + y for x, y in zip(sums, found, strict=True)]
+                return sums
+
+            def added(group: pa.Table) -> pa.Table:
+                v = group.column("v").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1).sum(0)
+                return pa.table({"i": group.column("i")[:1], "at": group.column("at")[:1], "v": pa.array([v], pa.list_(pa.float64()))})
+
+            # Summed by chunk on the executors: the sums come back once.
+            found = kept.mapInArrow(part, "i int, at int, v array<double>").groupBy("i", "at").applyInArrow(added, "i int, at int, v array<double>").toArrow()
+            out = [np.zeros(len(points) + k + len(upper[0])) for _, points, *_ in asked]
+            for i, at, v in zip(found.column("i").to_pylist(), found.column("at").to_pylist(), found.column("v"), strict=True):
+                out[i][at : at + CHUNK] = v.values.to_numpy()
+            return out
+
+    lams = [np.full(len(x), float(lam)) for x in columns]
+    fits = [_steps(np.zeros(len(x)), each, tol, max_iter) for x, each in zip(columns, lams, strict=True)]
+    asked, passes, out = {n: next(f) for n, f in enumerate(fits)}, [0] * len(fits), [None] * len(fits)
+    try:
+        while asked:
+            spread = {n: np.zeros((len(points), k)) for n, points in asked.items()}
+            for n, points in asked.items():
+                spread[n][:, columns[n]] = points
+            sums, before, asked = run([(n, spread[n], *weights[n]) for n in spread]), asked, {}
+            for (n, points), x in zip(before.items(), sums, strict=True):
+                p, cols = len(points), np.array(columns[n])
+                gram = np.zeros((k, k))
+                gram[upper] = x[p + k :]
+                gram = (gram + np.triu(gram, 1).T)[np.ix_(cols, cols)]
+                passes[n] += 1
+                value = c * x[:p] + 0.5 * q * (points**2).sum(1) + np.abs(points) @ lams[n]
+                try:
+                    asked[n] = fits[n].send((value, c * x[p : p + k][cols] + q * points[0], c * gram + q * np.eye(len(cols))))
+                except StopIteration as end:
+                    gamma, objective, residual, start = end.value
+                    out[n] = Solution(gamma, objective, residual, passes[n], residual <= 10 * tol * max(1.0, start))
+    finally:
+        if kept is not None:
+            kept.unpersist()
+    return out
+
+
 @dataclass
 class HingeDual:
     """A solution of min sum |g| (but for the last) + sum s max(0, 1 - y z'g) with the width that its duals are read off at."""

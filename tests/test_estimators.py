@@ -136,3 +136,26 @@ def test_one_vs_rest_query_fits_all_labels_and_dimensions(spark, tmp_path):
     rows = [(i, [float(x) for x in rng.normal(size=8) * 0.3 + 3 * (np.arange(8) == 4 + i % 4) * (np.arange(8) > 3)], i % 4) for i in range(80)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert catalogue.one_vs_rest_fit(spark, str(tmp_path)).first()["accuracy"] > 0.95
+
+
+@pytest.mark.parametrize(("local", "options", "weight"), [(True, {}, None), (False, {"class_weight": "balanced", "max_rules": 7, "C": 3.0}, "w"), (False, {"penalty": "l2"}, None)])
+def test_classes_fitted_together_equal_each_alone(spark, monkeypatch, local, options, weight):
+    # Each class had anchors, scores, passes and margins of its own, so the query over 10 classes and 64 dimensions ran out of time on 500 rows.
+    rng = np.random.default_rng(6)
+    rows = [(*(float(x) for x in rng.normal(size=3) + (np.arange(3) == i % 4)), float(rng.uniform(0.5, 2)), "abcd"[i % 4]) for i in range(150)]
+    df = spark.createDataFrame(rows, "p double, q double, r double, w double, y string").repartition(3).cache()
+    if not local:
+        monkeypatch.setattr(solver, "LOCAL_CELLS", 0)
+    together = OneVsRest(lambda: FuzzyRuleSVM(max_rule_length=1, **options)).fit(df, "y", ["p", "q", "r"], weight)
+    assert together.shared_
+    margins = together.decision_function(df).select("p", "margins").toPandas().set_index("p")["margins"]
+    monkeypatch.undo()
+    for i, c in enumerate("abcd"):
+        one = FuzzyRuleSVM(max_rule_length=1, **options).fit(df.withColumn("_is", (F.col("y") == c).cast("int")), "_is", ["p", "q", "r"], weight)
+        m = together.models_[i]
+        assert m.rules_ == one.rules_ and m.partitions_ == one.partitions_ and m.solution_.converged and m.rule_scores_ == pytest.approx(one.rule_scores_)
+        assert m.solution_.objective == pytest.approx(one.solution_.objective, rel=1e-8)
+        own = one.decision_function(df).select("p", "margin").toPandas().set_index("p")["margin"]
+        assert max(abs(own[p] - margins[p][i]) for p in own.index) < 1e-5
+    best = {p: "abcd"[int(np.argmax(v))] for p, v in margins.items()}
+    assert all(r["prediction"] == best[r["p"]] for r in together.predict(df).collect())
