@@ -10,7 +10,7 @@ Wanted are all positions whose next ``DEPTH`` bytes start earlier too, so suffix
    sample strings at their common shift k cover, [k, k + SAMPLE), and the edges before and after: different ranks of the two sample strings settle the tie without
    reading between them. Suffixes that differ from the first of their group go on to the group's next, and after ``ROUNDS`` of that to deeper bytes, so a hot prefix costs n log n.
    The first in id order stays.
-3. Blocks mark what the repeated positions cover. Positions that repeat within their own block are found where the block is and are never moved.
+3. Blocks mark what the repeated positions cover. Positions that repeat within their own block are found once, where the block is, and only their runs are moved.
 
 A task holds one block or one bucket. Buckets grow in number with the bytes; a string is in a bucket once for each block that has it. Ranks come from 64-bit names, so what they
 call equal is compared by its bytes before it counts.
@@ -90,14 +90,11 @@ class Names:
 
 def sample_places(lengths: np.ndarray) -> np.ndarray:
     """The sample positions of documents that lie end to end, where a whole sample string fits."""
-    out, at = [], 0
     residues = np.array(sorted(COVER))
-    for n in lengths.tolist():
-        if n >= DEPTH:
-            grid = (np.arange(0, n, V)[:, None] + residues).ravel()
-            out.append(at + grid[grid <= n - SAMPLE])
-        at += n
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    fit = np.where(lengths >= DEPTH, lengths - SAMPLE + 1, 0)
+    grid = (np.arange(0, fit.max(initial=0), V)[:, None] + residues).ravel()
+    counts = np.searchsorted(grid, fit)
+    return np.concatenate([grid[:0], *(grid[:n] for n in counts.tolist())]) + np.repeat(np.cumsum(lengths) - lengths, counts)
 
 
 def window_mask(lengths: np.ndarray, total: int) -> np.ndarray:
@@ -129,10 +126,14 @@ def shifts() -> tuple[np.ndarray, np.ndarray]:
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on, as numbers that order as the bytes do."""
-    out = np.zeros(max(0, len(data) - 7), np.uint64)
+    n = max(0, len(data) - 7)
+    wide = ceil(n / 8)
+    padded = np.zeros(8 * wide + 8, np.uint8)
+    padded[: len(data)] = data
+    out = np.empty(8 * wide, np.uint64)
     for j in range(8):
-        out = (out << _U(8)) | data[j : len(data) - 7 + j]
-    return out
+        out[j::8] = padded[j : j + 8 * wide].view(">u8")
+    return out[:n]
 
 
 def cover_ranks(at: np.ndarray, phase: np.ndarray, names: Names) -> np.ndarray:
@@ -147,20 +148,38 @@ def cover_ranks(at: np.ndarray, phase: np.ndarray, names: Names) -> np.ndarray:
     return out
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and the rank of each in that order among the different ones."""
+    order = np.argsort(keys)
+    there = keys[order]
+    return order, np.cumsum(np.r_[True, there[1:] != there[:-1]][: len(there)])
+
+
+def by_head(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions at whose first HEAD bytes another one has, ordered by those bytes, and their groups. Within a group they are in any order."""
+
+    def tied(order, group):
+        more = np.bincount(group)[group] > 1
+        return order[more], group[more]
+
+    # Eight bytes at a time, as numpy sorts single numbers several times as fast as it orders by two keys.
+    order, group = tied(*_grouped(words[at]))
+    for j in range(8, HEAD, 8):
+        below, rank = _grouped(words[at[order] + j])
+        key = group << 32
+        key[below] |= rank
+        again, group = _grouped(key)
+        order, group = tied(order[again], group)
+    return order, group
+
+
 def sorted_later(data: np.ndarray, at: np.ndarray, phase: np.ndarray, names: Names | None = None) -> np.ndarray:
     """Which of the positions at, in order, have DEPTH bytes that an earlier one of them has too. phase: the offset of each byte in its document modulo V."""
     flags = np.zeros(len(at), bool)
     if len(at) < 2:
         return flags
     words = words_at(data)
-    head = [words[at + j] for j in range(0, HEAD, 8)]
-    order = np.lexsort(head[::-1])
-    tied = np.zeros(len(at) - 1, bool)
-    np.logical_and.reduce([h[order[1:]] == h[order[:-1]] for h in head], out=tied)
-    group = np.cumsum(np.r_[True, ~tied])
-    size = np.bincount(group)
-    rest = size[group] > 1
-    order, group = order[rest], group[rest]
+    order, group = by_head(words, at)
     if not len(order):
         return flags
     _, shift = shifts()
@@ -168,21 +187,24 @@ def sorted_later(data: np.ndarray, at: np.ndarray, phase: np.ndarray, names: Nam
     # Bytes of a tie that no sample string covers at every shift, and those that one does: ranks are of names, so the bytes decide.
     compared = [*range(HEAD, DEPTH - 7, 8), DEPTH - 8]
     for _ in range(ROUNDS):
-        start = np.r_[True, group[1:] != group[:-1]]
-        first = order[np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
-        a, b = at[order], at[first]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        first = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.r_[starts, len(order)]))
+        # Compared in the order of positions, as neighbours mostly tie with neighbours, so that memory is read in sequence.
+        of = np.arange(len(at))
+        of[order] = first
+        later = np.flatnonzero(of != np.arange(len(at)))
+        a, b = at[later], at[of[later]]
         k = shift[phase[a], phase[b]]
-        same = np.flatnonzero((ranks[a + k] == ranks[b + k]) & ~start)
+        same = np.flatnonzero(ranks[a + k] == ranks[b + k])
         for j in compared:
             same = same[words[a[same] + j] == words[b[same] + j]]
-        flags[order[same]] = True
-        other = ~start
-        other[same] = False
+        flags[later[same]] = True
+        other = (order != first) & ~flags[order]
         order, group = order[other], group[other]
         if not len(order):
             return flags
     deeper = [words[at[order] + j] for j in compared]
-    again = np.lexsort([*deeper[::-1], group])
+    again = np.lexsort([order, *deeper[::-1], group])
     equal = np.logical_and.reduce([d[again[1:]] == d[again[:-1]] for d in (group, *deeper)])
     flags[order[again[1:][equal]]] = True
     return flags
@@ -261,7 +283,9 @@ def sampled(packed: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for row in _rows(batches):
             data, lengths = _open(row)
-            keys = np.unique(sample_keys(Names(data), sample_places(lengths), buckets))
+            # Sorted and thinned here: np.unique without counts hashes, which takes eight times as long.
+            keys = np.sort(sample_keys(Names(data), sample_places(lengths), buckets))
+            keys = keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
             of = (keys >> _U(32)).astype(np.int64)
             cuts = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)] if len(of) else np.zeros(1, np.int64)
             low = keys.astype(np.uint32)
@@ -290,8 +314,8 @@ def ranked(samples: DataFrame, parts: int) -> DataFrame:
 
 def phases(lengths: np.ndarray, total: int) -> np.ndarray:
     """The offset of each position in its document modulo V."""
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return ((np.arange(total) - starts) % V).astype(np.int8)
+    long = np.resize(np.arange(V, dtype=np.int8), lengths.max(initial=0))
+    return np.concatenate([long[:0], *(long[:n] for n in lengths.tolist())], out=np.empty(total, np.int8))
 
 
 def own_repeats(data: np.ndarray, lengths: np.ndarray, repeated: Elsewhere, names: Names, phase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,13 +325,13 @@ def own_repeats(data: np.ndarray, lengths: np.ndarray, repeated: Elsewhere, name
     hits = np.zeros(len(data) + 1, np.int32)
     hits[places[(repeated(keys) | (counts > 1))[inverse]] + 1] = 1
     hits = np.cumsum(hits)
-    left = np.flatnonzero(window_mask(lengths, len(data))[: len(data) - DEPTH + 1])
-    left = left[hits[left + V] > hits[left]]
+    n = len(data) - DEPTH + 1
+    left = np.flatnonzero(window_mask(lengths, len(data))[:n] & (hits[V : V + n] > hits[:n]))
     return left, sorted_later(data, left, phase, names)
 
 
 class Elsewhere:
-    """Which sample keys of a block other blocks have too, from the bits of its buckets; none where they aren't given."""
+    """Which sample keys of a block other blocks have too, from the bits of its buckets."""
 
     def __init__(self, rows, buckets: int):
         self.rows, self.buckets = rows or (), buckets
@@ -321,7 +345,7 @@ class Elsewhere:
 
 
 def suffixes(packed: DataFrame, ranks: DataFrame, buckets: int, suffix_buckets: int, tasks: int) -> DataFrame:
-    """bucket, block, starts, counts, phases, text: the runs of positions that other blocks may repeat, by suffix bucket."""
+    """bucket, block, starts, counts, phases, text: the runs of positions that other blocks may repeat, by suffix bucket; without a text, in any bucket, those that repeat their own block."""
     schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("phases", pa.binary()), ("text", pa.binary())])
 
     def block(row: dict) -> Iterator[tuple]:
@@ -330,6 +354,9 @@ def suffixes(packed: DataFrame, ranks: DataFrame, buckets: int, suffix_buckets:
             return
         names, phase = Names(data), phases(lengths, len(data))
         left, again = own_repeats(data, lengths, Elsewhere(row["ranks"], buckets), names, phase)
+        if again.any():
+            starts, sizes = runs(left[again])
+            yield (row["block"] * MIX2 % (1 << 64) >> 32) * suffix_buckets >> 32, row["block"], starts.tobytes(), sizes.tobytes(), None, None
         left = left[~again]
         if not len(left):
             return
@@ -367,10 +394,10 @@ def sorted_buckets(parts: DataFrame, tasks: int) -> DataFrame:
     """block, starts, counts: runs of the positions of each block whose DEPTH bytes start earlier."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
-        none = pdf[["block", "starts", "counts"]].iloc[:0]
+        settled = pdf["text"].isna()
+        own, pdf = pdf.loc[settled, ["block", "starts", "counts"]], pdf[~settled].sort_values("block", kind="stable")
         if len(pdf) < 2:
-            return none
+            return own
         inflate = zstandard.ZstdDecompressor()
         starts = [np.frombuffer(x, np.int32) for x in pdf["starts"]]
         counts = [np.frombuffer(x, np.int32) for x in pdf["counts"]]
@@ -388,7 +415,7 @@ def sorted_buckets(parts: DataFrame, tasks: int) -> DataFrame:
             if len(mine):
                 a, b = runs(mine)
                 rows.append((number, a.tobytes(), b.tobytes()))
-        return pd.DataFrame(rows, columns=["block", "starts", "counts"]) if rows else none
+        return pd.concat([own, pd.DataFrame(rows, columns=own.columns)]) if rows else own
 
     return parts.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(run, "block long, starts binary, counts binary")
 
@@ -401,10 +428,6 @@ def removed(packed: DataFrame, marks: DataFrame, keep: bool, tasks: int) -> Data
         data, lengths = _open(row)
         change = np.zeros(len(data) + 1, np.int32)
         found = [(np.frombuffer(m["starts"], np.int32), np.frombuffer(m["counts"], np.int32)) for m in row["marks"] or ()]
-        if len(data) >= DEPTH:
-            # What repeats within the block ties by the block's own sample alone.
-            left, again = own_repeats(data, lengths, Elsewhere(None, 1), Names(data), phases(lengths, len(data)))
-            found.append(runs(left[again]))
         for s, c in found:
             np.add.at(change, s, 1)
             np.add.at(change, s + c + (DEPTH - 1), -1)

@@ -90,3 +90,41 @@ def test_kept_bytes_and_empty_table(spark):
     assert bytes(rows[0]["kept"]) == b"" or len(rows[0]["kept"]) < 120
     assert bytes(rows[1]["kept"]) == b"b" and bytes(rows[2]["kept"]) == b""
     assert suffix_dedup.deduplicate(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def test_what_repeats_within_a_block_is_found_once_and_travels_as_runs(spark):
+    packed = suffix_dedup.blocks(documents(spark, ["ab" * 300, "x"]), "doc_id", "text")
+    ranks = suffix_dedup.ranked(suffix_dedup.sampled(packed, 64), 1)
+    marks = suffix_dedup.sorted_buckets(suffix_dedup.suffixes(packed, ranks, 64, 64, 1), 1).localCheckpoint()
+    found = [np.frombuffer(r[c], np.int32) for r in marks.collect() for c in ("starts", "counts")]
+    assert [x.tolist() for x in found] == [[2], [499]]
+    none, all_ = (suffix_dedup.removed(packed, m, False, 1).agg({"n_removed": "sum"}).first()[0] for m in (marks.limit(0), marks))
+    assert (none, all_) == (0, 598)
+
+
+def test_heads_are_grouped_in_the_order_of_their_bytes():
+    rng = random.Random(9)
+    data = np.frombuffer(bytes(rng.choice(b"a\xffb") for _ in range(400)) + b"\0" * 200 + b"ba" * 100, np.uint8)
+    at = np.arange(0, len(data) - 100)
+    order, group = suffix_dedup.by_head(suffix_dedup.words_at(data), at)
+    heads = [data[i : i + suffix_dedup.HEAD].tobytes() for i in at.tolist()]
+    by = {}
+    for i, h in enumerate(heads):
+        by.setdefault(h, []).append(i)
+    want = [by[h] for h in sorted(by) if len(by[h]) > 1]
+    got = [sorted(order[group == g].tolist()) for g in np.unique(group)]
+    assert got == want and (np.diff(group) >= 0).all()
+    assert [len(x) for x in suffix_dedup.by_head(suffix_dedup.words_at(data), at[:0])] == [0, 0]
+
+
+def test_sample_places_and_phases_are_those_of_each_document():
+    lengths = np.array([0, 99, 100, 1, 131, 400])
+    total, start, places, offsets = int(lengths.sum()), 0, [], []
+    for n in lengths.tolist():
+        offsets += [i % suffix_dedup.V for i in range(n)]
+        places += [start + i for i in range(n - suffix_dedup.SAMPLE + 1) if n >= 100 and i % suffix_dedup.V in suffix_dedup.COVER]
+        start += n
+    assert suffix_dedup.sample_places(lengths).tolist() == places and suffix_dedup.phases(lengths, total).tolist() == offsets
+    assert not len(suffix_dedup.sample_places(lengths[:0])) and not len(suffix_dedup.phases(lengths[:0], 0))
+    assert suffix_dedup.words_at(np.arange(1, 10, dtype=np.uint8)).tolist() == [0x0102030405060708, 0x0203040506070809]
+    assert not len(suffix_dedup.words_at(np.zeros(7, np.uint8))) and not len(suffix_dedup.words_at(np.zeros(0, np.uint8)))
