@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, product
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.membership import TERMS, Partition, conjunction, memberships
+from tessera.functions.membership import AND_OPERATORS, TERMS, Partition, conjunction, memberships
 
 CONDITION = T.StructType([T.StructField("feature", T.IntegerType()), T.StructField("term", T.StringType())])
 
@@ -55,6 +57,28 @@ def activation_array(rules: Sequence[Rule], partitions: Sequence[Partition], and
     return F.array(*activations(rules, partitions, and_operator, temperature))
 
 
+def rule_degrees(m: np.ndarray, rules: Sequence[Rule], and_operator: str = "min", temperature: float = 0.1) -> np.ndarray:
+    """(rows, rules): the ``activations`` of rules within a task, from the degrees of all terms (``membership.degrees``)."""
+    if and_operator not in AND_OPERATORS:
+        raise ValueError(f"and_operator must be one of {AND_OPERATORS}")
+    out = np.empty((len(m), len(rules)))
+    for k in {r.length for r in rules}:
+        places = [i for i, r in enumerate(rules) if r.length == k]
+        values = [m[:, [3 * rules[i].conditions[j].feature + TERMS.index(rules[i].conditions[j].term) for i in places]] for j in range(k)]
+        if k == 1:
+            out[:, places] = values[0]
+        elif and_operator == "min":
+            out[:, places] = reduce(np.minimum, values)
+        elif and_operator == "product":
+            out[:, places] = reduce(np.multiply, values)
+        else:
+            scaled = [-v / temperature for v in values]
+            top = reduce(np.maximum, scaled)
+            total = sum(np.exp(x - top) for x in scaled)
+            out[:, places] = np.clip(-temperature * (np.log(total / k) + top), 0.0, 1.0)
+    return out
+
+
 def rule_text(rule: Rule, names: Sequence[str], consequent: str | None = None) -> str:
     body = " AND ".join(f"{names[c.feature]} is {c.term}" for c in rule.conditions)
     return f"IF {body}" + (f" THEN {consequent}" if consequent is not None else "")

@@ -10,11 +10,12 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.membership import AND_OPERATORS, TERMS, concept_map, degrees, memberships
-from tessera.functions.rules import Condition, Rule, activation_array, activations, rule_text
+from tessera.functions.membership import AND_OPERATORS, TERMS, concept_map, degrees
+from tessera.functions.rules import Condition, Rule, activation_array, activations, rule_degrees, rule_text
 from tessera.operators import explain as ex
 from tessera.operators import prepare, ranking
 from tessera.plans import artifact
@@ -126,6 +127,17 @@ class FuzzyRuleSVM(_Binary):
 
     def fit(self, df: DataFrame, label: str = "y", features: Sequence[str] | None = None, weight: str | None = None, exclude=()) -> FuzzyRuleSVM:
         self._validate()
+        if self.rule_generation == "enumeration":
+            return self._fit(df, label, features, weight, exclude)
+        # Every pass reads these few columns again, so what they come from is run once.
+        names = prepare.feature_names(df, features, label, [*exclude, *([weight] if weight else [])])
+        kept = df.select(*dict.fromkeys([*names, label, *([weight] if weight else [])])).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(kept, label, names, weight, exclude)
+        finally:
+            kept.unpersist()
+
+    def _fit(self, df: DataFrame, label: str, features: Sequence[str] | None, weight: str | None, exclude) -> FuzzyRuleSVM:
         names = self._begin(df, label, features, weight, exclude)
         self.selected_ = prepare.screen(df, names, label, self.feature_screening, self.screen_top_k)
         self.partitions_ = prepare.anchors(df, self.selected_, self.quantiles)
@@ -146,13 +158,26 @@ class FuzzyRuleSVM(_Binary):
 
     def _fit_rules(self, df: DataFrame, rules: Sequence[Rule], weight: Column) -> np.ndarray:
         p = self._scale(rules)
+        lam, q = (1.0, 0.0) if self.penalty == "l1" else (0.0, 1.0)
+        if self.rule_generation == "column_generation":
+            data, widen = df.select(self._raw().alias("z"), self._sign().alias("y"), weight.alias("s")), self._widened(rules)
+            self.solution_ = solve(data, len(rules) + 1, self.C, lam, q, self.tol, self.max_iter, lambda x: widen(x) / p, thorough=True)
+            return self.solution_.coef / p
         acts = activations(rules, self.partitions_, self.and_operator, self.softmin_temperature)
         z = F.array(*[a / F.lit(float(x)) for a, x in zip(acts, p, strict=False)], F.lit(1.0))
         data = df.select(z.alias("z"), self._sign().alias("y"), weight.alias("s"))
-        lam, q = (1.0, 0.0) if self.penalty == "l1" else (0.0, 1.0)
         self.solution_ = solve(data, len(rules) + 1, self.C, lam, q, self.tol, self.max_iter)
         return self.solution_.coef / p
 
+    def _raw(self) -> Column:
+        """The features' values, of which tasks make activations."""
+        return F.array(*[F.col(p.feature).cast("double") for p in self.partitions_])
+
+    def _widened(self, rules: Sequence[Rule]):
+        """Makes the rules' activations and the constant of raw values within a task."""
+        parts, how, temperature = self.partitions_, self.and_operator, self.softmin_temperature
+        return lambda x: np.hstack([rule_degrees(degrees(x, parts), rules, how, temperature), np.ones((len(x), 1))])
+
     def _enumerated(self, df, s, sc):
         rules, self.rule_scores_, n = ranking.generate(df, self.partitions_, self._sign(), s, self.max_rule_length, self.max_rules, self.min_rule_coverage, self.and_operator, self.softmin_temperature)
         return rules, n
@@ -177,19 +202,30 @@ class FuzzyRuleSVM(_Binary):
 
     def _price(self, df: DataFrame, rules: Sequence[Rule], sign: Column, s: Column, upper: Column, top: int, done: set) -> list[Rule]:
         """Up to ``top`` pairs, dearest first; done: pairs that were added or refused, to which these are added."""
-        d = len(self.partitions_)
-        z = F.array(*activations(rules, self.partitions_, self.and_operator, self.softmin_temperature), F.lit(1.0))
-        self.dual_ = dual = hinge_duals(df.select(z.alias("z"), sign.alias("y"), upper.alias("s")), len(rules) + 1)
-        margin = ex.margin(activations(rules, self.partitions_, self.and_operator, self.softmin_temperature), dual.coef[:-1], dual.coef[-1])
-        w = upper * dual.of_row(1 - sign * margin) * sign
-        cells = [m for key, m in sorted(memberships(self.partitions_).items(), key=lambda x: (x[0][0], TERMS.index(x[0][1])))]
-        gram = np.abs(_gram(df.select(F.array(*cells).alias("m"), w.alias("a")), 3 * d))
+        d, parts, widen = len(self.partitions_), self.partitions_, self._widened(rules)
+        data = df.select(self._raw().alias("z"), sign.cast("double").alias("y"), upper.cast("double").alias("u"), s.cast("double").alias("s"))
+        self.dual_ = dual = hinge_duals(data.select("z", "y", F.col("u").alias("s")), len(rules) + 1, widen=widen)
+        coef, mu = dual.coef, dual.mu
+        signed = lambda x, y, u: u * y * np.clip((1 - y * (widen(x) @ coef)) / mu, 0.0, 1.0)
+
+        def products(x, y, u, s):
+            m = degrees(x, parts)
+            return ((m * signed(x, y, u)[:, None]).T @ m).ravel()
+
+        gram = np.abs(_summed(data, products, 9 * d * d)).reshape(3 * d, 3 * d)
         pairs = sorted((-gram[i, j], i, j) for i in range(3 * d) for j in range(i + 1, 3 * d) if i // 3 != j // 3)
         short = [(i, j) for v, i, j in pairs[: SHORTLIST * top] if -v > 1 + self.tol and (i, j) not in done]
         if not short:
             return []
         made = [Rule((Condition(i // 3, TERMS[i % 3]), Condition(j // 3, TERMS[j % 3]))) for i, j in short]
-        prices, covered = _priced_sums(df, activation_array(made, self.partitions_, self.and_operator, self.softmin_temperature), w, s, len(made))
+        of_made = self._widened(made)
+
+        def priced(x, y, u, s):
+            a = of_made(x)[:, :-1]
+            return np.r_[signed(x, y, u) @ a, s @ a, s.sum()]
+
+        sums = _summed(data, priced, 2 * len(made) + 1)
+        prices, covered = sums[: len(made)], sums[len(made) : -1] / max(sums[-1], 1e-300)
         found = []
         for k, pair in enumerate(short):
             if abs(prices[k]) <= 1 + self.tol:
@@ -205,43 +241,20 @@ class FuzzyRuleSVM(_Binary):
         return [made[k] for k in best]
 
 
-def _priced_sums(df: DataFrame, acts: Column, w: Column, s: Column, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """sum w a and the s-weighted mean of each of k activations a, in one pass."""
+def _summed(data: DataFrame, sums, k: int) -> np.ndarray:
+    """The k sums over rows that ``sums`` takes of raw values, signs, upper bounds and weights, in one pass; data: z, y, u, s."""
 
     def run(batches):
-        import pandas as pd
-
-        total = np.zeros(2 * k + 1)
-        for b in batches:
-            if len(b):
-                a, weight = np.stack(b["a"].to_numpy()), b["s"].to_numpy()
-                total += np.r_[b["w"].to_numpy() @ a, weight @ a, weight.sum()]
-        yield pd.DataFrame({"i": np.arange(2 * k + 1), "v": total})
-
-    out = np.zeros(2 * k + 1)
-    rows = df.select(acts.alias("a"), w.alias("w"), s.cast("double").alias("s"))
-    for i, v in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[i] = v
-    return out[:k], out[k : 2 * k] / max(out[-1], 1e-300)
-
-
-def _gram(df: DataFrame, k: int) -> np.ndarray:
-    """sum of a m m' over rows: m an array of k numbers."""
-
-    def run(batches):
-        import pandas as pd
-
-        total = np.zeros((k, k))
+        total = np.zeros(k)
         for b in batches:
-            if len(b):
-                m = np.stack(b["m"].to_numpy())
-                total += (m * b["a"].to_numpy()[:, None]).T @ m
-        yield pd.DataFrame({"i": np.arange(k * k), "v": total.ravel()})
-
-    out = np.zeros(k * k)
-    for r in df.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out.reshape(k, k)
+            if b.num_rows:
+                total += sums(b.column("z").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), *[b.column(c).to_numpy() for c in "yus"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(total)], names=["i", "v"])
+
+    out = np.zeros(k)
+    found = data.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out[found.column("i").to_numpy()] = found.column("v").to_numpy()
+    return out
 
 
 class MembershipSVM(FuzzyRuleSVM):

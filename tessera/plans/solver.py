@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 LOCAL_CELLS = 4_000_000
 #: How many sums travel in one row.
 CHUNK = 4096
+#: What rounding leaves of a row's margin; divided by the width of the corner, of its dual.
+ROUNDING = 2.0**-52
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3)
 
 
@@ -45,42 +47,51 @@ def _sums(z: np.ndarray, y: np.ndarray, s: np.ndarray, points: np.ndarray) -> np
 
 
 def _hinge_sums(z: np.ndarray, y: np.ndarray, s: np.ndarray, points: np.ndarray, mu: float) -> np.ndarray:
-    """As _sums, of the hinge with its corner rounded off over a width of mu; then the sum of the duals at the first point."""
-    k = z.shape[1]
+    """As _sums, of the hinge with its corner rounded off over a width of mu; then the gradient's part from rows on the corner and the sum of the duals, both at the first point."""
     slack = np.maximum(0.0, 1 - y[:, None] * (z @ points.T))
     losses = s @ np.where(slack < mu, slack * slack / (2 * mu), slack - mu / 2)
-    grad = -(s * y * np.minimum(slack[:, 0] / mu, 1.0)) @ z
-    bent = (slack[:, 0] > 0) & (slack[:, 0] < mu)
+    first = slack[:, 0]
+    dual = s * np.minimum(first / mu, 1.0)
+    grad = -(y * dual) @ z
+    bent = (first > 0) & (first < mu)
     zb = z[bent]
     gram = (zb * (s[bent] / mu)[:, None]).T @ zb
-    return np.concatenate([losses, grad, gram.ravel(), [s @ np.minimum(slack[:, 0] / mu, 1.0)]])
+    return np.concatenate([losses, grad, gram.ravel(), -(y[bent] * dual[bent]) @ zb, [dual.sum()]])
+
+
+def _numbers(b: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of arrays of equal length as a matrix."""
+    return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
 
+def data_pass(df: DataFrame, k: int, sums: Callable[..., np.ndarray] = _sums, more_sums: int = 0, widen: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[Callable[..., np.ndarray], Callable[[], None]]:
+    """A function from trial points (and what else the sums take) to summed losses, gradient and Gram, and one that frees the data. df: z, y, s.
 
-def data_pass(df: DataFrame, k: int, sums: Callable[..., np.ndarray] = _sums, more_sums: int = 0) -> tuple[Callable[..., np.ndarray], Callable[[], None]]:
-    """A function from trial points (and what else the sums take) to summed losses, gradient and Gram, and one that frees the data. df: z, y, s."""
+    widen makes the k numbers of rows from z within a task; then rows aren't kept here, as df is cheap to read again (the caller has it kept)."""
     rows = df.select("z", F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"))
     if rows.count() * max(k, 1) <= LOCAL_CELLS:
         data = rows.toPandas()
         z = np.stack(data["z"].to_numpy()) if len(data) else np.zeros((0, k))
+        z = widen(z) if widen and len(data) else z
         y, s = data["y"].to_numpy(), data["s"].to_numpy()
         return (lambda points, *more: sums(z, y, s, points, *more)), (lambda: None)
-    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = rows if widen else rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(points: np.ndarray, *more) -> np.ndarray:
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(points) + k + k * k + more_sums)
             for b in batches:
-                if len(b):
-                    total += sums(np.stack(b["z"].to_numpy()), b["y"].to_numpy(), b["s"].to_numpy(), points, *more)
-            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+                if b.num_rows:
+                    z = _numbers(b, "z")
+                    total += sums(widen(z) if widen else z, b.column("y").to_numpy(), b.column("s").to_numpy(), points, *more)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
-        found = kept.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        found = kept.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         out = np.zeros(len(points) + k + k * k + more_sums)
-        for r in found:
-            out[r["i"]] = r["v"]
+        out[found.column("i").to_numpy()] = found.column("v").to_numpy()
         return out
 
-    return run, kept.unpersist
+    return run, (lambda: None) if widen else kept.unpersist
 
 
 def _coordinate_descent(h: np.ndarray, g: np.ndarray, x: np.ndarray, lam: np.ndarray, sweeps: int = 500, tol: float = 1e-12) -> np.ndarray:
@@ -103,6 +114,45 @@ def _coordinate_descent(h: np.ndarray, g: np.ndarray, x: np.ndarray, lam: np.nda
     return np.array(d)
 
 
+def _active_set(h: np.ndarray, g: np.ndarray, x: np.ndarray, lam: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The same step by solving for the numbers that aren't 0: those that change sign leave, the one that violates most enters. Ends early where rounding undoes a round."""
+    d, scale = np.zeros(len(x)), 1 / np.sqrt(np.diag(h))
+    sign, on = np.sign(x), (x != 0) | (lam == 0)
+    for _ in range(rounds):
+        for _ in range(rounds):
+            if not on.any():
+                break
+            a = h[np.ix_(on, on)] * np.outer(scale[on], scale[on])
+            new = d.copy()
+            new[on] = scale[on] * np.linalg.solve(a, -scale[on] * (g[on] + lam[on] * sign[on] + h[np.ix_(on, ~on)] @ d[~on]))
+            crossed = on & (lam > 0) & (sign * (x + new) < 0)
+            if not crossed.any():
+                d = new
+                break
+            share = np.full(len(x), np.inf)
+            share[crossed] = np.clip((x + d)[crossed] / (d - new)[crossed], 0.0, 1.0)
+            gone = share <= share.min()
+            d = d + share.min() * (new - d)
+            d[gone], sign[gone], on[gone] = -x[gone], 0.0, False
+        grad = g + h @ d
+        over = np.where(on, 0.0, np.abs(grad) - lam)
+        j = int(over.argmax())
+        if over[j] <= 1e-12 * (np.abs(g).max() + lam.max()):
+            break
+        on[j], sign[j] = True, -np.sign(grad[j])
+    return d
+
+
+def _thorough_step(h: np.ndarray, g: np.ndarray, x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """The better of both: sweeps hardly move where columns depend on each other, and the other way can end early."""
+    value = lambda d: g @ d + 0.5 * d @ h @ d + lam @ np.abs(x + d)
+    return min(_active_set(h, g, x, lam), _coordinate_descent(h, g, x, lam, sweeps=100), key=value)
+
+
+def _damped(h: np.ndarray, damping: float) -> np.ndarray:
+    return h + damping * max(1.0, np.trace(h) / max(len(h), 1)) * np.eye(len(h))
+
+
 def kkt_residual(gamma: np.ndarray, grad: np.ndarray, lam: np.ndarray) -> float:
     """The largest violation of the optimality conditions."""
     at_zero = np.maximum(np.abs(grad) - lam, 0.0)
@@ -121,25 +171,33 @@ def _newton(seen: Callable, *how, **options) -> tuple[np.ndarray, float, float,
         return end.value
 
 
-def _steps(gamma: np.ndarray, lam: np.ndarray, tol: float, max_iter: int, patient: bool = False):
-    """Steps from gamma until the KKT residual is tol of that at the start, or no step goes down (patient: nor a shorter one): gamma, objective, residual, residual at the start.
+def _steps(gamma: np.ndarray, lam: np.ndarray, tol: float, max_iter: int, thorough: bool = False, least: float = 0.0, other: np.ndarray | None = None):
+    """Steps from gamma until the KKT residual is tol of that at the start (or least), or no step goes down: gamma, objective, residual, residual at the start.
 
+    thorough: also shorter steps, each by the better of two ways, and a whole step that halves the residual where rounding hides whether it goes down; other: a start to take instead if it is lower.
     A generator: it yields the points of a pass and is sent their values, and gradient and Hessian at the first."""
-    value, grad, h = yield gamma[None]
+    value, grad, h = yield gamma[None] if other is None else np.stack([gamma, other])
+    if other is not None and value[1] < value[0] - 1e-10 * abs(value[0]):
+        gamma = other
+        value, grad, h = yield gamma[None]
     start = max(kkt_residual(gamma, grad, lam), 1e-12)
     residual, value, damping = start, value[0], 1e-10
     for _ in range(max_iter):
-        if residual <= tol * max(1.0, start):
+        if residual <= max(tol * max(1.0, start), least):
             break
-        ridge = damping * max(1.0, np.trace(h) / max(len(gamma), 1))
-        damped = h + ridge * np.eye(len(gamma))
-        d = np.linalg.solve(damped, -grad) if not lam.any() else _coordinate_descent(damped, grad, gamma, lam)
+        damped = _damped(h, damping)
+        if not lam.any():
+            d = np.linalg.solve(damped, -grad)
+        else:
+            d = (_thorough_step if thorough else _coordinate_descent)(damped, grad, gamma, lam)
         down = grad @ d + np.abs(gamma + d) @ lam - np.abs(gamma) @ lam
         values, new_grad, new_h = yield gamma + np.outer(STEPS, d)
         good = [i for i, t in enumerate(STEPS) if values[i] <= value + 1e-4 * t * down + 1e-14 * abs(value)]
+        if thorough and values[0] <= value + 1e-11 * abs(value) and kkt_residual(gamma + d, new_grad, lam) <= residual / 2:
+            good = [0]
         if not good:
             # The quadratic holds too far: shorter steps, until none is left.
-            if not patient or damping > 1e4:
+            if not thorough or damping > 1e4:
                 break
             damping *= 100
             continue
@@ -154,11 +212,11 @@ def _steps(gamma: np.ndarray, lam: np.ndarray, tol: float, max_iter: int, patien
     return gamma, float(value), residual, start
 
 
-def solve(df: DataFrame, k: int, c: float = 1.0, lam: float | Sequence[float] = 0.0, q: np.ndarray | float = 0.0, tol: float = 1e-6, max_iter: int = 100) -> Solution:
-    """df: z (array of k numbers), y (-1 or 1), s (weight)."""
+def solve(df: DataFrame, k: int, c: float = 1.0, lam: float | Sequence[float] = 0.0, q: np.ndarray | float = 0.0, tol: float = 1e-6, max_iter: int = 100, widen: Callable[[np.ndarray], np.ndarray] | None = None, thorough: bool = False) -> Solution:
+    """df: z (array of k numbers, or of those that widen makes them from), y (-1 or 1), s (weight)."""
     lam = np.broadcast_to(np.asarray(lam, float), k).copy()
     q = np.eye(k) * q if np.isscalar(q) else np.asarray(q, float)
-    run, free = data_pass(df, k)
+    run, free = data_pass(df, k, widen=widen)
     passes = 0
 
     def seen(points: np.ndarray):
@@ -169,7 +227,7 @@ def solve(df: DataFrame, k: int, c: float = 1.0, lam: float | Sequence[float] =
         return value, c * out[p : p + k] + q @ points[0], c * out[p + k :].reshape(k, k) + q
 
     try:
-        gamma, value, residual, start = _newton(seen, np.zeros(k), lam, tol, max_iter)
+        gamma, value, residual, start = _newton(seen, np.zeros(k), lam, tol, max_iter, thorough=thorough)
     finally:
         free()
     return Solution(gamma, value, residual, passes, residual <= 10 * tol * max(1.0, start))
@@ -293,31 +351,41 @@ class HingeDual:
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), slack / self.mu))
 
 
-def hinge_duals(df: DataFrame, k: int, mu: float = 1e-6, max_iter: int = 60) -> HingeDual:
-    """df: z (array of k numbers, the last the constant 1, which isn't penalised), y (-1 or 1), s (weight).
+def hinge_duals(df: DataFrame, k: int, mu: float = 1e-6, max_iter: int = 60, widen: Callable[[np.ndarray], np.ndarray] | None = None) -> HingeDual:
+    """df: z (array of k numbers, the last the constant 1, which isn't penalised, or of those that widen makes them from), y (-1 or 1), s (weight).
 
-    The hinge's corner is rounded off over a width that falls tenfold from 4 to mu, each fit starting from the last. A row's dual at the optimum is its weight times slack / width, at most 1, so it
-    stays with the row as an expression of its margin, and at every width the duals are those of a nearby programme: their sum is at most mu / 2 times the sum of weights below the optimum."""
+    The hinge's corner is rounded off over a width that falls from 4 to mu. A row's dual at the optimum is its weight times slack / width, at most 1, so it stays with the row as an expression of its margin, and at every width
+    the duals are those of a nearby programme: their sum is at most mu / 2 times the sum of weights below the optimum. Each fit starts from where the optimum goes if the rows on the corner stay the same; the width falls
+    fourfold, and by ever more while that start is the optimum."""
     lam = np.r_[np.ones(k - 1), 0.0]
-    run, free = data_pass(df, k, _hinge_sums, 1)
-    passes, gamma, width = 0, np.zeros(k), 4.0
+    run, free = data_pass(df, k, _hinge_sums, 1 + k, widen)
+    passes, gamma, other, width, factor = 0, np.zeros(k), None, 4.0, 4.0
+    at: dict[bytes, tuple] = {}
 
     def seen(points: np.ndarray):
         nonlocal passes
         passes += 1
         out, p = run(points, width), len(points)
-        return out[:p] + np.abs(points) @ lam, out[p : p + k], out[p + k : -1].reshape(k, k)
+        grad, h = out[p : p + k], out[p + k : p + k + k * k].reshape(k, k)
+        at[points[0].tobytes()] = grad, h, out[-1 - k : -1], out[-1]
+        return out[:p] + np.abs(points) @ lam, grad, h
 
     try:
+        total = run(gamma[None], 1e-12)[0]  # of the weights
         while True:
-            gamma, *_ = _newton(seen, gamma, lam, 1e-9 if width <= mu * 1.5 else 1e-3, max_iter, patient=True)
-            if width <= mu * 1.5:
+            at.clear()
+            before, last = passes, width <= mu * 1.5
+            gamma, *_ = _newton(seen, gamma, lam, 0.0, max_iter, thorough=True, least=max(1e-9, (ROUNDING / width if last else 1e-7) * total), other=other)
+            grad, h, bent, dual = at[gamma.tobytes()]
+            if last:
                 break
-            width = max(width / 10, mu)
-        out = run(gamma[None], width)
+            factor = 4 * factor if passes == before + 1 else 4.0
+            new = max(width / factor, mu)
+            ratio, other = width / new, gamma
+            gamma = gamma + _thorough_step(_damped(ratio * h, 1e-10), grad + (ratio - 1) * bent, gamma, lam)
+            width = new
         primal = run(gamma[None], 1e-12)[0] + np.abs(gamma) @ lam
-        grad, total = out[1 : 1 + k], out[-1]
         infeasible = max(float(np.max(np.abs(grad[:-1]), initial=0.0)) - 1.0, abs(float(grad[-1])), 0.0)
     finally:
         free()
-    return HingeDual(gamma, width, float(primal), float(total), infeasible, passes)
+    return HingeDual(gamma, width, float(primal), float(dual), infeasible, passes)
